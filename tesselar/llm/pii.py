@@ -175,7 +175,8 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     joined = lambda rows: F.array_join(F.transform(rows, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     base = F.filter("pii", lambda x: x["kind"].isin(*BASE))
-    counts = [F.size(F.filter("pii", lambda x, k=kind: x["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in BASE]
+    count = lambda kind: F.size(F.filter("pii", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count(kind) for kind in BASE]
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
 
 

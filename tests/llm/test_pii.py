@@ -67,3 +67,13 @@ def test_tables(spark):
     assert pii.find(df.limit(0)).count() == 0
     assert sorted(r.text for r in pii.redact(df).collect()) == ["", "", "", "<EMAIL> <IP>"]
     assert pii.redact(df).columns == df.columns
+
+
+def test_query(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in pii.op2_pii(spark, sf).collect():
+        want = brute(texts[r.doc_id])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for *_, k in want) for x in pii.BASE]
+        assert r.base_sha256 == pii.digest([(*x, 1.0) for x in want])
+        assert [x for x in r.spans.split(",") if x.split(":")[0] in pii.BASE] == [f"{k}:{s}:{e}" for s, e, k in want]
