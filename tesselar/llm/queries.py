@@ -11,6 +11,9 @@ NAMES = {
     "op1_toxicity": "toxicity",
     "op2_pii": "pii",
     "op5_quality": "quality",
+    "op8_packing": "packing",
+    "op9_suffix_dedup": "suffix_dedup",
+    "op10_substring_dedup": "substring_dedup",
 }
 
 
