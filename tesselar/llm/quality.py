@@ -42,7 +42,7 @@ LINE = (_BYTE == 10).astype(np.int64)
 class QualityConfig:
     """Bounds on the training sample hold at every input size; scoring covers all rows."""
 
-    train_by_label: int = 3000
+    train_by_label: int = 2000
     train_chars: int = 20_000
     buckets: int = 1 << 15
     factors: int = 6
@@ -110,7 +110,7 @@ def features(texts: pa.Array, n_chars: pa.Array, buckets: int) -> tuple[np.ndarr
     extra = _structure(texts, declared, offsets, codes, distinct) + buckets
     all_rows = np.concatenate([row, np.repeat(np.arange(len(texts)), extra.shape[1])])
     order = np.argsort(all_rows, kind="stable")
-    ids = np.concatenate([word, extra.ravel()])[order]
+    ids = np.concatenate([word, extra.ravel()])[order].astype(np.int32)
     values = np.concatenate([value, np.full(extra.size, 0.5)])[order]
     return np.concatenate([[0], np.cumsum(np.bincount(all_rows, minlength=len(texts)))]), ids, values.astype(np.float32)
 
@@ -130,7 +130,9 @@ def _train(texts: list[str], n_chars: np.ndarray, labels: np.ndarray, cfg: Quali
     if len(set(labels.tolist())) < 2:
         model.constant = float(labels.mean()) if len(labels) else 0.0
         return model
-    at, ids, values = features(pa.array(texts, pa.string()), pa.array(n_chars), cfg.buckets)
+    parts = [features(pa.array(texts[k : k + 100], pa.string()), pa.array(n_chars[k : k + 100]), cfg.buckets) for k in range(0, len(texts), 100)]  # the driver is small
+    at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(x[0]) for x in parts]))])
+    ids, values = (np.concatenate([x[k] for x in parts]) for k in (1, 2))
     weight = np.where(labels == 1, 1.0, (labels == 1).sum() / (labels == 0).sum())
     grads = {"w": np.full(n, 1e-3, np.float32), "v": np.full((n, cfg.factors), 1e-3, np.float32), "b": 1e-3}
     for epoch in range(cfg.epochs):
