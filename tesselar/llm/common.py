@@ -196,4 +196,5 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         if now == before:
             break
         before = now
-    return edges.groupBy("u").agg(F.min("v").alias("component_id")).withColumnRenamed("u", "id")
+    both = edges.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.col("v").alias("c")), F.struct(F.col("v").alias("id"), F.col("v").alias("c")))).alias("e"))
+    return both.groupBy(F.col("e.id").alias("id")).agg(F.min("e.c").alias("component_id"))

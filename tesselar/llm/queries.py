@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 NAMES = {
     "op1_toxicity": "toxicity",
     "op2_pii": "pii",
+    "op3_jaccard_join": "jaccard_join",
+    "op4_topk": "topk",
     "op5_quality": "quality",
+    "op7_vector_dedup": "vector_dedup",
     "op8_packing": "packing",
     "op9_suffix_dedup": "suffix_dedup",
     "op10_substring_dedup": "substring_dedup",
