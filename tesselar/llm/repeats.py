@@ -39,7 +39,8 @@ class RepeatConfig:
     unit: str  # bytes or words
     window: int
     gram: int
-    most: int = 512
+    #: Distinct contents of one anchor that a task gets; beyond, windows are counted by hash.
+    most: int = 50_000
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -179,6 +180,7 @@ def repeated(documents: DataFrame, cfg: RepeatConfig, kernel: Kernel, scratch: S
     span_schema = T.StructType([docs.schema["doc_id"], T.StructField("th", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     every = scratch.write(cells(docs, cfg), "cells")
     anchors = every.groupBy("g").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 1").select("g", (F.col("c0") == F.col("c1")).alias("alike"))
+    anchors = scratch.write(anchors, "anchors")  # as a table, so that the join below can split a hot anchor
     hit = scratch.write(every.join(anchors, "g"), "hit")
     scratch.drop("cells")
     low, size = F.shiftright("span", 32), F.shiftright("span", 16).bitwiseAND(0xFFFF)

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from tesselar.llm.common import Scratch, table
 from tesselar.llm.repeats import PrefixHash, RepeatConfig, repeated, with_spans
 
-CONFIG = RepeatConfig("words", 35, 8, most=4096)
+CONFIG = RepeatConfig("words", 35, 8)
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 

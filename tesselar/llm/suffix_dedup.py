@@ -3,7 +3,8 @@
 Cells of windows meet by anchor (see ``repeats``). Contents of one anchor are compared by prefix polynomial hashes: binary
 search over the hash of a stretch gives the common extension of two suffixes in a logarithmic number of steps. A few contents
 are extended to both sides of the anchor by pairs; more are ordered by a mergesort of their suffixes, each comparison a
-common extension and one byte. What the hashes call equal is verified on the bytes.
+common extension and one byte; hundreds are ordered, start by start, by the hash of the whole window. What the hashes
+call equal is verified on the bytes.
 
 Edge cases: a null text counts as empty; an empty text, or one shorter than the window, loses nothing; the bytes of
 a cut text that no longer form whole characters go (``remove``); repeated rows are places like any others, so both lose
@@ -23,7 +24,8 @@ from tesselar.llm.common import BY_BYTE, Scratch, table
 from tesselar.llm.repeats import PrefixHash, RepeatConfig, keyed, repeated, with_spans
 
 CONFIG = RepeatConfig("bytes", 400, 64)
-PAIRED = 48
+#: Groups of so many contents at most are compared by pairs, or by a mergesort.
+PAIRED, SORTED = 48, 512
 
 
 def extension(h: PrefixHash, a: np.ndarray, b: np.ndarray, limit: np.ndarray, back: bool = False) -> np.ndarray:
@@ -124,16 +126,40 @@ def by_suffixes(window: int, rows: np.ndarray, group: np.ndarray, data: np.ndarr
     return out[single[out[:, 0]]]
 
 
+def by_window_hash(window: int, rows: np.ndarray, data: np.ndarray, h: PrefixHash, offsets: np.ndarray, anchor: np.ndarray, single: np.ndarray):
+    """One large group: at each place of the anchor, order the windows by hash and keep those equal to a neighbour."""
+    n = offsets[rows + 1] - offsets[rows] - window + 1
+    again = np.zeros((len(rows), int(n.max())), bool)
+    view = memoryview(data)
+    for place in range(int((anchor[rows] - n + 1).min()), int(anchor[rows].max()) + 1):
+        inner = anchor[rows] - place
+        live = np.flatnonzero((inner >= 0) & (inner < n))
+        at = offsets[rows[live]] + inner[live]
+        value = h(at, window)
+        by = np.argsort(value, kind="stable")
+        near = np.flatnonzero(value[by][1:] == value[by][:-1])
+        near = near[_same(view, at[by[near]], at[by[near + 1]], np.full(len(near), window))]
+        for k in (by[near], by[near + 1]):
+            again[live[k], inner[live[k]]] = True
+    edge = np.diff(np.pad(again.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    row, first = np.nonzero(edge == 1)
+    last = np.nonzero(edge == -1)[1] - 1
+    out = np.stack([rows[row], first, last], axis=1)
+    return out[single[out[:, 0]]]
+
+
 def kernel(window: int):
     def run(group, data, offsets, anchor, single):
         h = PrefixHash(BY_BYTE[data])
         size = np.bincount(group)
         end = np.cumsum(size)[group]
-        few = size[group] <= PAIRED
         rows = np.arange(len(group))
-        found = np.concatenate(
-            [by_pairs(window, rows[few], end, data, h, offsets, anchor, single), by_suffixes(window, rows[~few], group, data, h, offsets, anchor, single) if (~few).any() else np.zeros((0, 3), np.int64)]
-        )
+        few, many = size[group] <= PAIRED, size[group] > SORTED
+        found = [by_pairs(window, rows[few], end, data, h, offsets, anchor, single)]
+        if (~few & ~many).any():
+            found.append(by_suffixes(window, rows[~few & ~many], group, data, h, offsets, anchor, single))
+        found += [by_window_hash(window, rows[group == g], data, h, offsets, anchor, single) for g in np.unique(group[many])]
+        found = np.concatenate(found)
         return found[:, 0], found[:, 1], found[:, 2]
 
     return run

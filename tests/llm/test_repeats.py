@@ -41,9 +41,10 @@ def runs(gone):
     return int((d == 1).sum())
 
 
-@pytest.mark.parametrize("most,paired", [(512, 48), (512, 2), (3, 48)])
-def test_bytes(spark, monkeypatch, most, paired):
+@pytest.mark.parametrize("most,paired,ordered", [(512, 48, 512), (512, 2, 512), (512, 1, 3), (3, 48, 512)])
+def test_bytes(spark, monkeypatch, most, paired, ordered):
     monkeypatch.setattr(suffix_dedup, "PAIRED", paired)
+    monkeypatch.setattr(suffix_dedup, "SORTED", ordered)
     texts = corpus(1)
     df = spark.createDataFrame([(k, t, 0) for k, t in enumerate(texts)], "doc_id long, text string, th int").repartition(3)
     cfg = repeats.RepeatConfig("bytes", 40, 12, most)
