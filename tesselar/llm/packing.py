@@ -21,6 +21,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,9 @@ from pyspark.sql import functions as F
 
 from tesselar.llm.common import Scratch, slices, tune, words
 
-#: Distinct words whose ids a worker keeps.
-CACHE = 250_000
+#: Distinct words whose ids a worker keeps; text bytes that it encodes at once.
+CACHE = 700_000
+STEP = 4 << 20
 _loaded: dict[str, tuple] = {}
 
 
@@ -59,12 +61,27 @@ def cuts(capacity: int) -> list[list[int]]:
     return out
 
 
+class Known:
+    """Ids of words met before: one flat array, and where a word's ids start in it."""
+
+    def __init__(self):
+        self.place: dict[str, int] = {}
+        self.starts = np.zeros(1, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+
+    def add(self, names: list[str], ids: list[list[int]]) -> None:
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.place.update(zip(names, range(len(self.starts) - 1, len(self.starts) - 1 + len(names)), strict=True))
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(size)])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))])
+
+
 def _tokenizer(path: str):
     if path not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _loaded[path] = (Tokenizer.from_file(path), {})
+        _loaded[path] = (Tokenizer.from_file(path), Known())
     return _loaded[path]
 
 
@@ -73,18 +90,23 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     tokenizer, known = _tokenizer(path)
     offsets, codes, distinct = words(texts)
     names = distinct.to_pylist()
-    ids: list = [known.get(x) for x in names]
-    new = [k for k, x in enumerate(ids) if x is None]
-    for k, got in zip(new, tokenizer.encode_batch_fast([names[k] for k in new], add_special_tokens=False), strict=True):
-        ids[k] = got.ids
-    if len(known) < CACHE:
-        known.update((names[k], np.array(ids[k], np.uint32)) for k in new[: CACHE - len(known)])
-    size = np.fromiter((len(x) for x in ids), np.int64, len(ids))
-    flat = np.concatenate([np.zeros(0, np.uint32), *ids]).astype(np.uint32) if len(ids) else np.zeros(0, np.uint32)
-    starts = np.concatenate([[0], np.cumsum(size)])[:-1]
-    by_word = size[codes]
+    place = np.fromiter((known.place.get(x, -1) for x in names), np.int64, len(names))
+    new = np.flatnonzero(place < 0)
+    fresh = [names[k] for k in new]
+    ids = [x.ids for x in tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
+    room = max(0, CACHE - len(known.place))
+    place[new[:room]] = len(known.starts) - 1 + np.arange(len(new[:room]))
+    if room and fresh:
+        known.add(fresh[:room], ids[:room])
+    once = Known()  # words beyond the cache
+    once.add(fresh[room:], ids[room:])
+    place[new[room:]] = len(known.starts) - 1 + np.arange(len(new[room:]))
+    starts = np.concatenate([known.starts[:-1], len(known.flat) + once.starts[:-1]])
+    size = np.concatenate([np.diff(known.starts), np.diff(once.starts)])
+    flat = np.concatenate([known.flat, once.flat])
+    by_word = size[place][codes]
     total = np.concatenate([[0], np.cumsum(by_word)])
-    where = np.arange(total[-1]) + np.repeat(starts[codes] - total[:-1], by_word) if len(codes) else np.zeros(0, np.int64)
+    where = np.arange(total[-1]) + np.repeat(starts[place][codes] - total[:-1], by_word)
     return total[offsets], flat[where]
 
 
@@ -99,7 +121,7 @@ def pieces(documents: DataFrame, config: PackConfig) -> DataFrame:
         task, table, cap = TaskContext.get().partitionId(), cuts(config.capacity), config.capacity
         seen = [0] * (cap + 1)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=STEP):
                 at, ids = encode(part.column(1), config.tokenizer)
                 doc, start, length, crc, tokens, place = [], [], [], [], [], []
                 for row, name in enumerate(part.column(0).to_pylist()):
