@@ -13,6 +13,7 @@ NAMES = {
     "op3_jaccard_join": "jaccard_join",
     "op4_topk": "topk",
     "op5_quality": "quality",
+    "op6_pieces": "pieces",
     "op7_vector_dedup": "vector_dedup",
     "op8_packing": "packing",
     "op9_suffix_dedup": "suffix_dedup",
