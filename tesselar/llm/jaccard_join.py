@@ -37,6 +37,7 @@ from tesselar.llm.common import Scratch, U, by_group, components, hash_strings,
 ELEMENT = U((1 << 54) - 1)
 STEPS = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB), U(0x8EBC6AF09C88C6E3), U(0x589965CC75374CC3)]
 SKETCH = 1024
+SALTS = 16
 
 
 @dataclass(frozen=True)
@@ -272,21 +273,27 @@ def joined(regions: DataFrame, cfg: JoinConfig) -> DataFrame:
 # ---- the whole join ---------------------------------------------------------------------------
 
 
-def split(large: DataFrame, cfg: JoinConfig, level: int) -> DataFrame:
-    """Large regions dealt to Voronoi regions of their pivots, with copies at the borders."""
+def distances(large: DataFrame, cfg: JoinConfig, level: int) -> DataFrame:
+    """region, point, home and the distances to the region's pivots. Points of a region are dealt by salt, its few pivots copied to each."""
     first = Window.partitionBy("region").orderBy(F.xxhash64("point", F.lit(level)), "point")
-    chosen = large.withColumn("r", F.row_number().over(first)).where(F.col("r") <= cfg.pivots)
-    chosen = chosen.groupBy("region").agg(F.array_sort(F.collect_list(F.struct("r", "elements"))).alias("pivots"))
+    names = large.select("region", "point").withColumn("r", F.row_number().over(first)).where(F.col("r") <= cfg.pivots)
+    chosen = large.join(names, ["region", "point"]).groupBy("region").agg(F.array_sort(F.collect_list(F.struct("r", "elements"))).alias("pivots"))
+    chosen = chosen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     mine = F.size("elements")
 
     def away(p):
         got = F.size(F.array_intersect("elements", p["elements"]))
         return 1 - got / (mine + F.size(p["elements"]) - got)
 
-    placed = large.join(chosen, "region").withColumn("away", F.transform("pivots", away)).drop("pivots")
-    placed = placed.withColumn("near", F.array_position("away", F.array_min("away")) - 1)
-    placed = placed.select("*", F.posexplode("away").alias("k", "d")).where(F.col("d") <= F.array_min("away") + 2 * cfg.radius + 1e-9)
-    return placed.select(F.xxhash64("region", "k", F.lit(level)).alias("region"), "point", "elements", (F.col("home") & (F.col("k") == F.col("near"))).alias("home"), F.col("region").alias("parent"))
+    salted = large.withColumn("salt", F.pmod(F.xxhash64("point", F.lit("salt")), F.lit(SALTS)).cast("int"))
+    return salted.join(chosen, ["region", "salt"]).select("region", "point", "home", F.transform("pivots", away).alias("away"))
+
+
+def dealt(away: DataFrame, cfg: JoinConfig, level: int) -> DataFrame:
+    """The Voronoi regions that a point goes to: at home with the nearest pivot, as a copy where the window reaches."""
+    near = away.withColumn("near", F.array_position("away", F.array_min("away")) - 1)
+    spread = near.select("region", "point", "home", "near", F.array_min("away").alias("least"), F.posexplode("away").alias("k", "d")).where(F.col("d") <= F.col("least") + 2 * cfg.radius + 1e-9)
+    return spread.select(F.col("region").alias("parent"), "point", F.xxhash64("region", "k", F.lit(level)).alias("region"), (F.col("home") & (F.col("k") == F.col("near"))).alias("home"))
 
 
 def blocks(large: DataFrame, sizes: DataFrame, cfg: JoinConfig) -> DataFrame:
@@ -322,15 +329,18 @@ def similar(documents: DataFrame, cfg: JoinConfig = JoinConfig()) -> DataFrame:
             break
         big = regions.join(large.select("region"), "region", "left_semi")
         level += 1
-        parts = scratch.write(split(big, cfg, level), f"regions-{level}")
-        work = parts.groupBy("parent", "region").agg(F.count("*").alias("m"), F.max(F.col("home").cast("int")).alias("any")).where("any = 1")
+        # distances first, without the sets: only a split that pays moves them
+        placed = dealt(scratch.write(distances(big, cfg, level), f"away-{level}"), cfg, level)
+        work = placed.groupBy("parent", "region").agg(F.count("*").alias("m"), F.max(F.col("home").cast("int")).alias("any")).where("any = 1")
+        live = work.select("parent", "region")
         work = work.groupBy("parent").agg(F.sum(F.col("m") * F.col("m")).alias("work"))
-        pays = large.join(work, large["region"] == work["parent"]).where("work <= 0.6 * m * m").select("parent")
+        pays = scratch.write(large.join(work, large["region"] == work["parent"]).where("work <= 0.6 * m * m").select("parent"), f"pays-{level}")
         stuck = large.join(pays, large["region"] == pays["parent"], "left_anti")
         links = links.unionByName(joined(blocks(big, stuck, cfg), cfg))
         # a part where no point is at home joins nothing
-        live = parts.groupBy("region").agg(F.max(F.col("home").cast("int")).alias("any")).where("any = 1").select("region")
-        regions = parts.join(pays, "parent", "left_semi").drop("parent").join(live, "region", "left_semi")
+        parts = placed.join(pays, "parent", "left_semi").join(live, ["parent", "region"], "left_semi")
+        sets_of = big.select(F.col("region").alias("parent"), "point", "elements")
+        regions = scratch.write(parts.join(sets_of, ["parent", "point"]).select("region", "point", "elements", "home"), f"regions-{level}")
     linked = components(links, scratch, "linked").withColumnRenamed("id", "point")
     named = known.select("point", "doc_id").join(linked, "point", "left").select("doc_id", F.coalesce("component_id", "point").alias("c"))
     # rows that share a doc_id join their sets' components
