@@ -26,4 +26,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from tesselar.llm import topk, twins
+
+    return {"op3_jaccard_join": twins.OP3, "op4_topk": topk.SQL, "op7_vector_dedup": twins.OP7, "op10_substring_dedup": twins.OP10}
