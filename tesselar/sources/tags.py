@@ -14,7 +14,7 @@ def drawing_catalog(spark: SparkSession, path: str, pattern: str = "*.dxf") -> D
 
 def read_tag_files(spark: SparkSession, path: str, pattern: str = "*.dxf") -> DataFrame:
     """drawing and its whole text, one row by file."""
-    return spark.read.option("wholetext", "true").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(path).select(F.input_file_name().alias("drawing"), F.col("value").alias("text"))
+    return spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.input_file_name().alias("drawing"), F.col("value").alias("text"))
 
 
 def tags(drawings: DataFrame) -> DataFrame:

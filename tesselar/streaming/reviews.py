@@ -13,6 +13,11 @@ EDITS = ("recover", "approve", "delete")
 STEP = "case action when 'open_gap' then 1 when 'select' then 2 when 'recover' then 3 when 'approve' then 4 end"
 
 
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    """Event time as a timestamp (the tables may hold it without a zone), with a watermark."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
 def funnel(events: DataFrame) -> DataFrame:
     """By day the sessions that found, clicked, recovered and found useful."""
     reached = events.groupBy(F.to_date("ts").alias("day"), "session_id").agg(F.max(F.expr(STEP)).alias("s"))
@@ -22,12 +27,12 @@ def funnel(events: DataFrame) -> DataFrame:
 
 def funnel_stream(events: DataFrame, late: str = "1 hour", width: str = "1 day") -> DataFrame:
     """Counts of each action by window, for a stream with late rows up to the watermark."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width), "action").agg(F.count("*").alias("n"))
+    return _timed(events, late).groupBy(F.window("ts", width), "action").agg(F.count("*").alias("n"))
 
 
 def reviewer_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """Spells of work: a session window by reviewer."""
-    return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "session_id").agg(F.count("*").alias("n"))
+    return _timed(events, late).groupBy(F.session_window("ts", gap), "session_id").agg(F.count("*").alias("n"))
 
 
 def history(actions: list[str], undo: int = 1, redo: int = 0) -> tuple[int, int]:
@@ -76,4 +81,11 @@ def history_stream(events: DataFrame) -> DataFrame:
 
 
 def deduplicated(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    return _timed(events, late).dropDuplicatesWithinWatermark(["event_id"])
+
+
+def arrivals(drawings: DataFrame, most_bytes: int = 200 << 20) -> DataFrame:
+    """Uploaded files (a binaryFile stream or table) with the first check that they fail, or ok."""
+    low = F.lower("path")
+    reason = F.when(~low.rlike(r"\.(dxf|dwg)$"), "suffix").when(F.col("length") == 0, "empty").when(F.col("length") > most_bytes, "too large").otherwise("ok")
+    return drawings.select("path", "length", reason.alias("check"))
