@@ -139,14 +139,14 @@ def project_list(records: DataFrame) -> DataFrame:
     return records.groupBy("drawing_id").agg(F.count("*").alias("polygons"), F.array_join(F.array_sort(F.collect_set("zone")), ",").alias("zones"))
 
 
-REPORT = "select drawing_id, cast(face_id as varchar) as region, cast((x1 - x0) * (y1 - y0) as bigint) as area, round((x0 + x1) / 2000.0, 2) as cx from faces where (x0 + x1) % 20 = 0 union all select drawing_id, 'TOTAL', cast(sum((x1 - x0) * (y1 - y0)) as bigint), null from faces where (x0 + x1) % 20 = 0 group by 1"
+REPORT = "select drawing_id, cast(face_id as varchar) as region, cast((x1 - x0) * (y1 - y0) as bigint) as area, round((x0 + x1) / 2000.0, 4) as cx from faces union all select drawing_id, 'TOTAL', cast(sum((x1 - x0) * (y1 - y0)) as bigint), null from faces group by 1"
 
 
 @query("faces", sql=REPORT)
 def regions_report(faces: DataFrame) -> DataFrame:
     """Regions with centres in metres, and a TOTAL row by drawing."""
-    own = faces.where("(x0 + x1) % 20 = 0").withColumn("area", (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
-    rows = own.groupingSets([["drawing_id", "face_id"], ["drawing_id"]], "drawing_id", "face_id").agg(F.sum("area").alias("area"), F.first(F.round((F.col("x0") + F.col("x1")) / 2000, 2)).alias("cx"))
+    own = faces.withColumn("area", (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
+    rows = own.groupingSets([["drawing_id", "face_id"], ["drawing_id"]], "drawing_id", "face_id").agg(F.sum("area").alias("area"), F.first(F.round((F.col("x0") + F.col("x1")) / 2000, 4)).alias("cx"))
     total = F.col("face_id").isNull()
     return rows.select("drawing_id", F.when(total, "TOTAL").otherwise(F.col("face_id").cast("string")).alias("region"), "area", F.when(~total, F.col("cx")).alias("cx"))
 

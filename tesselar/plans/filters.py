@@ -170,10 +170,10 @@ def recovery_point_check(seeds: DataFrame, faces: DataFrame) -> DataFrame:
 # ---- text -------------------------------------------------------------------------------------
 
 
-@query("records", sql="select face_id, printf('%s' || chr(10) || 'Area: %.2f m2' || chr(10) || 'Vol: %.2f m3', zone, area_native / 1000000.0, area_native / 4000000.0) as label from records where area_native % 40000 = 0")
+@query("records", sql="select face_id, printf('%s' || chr(10) || 'Area: %.2f m2' || chr(10) || 'Vol: %.2f m3', zone, (area_native // 40000) / 25.0, (area_native // 40000) / 100.0) as label from records")
 def region_label_text(records: DataFrame) -> DataFrame:
-    area = F.col("area_native") / 1e6
-    return records.where("area_native % 40000 = 0").select("face_id", X.region_label_text(F.col("zone"), area, area / 4).alias("label"))
+    units = F.floor(F.col("area_native") / 40000)  # exact in two decimals
+    return records.select("face_id", X.region_label_text(F.col("zone"), units / 25.0, units / 100.0).alias("label"))
 
 
 @query("records", sql="select zone, cast(split_part(zone, '-', 2) as bigint) as number, zone || ';' || cast(n as varchar) as text from (select zone, cast(count(*) as bigint) as n from records group by zone) z")
@@ -213,16 +213,16 @@ def yn_flag(sessions: DataFrame) -> DataFrame:
     return sessions.where("session_id is not null").select("session_id", X.yn_flag(F.col("saved_ok")).alias("saved"))
 
 
-@query("review_events", sql="select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as at from review_events where event_id % 10 = 0")
+@query("review_events", sql="select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as at from review_events")
 def utc_now_iso(events: DataFrame) -> DataFrame:
     """The clock is a parameter: here each event's own time."""
-    return events.where("event_id % 10 = 0").select("event_id", X.utc_iso(F.col("ts")).alias("at"))
+    return events.select("event_id", X.utc_iso(F.col("ts")).alias("at"))
 
 
-@query("segments", sql="select seg_id, lower(layer) || '.dxf' as name from segments where seg_id % 7 = 0")
+@query("segments", sql="select seg_id, lower(layer) || '.dxf' as name from segments")
 def normalize_source_name(segments: DataFrame) -> DataFrame:
     path = F.concat(F.lit("C:\\Plans\\/"), F.col("layer"), F.lit(".DXF"))
-    return segments.where("seg_id % 7 = 0").select("seg_id", X.normalize_source_name(path).alias("name"))
+    return segments.select("seg_id", X.normalize_source_name(path).alias("name"))
 
 
 @query("records", sql="select face_id, json_object('zone', zone, 'area', area_native) as evidence from records")

@@ -55,9 +55,9 @@ def scene_bounds(faces: DataFrame) -> DataFrame:
     return box.select("drawing_id", (F.col("a") - px).alias("x0"), (F.col("b") + px).alias("x1"), (F.col("c") - py).alias("y0"), (F.col("d") + py).alias("y1"))
 
 
-@query("faces", sql=f"select face_id, round({W} * {H} * 0.000001 * 0.15, 4) as volume_m3 from faces where {W} * {H} % 1000000 = 0")
+@query("faces", sql=f"select face_id, round({W} * {H} * 0.000001 * 0.15, 4) as volume_m3 from faces")
 def volume(faces: DataFrame) -> DataFrame:
-    return faces.where("(x1 - x0) * (y1 - y0) % 1000000 = 0").select("face_id", F.round(G.volume(G.ring_area(_ring(), 0.001), 0.15), 4).alias("volume_m3"))
+    return faces.select("face_id", F.round(G.volume(G.ring_area(_ring(), 0.001), 0.15), 4).alias("volume_m3"))
 
 
 @query("seeds", "faces", sql="select seed_id, face_id from seeds s join faces f on s.drawing_id = f.drawing_id where s.x > f.x0 and s.x < f.x1 and s.y > f.y0 and s.y < f.y1")

@@ -224,10 +224,10 @@ def nearest_segment(seeds: DataFrame, segments: DataFrame) -> DataFrame:
     return near.groupBy("seed_id").agg(F.min(F.struct("d2", "seg_id")).alias("n")).select("seed_id", "n.seg_id", "n.d2")
 
 
-@query("seeds", "segments", sql=f"select seed_id, cast(count(*) as bigint) as n from seeds i join segments s on i.drawing_id = s.drawing_id and {SEG_D2.format('i')} <= 4000000 where i.seed_id % 3 = 0 group by seed_id")
+@query("seeds", "segments", sql=f"select seed_id, cast(count(*) as bigint) as n from seeds i join segments s on i.drawing_id = s.drawing_id and {SEG_D2.format('i')} <= 4000000 group by seed_id")
 def crop_segments(seeds: DataFrame, segments: DataFrame) -> DataFrame:
-    """How many segments lie within the search radius of every third seed (the others are not searched for)."""
-    return near_segments(seeds.where("seed_id % 3 = 0"), segments, 2000).groupBy("seed_id").agg(F.count("*").alias("n"))
+    """How many segments lie within the search radius of each seed."""
+    return near_segments(seeds, segments, 2000).groupBy("seed_id").agg(F.count("*").alias("n"))
 
 
 @query("segments", "entities", sql=f"select seg_id, layer, d2 from (select s.seg_id, i.layer, power(i.x - s.x1, 2) + power(i.y - s.y1, 2) as d2, row_number() over (partition by s.seg_id order by power(i.x - s.x1, 2) + power(i.y - s.y1, 2), i.layer) as r from segments s join (select distinct drawing_id, layer, x, y from entities where entity_type = 'INSERT') i on i.drawing_id = s.drawing_id and power(i.x - s.x1, 2) + power(i.y - s.y1, 2) <= 1000000) t where r = 1")

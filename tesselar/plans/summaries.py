@@ -9,7 +9,7 @@ from tesselar.functions import review as R
 from tesselar.functions import text as X
 from tesselar.operators import endpoints as E
 from tesselar.operators import zones as Z
-from tesselar.plans.filters import ACTIVE, PARTITION
+from tesselar.plans.filters import ACTIVE
 from tesselar.plans.joins import reconciled
 from tesselar.plans.registry import query
 
@@ -298,4 +298,3 @@ def pair_reject_used(segments: DataFrame) -> DataFrame:
     return E.without_used(c.where("d2 > 40000"), c.where("d2 <= 40000")).select("drawing_id", "ax", "ay", "bx", "by")
 
 
-PART = PARTITION
