@@ -4,10 +4,11 @@ A text's set holds the hashes (54 bits) of its distinct word n-grams; Jaccard di
 form a class, and classes are the points that are joined.
 
 1. Cells of a partitioned universe. With similarity t, two sets of at most M elements differ in at most
-   D = floor(2 M (1 - t) / (1 + t)) elements, so of D + 2 parts of the universe at least two hold the same elements of both. Each
-   class sends one key for each part that is not empty; a class with two or more empty parts sends those too. Sets that lie
-   within the distance therefore share a key. Sizes are dealt into ranges, and a set that can reach the next range is replicated
-   to it: the triangle inequality with the empty part of the universe as pivot.
+   D = floor(2 M (1 - t) / (1 + t)) elements, so of B parts of the universe at least B - D hold the same elements of both. With B a
+   half more than D, each class sends one key for each part that is not empty, and is dropped as having no partner when fewer of its
+   keys are shared than any partner must share (B - D less its empty parts); dropping goes on for some rounds. A class whose
+   empty parts could be all that it shares sends those too. Sizes are dealt into ranges, and a set that can reach the next range is
+   replicated to it: the triangle inequality with the empty set as pivot.
 2. Keys that two or more classes share tie them to one point; components of these ties are the first regions.
    No pair is formed here: a key with m classes gives m ties.
 3. A region is joined recursively: pivots are drawn from it, each class is at home with its nearest pivot, and goes as a copy
@@ -52,6 +53,9 @@ class JoinConfig:
     elements: int = 3_000_000
     pivots: int = 12
     leaf: int = 96
+    #: Parts of the universe beyond the largest difference, as a share of it; and rounds of dropping.
+    slack: float = 0.5
+    rounds: int = 3
 
     @property
     def radius(self) -> float:
@@ -87,18 +91,19 @@ def ranges(limit: int) -> list[int]:
     return edges
 
 
-def keys(at: np.ndarray, elements: np.ndarray, cfg: JoinConfig) -> tuple[np.ndarray, np.ndarray]:
-    """Row and key of every part of the universe, for a text's own range and the next one if it can reach it."""
+def keys(at: np.ndarray, elements: np.ndarray, cfg: JoinConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, key and how many keys any partner shares, for a text's own range and the next one if it can reach it."""
     size = np.diff(at)
     edges = np.array(ranges(int(size.max(initial=1)) * 2 + 2))
     own = np.searchsorted(edges, size, "right") - 1
-    rows, out = [], []
+    rows, out, needs = [], [], []
     for up in (0, 1):
         live = np.flatnonzero((size > 0) & ((size * cfg.over // cfg.under >= edges[np.minimum(own + 1, len(edges) - 1)]) if up else True))
         if not len(live):
             continue
         which = own[live] + up
-        parts = 2 * (edges[which + 1] - 1) * (cfg.over - cfg.under) // (cfg.over + cfg.under) + 2
+        most = 2 * (edges[which + 1] - 1) * (cfg.over - cfg.under) // (cfg.over + cfg.under)
+        parts = most + np.maximum(2, (cfg.slack * most).astype(np.int64))
         first = np.concatenate([[0], np.cumsum(parts)])
         n = size[live]
         inner = np.repeat(np.arange(len(live)), n)
@@ -109,16 +114,20 @@ def keys(at: np.ndarray, elements: np.ndarray, cfg: JoinConfig) -> tuple[np.ndar
         filled = np.bincount(slot, minlength=first[-1]) > 0
         row = np.repeat(np.arange(len(live)), parts)
         part = np.arange(len(row)) - first[row]
-        empty = np.bincount(row[~filled], minlength=len(live))
-        keep = filled | (empty[row] > 1)
+        # a partner of a set of n elements has n / t at most, so they differ in at most n (1 - t) / t
+        least = parts - np.minimum(most, n * (cfg.over - cfg.under) // cfg.under)
+        bare = least - np.bincount(row[~filled], minlength=len(live))
+        keep = filled | (bare < 1)[row]
+        need = np.where(bare < 1, least, bare)
         salt = (which[row].astype(U) << U(32)) + part.astype(U)
         rows.append(live[row[keep]])
         out.append(mix(total[keep] + mix(salt[keep] + STEPS[1])))
+        needs.append(need[row[keep]])
     if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, U)
-    row, key = np.concatenate(rows), np.concatenate(out)
+        return np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, np.int64)
+    row = np.concatenate(rows)
     by = np.argsort(row, kind="stable")
-    return row[by], key[by]
+    return row[by], np.concatenate(out)[by], np.concatenate(needs)[by]
 
 
 def _digests(at: np.ndarray, elements: np.ndarray) -> np.ndarray:
@@ -127,18 +136,45 @@ def _digests(at: np.ndarray, elements: np.ndarray) -> np.ndarray:
 
 
 def sets(documents: DataFrame, cfg: JoinConfig) -> DataFrame:
-    """doc_id, n_shingles, point (hash of the set; null for an empty one) and the keys it sends."""
+    """doc_id, n_shingles and point (hash of the set; null for an empty one)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 at, elements = shingles(part.column(1), cfg)
-                row, key = keys(at, elements, cfg)
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)), pa.array(key.view(np.int64)))
                 size = np.diff(at)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), pa.array(_digests(at, elements), mask=size == 0), lists], names=["doc_id", "n_shingles", "point", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), pa.array(_digests(at, elements), mask=size == 0)], names=["doc_id", "n_shingles", "point"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, point long, keys array<long>")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, point long")
+
+
+def sent(documents: DataFrame, cfg: JoinConfig) -> DataFrame:
+    """point, key, need: one row by key. Copies in one batch send theirs once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                at, elements = shingles(part.column(0), cfg)
+                point = _digests(at, elements)
+                row, key, need = keys(at, elements, cfg)
+                once = np.zeros(len(point), bool)
+                once[np.unique(point, return_index=True)[1]] = True
+                row, key, need = row[once[row]], key[once[row]], need[once[row]]
+                yield pa.RecordBatch.from_arrays([pa.array(point[row]), pa.array(key.view(np.int64)), pa.array(need.astype(np.int32))], names=["point", "key", "need"])
+
+    return documents.where("doc_id is not null").select("text").mapInArrow(run, "point long, key long, need int")
+
+
+def shared_keys(documents: DataFrame, cfg: JoinConfig, scratch: Scratch) -> DataFrame:
+    """Keys that two or more classes share, of classes that share as many as any partner must: one shuffle of all keys."""
+    by_key = Window.partitionBy("key")
+    two = lambda df: df.withColumns({"one": F.min("point").over(by_key), "two": F.max("point").over(by_key)}).where("one <> two")
+    live = scratch.write(two(sent(documents, cfg)).select("point", "key", "need").distinct(), "shared-0")
+    for k in range(cfg.rounds):
+        enough = live.groupBy("point", "need").agg(F.count("*").alias("n")).where("n >= need").select("point", "need")
+        live = scratch.write(two(live.join(enough, ["point", "need"])).select("point", "key", "need"), f"shared-{k + 1}")
+        scratch.drop(f"shared-{k}")
+    return live
 
 
 def members(documents: DataFrame, wanted: DataFrame, cfg: JoinConfig) -> DataFrame:
@@ -310,9 +346,9 @@ def similar(documents: DataFrame, cfg: JoinConfig = JoinConfig()) -> DataFrame:
     scratch = Scratch(documents.sparkSession)
     rows = scratch.write(sets(documents, cfg), "sets")
     known = rows.where("point is not null and doc_id is not null")
-    sent = known.select("point", F.explode("keys").alias("key"))
-    shared = sent.groupBy("key").agg(F.min("point").alias("one"), F.max("point").alias("two")).where("one <> two").select("key", "one")
-    ties = sent.join(shared, "key").where("point <> one").select(F.col("point").alias("a"), F.col("one").alias("b")).distinct()
+    live = shared_keys(documents, cfg, scratch)
+    ones = live.groupBy("key").agg(F.min("point").alias("one"))
+    ties = live.join(ones, "key").where("point <> one").select(F.col("point").alias("a"), F.col("one").alias("b")).distinct()
     first = scratch.write(components(ties, scratch, "tied"), "first")
     text_of = known.groupBy("point").agg(F.min("doc_id").alias("doc_id"))
     wanted = first.join(text_of, first["id"] == text_of["point"]).select("doc_id", "point", F.col("component_id").alias("region"))
