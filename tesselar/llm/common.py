@@ -76,6 +76,22 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         start = stop
 
 
+def gathered(batches: Iterator[pa.RecordBatch], limit: int, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Batches joined until they hold ``limit`` text bytes, then cut again by ``slices``."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += int(pc.sum(pc.binary_length(batch.column(column))).as_py() or 0)
+        if size >= limit:
+            for whole in pa.Table.from_batches(held).combine_chunks().to_batches():
+                yield from slices(whole, column, limit + limit // 4)
+            held, size = [], 0
+    if held:
+        for whole in pa.Table.from_batches(held).combine_chunks().to_batches():
+            yield from slices(whole, column, limit + limit // 4)
+
+
 def words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Words between ASCII white space of every text: offsets by text, a code by word, and the distinct words.
 
@@ -172,6 +188,8 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges = scratch.write(edges, f"{name}-0")
+    if edges.isEmpty():
+        return edges.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
     before = None
     k = 0
     while True:

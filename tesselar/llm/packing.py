@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tesselar.llm.common import Scratch, slices, tune, words
+from tesselar.llm.common import Scratch, gathered, tune, words
 
 #: Distinct words whose ids a worker keeps; text bytes that it encodes at once.
 CACHE = 700_000
@@ -101,12 +101,13 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     once = Known()  # words beyond the cache
     once.add(fresh[room:], ids[room:])
     place[new[room:]] = len(known.starts) - 1 + np.arange(len(new[room:]))
-    starts = np.concatenate([known.starts[:-1], len(known.flat) + once.starts[:-1]])
-    size = np.concatenate([np.diff(known.starts), np.diff(once.starts)])
-    flat = np.concatenate([known.flat, once.flat])
-    by_word = size[place][codes]
+    every = np.concatenate([known.starts[:-1], len(known.flat) + once.starts])
+    start, size = every[place], every[place + 1] - every[place]
+    own = np.concatenate([[0], np.cumsum(size)])  # this step's words one after another: a small array to gather from
+    flat = np.concatenate([known.flat, once.flat])[np.arange(own[-1]) + np.repeat(start - own[:-1], size)]
+    by_word = size[codes]
     total = np.concatenate([[0], np.cumsum(by_word)])
-    where = np.arange(total[-1]) + np.repeat(starts[place][codes] - total[:-1], by_word)
+    where = np.arange(total[-1]) + np.repeat(own[:-1][codes] - total[:-1], by_word)
     return total[offsets], flat[where]
 
 
@@ -120,24 +121,23 @@ def pieces(documents: DataFrame, config: PackConfig) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, table, cap = TaskContext.get().partitionId(), cuts(config.capacity), config.capacity
         seen = [0] * (cap + 1)
-        for batch in batches:
-            for part in slices(batch, limit=STEP):
-                at, ids = encode(part.column(1), config.tokenizer)
-                doc, start, length, crc, tokens, place = [], [], [], [], [], []
-                for row, name in enumerate(part.column(0).to_pylist()):
-                    own = np.append(ids[at[row] : at[row + 1]], np.uint32(config.end_id)).astype("<u4")
-                    view, n, s = memoryview(own.tobytes()), len(own), 0
-                    for size in [cap] * (n // cap) + table[n % cap]:
-                        doc.append(name)
-                        start.append(s)
-                        length.append(size)
-                        crc.append(zlib.crc32(view[4 * s : 4 * (s + size)]))
-                        tokens.append(n)
-                        place.append(seen[size])
-                        seen[size] += 1
-                        s += size
-                columns = [pa.array(x, pa.int64()) for x in (doc, start, length, crc, tokens)] + [pa.array([task] * len(doc), pa.int32()), pa.array(place, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "place"])
+        for part in gathered(batches, STEP):
+            at, ids = encode(part.column(1), config.tokenizer)
+            doc, start, length, crc, tokens, place = [], [], [], [], [], []
+            for row, name in enumerate(part.column(0).to_pylist()):
+                own = np.append(ids[at[row] : at[row + 1]], np.uint32(config.end_id)).astype("<u4")
+                view, n, s = memoryview(own.tobytes()), len(own), 0
+                for size in [cap] * (n // cap) + table[n % cap]:
+                    doc.append(name)
+                    start.append(s)
+                    length.append(size)
+                    crc.append(zlib.crc32(view[4 * s : 4 * (s + size)]))
+                    tokens.append(n)
+                    place.append(seen[size])
+                    seen[size] += 1
+                    s += size
+            columns = [pa.array(x, pa.int64()) for x in (doc, start, length, crc, tokens)] + [pa.array([task] * len(doc), pa.int32()), pa.array(place, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "place"])
 
     return documents.select("doc_id", "text").mapInArrow(run, PIECES)
 
