@@ -47,6 +47,8 @@ class QualityConfig:
     buckets: int = 1 << 15
     factors: int = 6
     epochs: int = 4
+    #: A small sample is gone through more often, up to so many batches.
+    least_batches: int = 300
     batch: int = 64
     rate: float = 0.02
     seed: int = 5
@@ -135,7 +137,9 @@ def _train(texts: list[str], n_chars: np.ndarray, labels: np.ndarray, cfg: Quali
     ids, values = (np.concatenate([x[k] for x in parts]) for k in (1, 2))
     weight = np.where(labels == 1, 1.0, (labels == 1).sum() / (labels == 0).sum())
     grads = {"w": np.full(n, 1e-3, np.float32), "v": np.full((n, cfg.factors), 1e-3, np.float32), "b": 1e-3}
-    for epoch in range(cfg.epochs):
+    epochs = max(cfg.epochs, -(-cfg.least_batches * cfg.batch // max(1, len(texts))))
+    epochs = min(epochs, cfg.least_batches)
+    for epoch in range(epochs):
         order = rng.permutation(len(texts))
         for k in range(0, len(order), cfg.batch):
             docs = order[k : k + cfg.batch]
