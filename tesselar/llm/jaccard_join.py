@@ -7,8 +7,9 @@ form a class, and classes are the points that are joined.
    D = floor(2 M (1 - t) / (1 + t)) elements, so of B parts of the universe at least B - D hold the same elements of both. With B a
    half more than D, each class sends one key for each part that is not empty, and is dropped as having no partner when fewer of its
    keys are shared than any partner must share (B - D less its empty parts); dropping goes on for some rounds. A class whose
-   empty parts could be all that it shares sends those too. Sizes are dealt into ranges, and a set that can reach the next range is
-   replicated to it: the triangle inequality with the empty set as pivot.
+   empty parts could be all that it shares sends those too, and is never dropped while it shares a key: a partner may send no
+   empty parts. Sizes are dealt into ranges, and a set that can reach the next range is replicated to it: the triangle
+   inequality with the empty set as pivot.
 2. Keys that two or more classes share tie them to one point; components of these ties are the first regions.
    No pair is formed here: a key with m classes gives m ties.
 3. A region is joined recursively: pivots are drawn from it, each class is at home with its nearest pivot, and goes as a copy
@@ -118,7 +119,8 @@ def keys(at: np.ndarray, elements: np.ndarray, cfg: JoinConfig) -> tuple[np.ndar
         least = parts - np.minimum(most, n * (cfg.over - cfg.under) // cfg.under)
         bare = least - np.bincount(row[~filled], minlength=len(live))
         keep = filled | (bare < 1)[row]
-        need = np.where(bare < 1, least, bare)
+        # a partner that sends no empty parts shares filled ones alone: where those could be none, any shared key is enough
+        need = np.maximum(bare, 1)
         salt = (which[row].astype(U) << U(32)) + part.astype(U)
         rows.append(live[row[keep]])
         out.append(mix(total[keep] + mix(salt[keep] + STEPS[1])))

@@ -73,6 +73,36 @@ def test_linked_pairs_share_a_key():
                 assert any(sum(x[k] == v for k in both) >= v for x in (sent[i], sent[j]) for v in {x[k] for k in both})
 
 
+def one_part(k):
+    """Eight words whose four shingles of five fall into one part of three; a ninth word links at exactly 0.8."""
+    text = " ".join(f"w{k}x{i}" for i in range(8))
+    return [text, f"{text} w{k}x8"]
+
+
+@pytest.mark.parametrize("cfg", [jj.JoinConfig(), jj.JoinConfig(under=80, n=5)])
+def test_both_of_a_linked_pair_meet_their_need(cfg):
+    texts = [*corpus(9), *(t for k in range(250) for t in one_part(k))]
+    at, e = jj.shingles(pa.array(texts), cfg)
+    row, key, need = jj.keys(at, e, cfg)
+    cut = np.searchsorted(row, np.arange(len(texts) + 1))
+    sent = [dict(zip(key[a:b].tolist(), need[a:b].tolist(), strict=True)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    sets = sets_of(texts, cfg.n)
+    for i in range(len(texts)):
+        for j in range(i):
+            k = len(sets[i] & sets[j])
+            if k and 100 * k >= cfg.under * (len(sets[i]) + len(sets[j]) - k):
+                both = set(sent[i]) & set(sent[j])
+                # the keys that they share, alone, keep both from being dropped
+                assert all(any(sum(x[k] == v for k in both) >= v for v in {x[k] for k in both}) for x in (sent[i], sent[j]))
+
+
+def test_partner_without_empty_parts(spark):
+    cfg = jj.JoinConfig(under=80, n=5)
+    # alone in the table: no third class shares the empty parts
+    df = spark.createDataFrame(list(enumerate(one_part(35))), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jj.similar(df, cfg).collect()} == {0: 0, 1: 0}
+
+
 def test_edges(spark):
     rows = [(None, "a b c d"), (1, "a b c d"), (2, "a b c d"), (2, "x y z q"), (3, "x y z q"), (4, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
