@@ -240,12 +240,14 @@ def seed_candidates(seeds: DataFrame, faces: DataFrame) -> DataFrame:
     return seed_resolve(seeds, faces).where("status = 'ok'").select("seed_id", "area")
 
 
-def repaired(seeds: DataFrame, segments: DataFrame, reach: float = 1500.0) -> DataFrame:
-    """Each seed as a drawing of its own: segments near it, gaps closed at a raised threshold, faces traced, the seed's face."""
+def repaired(seeds: DataFrame, segments: DataFrame, reach: float = 5000.0) -> DataFrame:
+    """Each seed as a drawing of its own: segments near it (its drawing's where none is), gaps closed at a raised threshold, faces traced, the seed's face."""
     from tesselar.operators.state import Steps
 
     steps = Steps(seeds.sparkSession)
-    near = J.near_segments(seeds, segments.select("drawing_id", "seg_id", "x1", "y1", "x2", "y2", "layer"), reach).select("seed_id", "seg_id").distinct()
+    near = steps.cut(J.near_segments(seeds, segments.select("drawing_id", "seg_id", "x1", "y1", "x2", "y2", "layer"), reach).select("seed_id", "seg_id").distinct())
+    alone = seeds.join(near.select("seed_id").distinct(), "seed_id", "left_anti").select("seed_id", "drawing_id").distinct()
+    near = near.unionByName(alone.join(segments.select("drawing_id", "seg_id"), "drawing_id").select("seed_id", "seg_id").distinct())
     own = steps.cut(near.join(segments.drop("drawing_id"), "seg_id").withColumnRenamed("seed_id", "drawing_id"))
     lines = steps.cut(T.with_bridges(own, T.close_gaps(own, 1000.0)))
     found, outlines = T.polygonize(T.node_edges(lines))

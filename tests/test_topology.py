@@ -55,6 +55,15 @@ def test_seed_in_inner_face_and_dissolve(spark):
     assert len(edges) == 10
 
 
+def test_local_repair_reaches_far_sides(spark):
+    """A face whose sides lie beyond 1,500 of its seed, and one whose sides all lie beyond the radius."""
+    from tesselar.plans.more import repaired
+
+    rows = square(1, 0, 0, 5000) + square(2, 0, 0, 20_000)
+    seeds = spark.createDataFrame([(1, 1, 2500.0, 2500.0), (2, 2, 10_000.0, 10_000.0)], "drawing_id long, seed_id long, x double, y double")
+    assert {r.seed_id: r.area for r in repaired(seeds, table(spark, rows)).collect()} == {1: 2.5e7, 2: 4e8}
+
+
 @pytest.mark.parametrize(
     "segments,tier2,bridges",
     [
