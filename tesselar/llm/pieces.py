@@ -3,7 +3,8 @@
 A batch's new words are laid out one after another and their suffixes sorted; a binary search for every piece of the
 vocabulary gives the range of its occurrences. These are the edges, (place, length) to piece, sorted by place. The edges are then
 relaxed in the order that a merge vocabulary prescribes: in every word at once, the two neighbours whose joint edge has
-the best score are joined, the leftmost of equals, until no word has one. (A shortest path by score would not give the
+the best score are joined, the leftmost of equals, until no word has one; a long word keeps its joints in a queue, so that its
+time grows with length times its logarithm. (A shortest path by score would not give the
 ids of a merge model; the joins do.) Characters without a piece fall back to bytes.
 
 No piece has the word mark after another character or holds a line end, so words that begin with their marks, and line ends,
@@ -18,8 +19,11 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +37,9 @@ MARK = "▁"
 CACHE = 400_000
 #: Bytes of new words that are indexed at once.
 INDEXED = 1 << 20
+#: Symbols of a word from which on its joins come out of a queue instead of rounds over all words.
+LONG = 128
+PIECE_BITS = 20
 _loaded: dict = {}
 
 
@@ -60,6 +67,8 @@ def load(path: str) -> Vocabulary:
     if any(MARK in names[k].lstrip(MARK) or "\n" in names[k] for k in plain):
         raise ValueError("a piece has the word mark after another character, or a line end")
     data = [names[k].encode() for k in plain]
+    if max(map(len, data)) > 63 or len(data) >= 1 << PIECE_BITS:
+        raise ValueError("pieces of 64 bytes and more, or a million of them, do not fit the edge keys")
     columns = -(-max(map(len, data)) // 8)
     packed = lambda fill: np.frombuffer(b"".join(x.ljust(8 * columns, fill) for x in data), ">u8").astype(U).reshape(-1, columns)
     score = np.array([sp.get_score(k) for k in plain])
@@ -69,44 +78,95 @@ def load(path: str) -> Vocabulary:
 
 
 def occurrences(data: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Edges sorted by place: place * 64 + length, and the index of the piece."""
+    """Edges sorted by place: place * 64 + length, and the index of the piece.
+
+    Suffixes are ordered by their first eight bytes. Only those that begin like a longer piece are ordered further.
+    """
     padded = np.concatenate([data, np.zeros(8 * v.columns, np.uint8)])
     word = np.zeros(len(padded) - 7, U)
     for k in range(8):
         word = (word << U(8)) | padded[k : len(padded) - 7 + k].astype(U)
-    keys = [word[8 * c : 8 * c + len(data)] for c in range(v.columns)]
-    order = np.lexsort(keys[::-1])  # the suffix array, as far as the longest piece goes
-    keys = [k[order] for k in keys]
-
-    def place(bound: np.ndarray, after: bool) -> np.ndarray:
-        lo, hi = np.searchsorted(keys[0], bound[:, 0], "left"), np.searchsorted(keys[0], bound[:, 0], "right")
+    order = np.argsort(word[: len(data)])
+    ordered = word[order]
+    found: list[np.ndarray] = []
+
+    def emit(pieces: np.ndarray, suffixes: np.ndarray, start: np.ndarray, stop: np.ndarray) -> None:
+        count = np.maximum(stop - start, 0)
+        piece = np.repeat(pieces, count)
+        at = suffixes[np.repeat(start - np.cumsum(count) + count, count) + np.arange(len(piece))]
+        found.append(((at * 64 + v.size[piece]) << PIECE_BITS) | piece)
+
+    short = np.flatnonzero(v.size <= 8)
+    emit(short, order, np.searchsorted(ordered, v.low[short, 0], "left"), np.searchsorted(ordered, v.high[short, 0], "right"))
+    pieces = np.flatnonzero(v.size > 8)
+    if len(pieces):
+        heads = np.unique(v.low[pieces, 0])
+        low, high = np.searchsorted(ordered, heads, "left"), np.searchsorted(ordered, heads, "right")
+        group = np.repeat(np.arange(len(heads)), high - low)
+        own = order[np.repeat(low - np.cumsum(high - low) + high - low, high - low) + np.arange(len(group))]
+        of_piece = np.searchsorted(heads, v.low[pieces, 0])
         for c in range(1, v.columns):
-            live = np.flatnonzero(lo < hi)
-            while len(live):  # rows of equal leading words: search the next word among them
-                a, b = lo[live].copy(), hi[live].copy()
-                first, last = a.copy(), b.copy()
-                for side in ("left", "right"):
-                    x, y = a.copy(), b.copy()
-                    while (go := x < y).any():
-                        mid = (x + y) // 2
-                        value = keys[c][np.minimum(mid, len(data) - 1)]
-                        less = (value < bound[live, c]) if side == "left" else (value <= bound[live, c])
-                        x, y = np.where(go & less, mid + 1, x), np.where(go & ~less, mid, y)
-                    if side == "left":
-                        first = x
-                    else:
-                        last = x
-                lo[live], hi[live] = first, last
+            if not len(pieces) or not len(own):
                 break
-        return hi if after else lo
-
-    start, stop = place(v.low, False), place(v.high, True)
-    count = np.maximum(stop - start, 0)
-    piece = np.repeat(np.arange(len(count)), count)
-    at = order[np.repeat(start - np.cumsum(count) + count, count) + np.arange(len(piece))]
-    key = at * 64 + v.size[piece]
-    by = np.argsort(key, kind="stable")
-    return key[by], piece[by]
+            key = word[own + 8 * c]
+            by = np.lexsort((key, group))
+            own, group, key = own[by], group[by], key[by]
+            equal_from = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (key[1:] != key[:-1])))
+            first, last = np.searchsorted(group, of_piece, "left"), np.searchsorted(group, of_piece, "right")
+            start, stop = _within(key, first, last, v.low[pieces, c], False), _within(key, first, last, v.high[pieces, c], True)
+            ends = v.size[pieces] <= 8 * (c + 1)
+            emit(pieces[ends], own, start[ends], stop[ends])
+            some = ~ends & (stop > start)
+            pieces, start, stop = pieces[some], start[some], stop[some]
+            group = np.searchsorted(equal_from, np.arange(len(own)), "right")
+            of_piece = np.searchsorted(equal_from, start, "right")
+            keep = np.isin(group, of_piece)
+            own, group = own[keep], group[keep]
+    key = np.sort(np.concatenate(found))
+    return key >> PIECE_BITS, key & ((1 << PIECE_BITS) - 1)
+
+
+def _within(key: np.ndarray, low: np.ndarray, high: np.ndarray, bound: np.ndarray, after: bool) -> np.ndarray:
+    """Binary search of every bound in its own sorted stretch [low, high) of ``key``."""
+    low, high = low.copy(), high.copy()
+    while (go := low < high).any():
+        mid = (low + high) // 2
+        value = key[np.minimum(mid, len(key) - 1)]
+        less = (value <= bound) if after else (value < bound)
+        low, high = np.where(go & less, mid + 1, low), np.where(go & ~less, mid, high)
+    return low
+
+
+def _relax_long(at: np.ndarray, size: np.ndarray, edge: np.ndarray, piece: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """The same joins for one long word: a queue of joint edges, best score first, leftmost of equals."""
+    keys, pieces, rank = array("q", edge.tobytes()), array("q", piece.tobytes()), v.rank.tolist()
+    n = len(at)
+    place, length = at.tolist(), size.tolist()
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+
+    def joint(left: int) -> None:
+        right = after[left]
+        if right < n and (long := length[left] + length[right]) < 64:
+            k = bisect_left(keys, key := place[left] * 64 + long)
+            if k < len(keys) and keys[k] == key:
+                heappush(queue, (rank[pieces[k]], left, long))
+
+    queue: list[tuple[int, int, int]] = []
+    for k in range(n - 1):
+        joint(k)
+    while queue:
+        _, left, long = heappop(queue)
+        right = after[left]
+        if length[left] and right < n and length[left] + length[right] == long:
+            length[left], length[right] = long, 0
+            after[left] = after[right]
+            if after[left] < n:
+                before[after[left]] = left
+            joint(left)
+            if before[left] >= 0:
+                joint(before[left])
+    live = np.flatnonzero(length)
+    return at[live], np.array(length)[live]
 
 
 def match(new: list[str], v: Vocabulary) -> list[np.ndarray]:
@@ -128,26 +188,44 @@ def match(new: list[str], v: Vocabulary) -> list[np.ndarray]:
         return np.where((edge[k] == key) & (length < 64), piece[k], -1) if len(edge) else np.full(len(place), -1)
 
     done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    symbols = np.bincount(row, minlength=len(new))
+    for k in np.flatnonzero(symbols > LONG):
+        own = slice(*np.searchsorted(row, [k, k + 1]))
+        lo, hi = np.searchsorted(edge, [64 * at[own.start], 64 * (ends[k] + 1)])
+        a, z = _relax_long(at[own], size[own], edge[lo:hi], piece[lo:hi], v)
+        done.append((np.full(len(a), k), a, z))
+    rest = symbols[row] <= LONG
+    at, row, size = at[rest], row[rest], size[rest]
     worst = np.int64(1) << np.int64(62)
+
+    def costs(k: np.ndarray) -> np.ndarray:
+        """Of joining symbols k and k + 1, which are of one word."""
+        got = find(at[k], size[k] + size[k + 1])
+        return np.where(got >= 0, v.rank[got], worst)
+
+    cost = np.full(len(at), worst)
+    two = np.flatnonzero(row[1:] == row[:-1])
+    cost[two] = costs(two)
     while len(at):
-        joint = np.full(len(at), -1)
-        two = np.flatnonzero(row[1:] == row[:-1])
-        joint[two] = find(at[two], size[two] + size[two + 1])
-        cost = np.where(joint >= 0, v.rank[joint], worst)
         first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-        low = np.minimum.reduceat(cost, first)
-        still = np.repeat(low < worst, np.diff(np.append(first, len(at))))
+        count = np.diff(np.append(first, len(at)))
+        low = np.repeat(np.minimum.reduceat(cost, first), count)
+        still = low < worst
         if not still.all():
             done.append((row[~still], at[~still], size[~still]))
-        if not still.any():
+        hit = np.flatnonzero((cost == low) & still)
+        if not len(hit):
             break
-        best = cost == np.repeat(low, np.diff(np.append(first, len(at))))
-        hit = np.flatnonzero(best & still)
         hit = hit[np.append(True, row[hit[1:]] != row[hit[:-1]])]  # the leftmost of equals
-        size = size.copy()
         size[hit] += size[hit + 1]
         still[hit + 1] = False
-        at, row, size = at[still], row[still], size[still]
+        moved = np.cumsum(still) - 1
+        at, row, size, cost, hit = at[still], row[still], size[still], cost[still], moved[hit]
+        cost[hit] = worst  # only joints with what was just joined have changed
+        touched = np.concatenate([hit, hit - 1])
+        touched = touched[(touched >= 0) & (touched + 1 < len(row))]
+        touched = touched[row[touched] == row[touched + 1]]
+        cost[touched] = costs(touched)
     row, at, size = (np.concatenate([d[k] for d in done]) if done else np.zeros(0, np.int64) for k in range(3))
     by = np.argsort(at, kind="stable")
     row, at, size = row[by], at[by], size[by]
@@ -156,8 +234,9 @@ def match(new: list[str], v: Vocabulary) -> list[np.ndarray]:
     where = np.concatenate([[0], np.cumsum(width)])
     ids = np.zeros(where[-1], np.uint32)
     ids[where[:-1][got >= 0]] = v.ids[got[got >= 0]]
-    for k in np.flatnonzero(got < 0):
-        ids[where[k] : where[k + 1]] = v.byte_ids[data[at[k] : at[k] + size[k]]]
+    lost = np.flatnonzero(got < 0)
+    inner = np.repeat(where[lost] - np.cumsum(size[lost]) + size[lost], size[lost]) + np.arange(size[lost].sum())
+    ids[inner] = v.byte_ids[data[np.repeat(at[lost] - np.cumsum(size[lost]) + size[lost], size[lost]) + np.arange(size[lost].sum())]]
     cut = where[np.searchsorted(row, np.arange(len(new) + 1))]
     return [ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 

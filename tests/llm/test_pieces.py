@@ -57,3 +57,14 @@ def test_tables(spark):
     got = pieces.decoded(pieces.encoded(df, PATH), PATH).collect()
     assert sorted(r.decoded for r in got) == ["", "", "a b"]
     assert pieces.encoded(df.limit(0), PATH).count() == 0
+
+
+def test_a_megabyte_without_spaces():
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    state = np.random.default_rng(5).integers(0, 26, 1_000_000)
+    t = "".join(map(letters.__getitem__, state.tolist()))
+    assert pieces.encode([t], PATH)[0].tolist() == SP.encode(t)
+    for t in ("ab" * 300, "é漢" * 200 + "the" * 90, "x" * 129, "\0" * 200 + "abc" * 50):
+        assert pieces.decode(pieces.encode([t], PATH)[0], PATH) == t
+        if "\0" not in t:
+            assert pieces.encode([t], PATH)[0].tolist() == SP.encode(t)
