@@ -1,10 +1,12 @@
 """Substring dedup by level-wise doubling: removes words covered by windows of words that also start elsewhere.
 
-Cells of windows meet by anchor gram, the first level (see ``repeats``). From there windows that repeat at one length alone
-are extended to twice that length, up to the window, until no candidates survive.
+The first level are grams of 8 words: cells of windows meet by their anchor gram (see ``repeats``). Windows that agree on 8 words with
+another place are extended to 16, those that still do to 32, and those to the window of 35 (the last doubling is cut there),
+until no candidates survive. Every level is a count of digests over all that survived the one before, pre-aggregated before the
+shuffle, so no task gathers the places of a frequent gram; a place whose whole neighbourhood comes again is settled at once.
 
 Edge cases: a null text has no words; a text with fewer words than the window loses nothing; repeated rows are places like
-any others, so both lose what they share. Columns other than doc_id and text are not read.
+any others, so both lose what they share. Columns other than doc_id and text are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,39 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from tesselar.llm.common import Scratch, table
-from tesselar.llm.repeats import PrefixHash, RepeatConfig, repeated, with_spans
+from tesselar.llm.repeats import ROW, RepeatConfig, repeated, with_spans
 
-CONFIG = RepeatConfig("words", 35, 8)
+#: Blocks of 20, 4 and 1 windows agree on 16, 32 and 35 words.
+CONFIG = RepeatConfig("words", 35, 8, (20, 4, 1))
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def kernel(window: int, gram: int):
-    def run(group, data, offsets, anchor, single):
-        h = PrefixHash(data)
-        n = np.diff(offsets) - window + 1
-        row = np.repeat(np.arange(len(n)), n)
-        inner = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        side = group[row] * (1 << 16) + (anchor[row] - inner + (1 << 15))  # equal windows have their anchor at one place
-        place = offsets[row] + inner
-        length = gram
-        while length < window and len(row):
-            length = min(2 * length, window)
-            value = h(place, length)
-            by = np.lexsort((value, side))
-            same = (side[by][1:] == side[by][:-1]) & (value[by][1:] == value[by][:-1])
-            live = np.zeros(len(row), bool)
-            live[by[1:][same]] = True
-            live[by[:-1][same]] = True
-            row, inner, side, place = row[live], inner[live], side[live], place[live]
-        new = np.append(True, (row[1:] != row[:-1]) | (inner[1:] != inner[:-1] + 1))[: len(row)]
-        at = np.flatnonzero(new)
-        last = np.append(at[1:], len(row)) - 1 if len(at) else at
-        keep = single[row[at]]
-        return row[at][keep], inner[at][keep], inner[last][keep]
-
-    return run
-
-
 def _kept(text: str, starts: np.ndarray, ends: np.ndarray) -> tuple[list[str], list[str]]:
     all_words = WORD.findall(text)
     if not len(starts):
@@ -58,17 +34,17 @@ def _kept(text: str, starts: np.ndarray, ends: np.ndarray) -> tuple[list[str], l
 
 
 def remove(documents: DataFrame, config: RepeatConfig = CONFIG) -> DataFrame:
-    """doc_id, th (hash of the text) and kept: the words left, joined by one space."""
-    docs, found = repeated(documents, config, kernel(config.window, config.gram), Scratch(documents.sparkSession))
+    """doc_id, t1, t2 (hashes of the text) and kept: the words left, joined by one space."""
+    docs, found = repeated(documents, config, None, Scratch(documents.sparkSession))
     return with_spans(docs, found, [T.StructField("kept", T.StringType())], lambda text, s, e: (" ".join(_kept(text, s, e)[1]),))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, found = repeated(table(spark, sf_dir, "documents"), CONFIG, kernel(CONFIG.window, CONFIG.gram), Scratch(spark))
+    docs, found = repeated(table(spark, sf_dir, "documents"), CONFIG, None, Scratch(spark))
 
     def digest(text, starts, ends):
         every, kept = _kept(text, starts, ends)
         return len(every), len(every) - len(kept), hashlib.sha256(" ".join(kept).encode()).hexdigest()
 
     names = {"n_words": T.LongType(), "n_removed": T.LongType(), "kept_sha256": T.StringType()}
-    return with_spans(docs, found, [T.StructField(*x) for x in names.items()], digest).drop("th")
+    return with_spans(docs, found, [T.StructField(*x) for x in names.items()], digest).drop(*ROW[1:])

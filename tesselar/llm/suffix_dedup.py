@@ -1,14 +1,14 @@
 """Suffix-array dedup: removes bytes covered by long strings that also start elsewhere.
 
-Cells of windows meet by anchor (see ``repeats``). Contents of one anchor are compared by prefix polynomial hashes: binary
-search over the hash of a stretch gives the common extension of two suffixes in a logarithmic number of steps. A few contents
-are extended to both sides of the anchor by pairs; more are ordered by a mergesort of their suffixes, each comparison a
-common extension and one byte; hundreds are ordered, start by start, by the hash of the whole window. What the hashes
-call equal is verified on the bytes.
+Blocks of windows that agree on a common stretch meet in classes (see ``repeats``). In a class the suffixes from the common stretch on are ordered
+by a mergesort, and so are the prefixes before it, read backwards. A comparison takes prefix polynomial hashes: binary search over
+the hash of a stretch gives the common extension of two suffixes in a logarithmic number of steps, and one byte decides. Common
+extensions of neighbours in the two orders then say for every start which windows are equal. Every one of them is verified on
+the bytes; where a hash has lied, the batch is ordered by its bytes instead.
 
 Edge cases: a null text counts as empty; an empty text, or one shorter than the window, loses nothing; the bytes of
 a cut text that no longer form whole characters go (``remove``); repeated rows are places like any others, so both lose
-what they share. Extra columns are passed on by ``remove``.
+what they share. Extra columns are passed on by ``remove``, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,55 +21,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tesselar.llm.common import BY_BYTE, Scratch, table
-from tesselar.llm.repeats import PrefixHash, RepeatConfig, keyed, repeated, with_spans
+from tesselar.llm.repeats import ROW, PrefixHash, RepeatConfig, repeated, row_hashes, same_row, with_spans
 
 CONFIG = RepeatConfig("bytes", 400, 64)
-#: Groups of so many contents at most are compared by pairs, or by a mergesort.
-PAIRED, SORTED = 48, 512
 
 
-def extension(h: PrefixHash, a: np.ndarray, b: np.ndarray, limit: np.ndarray, back: bool = False) -> np.ndarray:
-    """Common length of the stretches after (or before) a and b, at most ``limit``: binary search over their hashes."""
+def extension(h: PrefixHash, a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Common length of the stretches from a and b on, at most ``limit``: binary search over their hashes."""
     got = np.zeros(len(a), np.int64)
     step = 1 << max(0, int(limit.max(initial=0)).bit_length() - 1)
     while step:
         fits = np.flatnonzero(got + step <= limit)
         if len(fits):
-            x, y = (a[fits] - got[fits] - step, b[fits] - got[fits] - step) if back else (a[fits] + got[fits], b[fits] + got[fits])
-            got[fits] += step * (h(x, step) == h(y, step))
+            got[fits] += step * (h(a[fits] + got[fits], step) == h(b[fits] + got[fits], step))
         step >>= 1
     return got
 
 
-def _same(view: memoryview, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Collision check: whether the bytes are equal."""
-    return np.fromiter((view[x : x + n] == view[y : y + n] for x, y, n in zip(a.tolist(), b.tolist(), size.tolist(), strict=True)), bool, len(a))
-
-
-def by_pairs(window: int, rows: np.ndarray, end: np.ndarray, data: np.ndarray, h: PrefixHash, offsets: np.ndarray, anchor: np.ndarray, single: np.ndarray):
-    """All pairs of small groups (``end``: where a row's group ends): extend around the anchor, give the shared starts."""
-    out = []
-    view = memoryview(data)
-    place = offsets[:-1] + anchor
-    for d in range(1, PAIRED):
-        i = rows[rows + d < end[rows]]
-        if not len(i):
-            break
-        i = i[single[i] | single[i + d]]
-        j = i + d
-        right = extension(h, place[i], place[j], np.minimum(np.minimum(offsets[i + 1] - place[i], offsets[j + 1] - place[j]), window))
-        left = extension(h, place[i], place[j], np.minimum(anchor[i], anchor[j]), back=True)
-        far = np.flatnonzero(left + right >= window)
-        far = far[_same(view, place[i][far] - left[far], place[j][far] - left[far], (left + right)[far])]
-        for k in (i[far], j[far]):
-            out.append(np.stack([k, anchor[k] - left[far], anchor[k] + right[far] - window], axis=1)[single[k]])
-    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
-
-
-def suffix_order(h: PrefixHash, data: np.ndarray, place: np.ndarray, start: np.ndarray, end: np.ndarray, window: int) -> np.ndarray:
-    """Mergesort of suffixes, cut to the window, inside stretches [start, end) of ``place``; all stretches at once.
+def suffix_order(h: PrefixHash, data: np.ndarray, place: np.ndarray, size: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Mergesort of suffixes of given sizes, inside stretches [start, end) of ``place``; all stretches at once.
 
     Every element finds its rank in the sibling run by binary search; a comparison is a common extension and one byte.
+    A suffix comes before those that it begins.
     """
     order = np.arange(len(place))
     where = np.arange(len(place))
@@ -82,11 +55,12 @@ def suffix_order(h: PrefixHash, data: np.ndarray, place: np.ndarray, start: np.n
         first, right = low.copy(), (mine & 1) == 0
         while (todo := np.flatnonzero(low < high)).size:
             mid = (low[todo] + high[todo]) // 2
-            a, b = place[order[mid]], place[order[todo]]
-            got = extension(h, a, b, np.full(len(a), window))
-            tie = got >= window
-            x, y = data[np.minimum(a + got, len(data) - 1)], data[np.minimum(b + got, len(data) - 1)]
-            before = np.where(tie, ~right[todo], x < y)  # equals of the left run come first
+            i, j = order[mid], order[todo]
+            a, b = place[i], place[j]
+            got = extension(h, a, b, np.minimum(size[i], size[j]))
+            x = np.where(got < size[i], data[np.minimum(a + got, len(data) - 1)].astype(np.int64), -1)
+            y = np.where(got < size[j], data[np.minimum(b + got, len(data) - 1)].astype(np.int64), -1)
+            before = np.where(x == y, ~right[todo], x < y)  # equals of the left run come first
             low[todo] = np.where(before, mid + 1, low[todo])
             high[todo] = np.where(before, high[todo], mid)
         to = start + (mine & ~1) * run + (where - start - mine * run) + (low - first)
@@ -97,72 +71,61 @@ def suffix_order(h: PrefixHash, data: np.ndarray, place: np.ndarray, start: np.n
     return order
 
 
-def by_suffixes(window: int, rows: np.ndarray, group: np.ndarray, data: np.ndarray, h: PrefixHash, offsets: np.ndarray, anchor: np.ndarray, single: np.ndarray):
-    """Larger groups: order the suffixes at every start and keep those equal to a neighbour over the whole window."""
-    n = offsets[rows + 1] - offsets[rows] - window + 1
-    row = np.repeat(rows, n)
-    inner = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    key = group[row] * (1 << 16) + (anchor[row] - inner + (1 << 15))  # equal windows have their anchor at one place
-    by = np.argsort(key, kind="stable")
-    row, inner, key = row[by], inner[by], key[by]
-    new = np.append(True, key[1:] != key[:-1])
-    first = np.flatnonzero(new)
-    size = np.diff(np.append(first, len(key)))
-    start, end = np.repeat(first, size), np.repeat(first + size, size)
-    place = offsets[row] + inner
-    order = suffix_order(h, data, place, start, end, window)
-    a, b = order[:-1], order[1:]
-    near = np.flatnonzero(key[a] == key[b])
-    near = near[h(place[a[near]], window) == h(place[b[near]], window)]
-    near = near[_same(memoryview(data), place[a[near]], place[b[near]], np.full(len(near), window))]
-    again = np.unique(np.concatenate([a[near], b[near]]))
-    row, inner = row[again], inner[again]
-    by = np.lexsort((inner, row))
-    row, inner = row[by], inner[by]
-    new = np.append(True, (row[1:] != row[:-1]) | (inner[1:] != inner[:-1] + 1))[: len(row)]
-    at = np.flatnonzero(new)
-    last = np.append(at[1:], len(row)) - 1 if len(at) else at
-    out = np.stack([row[at], inner[at], inner[last]], axis=1) if len(at) else np.zeros((0, 3), np.int64)
-    return out[single[out[:, 0]]]
-
-
-def by_window_hash(window: int, rows: np.ndarray, data: np.ndarray, h: PrefixHash, offsets: np.ndarray, anchor: np.ndarray, single: np.ndarray):
-    """One large group: at each place of the anchor, order the windows by hash and keep those equal to a neighbour."""
-    n = offsets[rows + 1] - offsets[rows] - window + 1
-    again = np.zeros((len(rows), int(n.max())), bool)
+def neighbours(h: PrefixHash, data: np.ndarray, place: np.ndarray, size: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of suffixes, and how much each has in common with the one before it (-1 for the first of a stretch)."""
+    order = suffix_order(h, data, place, size, start, end)
     view = memoryview(data)
-    for place in range(int((anchor[rows] - n + 1).min()), int(anchor[rows].max()) + 1):
-        inner = anchor[rows] - place
-        live = np.flatnonzero((inner >= 0) & (inner < n))
-        at = offsets[rows[live]] + inner[live]
-        value = h(at, window)
-        by = np.argsort(value, kind="stable")
-        near = np.flatnonzero(value[by][1:] == value[by][:-1])
-        near = near[_same(view, at[by[near]], at[by[near + 1]], np.full(len(near), window))]
-        for k in (by[near], by[near + 1]):
-            again[live[k], inner[live[k]]] = True
-    edge = np.diff(np.pad(again.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-    row, first = np.nonzero(edge == 1)
-    last = np.nonzero(edge == -1)[1] - 1
-    out = np.stack([rows[row], first, last], axis=1)
-    return out[single[out[:, 0]]]
+    a, b = order[:-1], order[1:]
+    inner = start[1:] == start[:-1]
+    got = np.where(inner, extension(h, place[a], place[b], np.where(inner, np.minimum(size[a], size[b]), 0)), -1)
+    real = np.fromiter((view[x : x + n] == view[y : y + n] for x, y, n in zip(place[a].tolist(), place[b].tolist(), np.maximum(got, 0).tolist(), strict=True)), bool, len(a))
+    x = np.where(got < size[a], data[np.minimum(place[a] + got, len(data) - 1)].astype(np.int64), -1)
+    y = np.where(got < size[b], data[np.minimum(place[b] + got, len(data) - 1)].astype(np.int64), -1)
+    if (inner & ~(real & ((x < y) | ((x == -1) & (y == -1))))).any():  # a hash has lied: order by the bytes
+        text = [bytes(view[p : p + n]) for p, n in zip(place.tolist(), size.tolist(), strict=True)]
+        order = np.array(sorted(range(len(place)), key=lambda k: (start[k], text[k])), np.int64)
+        for k, (i, j) in enumerate(zip(order[:-1].tolist(), order[1:].tolist(), strict=True)):
+            both = min(len(text[i]), len(text[j]))
+            differ = np.flatnonzero(np.frombuffer(text[i], np.uint8, both) != np.frombuffer(text[j], np.uint8, both))
+            got[k] = -1 if start[i] != start[j] else differ[0] if len(differ) else both
+    return order, np.append(-1, got)
 
 
 def kernel(window: int):
-    def run(group, data, offsets, anchor, single):
-        h = PrefixHash(BY_BYTE[data])
-        size = np.bincount(group)
-        end = np.cumsum(size)[group]
-        rows = np.arange(len(group))
-        few, many = size[group] <= PAIRED, size[group] > SORTED
-        found = [by_pairs(window, rows[few], end, data, h, offsets, anchor, single)]
-        if (~few & ~many).any():
-            found.append(by_suffixes(window, rows[~few & ~many], group, data, h, offsets, anchor, single))
-        found += [by_window_hash(window, rows[group == g], data, h, offsets, anchor, single) for g in np.unique(group[many])]
-        found = np.concatenate(found)
-        return found[:, 0], found[:, 1], found[:, 2]
-
-    return run
+    """A kernel for blocks of ``size`` windows."""
+
+    def of_size(size: int):
+        common = window - size + 1
+
+        def run(group, data, offsets, pad, n, single):
+            rows = len(group)
+            count = np.bincount(group)
+            end = np.cumsum(count)[group]
+            start = end - count[group]
+            middle = offsets[:-1] + size - 1 - pad  # where the common stretch begins
+            back = np.ascontiguousarray(data[::-1])
+            right, shared_right = neighbours(PrefixHash(BY_BYTE[data]), data, middle, common + pad + n - 1, start, end)
+            left, shared_left = neighbours(PrefixHash(BY_BYTE[back]), back, len(data) - middle, size - 1 - pad, start, end)
+            again = np.zeros((rows, size), bool)
+            alike = np.empty((2, rows), np.int64)
+            for j in range(size):  # the windows with j symbols after the common stretch
+                alike[0, right] = np.cumsum(shared_right < common + j)
+                alike[1, left] = np.cumsum(shared_left < size - 1 - j)
+                live = np.flatnonzero((pad <= j) & (j < pad + n))
+                key = alike[0, live] * (rows + 1) + alike[1, live]
+                by = np.argsort(key)
+                same = key[by][1:] == key[by][:-1]
+                again[live[by[1:][same]], j] = True
+                again[live[by[:-1][same]], j] = True
+            again &= single[:, None]
+            edge = np.diff(np.pad(again.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+            row, first = np.nonzero(edge == 1)
+            last = np.nonzero(edge == -1)[1] - 1
+            return row, first - pad[row], last - pad[row]
+
+        return run
+
+    return of_size
 
 
 def _kept(text: str, starts: np.ndarray, ends: np.ndarray) -> bytes:
@@ -173,7 +136,7 @@ def _kept(text: str, starts: np.ndarray, ends: np.ndarray) -> bytes:
 
 
 def spans(documents: DataFrame, config: RepeatConfig = CONFIG) -> DataFrame:
-    """doc_id, th (hash of the text) and spans: stretches of bytes, by start, that repeated windows cover."""
+    """doc_id, t1, t2 (hashes of the text) and spans: stretches of bytes, by start, that repeated windows cover."""
     return repeated(documents, config, kernel(config.window), Scratch(documents.sparkSession))[1]
 
 
@@ -181,13 +144,11 @@ def remove(documents: DataFrame, config: RepeatConfig = CONFIG) -> DataFrame:
     """The documents with the covered bytes cut out of ``text``, and n_chars (if there) set anew."""
     docs, found = repeated(documents, config, kernel(config.window), Scratch(documents.sparkSession))
     cut = with_spans(docs, found, [T.StructField("kept", T.StringType())], lambda text, s, e: (_kept(text, s, e).decode("utf-8", "ignore") if len(s) else text,)).distinct()
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = documents.withColumn("th", F.hash(text))
-    rest = [c for c in documents.columns if c not in ("text", "n_chars")]
-    both = rows.join(cut, rows["doc_id"].eqNullSafe(cut["doc_id"]) & (rows["th"] == cut["th"])).select(*(rows[c] for c in rest), cut["kept"].alias("text"))
+    rows = documents.select(F.struct("*").alias("row"), "doc_id", *row_hashes(F.coalesce(F.col("text"), F.lit(""))))
+    new = {"text": F.col("kept")}
     if "n_chars" in documents.columns:
-        both = both.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
-    return both.select(*documents.columns)
+        new["n_chars"] = F.length("kept").cast(documents.schema["n_chars"].dataType)
+    return rows.join(cut, same_row(rows, cut)).select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in documents.columns))
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,7 +159,4 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         return len(text.encode()), int((ends - starts).sum()), len(starts), hashlib.sha256(kept).hexdigest()
 
     names = {"n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType(), "kept_sha256": T.StringType()}
-    return with_spans(docs, found, [T.StructField(*x) for x in names.items()], digest).drop("th")
-
-
-__all__ = ["CONFIG", "keyed", "op9_suffix_dedup", "remove", "spans"]
+    return with_spans(docs, found, [T.StructField(*x) for x in names.items()], digest).drop(*ROW[1:])
