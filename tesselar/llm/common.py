@@ -61,6 +61,15 @@ class Scratch:
         self._remove(f"{self.path}/{name}")
 
 
+def rows_by_length(lists: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows whose lists have one length, with these as a matrix."""
+    at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    size = np.diff(at)
+    for n in np.unique(size):
+        rows = np.flatnonzero(size == n)
+        yield rows, flat[at[rows][:, None] + np.arange(n)]
+
+
 # ---- arrays of texts ---------------------------------------------------------------------------
 
 
