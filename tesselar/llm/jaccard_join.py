@@ -12,11 +12,12 @@ form a class, and classes are the points that are joined.
    inequality with the empty set as pivot.
 2. Keys that two or more classes share tie them to one point; components of these ties are the first regions.
    No pair is formed here: a key with m classes gives m ties.
-3. A region is joined recursively: pivots are drawn from it, each class is at home with its nearest pivot, and goes as a copy
-   to every other pivot that is at most 2 (1 - t) farther. Any linked pair then meets where either is at home. Regions too
-   large for a task are split so by Spark jobs; within a task the same split goes on while it pays, then pairs are
-   compared, first by parity sketches (a lower bound on the difference) and then exactly. Pairs already connected are skipped.
-   A region that pivots cannot split is joined by blocks, each pair of blocks a region of its own: nothing is left out.
+3. A region of any size is joined recursively: pivots are drawn from it and compared with all of it, each other class is at home with
+   its nearest pivot, and goes as a copy to every other pivot that is at most 2 (1 - t) farther. Any linked pair then meets where
+   either is at home. Regions too large for a task are split so by Spark jobs, others within a task. Where pivots do not part what is
+   left, the windows alone decide: classes meet whose distances to every pivot differ by at most 1 - t. Of these, parity
+   sketches (a lower bound on the difference) skip some, and the rest is compared exactly. Pairs already connected are skipped.
+   A large region that pivots cannot split is joined by blocks, each pair of blocks a region of its own: nothing is left out.
 
 Edge cases: a text with fewer words than n, but some, has its whole sequence as one element; a null or empty text, or one
 of white space only, has an empty set and links with nothing; equal non-empty sets are linked. Rows with a null doc_id take no
@@ -53,7 +54,6 @@ class JoinConfig:
     most: int = 6000
     elements: int = 3_000_000
     pivots: int = 12
-    leaf: int = 96
     #: Parts of the universe beyond the largest difference, as a share of it; and rounds of dropping.
     slack: float = 0.5
     rounds: int = 3
@@ -207,6 +207,7 @@ class Region:
         self.label = np.arange(len(self.size))
         self.sketch: np.ndarray | None = None
         self.rng = np.random.default_rng(1)
+        self.measured = 0
 
     def set(self, k: int) -> np.ndarray:
         return self.elements[self.at[k] : self.at[k + 1]]
@@ -229,24 +230,30 @@ class Region:
             self.label[self.label == max(x, y)] = min(x, y)
 
     def join(self, rows: np.ndarray, home: np.ndarray) -> None:
-        if len(rows) <= self.cfg.leaf:
-            return self.pairs(rows, home)
-        pivots = self.rng.choice(rows, min(self.cfg.pivots, len(rows)), replace=False)
+        """Pivots are compared with all; the others go on in the pivots' regions, or where these do not part them, by windows alone."""
+        if len(rows) < 2 or not home.any() or (self.label[rows] == self.label[rows[0]]).all():
+            return
+        chosen = np.zeros(len(rows), bool)
+        chosen[self.rng.choice(len(rows), min(self.cfg.pivots, max(1, len(rows) // 4)), replace=False)] = True
+        pivots, rows, home = rows[chosen], rows[~chosen], home[~chosen]
         away = np.empty((len(rows), len(pivots)))
         for k, p in enumerate(pivots):
-            got = self.shared(p, rows)
-            away[:, k] = 1 - got / (self.size[rows] + self.size[p] - got)
-            for r in rows[self.linked(got, rows, p) & (self.label[rows] != self.label[p])]:
+            others = np.concatenate([rows, pivots[k + 1 :]])
+            if not len(others):
+                continue
+            got = self.shared(p, others)
+            self.measured += len(others)
+            away[:, k] = 1 - got[: len(rows)] / (self.size[rows] + self.size[p] - got[: len(rows)])
+            for r in others[self.linked(got, others, p) & (self.label[others] != self.label[p])]:
                 self.tie(r, p)
         near = away.argmin(axis=1)
         copy = away <= away.min(axis=1)[:, None] + 2 * self.cfg.radius + 1e-9
         if (copy.sum(axis=0).astype(float) ** 2).sum() > 0.6 * len(rows) ** 2:
-            return self.pairs(rows, home)
+            self.pairs(rows, home, away)
+            return
         for k in range(len(pivots)):
             mine = copy[:, k]
-            if (at_home := home[mine] & (near[mine] == k)).any():
-                self.join(rows[mine], at_home)
-        return None
+            self.join(rows[mine], home[mine] & (near[mine] == k))
 
     def sketches(self) -> np.ndarray:
         if self.sketch is None:
@@ -257,9 +264,10 @@ class Region:
             self.sketch = np.packbits(bits).view(U).reshape(len(self.size), -1)
         return self.sketch
 
-    def pairs(self, rows: np.ndarray, home: np.ndarray) -> None:
+    def pairs(self, rows: np.ndarray, home: np.ndarray, away: np.ndarray) -> None:
+        """Those meet whose distances to every pivot differ by no more than a linked pair's can, and whose sizes allow it."""
         by = np.argsort(self.size[rows], kind="stable")
-        rows, home = rows[by], home[by]
+        rows, home, away = rows[by], home[by], away[by]
         n = self.size[rows]
         ends = np.searchsorted(n, n * self.cfg.over // self.cfg.under, "right")
         for i in range(len(rows)):
@@ -267,6 +275,7 @@ class Region:
             if not home[i]:
                 other = other[home[other]]
             other = other[self.label[rows[other]] != self.label[rows[i]]]
+            other = other[(np.abs(away[other] - away[i]) <= self.cfg.radius + 1e-9).all(axis=1)]
             if len(other) > 4:
                 s = self.sketches()
                 differ = np.bitwise_count(s[rows[other]] ^ s[rows[i]]).sum(axis=1, dtype=np.int64)
@@ -275,6 +284,7 @@ class Region:
             for j in other:
                 a, b = rows[i], rows[j]
                 if self.label[a] != self.label[b]:
+                    self.measured += 1
                     got = len(np.intersect1d(self.set(a), self.set(b), assume_unique=True))
                     if self.cfg.over * got >= self.cfg.under * (n[i] + n[j] - got):
                         self.tie(a, b)

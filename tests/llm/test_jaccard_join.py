@@ -47,7 +47,7 @@ def corpus(seed):
     return [*texts, "", None, "  \n", "A b", "a B", "one"]
 
 
-@pytest.mark.parametrize("cfg", [jj.JoinConfig(), jj.JoinConfig(leaf=4, pivots=4), jj.JoinConfig(most=8, leaf=3, pivots=3), jj.JoinConfig(under=80, n=5)])
+@pytest.mark.parametrize("cfg", [jj.JoinConfig(), jj.JoinConfig(pivots=4), jj.JoinConfig(most=8, pivots=3), jj.JoinConfig(under=80, n=5)])
 def test_components(spark, cfg):
     texts = corpus(cfg.most % 7)
     want = brute(list(range(len(texts))), sets_of(texts, cfg.n), cfg.under)
@@ -103,6 +103,24 @@ def test_partner_without_empty_parts(spark):
     assert {r.doc_id: r.component_id for r in jj.similar(df, cfg).collect()} == {0: 0, 1: 0}
 
 
+def test_pivots_and_windows_decide_what_meets():
+    """A region joined without a first partition: exact, and with far fewer distances than it has pairs."""
+    cfg = jj.JoinConfig()
+    rng = np.random.default_rng(12)
+    shift = lambda base, k: np.concatenate([base[k:], np.arange(k, dtype=np.uint64) + base[-1] + np.uint64(1)])
+    sets = []
+    for c in range(40):  # chains of sets that slide away from where they begin, each step linked
+        base = np.arange(200, dtype=np.uint64) + np.uint64(c * 10**6)
+        sets += [np.sort(shift(base, 9 * k)) for k in range(15)]
+    sets = [sets[k] for k in rng.permutation(len(sets))]
+    at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    region = jj.Region(at, np.concatenate(sets), np.ones(len(sets), bool), cfg)
+    region.join(np.arange(len(sets)), np.ones(len(sets), bool))
+    want = brute(list(range(len(sets))), [set(s.tolist()) for s in sets])
+    assert {k: int(v) for k, v in enumerate(region.label)} == want
+    assert region.measured < len(sets) ** 2 / 2 / 4, region.measured
+
+
 def test_edges(spark):
     rows = [(None, "a b c d"), (1, "a b c d"), (2, "a b c d"), (2, "x y z q"), (3, "x y z q"), (4, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
