@@ -22,8 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> None:
-    """Small Arrow batches: rows can be whole documents of any length."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    """Small Arrow batches, as rows can be whole documents of any length: the session's setting is lowered where it is larger (0: no limit).
+
+    Results are computed later, so it cannot be put back here.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= 500:
+        spark.conf.set(name, "500")
 
 
 # ---- scratch tables ---------------------------------------------------------------------------
@@ -39,8 +44,9 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-        if not base:  # tests on one machine
-            base = "file:///tmp/checkpoints"
+        if not base and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = base or "file:///tmp/checkpoints"  # one machine
         self.path = f"{base.rstrip('/')}/tesselar-{uuid.uuid4().hex}"  # a new folder by run
         atexit.register(self._remove, self.path)
 
@@ -73,14 +79,14 @@ def rows_by_length(lists: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 # ---- arrays of texts ---------------------------------------------------------------------------
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows of at most ``limit`` text bytes; a longer row is a run of its own."""
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of at most ``rows`` rows and ``limit`` text bytes; a longer row is a run of its own."""
     size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
     ends = np.cumsum(size)
     start = 0
     while start < len(size):
         done = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, done + limit, "right")))
+        stop = min(start + rows, max(start + 1, int(np.searchsorted(ends, done + limit, "right"))))
         yield batch.slice(start, stop - start)
         start = stop
 

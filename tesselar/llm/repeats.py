@@ -139,6 +139,11 @@ def _digest(parts: Iterator[memoryview], seeds: np.ndarray) -> tuple[pa.Array, p
     return tuple(pa.array(np.fromiter(((x >> k) & LOW for x in whole), U, len(whole)).view(np.int64)) for k in (0, 64))
 
 
+def split(df: DataFrame) -> DataFrame:
+    """One row by key: joined by sorting, which can deal the many rows of a hot key to several tasks."""
+    return df.hint("merge")
+
+
 def keyed(documents: DataFrame) -> DataFrame:
     """doc_id, the text's hashes and the text; a null text is empty."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -296,7 +301,7 @@ def compared(held: DataFrame, cfg: RepeatConfig, kernel: Callable[[int], Kernel]
         blocks = scratch.write(_blocks(rows, cfg, size, inside), f"blocks-{level}")
         cover = blocks.groupBy("h1", "h2", "u1", "u2").agg(F.count("*").alias("m"), F.min("cid").alias("cid"), F.min("k").alias("k"), F.max("single").alias("asks"))
         cover = scratch.write(cover, f"cover-{level}")
-        sure = blocks.where("single").join(cover.where("m > 1 and asks").select("h1", "h2", "u1", "u2"), ["h1", "h2", "u1", "u2"]).select("cid", "k")
+        sure = blocks.where("single").join(split(cover.where("m > 1 and asks").select("h1", "h2", "u1", "u2")), ["h1", "h2", "u1", "u2"]).select("cid", "k")
         span, anchor = F.col("span"), F.col("span").bitwiseAND(0xFFFF)
         far = F.least(anchor, F.col("k") * size + (size - 1))
         near = F.greatest(anchor - F.shiftright(span, 16).bitwiseAND(0xFFFF), F.col("k") * size)
@@ -304,7 +309,7 @@ def compared(held: DataFrame, cfg: RepeatConfig, kernel: Callable[[int], Kernel]
         parts.append(sure.join(held.select("cid", "span", *ROW), "cid").select(*ROW, (start - far).alias("start"), (start - near + cfg.window).alias("end")))
         # classes whose members differ: one block for each distinct stretch goes on
         classes = cover.groupBy("h1", "h2").agg(F.count("*").alias("d"), F.max((F.col("m") == 1) & F.col("asks")).alias("ask")).where("d > 1 and ask")
-        going = cover.join(classes.select("h1", "h2", "d"), ["h1", "h2"]).select("cid", "d", F.struct("k", ((F.col("m") == 1) & F.col("asks")).alias("single"), "h1").alias("b"))
+        going = cover.join(split(classes.select("h1", "h2", "d")), ["h1", "h2"]).select("cid", "d", F.struct("k", ((F.col("m") == 1) & F.col("asks")).alias("single"), "h1").alias("b"))
         going = scratch.write(going, f"going-{level}")
         listed = lambda df: held.join(df.groupBy("cid").agg(F.collect_list("b").alias("blocks")), "cid")
         if kernel is not None:
@@ -327,15 +332,16 @@ def repeated(documents: DataFrame, cfg: RepeatConfig, kernel: Callable[[int], Ke
     content = F.struct("c1", "c2")
     anchors = every.groupBy("g").agg(F.count("*").alias("n"), F.min(content).alias("a"), F.max(content).alias("b")).where("n > 1").select("g", (F.col("a") == F.col("b")).alias("alike"))
     anchors = scratch.write(anchors, "anchors")  # as a table, so that the join below can split a hot anchor
-    hit = scratch.write(every.join(anchors, "g"), "hit")
+    hit = scratch.write(every.join(split(anchors), "g"), "hit")
     scratch.drop("cells")
     low, size = F.shiftright("span", 32), F.shiftright("span", 16).bitwiseAND(0xFFFF)
     unlike = hit.where("not alike")
     contents = unlike.groupBy("g", "c1", "c2").agg(F.count("*").alias("k"), F.min(F.struct(*ROW, "span")).alias("one"))
     contents = scratch.write(contents, "contents")
     asked = contents.groupBy("g").agg(F.count("*").alias("m"), F.min("k").alias("least")).where("least = 1 and m > 1").select("g")
-    again = unlike.join(contents.where("k > 1").select("g", "c1", "c2"), ["g", "c1", "c2"])
-    wanted = contents.join(asked, "g").select(*(F.col(f"one.{c}").alias(c) for c in (*ROW, "span")), (F.col("k") == 1).alias("single"))
+    asked = scratch.write(asked, "asked")
+    again = unlike.join(split(contents.where("k > 1").select("g", "c1", "c2")), ["g", "c1", "c2"])
+    wanted = contents.join(split(asked), "g").select(*(F.col(f"one.{c}").alias(c) for c in (*ROW, "span")), (F.col("k") == 1).alias("single"))
     held = scratch.write(bodies(docs, wanted, cfg), "bodies")
     sure = hit.where("alike").select(*ROW, "span").unionByName(again.select(*ROW, "span")).select(*ROW, low.alias("start"), (low + size + cfg.window).alias("end"))
     spans = sure.unionByName(compared(held, cfg, kernel, scratch))
