@@ -10,8 +10,9 @@ length L it is at most L (mean mean' + dev dev'). Segments are long at the first
 3. Pairs of blocks whose bound does not reach the lowest floor of the query block are skipped before any vector moves.
 4. In the others, pairs of vectors go through the levels, coarse to fine, and what survives the last one is computed exactly in integers.
 
-Where vectors have no structure at all, no block is skipped and only the last level (segments of two) skips pairs: about nine of ten for 64
-independent components. A bound of that level costs half an exact score, so the gain is small there.
+Queries and rows of a block that have no pair left drop out of it; pairs of the rest are one product of matrices, of which only survivors count.
+Where vectors have no structure at all, no block is skipped and only the last level (segments of two) skips pairs: of 51,282 vectors
+of 64 independent components 31 % of all pairs survive it. As its bounds cost what exact scores cost, nothing is gained there.
 
 Edge cases: vectors that are null, empty or hold null or non-finite components, or whose id is null, take no part; rows of another
 length than the query's are no candidates for it; fewer than k candidates give all of them; ties go to the smaller id;
@@ -37,14 +38,14 @@ from tesselar.llm.common import Scratch, rows_by_length, table
 class TopkConfig:
     k: int = 20
     scale: int = 64
-    #: Lengths of segments, coarse to fine; the one that blocks are judged by.
+    #: Lengths of segments, coarse to fine; the one that blocks are judged by, whose statistics cost little next to their vectors.
     levels: tuple[int, ...] = (16, 4, 2)
-    judged: int = 4
+    judged: int = 1
     #: Rows and queries of a block; row blocks that one task goes through in turn; rows between two rises of the floor.
     rows: int = 2048
     queries: int = 2048
     run: int = 16
-    step: int = 256
+    step: int = 512
     #: Vectors that the principal directions are fitted on, for so many of the most frequent lengths; others are not turned.
     sample: int = 2000
     fitted: int = 16
@@ -76,33 +77,43 @@ class Best:
         for s in range(0, len(ids), self.cfg.step):
             self._add(ids[s : s + self.cfg.step], matrix[s : s + self.cfg.step])
 
-    def _survivors(self, turned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _survivors(self, turned: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Queries and rows with a pair left, and which pairs of them are."""
         slack = 1e-9 * self.norm * np.sqrt((turned * turned).sum(axis=1)).max() + 1e-6
         q, r = np.arange(len(self.ids)), np.arange(len(turned))
         keep = np.ones((len(q), len(r)), bool)
         for own, length in zip(self.levels, self.cfg.levels, strict=True):
+            if not keep.size:
+                break
             other = np.concatenate(statistics(turned[r], length), axis=1)
-            keep &= own[q] @ other.T + slack >= self.floor[q][:, None]
+            keep &= own[q] @ other.T >= (self.floor[q] - slack)[:, None]
             some, rows = keep.any(axis=1), keep.any(axis=0)
-            q, r, keep = q[some], r[rows], keep[np.ix_(some, rows)]
-        i, j = np.nonzero(keep)
-        return q[i], r[j]
+            q, r = q[some], r[rows]
+            keep = keep if some.all() and rows.all() else keep[np.ix_(some, rows)]
+        return q, r, keep
 
     def _scores(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Inner products of all rows of a with all of b."""
         most = int(np.abs(a).max(initial=0)) * int(np.abs(b).max(initial=0)) * a.shape[1]
+        if most < 1 << 53:  # whole numbers that a double holds
+            return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
         if most < 1 << 63:
-            return np.einsum("ij,ij->i", a, b)
-        whole = (a.astype(object) * b.astype(object)).sum(axis=1)
-        if max(map(abs, whole), default=0) >= 1 << 63:
+            return a @ b.T
+        whole = a.astype(object) @ b.astype(object).T
+        if max(map(abs, whole.ravel()), default=0) >= 1 << 63:
             raise OverflowError("an inner product does not fit 64 bits")
         return whole.astype(np.int64)
 
     def _add(self, ids: np.ndarray, matrix: np.ndarray) -> None:
-        q, r = self._survivors(matrix.astype(np.float64) @ self.basis)
+        q, r, keep = self._survivors(matrix.astype(np.float64) @ self.basis)
         self.pairs += len(self.ids) * len(ids)
-        self.exact += len(q)
-        score = np.concatenate([np.zeros(0, np.int64), *(self._scores(self.matrix[q[s : s + (1 << 16)]], matrix[r[s : s + (1 << 16)]]) for s in range(0, len(q), 1 << 16))])
-        keep = (score >= self.floor[q]) & (self.ids[q] != ids[r])
+        self.exact += int(keep.sum())
+        if not keep.size:
+            return
+        scores = self._scores(self.matrix[q], matrix[r])
+        i, j = np.nonzero(keep & (scores >= self.floor[q][:, None]))
+        score, q, r = scores[i, j], q[i], r[j]
+        keep = self.ids[q] != ids[r]
         q, r, score = (np.concatenate(x) for x in zip(self.found, (q[keep], ids[r][keep], score[keep]), strict=True))
         by = np.lexsort((r, -score, q))
         q, r, score = q[by], r[by], score[by]
