@@ -397,8 +397,9 @@ def similar(documents: DataFrame, cfg: JoinConfig = JoinConfig()) -> DataFrame:
     over = components(more, scratch, "named").withColumnRenamed("id", "c").withColumnRenamed("component_id", "to")
     points = linked.select("point", F.col("component_id").alias("c"))
     whole = rows.join(points, "point", "left").withColumn("c", F.coalesce("c", "point")).join(over, "c", "left").withColumn("c", F.coalesce("to", "c"))
-    least = whole.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("low"))
-    out = whole.join(least, "c", "left")
+    whole = scratch.write(whole.select("doc_id", "n_shingles", "c"), "whole")
+    least = scratch.write(whole.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("low")), "least")
+    out = whole.join(least.hint("merge"), "c", "left")  # by sorting: the rows of a large component can be dealt to several tasks
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("low", "doc_id")).alias("component_id"))
 
 
