@@ -163,7 +163,8 @@ def _longs(*names: str) -> list[T.StructField]:
 
 
 def cells(docs: DataFrame, cfg: RepeatConfig) -> DataFrame:
-    """ROW, span (first start, length and anchor's place in one number), g (anchor's hash), c1 and c2 (content's digest)."""
+    """ROW, g (anchor's hash), c1 and c2 (content's digest) and spans (first start, length and anchor's place in one number): a text's cells of one
+    content are one row, so that a text of one line again and again is no heavier than others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,10 +173,15 @@ def cells(docs: DataFrame, cfg: RepeatConfig) -> DataFrame:
                 row, low, high, anchor, g = cells_of(x.values, x.offsets, cfg.window, cfg.gram)
                 c = _digest(x.stretches(x.offsets[row] + low, x.offsets[row] + high + cfg.window), np.zeros(len(row), np.int64))
                 span = (low << 32) | ((high - low) << 16) | anchor
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([*(part.column(k).take(take) for k in range(3)), pa.array(span), pa.array(g.view(np.int64)), *c], names=[*ROW, "span", "g", "c1", "c2"])
+                keys = [row, g.view(np.int64), *(x.to_numpy() for x in c)]
+                by = np.lexsort((span, *keys))
+                keys, span = [k[by] for k in keys], span[by]
+                first = np.flatnonzero(np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0))[: len(span)])
+                spans = pa.ListArray.from_arrays(pa.array(np.append(first, len(span)).astype(np.int32)), pa.array(span))
+                take = pa.array(keys[0][first])
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(take) for k in range(3)), *(pa.array(k[first]) for k in keys[1:]), spans], names=[*ROW, "g", "c1", "c2", "spans"])
 
-    return docs.mapInArrow(run, T.StructType([docs.schema["doc_id"], *_longs("t1", "t2", "span", "g", "c1", "c2")]))
+    return docs.mapInArrow(run, T.StructType([docs.schema["doc_id"], *_longs("t1", "t2", "g", "c1", "c2"), T.StructField("spans", T.ArrayType(T.LongType()))]))
 
 
 def bodies(docs: DataFrame, wanted: DataFrame, cfg: RepeatConfig) -> DataFrame:
@@ -330,20 +336,21 @@ def repeated(documents: DataFrame, cfg: RepeatConfig, kernel: Callable[[int], Ke
     docs = keyed(documents)
     every = scratch.write(cells(docs, cfg), "cells")
     content = F.struct("c1", "c2")
-    anchors = every.groupBy("g").agg(F.count("*").alias("n"), F.min(content).alias("a"), F.max(content).alias("b")).where("n > 1").select("g", (F.col("a") == F.col("b")).alias("alike"))
+    anchors = every.groupBy("g").agg(F.sum(F.size("spans")).alias("n"), F.min(content).alias("a"), F.max(content).alias("b")).where("n > 1").select("g", (F.col("a") == F.col("b")).alias("alike"))
     anchors = scratch.write(anchors, "anchors")  # as a table, so that the join below can split a hot anchor
     hit = scratch.write(every.join(split(anchors), "g"), "hit")
     scratch.drop("cells")
     low, size = F.shiftright("span", 32), F.shiftright("span", 16).bitwiseAND(0xFFFF)
     unlike = hit.where("not alike")
-    contents = unlike.groupBy("g", "c1", "c2").agg(F.count("*").alias("k"), F.min(F.struct(*ROW, "span")).alias("one"))
+    contents = unlike.groupBy("g", "c1", "c2").agg(F.sum(F.size("spans")).alias("k"), F.min(F.struct(*ROW, F.col("spans")[0].alias("span"))).alias("one"))
     contents = scratch.write(contents, "contents")
     asked = contents.groupBy("g").agg(F.count("*").alias("m"), F.min("k").alias("least")).where("least = 1 and m > 1").select("g")
     asked = scratch.write(asked, "asked")
     again = unlike.join(split(contents.where("k > 1").select("g", "c1", "c2")), ["g", "c1", "c2"])
     wanted = contents.join(split(asked), "g").select(*(F.col(f"one.{c}").alias(c) for c in (*ROW, "span")), (F.col("k") == 1).alias("single"))
     held = scratch.write(bodies(docs, wanted, cfg), "bodies")
-    sure = hit.where("alike").select(*ROW, "span").unionByName(again.select(*ROW, "span")).select(*ROW, low.alias("start"), (low + size + cfg.window).alias("end"))
+    sure = hit.where("alike").select(*ROW, "spans").unionByName(again.select(*ROW, "spans")).select(*ROW, F.explode("spans").alias("span"))
+    sure = sure.select(*ROW, low.alias("start"), (low + size + cfg.window).alias("end"))
     spans = sure.unionByName(compared(held, cfg, kernel, scratch))
     return docs, spans.groupBy(*ROW).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
