@@ -129,25 +129,44 @@ def round_point(x: Column) -> Column:
     return F.round(x.cast("double") * 1_000_000).cast("bigint")
 
 
-#: Fixed values of the bridge cost and the wall-offset profile.
+#: Fixed values of the bridge cost, the wall-offset profile and the micro gap. FACING is a cost, the others are factors.
 ALIGNED, LARGE_DELTA, PROFILE_CAP, FACING = 0.85, 0.75, 0.35, 0.01
+PROFILE_DISTANCES, PROFILE_TOLERANCE, PROFILE_DELTA, MICRO_GAP, MAX_GAP_ANGLE = (150.0, 180.0), 5.0, 135.0, 15.0, 30.0
+
+
+def profile_distance(distance: Column) -> Column:
+    return (F.abs(distance - PROFILE_DISTANCES[0]) <= PROFILE_TOLERANCE) | (F.abs(distance - PROFILE_DISTANCES[1]) <= PROFILE_TOLERANCE)
 
 
 def is_wall_offset_profile(distance: Column, delta: Column) -> Column:
-    near = (F.abs(distance - 150) <= 5) | (F.abs(distance - 180) <= 5)
-    return near & (delta >= 135)
+    return profile_distance(distance) & F.coalesce(delta >= PROFILE_DELTA, F.lit(False))
+
+
+def aligned(delta: Column, max_angle: float = MAX_GAP_ANGLE) -> Column:
+    """Bearings that run alike (five degrees are forgiven), at a right angle, or against each other."""
+    return (delta <= max_angle + 5) | (F.abs(delta - 90) <= 5) | (F.abs(delta - 180) <= 5)
 
 
-def is_micro_gap(distance: Column, delta: Column, limit: float = 15.0) -> Column:
-    fits = (delta <= 30) | (F.abs(delta - 90) <= 15) | (delta >= 150)
-    return (distance <= limit) & F.coalesce(fits, F.lit(True))
+def is_micro_gap(distance: Column, delta: Column, limit: float = MICRO_GAP, max_angle: float = MAX_GAP_ANGLE) -> Column:
+    return (distance <= limit) & F.coalesce(aligned(delta, max_angle), F.lit(True))
 
 
-def bridge_cost(distance: Column, delta: Column, max_angle: float = 45.0) -> Column:
-    """Aligned ends and ends that face each other are cheaper; a wall-offset profile has a cap."""
-    plain = F.when(delta.isNull(), distance).when(delta <= max_angle, distance * ALIGNED).when(delta >= 135, distance * LARGE_DELTA).otherwise(distance)
-    capped = F.when(delta >= 175, distance * FACING).otherwise(F.least(plain, distance * PROFILE_CAP))
-    return F.when(F.coalesce(is_wall_offset_profile(distance, delta), F.lit(False)), capped).otherwise(plain)
+def bridge_cost(distance: Column, delta: Column, max_angle: float = MAX_GAP_ANGLE) -> Column:
+    """Ends that face each other over a profile distance cost next to nothing; aligned ends and large turns are cheaper than others; any
+    profile distance has a cap. A null delta is an end without bearing."""
+    facing = (F.abs(delta - 180) <= 5) & profile_distance(distance)
+    plain = F.when(aligned(delta, max_angle), distance * ALIGNED).when(delta > max_angle + 45, distance * LARGE_DELTA).otherwise(distance)
+    return F.when(facing, F.lit(FACING)).when(profile_distance(distance), F.least(plain, distance * PROFILE_CAP)).otherwise(plain)
+
+
+def point_segment_square(x: Column, y: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """Squared distance of a point and a segment; whole where all numbers are and the segment runs along an axis."""
+    x, y, ax, ay, bx, by = (c.cast("double") for c in (x, y, ax, ay, bx, by))
+    dx, dy = bx - ax, by - ay
+    along, length = (x - ax) * dx + (y - ay) * dy, dx * dx + dy * dy
+    square = lambda u, v: u * u + v * v
+    cross = dx * (y - ay) - dy * (x - ax)
+    return F.when(along <= 0, square(x - ax, y - ay)).when(along >= length, square(x - bx, y - by)).otherwise(cross * cross / F.nullif(length, F.lit(0.0)))
 
 
 def suggested_threshold(distance: Column, threshold: float) -> Column:
@@ -156,23 +175,22 @@ def suggested_threshold(distance: Column, threshold: float) -> Column:
 
 
 def clip_rect_area(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """Area of a ring inside an axis-aligned rectangle: four half-plane clips."""
-    out = ring
-    for axis, bound, low in (("x", x0, True), ("x", x1, False), ("y", y0, True), ("y", y1, False)):
-        out = _half_plane(out, axis, bound, low)
-    return F.when(F.size(out) < 3, F.lit(0.0)).otherwise(ring_area(out))
+    """Area of a ring inside an axis-aligned rectangle: four half-plane clips, folded over the ring so that no step repeats those before it."""
+    plane = lambda upright, bound, low: F.struct(F.lit(upright).alias("upright"), bound.cast("double").alias("bound"), F.lit(low).alias("low"))
+    planes = F.array(plane(True, x0, True), plane(True, x1, False), plane(False, y0, True), plane(False, y1, False))
+    plain = F.transform(ring, lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
+    return F.aggregate(planes, plain, _half_plane, lambda out: F.when(F.size(out) < 3, F.lit(0.0)).otherwise(ring_area(out)))
 
 
-def _half_plane(ring: Column, axis: str, bound: Column, low: bool) -> Column:
-    other = "y" if axis == "x" else "x"
-    bound = bound.cast("double")
-    inside = (lambda p: p[axis] >= bound) if low else (lambda p: p[axis] <= bound)
+def _half_plane(ring: Column, plane: Column) -> Column:
+    """The part of a ring on the inner side of a line along an axis."""
+    at = lambda p: F.when(plane["upright"], p["x"]).otherwise(p["y"])
+    inside = lambda p: F.when(plane["low"], at(p) >= plane["bound"]).otherwise(at(p) <= plane["bound"])
 
     def step(s: Column) -> Column:
         a, b = s["a"], s["b"]
-        t = (bound - a[axis]) / F.nullif(b[axis] - a[axis], F.lit(0.0))
-        cut = {axis: bound, other: a[other] + t * (b[other] - a[other])}
-        crossing = F.struct(cut["x"].alias("x"), cut["y"].alias("y"))
+        t = (plane["bound"] - at(a)) / F.nullif(at(b) - at(a), F.lit(0.0))
+        crossing = F.struct(F.when(plane["upright"], plane["bound"]).otherwise(a["x"] + t * (b["x"] - a["x"])).alias("x"), F.when(plane["upright"], a["y"] + t * (b["y"] - a["y"])).otherwise(plane["bound"]).alias("y"))
         none = F.slice(ring, 1, 0)
         return F.when(inside(a) & inside(b), F.array(b)).when(inside(a), F.array(crossing)).when(inside(b), F.array(crossing, b)).otherwise(none)
 

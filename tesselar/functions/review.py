@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 #: Supported entity types, layer hints and detail layers.
 SUPPORTED = ["LINE", "LWPOLYLINE", "POLYLINE", "ARC"]
-ANNOTATION_HINTS = ["TEXT", "NOTE", "DIM", "ANNO", "TITLE", "HATCH", "VIEWPORT", "DEFPOINTS"]
-STRUCTURAL = ["S-FNDN-1", "S-BEAM-1", "A-WALL", "A-WALL-2", "WALL"]
-CROSS_PREFIX = [("S-FNDN", "S-BEAM"), ("S-FNDN", "A-WALL")]
+ANNOTATION_HINTS = ["DIM", "TEXT", "HATCH", "DEFPOINT", "ANNOTATION", "NOTE", "GRID", "AXIS", "TITLE", "VIEWPORT", "NO_PLOT"]
+STRUCTURAL = ["S-FNDN-1", "S-BEAM-1", "S-BEAM-2", "A-WALL", "A-WALL-2", "A-WALL-3"]
+CROSS_PREFIX = [("S-FNDN-1", "S-BEAM"), ("S-FNDN-1", "A-WALL"), ("S-BEAM", "A-WALL")]
+DETAIL_PREFIX = "A-DETL"
 REVIEW_STATUSES = ["pending", "approved", "rejected", "needs_review"]
 UNITS = {"mm": 0.001, "cm": 0.01, "m": 1.0}
 
@@ -38,11 +39,13 @@ def layer_kept(layer: Column, include: list[str], ignore: list[str]) -> Column:
 
 
 def structural(layer: Column) -> Column:
-    return layer.isin(*STRUCTURAL) & ~layer.contains("DETL")
+    name = F.upper(F.coalesce(layer, F.lit("0")))
+    return name.isin(*STRUCTURAL) & ~name.startswith(DETAIL_PREFIX)
 
 
 def tier2_layer_pair(a: Column, b: Column) -> Column:
-    """Both structural, and one layer or prefixes that may meet."""
+    """Both structural, and one layer or prefixes that may meet, whatever the case."""
+    a, b = F.upper(F.coalesce(a, F.lit("0"))), F.upper(F.coalesce(b, F.lit("0")))
     pair = F.lit(False)
     for p, q in CROSS_PREFIX:
         pair = pair | (a.startswith(p) & b.startswith(q)) | (a.startswith(q) & b.startswith(p))

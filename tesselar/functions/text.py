@@ -29,7 +29,8 @@ def layer_pair_text(a: Column, b: Column) -> Column:
 
 
 def gap_reason_text(status: Column, distance: Column, reason: Column) -> Column:
-    return F.concat_ws("; ", status, F.concat(F.lit("distance "), distance.cast("string")), reason)
+    """Parts that are null are left out."""
+    return F.concat_ws("; ", F.concat(F.lit("Gap status: "), status), F.concat(F.lit("distance="), F.round(distance, 3).cast("string")), F.concat(F.lit("failure_reason="), reason))
 
 
 def truncate_ellipsis(text: Column, n: int = 60) -> Column:

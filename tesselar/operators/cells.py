@@ -47,3 +47,31 @@ def boxes_meet(a: DataFrame, b: DataFrame, size: float, keys: tuple[str, ...] =
 def renamed(df: DataFrame, prefix: str, *keep: str) -> DataFrame:
     """Columns with a prefix, but for those to keep."""
     return df.select(*(F.col(c) if c in keep else F.col(c).alias(prefix + c) for c in df.columns))
+
+
+def widening(rows: DataFrame, ids: list[str], found, first: float, extent: float, steps, factor: float = 4.0) -> DataFrame:
+    """Answers of ``found(rows, reach)`` (one row by id at most, complete within the reach) for a reach that grows until no row is left without
+    one or the reach passes the tables' extent. Rows that have an answer do not search again."""
+    left, parts, reach = rows, [], first
+    while True:
+        best = steps.cut(found(left, reach))
+        parts.append(best)
+        if reach > extent:
+            break
+        left = steps.cut(left.join(best.select(*ids), ids, "left_anti"))
+        if left.isEmpty():
+            break
+        reach *= factor
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def extent(*tables: DataFrame) -> float:
+    """The diagonal of the box around all points (x, y)."""
+    both = tables[0].select("x", "y")
+    for t in tables[1:]:
+        both = both.unionByName(t.select("x", "y"))
+    r = both.agg(F.max("x"), F.min("x"), F.max("y"), F.min("y")).first()
+    return float(((r[0] - r[1]) ** 2 + (r[2] - r[3]) ** 2) ** 0.5) if r[0] is not None else 0.0

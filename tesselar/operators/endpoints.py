@@ -50,25 +50,20 @@ def gap_candidates(segments: DataFrame, tier1: float = 500.0, tier2: float | Non
     return found.withColumn("profile", profile).withColumn("micro", G.is_micro_gap(F.col("distance"), F.col("delta"))).withColumn("cost", price)
 
 
-def nearest_other(free: DataFrame, reach: float) -> DataFrame:
-    """For each free end the nearest one of another segment within reach, ties to the smaller point; null without one.
+def nearest_other(free: DataFrame) -> DataFrame:
+    """For each free end the nearest one of another segment of its drawing, however far, ties to the smaller point; null if there is none."""
+    from tesselar.operators.cells import extent, widening
+    from tesselar.operators.state import Steps
 
-    Rings of cells grow by doubling up to ``reach``: ends that have a neighbour within half the reach are settled first.
-    """
     key = ["drawing_id", "x", "y"]
-    left, parts, step = free, [], reach / 4
-    while step <= reach:
+    b = free.select("drawing_id", F.col("x").alias("bx"), F.col("y").alias("by"), F.col("seg_id").alias("bseg"))
+
+    def found(left: DataFrame, reach: float) -> DataFrame:
         a = left.select("drawing_id", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("seg_id").alias("aseg"))
-        b = free.select("drawing_id", F.col("x").alias("bx"), F.col("y").alias("by"), F.col("seg_id").alias("bseg"))
-        near = near_points(a, b, step).where("aseg <> bseg")
-        best = near.groupBy("drawing_id", F.col("ax").alias("x"), F.col("ay").alias("y")).agg(F.min(F.struct("d2", "bx", "by")).alias("n")).select(*key, "n.*")
-        parts.append(best)
-        left = left.join(best.select(*key), key, "left_anti")
-        step *= 2
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return free.join(out, key, "left")
+        near = near_points(a, b, reach).where("aseg <> bseg")
+        return near.groupBy("drawing_id", F.col("ax").alias("x"), F.col("ay").alias("y")).agg(F.min(F.struct("d2", "bx", "by")).alias("n")).select(*key, "n.*")
+
+    return free.join(widening(free, key, found, 500.0, extent(free), Steps(free.sparkSession)), key, "left")
 
 
 def unique_pairs(candidates: DataFrame) -> DataFrame:

@@ -1,38 +1,106 @@
-"""Choosing bridges: unique pairs, profile and micro-gap phases, rounds of mutual best pairs, crossing checks."""
+"""Choosing bridges: unique pairs, profile and micro-gap phases, exact matching of small groups of ends, rounds of mutual best pairs, crossing checks."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesselar.operators.cells import boxes_meet
 from tesselar.operators.endpoints import unique_pairs, without_used
+from tesselar.operators.graph import components
 from tesselar.operators.state import Steps
 
 KEY = ["drawing_id", "ax", "ay", "bx", "by"]
+COLUMNS = [*KEY, "distance", "cost", "profile"]
+#: Ends of a connected group of candidates up to which it is matched exactly.
+EXACT = 12
 
 
 def mutual_pairs(candidates: DataFrame) -> DataFrame:
     """Rounds: every end names its best candidate (profile first, then cost, then points); a pair named from both ends is taken.
 
-    The best remaining candidate of all is always taken, so every round makes progress; drawings without one drop out.
+    The best remaining candidate of all is always taken, so every round makes progress; drawings without one drop out. A round is one job:
+    it writes what is taken and what stays open, and counts the latter.
     """
     steps = Steps(candidates.sparkSession)
     profile = F.col("profile") if "profile" in candidates.columns else F.lit(False)
-    left = steps.cut(candidates.select(*KEY, "distance", "cost", profile.alias("profile")))
-    taken = []
-    while not left.isEmpty():
+    flags = [F.lit(False).alias("taken"), F.lit(True).alias("open")]
+    left, n = steps.cut_and_count(candidates.select(*KEY, "distance", "cost", profile.alias("profile"), *flags), F.lit(True))
+    out = left.where("taken")
+    while n:
         rank = F.struct((~F.col("profile")).alias("p"), F.round("cost", 9).alias("c"), *KEY[1:])
-        sides = [left.groupBy("drawing_id", F.col(f"{s}x").alias("x"), F.col(f"{s}y").alias("y")).agg(F.min(rank).alias("best")) for s in "ab"]
-        best = sides[0].unionByName(sides[1]).groupBy("drawing_id", "x", "y").agg(F.min("best").alias("best"))
+        sides = [left.select("drawing_id", F.col(f"{s}x").alias("x"), F.col(f"{s}y").alias("y"), rank.alias("r")) for s in "ab"]
+        best = sides[0].unionByName(sides[1]).groupBy("drawing_id", "x", "y").agg(F.min("r").alias("best"))
         named = best.groupBy("drawing_id", *(F.col(f"best.{c}").alias(c) for c in KEY[1:])).count().where("count = 2").drop("count")
-        now = steps.cut(left.join(named, KEY, "left_semi"))
-        taken.append(now)
-        left = steps.cut(without_used(left, now))
-    out = left
-    for t in taken:
-        out = out.unionByName(t)
-    return out.select(*KEY, "distance", "cost", "profile")
+        used = named.select("drawing_id", F.explode(F.array(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y")))).alias("e")).select("drawing_id", "e.x", "e.y", F.lit(True).alias("u"))
+        now = left.drop("taken", "open").join(named.withColumn("taken", F.lit(True)), KEY, "left")
+        for p in "ab":
+            now = now.join(used.withColumnsRenamed({"x": f"{p}x", "y": f"{p}y", "u": f"u{p}"}), ["drawing_id", f"{p}x", f"{p}y"], "left")
+        now = now.withColumns({"taken": F.coalesce("taken", F.lit(False)), "open": F.col("ua").isNull() & F.col("ub").isNull()}).where("taken or open")
+        now, n = steps.cut_and_count(now.select(*COLUMNS, "taken", "open"), F.col("open"))
+        out = out.unionByName(now.where("taken"))
+        left = now.where("open")
+    return out.select(*COLUMNS)
+
+
+def best_matching(edges: list[tuple[int, int, bool, float]], n: int) -> list[int]:
+    """Places of the edges (end, end, profile, cost) of the best matching of n ends: most pairs, then most profiles, then least cost, then first places."""
+    at: list[list[int]] = [[] for _ in range(n)]
+    for k, (a, b, _, _) in enumerate(edges):
+        at[a].append(k)
+        at[b].append(k)
+
+    @lru_cache(maxsize=None)
+    def best(free: int) -> tuple[int, int, float, tuple[int, ...]]:
+        if not free:
+            return 0, 0, 0.0, ()
+        low = (free & -free).bit_length() - 1
+        top = best(free & ~(1 << low))
+        for k in at[low]:
+            a, b, profile, cost = edges[k]
+            other = b if a == low else a
+            if free >> other & 1:
+                pairs, profiles, less, chosen = best(free & ~(1 << low) & ~(1 << other))
+                mine = (pairs + 1, profiles + profile, round(less - cost, 9), tuple(sorted((*chosen, k))))
+                if mine[:3] > top[:3] or (mine[:3] == top[:3] and mine[3] < top[3]):
+                    top = mine
+        return top
+
+    return list(best((1 << n) - 1)[3])
+
+
+def match_exact(grouped: DataFrame) -> DataFrame:
+    """Candidates with ``grp``, a small connected group each: the best matching of every group."""
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        keep = []
+        for _, g in pdf.groupby("grp", sort=False):
+            g = g.sort_values(KEY)
+            ends: dict[tuple, int] = {}
+            edges = []
+            for r in g.itertuples():
+                a, b = (ends.setdefault(p, len(ends)) for p in ((r.ax, r.ay), (r.bx, r.by)))
+                edges.append((a, b, bool(r.profile), float(r.cost)))
+            keep += [g.index[k] for k in best_matching(edges, len(ends))]
+        return pdf.loc[keep, COLUMNS]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in parts:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            last = pdf["grp"] == pdf["grp"].iloc[-1] if len(pdf) else None
+            if last is not None:
+                held = pdf[last]
+                yield solve(pdf[~last])
+        if held is not None:
+            yield solve(held)
+
+    rows = grouped.select("grp", *COLUMNS).repartition("grp").sortWithinPartitions("grp")
+    return rows.mapInPandas(run, grouped.select(*COLUMNS).schema)
 
 
 def augmented(candidates: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -63,12 +131,25 @@ def augmented(candidates: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def match_general(candidates: DataFrame, rounds: int = 2) -> DataFrame:
-    chosen = mutual_pairs(candidates)
+    """Most pairs, and of these the cheapest, in every connected group of at most EXACT ends; in larger ones mutual best pairs with swaps that win one more.
+
+    The large groups are not guaranteed the most pairs: that takes a search over the whole group, which does not split into tasks.
+    """
     steps = Steps(candidates.sparkSession)
-    full = steps.cut(candidates.select(*KEY, "distance", "cost", "profile"))
+    full = steps.cut(candidates.select(*COLUMNS))
+    end = lambda p: F.struct("drawing_id", F.col(f"{p}x").alias("x"), F.col(f"{p}y").alias("y"))
+    links = full.select(end("a").alias("a"), end("b").alias("b"))
+    nodes = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
+    label = components(nodes, links, steps)
+    size = label.groupBy("label").agg(F.count("*").alias("n"))
+    grouped = full.withColumn("a", end("a")).join(label.select(F.col("id").alias("a"), "label"), "a").join(size, "label")
+    grouped = steps.cut(grouped.select(*COLUMNS, F.xxhash64("label").alias("grp"), F.struct("label.*").alias("label"), "n"))
+    small = match_exact(grouped.where(F.col("n") <= EXACT))
+    rest = grouped.where(F.col("n") > EXACT).select(*COLUMNS)
+    chosen = mutual_pairs(rest)
     for _ in range(rounds):
-        chosen = steps.cut(augmented(full, chosen))
-    return chosen
+        chosen = steps.cut(augmented(rest, chosen))
+    return small.unionByName(chosen)
 
 
 def match_phased(candidates: DataFrame) -> DataFrame:

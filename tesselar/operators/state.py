@@ -5,7 +5,8 @@ from __future__ import annotations
 import atexit
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 class Steps:
@@ -32,3 +33,24 @@ class Steps:
         path = f"{self.path}/{self.n}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
+
+    def cut_and_count(self, df: DataFrame, condition) -> tuple[DataFrame, int]:
+        """The written rows, and for how many the condition holds, counted while they are written."""
+        seen = Observation()
+        out = self.cut(df.observe(seen, F.count_if(condition).alias("n")))
+        return out, seen.get["n"]
+
+
+_shared: dict[tuple, DataFrame] = {}
+
+
+def shared(name: str, make, *inputs: DataFrame) -> DataFrame:
+    """``make(*inputs)`` written once in a session for these inputs: queries that build on it read the table.
+
+    Inputs are told by their plans and files. The files are taken as fixed while a session lasts.
+    """
+    spark = inputs[0].sparkSession
+    key = (spark.sparkContext.applicationId, name, *((d.semanticHash(), *sorted(d.inputFiles())) for d in inputs))
+    if key not in _shared:
+        _shared[key] = Steps(spark).cut(make(*inputs))
+    return _shared[key]

@@ -16,6 +16,7 @@ from pyspark.sql.types import DoubleType
 from tesselar.functions import geom as G
 from tesselar.operators import endpoints as E
 from tesselar.operators.cells import boxes_meet, points_in_boxes, renamed
+from tesselar.operators.graph import components
 from tesselar.operators.matching import KEY, match_adopt, not_crossing
 from tesselar.operators.state import Steps
 
@@ -66,9 +67,12 @@ def polygon_overlap(a: Column, b: Column) -> Column:
 
 
 def convex_hulls(points: DataFrame) -> DataFrame:
-    """drawing_id and the ring of its points' hull (monotone chain). A drawing's points are pre-reduced to extremes by row."""
-    low = points.groupBy("drawing_id", "y").agg(F.min("x").alias("a"), F.max("x").alias("b"))
-    return low.groupBy("drawing_id").applyInPandas(_hull, "drawing_id long, ring array<struct<x:double,y:double>>")
+    """drawing_id and the ring of its points' hull (monotone chain): hulls of parts first, then the hull of their corners."""
+    low = points.groupBy("drawing_id", "y").agg(F.min("x").alias("a"), F.max("x").alias("b")).withColumn("part", F.pmod(F.xxhash64("y"), F.lit(32)))
+    schema = "drawing_id long, ring array<struct<x:double,y:double>>"
+    parts = low.groupBy("drawing_id", "part").applyInPandas(_hull, schema).select("drawing_id", F.explode("ring").alias("p"))
+    corners = parts.select("drawing_id", F.col("p.y").alias("y"), F.col("p.x").alias("a"), F.col("p.x").alias("b"))
+    return corners.groupBy("drawing_id").applyInPandas(_hull, schema)
 
 
 def _hull(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -115,23 +119,6 @@ def node_edges(segments: DataFrame, cell: float = 1000.0) -> DataFrame:
 EDGE = ["drawing_id", "ux", "uy", "vx", "vy"]
 
 
-def without_dangles(edges: DataFrame, steps: Steps) -> DataFrame:
-    """Edges left after those with a free end are taken away, again and again."""
-    left = steps.cut(edges)
-    n = left.count()
-    while n:
-        ends = left.select("drawing_id", F.explode(F.array(F.struct(F.col("ux").alias("x"), F.col("uy").alias("y")), F.struct(F.col("vx").alias("x"), F.col("vy").alias("y")))).alias("e"))
-        lone = ends.groupBy("drawing_id", "e.x", "e.y").count().where("count = 1").drop("count")
-        for p in "uv":
-            left = left.join(lone.withColumnsRenamed({"x": f"{p}x", "y": f"{p}y"}), ["drawing_id", f"{p}x", f"{p}y"], "left_anti")
-        left = steps.cut(left.select(*EDGE))
-        now = left.count()
-        if now == n:
-            break
-        n = now
-    return left
-
-
 def half_edges(edges: DataFrame) -> DataFrame:
     """Both directions of every edge (id h) with the next half-edge of its face."""
     two = edges.unionByName(edges.select("drawing_id", F.col("vx").alias("ux"), F.col("vy").alias("uy"), F.col("ux").alias("vx"), F.col("uy").alias("vy")))
@@ -150,25 +137,30 @@ def cycles(halves: DataFrame, steps: Steps) -> DataFrame:
     now = steps.cut(halves.select("drawing_id", "h", "next", F.col("h").alias("cycle")))
     while True:
         ahead = now.select("drawing_id", F.col("h").alias("next"), F.col("next").alias("far"), F.col("cycle").alias("c2"))
-        moved = steps.cut(now.join(ahead, ["drawing_id", "next"]).select("drawing_id", "h", F.col("far").alias("next"), F.least("cycle", "c2").alias("cycle"), (F.col("cycle") != F.col("c2")).alias("moving")))
+        moved = now.join(ahead, ["drawing_id", "next"]).select("drawing_id", "h", F.col("far").alias("next"), F.least("cycle", "c2").alias("cycle"), (F.col("cycle") != F.col("c2")).alias("moving"))
+        moved, n = steps.cut_and_count(moved, F.col("moving"))
         now = moved.drop("moving")
-        if moved.where("moving").isEmpty():
+        if not n:
             return now.drop("next")
 
 
 def traced(edges: DataFrame, steps: Steps) -> DataFrame:
-    """Half-edges with their cycle; dangles and edges with one face on both sides are gone."""
-    left = without_dangles(edges, steps)
-    while True:
-        halves = steps.cut(half_edges(left))
+    """Half-edges with their cycle, without dangles and other edges that have one face on both sides.
+
+    Such an edge is in one cycle with both directions. They are the bridges of the graph, whole trees of dangles among them; when all are
+    taken away at once no new one comes up, so the cycles are traced twice at most.
+    """
+    for _ in range(2):
+        halves = steps.cut(half_edges(edges))
         ring = steps.cut(halves.join(cycles(halves, steps), ["drawing_id", "h"]))
         low = F.least(F.struct(F.col("ux").alias("x"), F.col("uy").alias("y")), F.struct(F.col("vx").alias("x"), F.col("vy").alias("y")))
         high = F.greatest(F.struct(F.col("ux").alias("x"), F.col("uy").alias("y")), F.struct(F.col("vx").alias("x"), F.col("vy").alias("y")))
         same = ring.groupBy("drawing_id", "cycle", low.alias("a"), high.alias("b")).count().where("count = 2")
-        same = steps.cut(same.select("drawing_id", F.col("a.x").alias("ux"), F.col("a.y").alias("uy"), F.col("b.x").alias("vx"), F.col("b.y").alias("vy")))
-        if same.isEmpty():
-            return ring
-        left = without_dangles(left.join(same, EDGE, "left_anti"), steps)
+        same, n = steps.cut_and_count(same.select("drawing_id", F.col("a.x").alias("ux"), F.col("a.y").alias("uy"), F.col("b.x").alias("vx"), F.col("b.y").alias("vy")), F.lit(True))
+        if not n:
+            break
+        edges = steps.cut(edges.join(same, EDGE, "left_anti"))
+    return ring
 
 
 def polygonize(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -246,16 +238,10 @@ def snap_endpoints(segments: DataFrame, tolerance: float = 1.0) -> DataFrame:
     ends = E.ends(segments).groupBy("drawing_id", "x", "y").agg(F.count("*").alias("n"))
     side = lambda p: ends.select("drawing_id", F.col("x").alias(f"{p}x"), F.col("y").alias(f"{p}y"))
     near = steps.cut(near_points(side("a"), side("b"), tolerance).select("drawing_id", F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")).alias("p"), F.struct(F.col("bx").alias("x"), F.col("by").alias("y")).alias("q")))
-    label = steps.cut(ends.select("drawing_id", F.struct("x", "y").alias("p"), F.struct("x", "y").alias("l"), "n"))
-    while True:
-        own = label.select("drawing_id", F.col("p").alias("q"), F.col("l").alias("lq"))
-        best = near.join(own, ["drawing_id", "q"]).groupBy("drawing_id", "p").agg(F.min("lq").alias("m"))
-        hooked = label.join(best, ["drawing_id", "p"]).select("drawing_id", "p", "n", "l", F.least("l", "m").alias("m"))
-        jump = hooked.select("drawing_id", F.col("p").alias("m"), F.col("m").alias("far"))
-        moved = steps.cut(hooked.join(jump, ["drawing_id", "m"]).select("drawing_id", "p", "n", F.least("m", "far").alias("m"), (F.least("m", "far") != F.col("l")).alias("moving")))
-        label = moved.select("drawing_id", "p", F.col("m").alias("l"), "n")
-        if moved.where("moving").isEmpty():
-            break
+    end = lambda p: F.struct("drawing_id", F.col(f"{p}.x").alias("x"), F.col(f"{p}.y").alias("y"))
+    found = components(ends.select(F.struct("drawing_id", "x", "y").alias("id")), near.where("p <> q").select(end("p").alias("a"), end("q").alias("b")), steps)
+    label = found.select("id.drawing_id", F.struct("id.x", "id.y").alias("p"), F.struct("label.x", "label.y").alias("l"))
+    label = label.join(ends.select("drawing_id", F.struct("x", "y").alias("p"), "n"), ["drawing_id", "p"])
     mean = lambda c: F.sum(F.col(f"p.{c}") * F.col("n")) / F.sum("n")
     to = label.groupBy("drawing_id", "l").agg(mean("x").alias("nx"), mean("y").alias("ny"))
     place = label.join(to, ["drawing_id", "l"]).select("drawing_id", F.col("p.x").alias("x"), F.col("p.y").alias("y"), "nx", "ny")
@@ -280,15 +266,29 @@ def with_bridges(segments: DataFrame, bridges: DataFrame) -> DataFrame:
     return segments.select("drawing_id", "seg_id", "x1", "y1", "x2", "y2", "layer").unionByName(new)
 
 
+def renoded(segments: DataFrame) -> DataFrame:
+    """Segments cut at all their crossings, each part with the layer of its segment (the first of several that lie on one another)."""
+    steps = Steps(segments.sparkSession)
+    own = steps.cut(segments.select("drawing_id", "seg_id", "x1", "y1", "x2", "y2", "layer"))
+    edges = steps.cut(node_edges(own).select("drawing_id", *((F.col(c) / float(SCALE)).alias(c) for c in EDGE[1:])))
+    # a part lies on its segment: both meet where the part's middle is
+    middle = edges.withColumns({"x": (F.col("ux") + F.col("vx")) / 2, "y": (F.col("uy") + F.col("vy")) / 2})
+    box = own.select("drawing_id", "layer", *(F.col(a).cast("double").alias(b) for a, b in zip(("x1", "y1", "x2", "y2"), ("sx", "sy", "ex", "ey"), strict=True)))
+    box = box.withColumns({f"{c}0": F.least(f"s{c}", f"e{c}") for c in "xy"} | {f"{c}1": F.greatest(f"s{c}", f"e{c}") for c in "xy"})
+    hit = points_in_boxes(middle, box, 2000.0, pad=1.0 / SCALE).where(G.point_segment_square(*(F.col(c) for c in ("x", "y", "sx", "sy", "ex", "ey"))) <= (1.0 / SCALE) ** 2)
+    rows = hit.groupBy("drawing_id", *EDGE[1:]).agg(F.min(F.when(F.col("layer") != "GAP_BRIDGE", F.col("layer"))).alias("layer"))
+    return rows.select("drawing_id", F.xxhash64("drawing_id", *EDGE[1:]).alias("seg_id"), F.col("ux").alias("x1"), F.col("uy").alias("y1"), F.col("vx").alias("x2"), F.col("vy").alias("y2"), F.coalesce("layer", F.lit("GAP_BRIDGE")).alias("layer"))
+
+
 def iterative_close(segments: DataFrame, tier1: float = 500.0, passes: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Closes, and closes again what that leaves, at most so many passes; and a row by drawing and pass of what was closed."""
+    """Closes, cuts at crossings, and closes again what that leaves or lays open, at most so many passes; and a row by drawing and pass."""
     steps = Steps(segments.sparkSession)
     now, history = segments, []
     for k in range(passes):
         bridges = steps.cut(close_gaps(now, tier1))
         closed = bridges.groupBy("drawing_id").agg(F.count("*").alias("closed"))
         before = E.free_ends(now).groupBy("drawing_id").agg(F.count("*").alias("free_before"))
-        now = steps.cut(with_bridges(now, bridges))
+        now = steps.cut(renoded(with_bridges(now, bridges)))
         after = E.free_ends(now).groupBy("drawing_id").agg(F.count("*").alias("free_after"))
         row = before.join(closed, "drawing_id", "left").join(after, "drawing_id", "left").na.fill(0)
         history.append(row.select("drawing_id", F.lit(k + 1).alias("pass"), "closed", "free_before", "free_after"))
@@ -311,3 +311,31 @@ def seeds_in_faces(seeds: DataFrame, faces: DataFrame, outlines: DataFrame) -> D
     return inside.groupBy("drawing_id", "seed_id").agg(F.min(F.struct("area", "face")).alias("f")).select("drawing_id", "seed_id", "f.face", "f.area")
 
 
+
+
+def slab_outlines(segments: DataFrame, least: float = 1e8) -> DataFrame:
+    """drawing_id, method, area, perimeter of the outline that a layer's segments give.
+
+    Gaps are closed and faces traced; faces of 100 m2 and more (in drawing units) are united, and the largest connected part is the outline. Drawings without such a
+    face get the convex hull of their ends.
+    """
+    steps = Steps(segments.sparkSession)
+    own = steps.cut(segments)
+    lines = steps.cut(with_bridges(own, close_gaps(own)))
+    found, outlines = polygonize(node_edges(lines))
+    large = steps.cut(found.where(F.col("area") >= least).select("drawing_id", "face", "area"))
+    low = F.least(F.struct("ux", "uy"), F.struct(F.col("vx").alias("ux"), F.col("vy").alias("uy")))
+    high = F.greatest(F.struct("ux", "uy"), F.struct(F.col("vx").alias("ux"), F.col("vy").alias("uy")))
+    sides = outlines.join(large.select("drawing_id", "face"), ["drawing_id", "face"]).groupBy("drawing_id", low.alias("u"), high.alias("v")).agg(F.min("face").alias("a"), F.max("face").alias("b"))
+    name = lambda c: F.struct("drawing_id", F.col(c).alias("face"))
+    part = components(large.select(name("face").alias("id")), sides.where("a <> b").select(name("a").alias("a"), name("b").alias("b")), steps)
+    part = part.select("id.drawing_id", "id.face", F.col("label.face").alias("grp"))
+    united = large.join(part, ["drawing_id", "face"]).groupBy("drawing_id", "grp").agg(F.sum("area").alias("area"), F.count("*").alias("n"))
+    best = united.groupBy("drawing_id").agg(F.max(F.struct("area", "grp")).alias("m"), F.sum("n").alias("n")).select("drawing_id", "m.area", "m.grp", "n")
+    long = F.hypot((F.col("vx") - F.col("ux")).cast("double"), (F.col("vy") - F.col("uy")).cast("double")) / float(SCALE)
+    around = dissolve_edges(outlines, part).groupBy("drawing_id", "grp").agg(F.sum(long).alias("perimeter"))
+    closed = best.join(around, ["drawing_id", "grp"]).select("drawing_id", F.when(F.col("n") > 1, "polygonize_union").otherwise("polygonize").alias("method"), "area", "perimeter")
+    closed = steps.cut(closed)
+    hull = convex_hulls(E.ends(own).select("drawing_id", "x", "y").join(closed.select("drawing_id"), "drawing_id", "left_anti"))
+    hull = hull.select("drawing_id", F.lit("convex_hull").alias("method"), G.ring_area(F.col("ring")).alias("area"), G.ring_perimeter(F.col("ring")).alias("perimeter"))
+    return closed.unionByName(hull)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesselar.operators.cells import boxes_meet, renamed
+from tesselar.operators.graph import components
+from tesselar.operators.state import Steps, shared
+
 
 def assign_faces(faces: DataFrame, bays: DataFrame) -> DataFrame:
     """Each face to the bay that it overlaps most, ties to the smaller bay: drawing_id, face_id, bay_id, area."""
@@ -26,8 +30,42 @@ def assign_with_nearest(faces: DataFrame, bays: DataFrame, sliver: int) -> DataF
     return got.withColumn("method", F.lit("max_overlap")).unionByName(near)
 
 
-def zone_rollup(assigned: DataFrame, bay_area: int) -> DataFrame:
-    """By bay: ids of its faces in order, their number and area, and how much of the bay they cover."""
-    return assigned.groupBy("bay_id").agg(
-        F.array_sort(F.collect_list("face_id")).alias("face_ids"), F.count("*").alias("faces"), F.sum("area").alias("area"), F.round(F.sum("area") * 100.0 / bay_area, 2).alias("coverage_pct")
-    )
+def union_area(boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """Area of the union of each key's boxes: strips between neighbouring x, in each the lengths that intervals add to those before."""
+    order = Window.partitionBy(*keys).orderBy("xa")
+    edges = boxes.select(*keys, F.explode(F.array("x0", "x1")).alias("xa")).distinct()
+    strips = edges.withColumn("xb", F.lead("xa").over(order)).where("xb is not null")
+    inside = boxes.join(strips, keys).where("x0 <= xa and x1 >= xb")
+    before = Window.partitionBy(*keys, "xa").orderBy("y0", "y1").rowsBetween(Window.unboundedPreceding, -1)
+    adds = F.greatest(F.lit(0), F.col("y1") - F.greatest("y0", F.coalesce(F.max("y1").over(before), F.col("y0"))))
+    return inside.select(*keys, ((F.col("xb") - F.col("xa")) * adds).alias("a")).groupBy(*keys).agg(F.sum("a").alias("area"))
+
+
+def zone_parts(boxes: DataFrame) -> DataFrame:
+    """(drawing_id, bay_id, face_id, box) with part: boxes of a zone that overlap or share some of an edge are one part."""
+    steps = Steps(boxes.sparkSession)
+    rows = steps.cut(boxes)
+    wide = rows.select("drawing_id", "bay_id", "face_id", *((F.col(c) - 1).alias(c) for c in ("x0", "y0")), *((F.col(c) + 1).alias(c) for c in ("x1", "y1")))
+    near = boxes_meet(renamed(wide, "a", "drawing_id", "bay_id"), renamed(wide, "b", "drawing_id", "bay_id"), 4000, keys=("drawing_id", "bay_id")).where("aface_id < bface_id")
+    over = lambda c: F.least(f"a{c}1", f"b{c}1") - F.greatest(f"a{c}0", f"b{c}0") - 2
+    touch = near.where(((over("x") > 0) & (over("y") >= 0)) | ((over("x") >= 0) & (over("y") > 0)))
+    label = components(rows.select(F.col("face_id").alias("id")), touch.select(F.col("aface_id").alias("a"), F.col("bface_id").alias("b")), steps)
+    return rows.join(label.select(F.col("id").alias("face_id"), F.col("label").alias("part")), "face_id")
+
+
+def zones(faces: DataFrame, bays: DataFrame, sliver: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+    """By drawing and bay: ids of its faces in order, their number and area, and the area of their union's largest part; and the boxes of
+    these parts. Slivers are left out."""
+    parts = shared(f"zone-parts-{sliver}", lambda f, b: _parts(f, b, sliver), faces, bays)
+    each = shared(f"zone-areas-{sliver}", lambda p: union_area(p, ["drawing_id", "bay_id", "part"]), parts)
+    best = each.groupBy("drawing_id", "bay_id").agg(F.max(F.struct("area", (-F.col("part")).alias("p"), "part")).alias("m")).select("drawing_id", "bay_id", "m.area", "m.part")
+    size = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    by = parts.groupBy("drawing_id", "bay_id").agg(F.array_sort(F.collect_list("face_id")).alias("face_ids"), F.count("*").alias("faces"), F.sum(size).alias("face_sum"))
+    boxes = parts.join(best.select("drawing_id", "bay_id", "part"), ["drawing_id", "bay_id", "part"])
+    return by.join(best.drop("part"), ["drawing_id", "bay_id"]), boxes
+
+
+def _parts(faces: DataFrame, bays: DataFrame, sliver: int) -> DataFrame:
+    kept = faces.where((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) >= sliver)
+    got = assign_faces(kept, bays).select("face_id", "bay_id")
+    return zone_parts(kept.join(got, "face_id").select("drawing_id", "bay_id", "face_id", "x0", "y0", "x1", "y1"))

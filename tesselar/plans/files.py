@@ -82,23 +82,26 @@ def read_manifest(zones: DataFrame) -> DataFrame:
     return D.read_manifest(text).select("label", "area_sqm")
 
 
-@query("segments", "seeds", sql="select d.drawing_id, coalesce(m.k, 'default') as manifest from (select distinct drawing_id from segments) d left join (select distinct drawing_id, 'named' as k from seeds where drawing_id % 3 = 0) m on m.drawing_id = d.drawing_id")
-def manifest_match(segments: DataFrame, seeds: DataFrame) -> DataFrame:
-    """By base name in lower case; a default where none has the name."""
+@query("segments", "layer_config", sql="select d.drawing_id, coalesce(m.manifest, 'default') as manifest from (select distinct drawing_id from segments) d left join (select drawing_id, min(layer) as manifest from layer_config group by 1) m on m.drawing_id = d.drawing_id")
+def manifest_match(segments: DataFrame, config: DataFrame) -> DataFrame:
+    """Manifests name a drawing by its base name in any case; a default where none does."""
     name = lambda c: F.lower(F.element_at(F.split(c, "/"), -1))
     own = segments.select("drawing_id").distinct().withColumn("name", name(F.concat(F.lit("in/Plan-"), F.col("drawing_id").cast("string"))))
-    known = seeds.where("drawing_id % 3 = 0").select(name(F.concat(F.lit("PLAN-"), F.col("drawing_id").cast("string"))).alias("name"), F.lit("named").alias("k")).distinct()
-    return own.join(known, "name", "left").select("drawing_id", F.coalesce("k", F.lit("default")).alias("manifest"))
+    known = config.groupBy(name(F.concat(F.lit("PLAN-"), F.col("drawing_id").cast("string"))).alias("name")).agg(F.min("layer").alias("manifest"))
+    return own.join(known, "name", "left").select("drawing_id", F.coalesce("manifest", F.lit("default")).alias("manifest"))
 
 
-@query("segments", "seeds", sql="select s.drawing_id, cast(count(*) as bigint) as n from seeds s where s.drawing_id in (select drawing_id from segments) group by 1")
+NAMED = "select s.drawing_id as seed_drawing, d.drawing_id, cast(s.n as bigint) as n from (select drawing_id, count(*) as n from seeds group by 1) s join (select distinct drawing_id from segments) d on 'plan-' || d.drawing_id || '.dxf' like '%plan-' || s.drawing_id || '%'"
+
+
+@query("segments", "seeds", sql=NAMED)
 def drawing_name_match(segments: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Seeds of drawings by name, whatever the suffix. Distinct names meet, not rows; names are padded, so none is part of another."""
-    name = lambda suffix: F.concat(F.format_string("plan-%05d", "drawing_id"), F.lit(suffix))
-    a = segments.select(F.lit(0).alias("k"), name(".dxf").alias("drawing"), "drawing_id").distinct()
-    counts = seeds.groupBy(name("").alias("seed_drawing")).agg(F.count("*").alias("n")).withColumn("k", F.lit(0))
-    both = a.join(counts, a["k"] == counts["k"]).where(D.drawing_matches(F.col("seed_drawing"), F.col("drawing")))
-    return both.select("drawing_id", "n")
+    """Seeds by drawing name: equal, without the suffix, a beginning, or any part of it (so plan-1 fits plan-12 too)."""
+    name = lambda text, suffix: F.concat(F.lit(text), F.col("drawing_id").cast("string"), F.lit(suffix))
+    drawings = segments.select("drawing_id").distinct().withColumn("drawing", name("Plan-", ".DXF"))
+    asked = seeds.groupBy("drawing_id").agg(F.count("*").alias("n")).select(F.col("drawing_id").alias("seed_drawing_id"), name("plan-", "").alias("seed_drawing"), "n")
+    both = D.match_drawings(asked, drawings)
+    return both.select(F.col("seed_drawing_id").alias("seed_drawing"), "drawing_id", "n")
 
 
 def snapshots(records: DataFrame) -> DataFrame:
@@ -120,23 +123,81 @@ def workspace_quarantine(records: DataFrame) -> DataFrame:
     return D.read_workspace(snapshots(records))[1]
 
 
-@query("records", sql="select drawing_id, version, polygons from (select drawing_id, area_native % 5 as version, cast(count(*) filter (where coalesce(status, 'active') <> 'deleted') as bigint) as polygons from records group by 1, 2) v", name="version_save")
+LIVE = "coalesce(status, 'active') <> 'deleted'"
+SAVED = f"select drawing_id, 1 as version, cast(count(*) filter (where {LIVE}) as bigint) as polygons from records group by 1 union all select drawing_id, 2, cast(count(*) filter (where {LIVE} and source <> 'manual') as bigint) from records group by 1"
+
+
+@query("records", sql=SAVED, name="version_save")
 def version_save(records: DataFrame) -> DataFrame:
-    """Versions (records dealt to five by area) with their number of polygons that are not deleted."""
-    kept = F.count_if(F.coalesce("status", F.lit("active")) != "deleted")
-    return records.groupBy("drawing_id", (F.col("area_native") % 5).alias("version")).agg(kept.alias("polygons"))
+    """Two saves by drawing, the second without manual polygons, appended to a table and read back: versions are numbered by what is there."""
+    return versions(records).select("drawing_id", "version", "polygons")
+
 
+def versions(records: DataFrame) -> DataFrame:
+    from tesselar.operators.state import Steps
 
-@query("review_events", sql="select session_id, event_id, action from (select *, row_number() over (partition by session_id order by ts desc, event_id desc) as r from review_events) t where r = 1")
-def version_load(events: DataFrame) -> DataFrame:
-    """The latest saved row of each session."""
-    last = F.max_by(F.struct("event_id", "action"), F.struct("ts", "event_id"))
-    return events.groupBy("session_id").agg(last.alias("l")).select("session_id", "l.event_id", "l.action")
+    spark = records.sparkSession
+    path = f"{Steps(spark).path}/versions"
+    live = lambda df: df.groupBy(F.col("drawing_id").alias("project")).agg(F.count_if(F.coalesce("status", F.lit("active")) != "deleted").alias("polygons"))
+    S.version_save(live(records), spark.createDataFrame([], "project long, version int"), path)
+    second = records.select("drawing_id", F.when(F.col("source") != "manual", F.coalesce("status", F.lit("active"))).otherwise("deleted").alias("status"))
+    S.version_save(live(second), spark.read.parquet(path), path)
+    return spark.read.parquet(path).select(F.col("project").alias("drawing_id"), "version", "polygons")
 
 
-@query("records", sql="select drawing_id, cast(count(*) as bigint) as polygons, string_agg(distinct zone, ',' order by zone) as zones from records group by 1")
+@query("records", sql=f"select drawing_id, version, polygons from ({SAVED}) v where version = 2")
+def version_load(records: DataFrame) -> DataFrame:
+    """The latest saved version of each drawing."""
+    last = F.max_by(F.struct("version", "polygons"), "version")
+    return versions(records).groupBy("drawing_id").agg(last.alias("l")).select("drawing_id", "l.version", "l.polygons")
+
+
+@query("records", sql=f"select drawing_id, string_agg(version || ':' || polygons, ',' order by version) as versions from ({SAVED}) v group by 1")
 def project_list(records: DataFrame) -> DataFrame:
-    return records.groupBy("drawing_id").agg(F.count("*").alias("polygons"), F.array_join(F.array_sort(F.collect_set("zone")), ",").alias("zones"))
+    """Projects with their versions."""
+    by = versions(records).groupBy("drawing_id").agg(F.array_sort(F.collect_list(F.struct("version", "polygons"))).alias("v"))
+    text = F.transform("v", lambda x: F.concat(x["version"].cast("string"), F.lit(":"), x["polygons"].cast("string")))
+    return by.select("drawing_id", F.array_join(text, ",").alias("versions"))
+
+
+@query("records", sql="select drawing_id as session_id, face_id, status, zone from records")
+def workspace_save(records: DataFrame) -> DataFrame:
+    """Snapshots written by session, then written again (each session replaced as a whole), and read back."""
+    from tesselar.operators.state import Steps
+
+    path = f"{Steps(records.sparkSession).path}/workspaces"
+    rows = records.select(F.col("drawing_id").alias("session_id"), "face_id", "status", "zone")
+    S.workspace_save(rows.withColumn("status", F.lit("stale")), path)
+    S.workspace_save(rows, path)
+    return records.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+@query("segments", sql="select distinct 'plan-' || drawing_id || '.dxf' as name from segments")
+def drawing_catalog(segments: DataFrame) -> DataFrame:
+    """Drawings written as tag files, one folder each, and listed without reading them."""
+    from tesselar.operators.state import Steps
+
+    path = f"{Steps(segments.sparkSession).path}/drawings"
+    texts = drawings(segments).select(F.concat(F.lit("plan-"), F.col("drawing").cast("string"), F.lit(".dxf")).alias("name"), "text")
+    texts.write.partitionBy("name").text(path)
+    found = T.drawing_catalog(segments.sparkSession, path, "*.txt").where("length > 0")
+    return found.select(F.regexp_extract("path", r"name=([^/]+)/", 1).alias("name")).distinct()
+
+
+@query("records", sql="select drawing_id, 'data' as category, count(*) as lines, sha256(string_agg(cast(face_id as varchar) || chr(10), '' order by face_id)) as sha256 from records group by 1")
+def delivery_manifest(records: DataFrame) -> DataFrame:
+    """One file of ids by drawing, written, read back as bytes, and digested."""
+    from tesselar.operators.state import Steps
+
+    spark = records.sparkSession
+    path = f"{Steps(spark).path}/delivery"
+    ids = records.select("drawing_id", F.col("face_id").cast("string").alias("value"), "face_id").repartition("drawing_id").sortWithinPartitions("drawing_id", "face_id")
+    ids.select("drawing_id", "value").write.partitionBy("drawing_id").text(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(path)
+    digest = S.delivery_manifest(files.withColumn("path", F.regexp_replace("path", r"\.txt$", ".json")))
+    lines = F.size(F.split(files["content"].cast("string"), "\n")) - 1
+    counted = files.select(F.regexp_replace("path", r"\.txt$", ".json").alias("path"), lines.cast("bigint").alias("lines"))
+    return digest.join(counted, "path").select(F.regexp_extract("path", r"drawing_id=(\d+)", 1).cast("bigint").alias("drawing_id"), "category", "lines", "sha256")
 
 
 REPORT = "select drawing_id, cast(face_id as varchar) as region, cast((x1 - x0) * (y1 - y0) as bigint) as area, round((x0 + x1) / 2000.0, 4) as cx from faces union all select drawing_id, 'TOTAL', cast(sum((x1 - x0) * (y1 - y0)) as bigint), null from faces group by 1"
@@ -174,15 +235,24 @@ def polygon_json_export(records: DataFrame) -> DataFrame:
     return polygon_csv_export(records).select("face_id", F.to_json(F.struct("face_id", "zone")).alias("json"))
 
 
-@query("segments", sql="select drawing_id, case when d2 <= 62500 then 'within' else 'above' end as status, cast(count(*) as bigint) as gaps, cast(max(d2) as bigint) as widest from candidate_pairs group by 1, 2")
+@query("segments", sql="select drawing_id, status, cast(count(*) as bigint) as gaps, round(max(distance), 3) as widest, cast(count(*) filter (where distance > 500) as bigint) as above from gaps group by 1, 2")
 def gap_report_export(segments: DataFrame) -> DataFrame:
-    from tesselar.operators.endpoints import gap_candidates
+    """The gap report written as Parquet and read back: gaps by drawing and status, the widest, and how many are above the threshold."""
+    from tesselar.operators.gaps import gaps
+    from tesselar.operators.state import Steps
 
-    state = F.when(F.col("d2") <= 62500, "within").otherwise("above")
-    return gap_candidates(segments, 500.0).groupBy("drawing_id", state.alias("status")).agg(F.count("*").alias("gaps"), F.max("d2").alias("widest"))
+    by = gaps(segments).groupBy("drawing_id", "status").agg(F.count("*").alias("gaps"), F.round(F.max("distance"), 3).alias("widest"), F.count_if(F.coalesce(F.col("distance") > 500, F.lit(False))).alias("above"))
+    return Steps(segments.sparkSession).cut(by)
 
 
-@query("records", sql="select drawing_id, json_object('drawing', drawing_id, 'records', cast(count(*) as bigint)) as log from records group by drawing_id")
+@query("records", sql="select drawing_id, json_object('drawing', drawing_id, 'records', cast(count(*) as bigint), 'config', json_object('unit', 'mm', 'threshold', 500)) as log from records group by drawing_id")
 def coverage_log(records: DataFrame) -> DataFrame:
+    """The run's log as JSON with its settings, written as text and read back."""
+    from tesselar.operators.state import Steps
+
+    spark = records.sparkSession
     by = records.groupBy(F.col("drawing_id").alias("drawing")).agg(F.count("*").alias("records"))
-    return by.select(F.col("drawing").alias("drawing_id"), F.to_json(F.struct("drawing", "records")).alias("log"))
+    config = F.struct(F.lit("mm").alias("unit"), F.lit(500).alias("threshold"))
+    path = f"{Steps(spark).path}/log"
+    by.select(F.to_json(F.struct("drawing", "records", config.alias("config"))).alias("value")).write.text(path)
+    return spark.read.text(path).select(F.get_json_object("value", "$.drawing").cast("bigint").alias("drawing_id"), F.col("value").alias("log"))

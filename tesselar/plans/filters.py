@@ -12,7 +12,8 @@ from tesselar.plans.registry import query
 L = "bigint"
 ACTIVE = "coalesce(status, 'active') <> 'deleted' and not coalesce(scope_excluded, false)"
 PARTITION = f"{ACTIVE} and coalesce(geometry_role, 'partition') <> 'obstacle'"
-STRUCT = "{0} in ('S-FNDN-1', 'S-BEAM-1', 'A-WALL', 'A-WALL-2', 'WALL')"
+STRUCT = "upper({0}) in ('S-FNDN-1', 'S-BEAM-1', 'S-BEAM-2', 'A-WALL', 'A-WALL-2', 'A-WALL-3')"
+HINT = "regexp_matches(upper(layer), 'DIM|TEXT|HATCH|DEFPOINT|ANNOTATION|NOTE|GRID|AXIS|TITLE|VIEWPORT|NO_PLOT')"
 
 
 @query("entities", sql="select drawing_id, entity_type, layer, cast(count(*) as bigint) as n from entities where upper(layer) in ('WALL', 'S-FNDN-1', 'S-COLS') and upper(layer) not in ('S-COLS') and entity_type in ('LINE', 'LWPOLYLINE', 'POLYLINE', 'ARC') group by 1, 2, 3")
@@ -110,19 +111,20 @@ def seed_validity(seeds: DataFrame) -> DataFrame:
     return seeds.select("seed_id", (F.row_number().over(Window.partitionBy("drawing_id", *key).orderBy("seed_id")) == 1).alias("valid"))
 
 
-@query("entities", sql="select layer, (upper(layer) like '%TEXT%' or upper(layer) like '%NOTE%' or upper(layer) like '%DIM%') as annotation, cast(count(*) as bigint) as n from entities group by 1, 2")
+@query("entities", sql=f"select layer, {HINT} as annotation, cast(count(*) as bigint) as n from entities group by 1, 2")
 def annotation_layer(entities: DataFrame) -> DataFrame:
     return entities.groupBy("layer", R.annotation_layer(F.col("layer")).alias("annotation")).agg(F.count("*").alias("n"))
 
 
 PAIR_SQL = f"""{STRUCT.format('a')} and {STRUCT.format('b')} and (a = b
-  or (a like 'S-FNDN%' and b like 'S-BEAM%') or (a like 'S-BEAM%' and b like 'S-FNDN%')
-  or (a like 'S-FNDN%' and b like 'A-WALL%') or (a like 'A-WALL%' and b like 'S-FNDN%'))"""
+  or (a like 'S-FNDN-1%' and b like 'S-BEAM%') or (a like 'S-BEAM%' and b like 'S-FNDN-1%')
+  or (a like 'S-FNDN-1%' and b like 'A-WALL%') or (a like 'A-WALL%' and b like 'S-FNDN-1%')
+  or (a like 'S-BEAM%' and b like 'A-WALL%') or (a like 'A-WALL%' and b like 'S-BEAM%'))"""
 
 
 @query("segments", sql=f"select a, b, ({PAIR_SQL}) as allowed from (select distinct layer as a from segments) p join (select distinct layer as b from segments) q on a <= b")
 def tier2_layer_pair(segments: DataFrame) -> DataFrame:
-    """All pairs of the few distinct layers, met over the list of layer names."""
+    """All pairs of the distinct layer names: a drawing office has some dozens of them, whatever the number of segments."""
     names = segments.groupBy(F.lit(1).alias("k")).agg(F.array_sort(F.collect_set("layer")).alias("all"))
     pairs = names.select(F.explode("all").alias("a"), "all").select("a", F.explode("all").alias("b")).where("a <= b")
     return pairs.select("a", "b", R.tier2_layer_pair(F.col("a"), F.col("b")).alias("allowed"))
@@ -158,11 +160,13 @@ def profile_resolve(bays: DataFrame, zones: DataFrame) -> DataFrame:
     return both.select("bay_id", pick.alias("profile"))
 
 
-@query("seeds", "faces", sql="select seed_id, case when not (x between 5000 and 40000 and y between 5000 and 40000) then 'outside boundary' when exists (select 1 from faces f where f.face_id % 9 = 0 and f.drawing_id = s.drawing_id and s.x between f.x0 and f.x1 and s.y between f.y0 and f.y1) then 'inside obstacle' else 'ok' end as reason from seeds s")
-def recovery_point_check(seeds: DataFrame, faces: DataFrame) -> DataFrame:
+@query("seeds", "records", sql=f"select seed_id, case when not (x between 5000 and 40000 and y between 5000 and 40000) then 'outside boundary' when exists (select 1 from records f where f.geometry_role = 'obstacle' and {ACTIVE} and f.drawing_id = s.drawing_id and s.x between f.x0 and f.x1 and s.y between f.y0 and f.y1) then 'inside obstacle' else 'ok' end as reason from seeds s")
+def recovery_point_check(seeds: DataFrame, records: DataFrame) -> DataFrame:
+    """A recovery point must lie in the applied boundary and in no active obstacle."""
     from tesselar.operators.cells import points_in_boxes
 
-    hit = points_in_boxes(seeds, faces.where("face_id % 9 = 0"), 4000).select("seed_id").distinct().withColumn("hit", F.lit(True))
+    obstacles = records.where(R.is_obstacle(F.col("geometry_role")) & R.is_active(F.col("status"), F.col("scope_excluded"))).select("drawing_id", "x0", "y0", "x1", "y1")
+    hit = points_in_boxes(seeds, obstacles, 4000).select("seed_id").distinct().withColumn("hit", F.lit(True))
     inside = F.col("x").between(5000, 40_000) & F.col("y").between(5000, 40_000)
     return seeds.join(hit, "seed_id", "left").select("seed_id", F.when(~inside, "outside boundary").when(F.col("hit"), "inside obstacle").otherwise("ok").alias("reason"))
 
@@ -195,7 +199,7 @@ def label_in_text(bays: DataFrame) -> DataFrame:
     return bays.select("bay_id", X.label_in_text(label, F.lit("zones INT-1, INT-18 and INT-7")).alias("named"))
 
 
-@query("segments", sql="select layer || '|' || upper(layer) as pair, layer || '; distance ' || cast(cast(max(seg_id % 800) as bigint) as varchar) || case when layer like 'S%' then '; bearing mismatch' else '' end as reason, case when length(repeat(layer, 9)) > 60 then left(repeat(layer, 9), 60) || '…' else repeat(layer, 9) end as short from segments group by layer")
+@query("segments", sql="select layer || '|' || upper(layer) as pair, 'Gap status: ' || layer || '; distance=' || cast(cast(max(seg_id % 800) as bigint) as varchar) || case when layer like 'S%' then '; failure_reason=bearing mismatch' else '' end as reason, case when length(repeat(layer, 9)) > 60 then left(repeat(layer, 9), 60) || '…' else repeat(layer, 9) end as short from segments group by layer")
 def layer_pair_text(segments: DataFrame) -> DataFrame:
     by = segments.groupBy("layer").agg(F.max(F.col("seg_id") % 800).alias("d"))
     name = F.col("layer")

@@ -121,7 +121,7 @@ COST = "select seg_id, cast(seg_id % 400 as double) as d, cast(seg_id % 181 as d
 
 @query(
     "segments",
-    sql=f"select seg_id, round(case when (abs(d - 150) <= 5 or abs(d - 180) <= 5) and delta >= 135 then case when delta >= 175 then d * 0.01 else least(d * 0.75, d * 0.35) end when delta <= 45 then d * 0.85 when delta >= 135 then d * 0.75 else d end, 4) as cost, ((abs(d - 150) <= 5 or abs(d - 180) <= 5) and delta >= 135) as profile, (d <= 15 and (delta <= 30 or abs(delta - 90) <= 15 or delta >= 150)) as micro from ({COST}) c",
+    sql=f"select seg_id, round(case when (d between 145 and 155 or d between 175 and 185) then case when delta >= 175 then 0.01 else d * 0.35 end when delta <= 35 or delta between 85 and 95 or delta >= 175 then d * 0.85 when delta > 75 then d * 0.75 else d end, 4) as cost, ((abs(d - 150) <= 5 or abs(d - 180) <= 5) and delta >= 135) as profile, (d <= 15 and (delta <= 35 or delta between 85 and 95 or delta >= 175)) as micro from ({COST}) c",
 )
 def bridge_cost(segments: DataFrame) -> DataFrame:
     d, delta = (F.col("seg_id") % 400).cast("double"), (F.col("seg_id") % 181).cast("double")

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesselar.functions import geom as G
 from tesselar.functions import review as R
 from tesselar.operators import endpoints as E
-from tesselar.operators.cells import boxes_meet, near_points, points_in_boxes, renamed
+from tesselar.operators import gaps as P
+from tesselar.operators.cells import boxes_meet, extent, near_points, points_in_boxes, renamed, widening
+from tesselar.operators.state import Steps
 from tesselar.plans.filters import PAIR_SQL, PARTITION
 from tesselar.plans.registry import query
 
 D2 = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)"
-TIER2 = PAIR_SQL.replace("a =", "a.layer =").replace("= b\n", "= b.layer\n")
-for _x in ("a", "b"):
-    TIER2 = TIER2.replace(f"{_x} in (", f"{_x}.layer in (").replace(f"({_x} like", f"({_x}.layer like").replace(f"and {_x} like", f"and {_x}.layer like")
+TIER2 = re.sub(r"\b([ab])\b", r"\1.layer", PAIR_SQL)
 
 
 @query("segments", sql="select drawing_id, ax, ay, bx, by_ as \"by\", d2 from candidate_pairs")
@@ -29,9 +31,9 @@ def tier2_candidates(segments: DataFrame) -> DataFrame:
     return far.where(R.tier2_layer_pair(F.col("alayer"), F.col("blayer"))).select("drawing_id", "ax", "ay", "bx", "by", "d2")
 
 
-@query("segments", sql=f"select a.drawing_id, a.x, a.y, min({D2}) as d2 from free_ends a left join free_ends b on a.drawing_id = b.drawing_id and a.seg_id <> b.seg_id and {D2} <= 4000000 group by 1, 2, 3")
+@query("segments", sql=f"select a.drawing_id, a.x, a.y, min({D2}) as d2 from free_ends a left join free_ends b on a.drawing_id = b.drawing_id and a.seg_id <> b.seg_id group by 1, 2, 3")
 def nearest_free_neighbor(segments: DataFrame) -> DataFrame:
-    return E.nearest_other(E.free_ends(segments), 2000).select("drawing_id", "x", "y", "d2")
+    return E.nearest_other(E.free_ends(segments)).select("drawing_id", "x", "y", "d2")
 
 
 @query("seeds", "faces", sql="select seed_id, face_id from (select s.seed_id, f.face_id, row_number() over (partition by s.seed_id order by (f.x1 - f.x0) * (f.y1 - f.y0), f.face_id) as r from seeds s join faces f on s.drawing_id = f.drawing_id and s.x between f.x0 and f.x1 and s.y between f.y0 and f.y1) t where r = 1")
@@ -82,13 +84,11 @@ def face_bay_centroid(faces: DataFrame, bays: DataFrame) -> DataFrame:
     return points_in_boxes(centre, bays.withColumn("k", F.lit(0)), 10_000, keys=("k",)).groupBy("face_id").agg(F.min("bay_id").alias("bay_id"))
 
 
-@query("faces", "bays", sql="select face_id, bay_id from (select f.face_id, b.bay_id, row_number() over (partition by f.face_id order by power(f.x0 + f.x1 - b.x0 - b.x1, 2) + power(f.y0 + f.y1 - b.y0 - b.y1, 2), b.bay_id) as r from faces f cross join bays b where f.x0 + f.x1 > 96000 or f.y0 + f.y1 > 96000) t where r = 1")
+@query("faces", "bays", sql="select face_id, bay_id from (select f.face_id, b.bay_id, row_number() over (partition by f.face_id order by power(f.x0 + f.x1 - b.x0 - b.x1, 2) + power(f.y0 + f.y1 - b.y0 - b.y1, 2), b.bay_id) as r from faces f cross join bays b) t where r = 1")
 def nearest_bay(faces: DataFrame, bays: DataFrame) -> DataFrame:
-    """Nearest bay centre for faces near the far border. The bays' centres ride along as one array: a grid has few."""
-    centres = bays.groupBy(F.lit(0).alias("k")).agg(F.collect_list(F.struct("bay_id", (F.col("x0") + F.col("x1")).alias("x"), (F.col("y0") + F.col("y1")).alias("y"))).alias("all"))
-    lone = faces.where("x0 + x1 > 96000 or y0 + y1 > 96000").withColumn("k", F.lit(0)).join(centres, "k")
-    far = F.transform("all", lambda b: F.struct((F.pow(F.col("x0") + F.col("x1") - b["x"], F.lit(2)) + F.pow(F.col("y0") + F.col("y1") - b["y"], F.lit(2))).alias("d"), b["bay_id"].alias("bay_id")))
-    return lone.select("face_id", F.array_min(far)["bay_id"].alias("bay_id"))
+    """Nearest bay centre of each face."""
+    twice = lambda df, *keep: df.select(*keep, F.lit(0).alias("drawing_id"), (F.col("x0") + F.col("x1")).alias("x"), (F.col("y0") + F.col("y1")).alias("y"))
+    return nearest_points(twice(faces, "face_id"), twice(bays, "bay_id"), ["face_id"], "bay_id").select("face_id", "bay_id")
 
 
 OV = "select a.drawing_id, a.face_id as a, b.face_id as b, (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) as shared, (a.x1 - a.x0) * (a.y1 - a.y0) as aa, (b.x1 - b.x0) * (b.y1 - b.y0) as ba from {0} a join {0} b on a.drawing_id = b.drawing_id and a.face_id < b.face_id and a.x0 < b.x1 and b.x0 < a.x1 and a.y0 < b.y1 and b.y0 < a.y1"
@@ -100,9 +100,18 @@ def self_overlap(faces: DataFrame) -> DataFrame:
     return both.select("drawing_id", F.col("aface_id").alias("a"), F.col("bface_id").alias("b"), "shared", area("a").alias("aa"), area("b").alias("ba"))
 
 
-@query("faces", sql=f"select drawing_id, a, b, shared from ({OV.format('faces')}) o where 100 * shared >= 20 * (aa + ba - shared)")
-def iou_dedupe_pairs(faces: DataFrame) -> DataFrame:
-    return self_overlap(faces).where("100 * shared >= 20 * (aa + ba - shared)").select("drawing_id", "a", "b", "shared")
+TWICE = "(select face_id * 2 as face_id, drawing_id, x0, y0, x1, y1 from faces union all select face_id * 2 + 1, drawing_id, x0, y0, x1, y1 from redrawn)"
+
+
+def twice(faces: DataFrame, redrawn: DataFrame) -> DataFrame:
+    """Faces and those of a second drawing of the same plan, as one table: even ids and odd ones."""
+    box = ["drawing_id", "x0", "y0", "x1", "y1"]
+    return faces.select((F.col("face_id") * 2).alias("face_id"), *box).unionByName(redrawn.select((F.col("face_id") * 2 + 1).alias("face_id"), *box))
+
+
+@query("faces", "redrawn", sql=f"select drawing_id, a, b, shared from ({OV.format(TWICE)}) o where 100 * shared >= 98 * (aa + ba - shared)")
+def iou_dedupe_pairs(faces: DataFrame, redrawn: DataFrame) -> DataFrame:
+    return self_overlap(twice(faces, redrawn)).where("100 * shared >= 98 * (aa + ba - shared)").select("drawing_id", "a", "b", "shared")
 
 
 @query("faces", sql=f"select a, b, round(shared / cast(aa + ba - shared as double), 4) as iou from ({OV.format('faces')}) o")
@@ -140,37 +149,88 @@ def zone_overlaps(records: DataFrame) -> DataFrame:
     return both.select(F.least("za", "zb").alias("l"), F.greatest("za", "zb").alias("h")).distinct().select(F.col("l").alias("za"), F.col("h").alias("zb"))
 
 
-@query("faces", sql=f"select b as face_id from ({OV.format('faces')}) o where 100 * shared >= 30 * (aa + ba - shared) group by b")
-def overlaps_existing(faces: DataFrame) -> DataFrame:
-    """Faces that duplicate one with a smaller id."""
-    return self_overlap(faces).where("100 * shared >= 30 * (aa + ba - shared)").select(F.col("b").alias("face_id")).distinct()
+@query("redrawn", "records", sql=f"select distinct n.face_id from redrawn n join records r on n.drawing_id = r.drawing_id and {PARTITION} and n.x0 < r.x1 and r.x0 < n.x1 and n.y0 < r.y1 and r.y0 < n.y1 where 100 * (least(n.x1, r.x1) - greatest(n.x0, r.x0)) * (least(n.y1, r.y1) - greatest(n.y0, r.y0)) >= 95 * ((n.x1 - n.x0) * (n.y1 - n.y0) + (r.x1 - r.x0) * (r.y1 - r.y0) - (least(n.x1, r.x1) - greatest(n.x0, r.x0)) * (least(n.y1, r.y1) - greatest(n.y0, r.y0)))")
+def overlaps_existing(redrawn: DataFrame, records: DataFrame) -> DataFrame:
+    """New polygons that duplicate an active partition."""
+    return duplicates(redrawn, records, 95).select("face_id").distinct()
+
+
+def duplicates(new: DataFrame, records: DataFrame, percent: int) -> DataFrame:
+    """face_id of new boxes and of the active partitions (other) that share so much of their union with them."""
+    return overlapping_boxes(new, records.where(R.is_partition(F.col("status"), F.col("scope_excluded"), F.col("geometry_role"))), percent)
+
+
+def overlapping_boxes(new: DataFrame, live: DataFrame, percent: int) -> DataFrame:
+    box = ["drawing_id", "face_id", "x0", "y0", "x1", "y1"]
+    both = boxes_meet(renamed(new.select(*box), "a", "drawing_id"), renamed(live.select(*box), "b", "drawing_id"), 4000)
+    size = lambda p: (F.col(f"{p}x1") - F.col(f"{p}x0")) * (F.col(f"{p}y1") - F.col(f"{p}y0"))
+    return both.where(100 * F.col("shared") >= percent * (size("a") + size("b") - F.col("shared"))).select(F.col("aface_id").alias("face_id"), F.col("bface_id").alias("other"))
+
+
+PRINTS = "(select drawing_id, x, y, row_number() over (partition by drawing_id order by x, y) as o from (select distinct drawing_id, x, y from entities where entity_type = 'INSERT' and layer = 'S-COLS') i)"
+_CUT = "greatest(0, least(r.x1, o.x + 200) - greatest(r.x0, o.x - 200)) * greatest(0, least(r.y1, o.y + 200) - greatest(r.y0, o.y - 200))"
+MATCH = f"select r.face_id, r.drawing_id, cast(min(o.o) as bigint) as footprint from records r join {PRINTS} o on r.drawing_id = o.drawing_id where not r.scope_excluded and ((abs(r.x0 + r.x1 - 2 * o.x) < 400 and abs(r.y0 + r.y1 - 2 * o.y) < 400) or 100 * {_CUT} >= 35 * (r.area_native + 160000 - {_CUT})) group by 1, 2"
+
+
+def footprints(entities: DataFrame) -> DataFrame:
+    """Columns: inserts on the column layer, one by point, as squares of 400 mm, numbered by place in their drawing."""
+    from pyspark.sql import Window
+
+    points = entities.where("entity_type = 'INSERT' and layer = 'S-COLS'").select("drawing_id", "x", "y").distinct()
+    n = F.row_number().over(Window.partitionBy("drawing_id").orderBy("x", "y")).cast("bigint")
+    return points.select("drawing_id", n.alias("o"), *((F.col(c) - 200).alias(f"{c}0") for c in "xy"), *((F.col(c) + 200).alias(f"{c}1") for c in "xy"))
+
+
+@query("records", "entities", sql=f"select face_id, footprint from ({MATCH}) m")
+def obstacle_match(records: DataFrame, entities: DataFrame) -> DataFrame:
+    """The first footprint that holds a record's centre, or shares 35 % of their union with it. Records out of scope are not asked."""
+    return matched(records, footprints(entities)).select("face_id", "footprint")
+
+
+def matched(records: DataFrame, prints: DataFrame) -> DataFrame:
+    asked = records.where("not scope_excluded").select("drawing_id", "face_id", "x0", "y0", "x1", "y1")
+    both = boxes_meet(renamed(asked, "a", "drawing_id"), renamed(prints, "b", "drawing_id"), 4000)
+    size = lambda p: (F.col(f"{p}x1") - F.col(f"{p}x0")) * (F.col(f"{p}y1") - F.col(f"{p}y0"))
+    inner = lambda c: (F.col(f"a{c}0") + F.col(f"a{c}1") > 2 * F.col(f"b{c}0")) & (F.col(f"a{c}0") + F.col(f"a{c}1") < 2 * F.col(f"b{c}1"))
+    fits = (inner("x") & inner("y")) | (100 * F.col("shared") >= 35 * (size("a") + size("b") - F.col("shared")))
+    return both.where(fits).groupBy(F.col("aface_id").alias("face_id"), "drawing_id").agg(F.min("bo").alias("footprint"))
 
 
-MATCH = "select f.face_id, min(o.face_id) as footprint from faces f join faces o on f.drawing_id = o.drawing_id and o.face_id % 8 = 0 and f.face_id <> o.face_id and f.x0 + f.x1 between 2 * o.x0 and 2 * o.x1 and f.y0 + f.y1 between 2 * o.y0 and 2 * o.y1 group by f.face_id"
+@query("records", "entities", sql=f"select o.drawing_id, cast(o.o as bigint) as footprint from {PRINTS} o anti join ({MATCH}) m on m.drawing_id = o.drawing_id and m.footprint = o.o")
+def obstacle_unmatched(records: DataFrame, entities: DataFrame) -> DataFrame:
+    """Footprints that are no record's first."""
+    prints = footprints(entities)
+    used = matched(records, prints).select("drawing_id", F.col("footprint").alias("o")).distinct()
+    return prints.join(used, ["drawing_id", "o"], "left_anti").select("drawing_id", F.col("o").alias("footprint"))
 
 
-@query("faces", sql=MATCH)
-def obstacle_match(faces: DataFrame) -> DataFrame:
-    """The first footprint (every eighth face) that holds a face's centre."""
-    return matched(faces)
+RESOLVED = "select seed_id, drawing_id, x, y, face_id, x0, y0, x1, y1, a from (select s.seed_id, s.drawing_id, s.x, s.y, f.face_id, f.x0, f.y0, f.x1, f.y1, (f.x1 - f.x0) * (f.y1 - f.y0) as a, row_number() over (partition by s.seed_id order by (f.x1 - f.x0) * (f.y1 - f.y0), f.face_id) as r from seeds s join faces f on s.drawing_id = f.drawing_id and s.x between f.x0 and f.x1 and s.y between f.y0 and f.y1) t where r = 1"
+_SHARED = "(least(r.x1, n.x1) - greatest(r.x0, n.x0)) * (least(r.y1, n.y1) - greatest(r.y0, n.y0))"
+DUPLICATE = "select r.seed_id, min(n.face_id) as face_id from ({0}) r join {1} n on n.drawing_id = r.drawing_id and r.x0 < n.x1 and n.x0 < r.x1 and r.y0 < n.y1 and n.y0 < r.y1 where 100 * " + _SHARED + " >= 90 * (r.a + (n.x1 - n.x0) * (n.y1 - n.y0) - " + _SHARED + ") or (r.x between n.x0 and n.x1 and r.y between n.y0 and n.y1 and 100 * r.a >= 85 * (n.x1 - n.x0) * (n.y1 - n.y0)) group by 1"
 
 
-def matched(faces: DataFrame) -> DataFrame:
-    centre = faces.select("face_id", "drawing_id", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
-    prints = faces.where("face_id % 8 = 0").select("drawing_id", F.col("face_id").alias("o"), "x0", "y0", "x1", "y1")
-    return points_in_boxes(centre, prints, 4000).where("o <> face_id").groupBy("face_id").agg(F.min("o").alias("footprint"))
+def resolved(seeds: DataFrame, faces: DataFrame) -> DataFrame:
+    """Each seed with the smallest face that holds it; seeds outside all faces have no row."""
+    hit = points_in_boxes(seeds, faces.select("drawing_id", "face_id", "x0", "y0", "x1", "y1"), 4000).withColumn("a", (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
+    best = F.min(F.struct("a", "face_id", "x0", "y0", "x1", "y1"))
+    return hit.groupBy("seed_id", "drawing_id", "x", "y").agg(best.alias("f")).select("seed_id", "drawing_id", "x", "y", "f.*")
 
 
-@query("faces", sql=f"select face_id from faces where face_id % 8 = 0 and face_id not in (select footprint from ({MATCH}) m)")
-def obstacle_unmatched(faces: DataFrame) -> DataFrame:
-    return faces.where("face_id % 8 = 0").join(matched(faces).select(F.col("footprint").alias("face_id")), "face_id", "left_anti").select("face_id")
+def auto_duplicates(found: DataFrame, auto: DataFrame) -> DataFrame:
+    """seed_id and the first automatic region that its face repeats: by 90 % of their union, or as the seed lies in it and the face has 85 % of its area."""
+    box = ["x0", "y0", "x1", "y1"]
+    a = renamed(found.select("drawing_id", "seed_id", "x", "y", "a", *box), "a", "drawing_id")
+    b = renamed(auto.select("drawing_id", "face_id", *box), "b", "drawing_id")
+    both = boxes_meet(a, b, 4000).withColumn("size", (F.col("bx1") - F.col("bx0")) * (F.col("by1") - F.col("by0")))
+    alike = 100 * F.col("shared") >= 90 * (F.col("aa") + F.col("size") - F.col("shared"))
+    nested = F.col("ax").between(F.col("bx0"), F.col("bx1")) & F.col("ay").between(F.col("by0"), F.col("by1")) & (100 * F.col("aa") >= 85 * F.col("size"))
+    return both.where(alike | nested).groupBy(F.col("aseed_id").alias("seed_id")).agg(F.min("bface_id").alias("face_id"))
 
 
-@query("seeds", "faces", sql="select seed_id, min(face_id) as face_id from seeds s join faces f on s.drawing_id = f.drawing_id and s.x between f.x0 and f.x1 and s.y between f.y0 and f.y1 where 100 * 3240000 >= 85 * (f.x1 - f.x0) * (f.y1 - f.y0) group by seed_id")
-def seed_auto_duplicate(seeds: DataFrame, faces: DataFrame) -> DataFrame:
-    """Seeds (for regions of 3.24 m2) inside an automatic face of no more than 100/85 of that area."""
-    hit = points_in_boxes(seeds, faces, 4000).where("100 * 3240000 >= 85 * (x1 - x0) * (y1 - y0)")
-    return hit.groupBy("seed_id").agg(F.min("face_id").alias("face_id"))
+@query("seeds", "faces", "redrawn", sql=DUPLICATE.format(RESOLVED, "redrawn"))
+def seed_auto_duplicate(seeds: DataFrame, faces: DataFrame, redrawn: DataFrame) -> DataFrame:
+    """Seeds whose face repeats an automatic region (here of the second drawing)."""
+    return auto_duplicates(resolved(seeds, faces), redrawn)
 
 
 INS = "select distinct drawing_id, x, y from entities where entity_type = 'INSERT' and layer = 'S-COLS'"
@@ -187,22 +247,30 @@ def near_free(entities: DataFrame, segments: DataFrame, reach: float) -> DataFra
     return near_points(a, b, reach).select("drawing_id", F.col("ax").alias("x"), F.col("ay").alias("y")).distinct()
 
 
-@query("entities", "segments", sql=f"select distinct i.drawing_id, i.x, i.y from ({INS}) i join free_ends e on i.drawing_id = e.drawing_id and (i.x - e.x) * (i.x - e.x) + (i.y - e.y) * (i.y - e.y) <= 250000")
+@query("entities", "segments", sql=f"select distinct i.drawing_id, i.x, i.y from ({INS}) i join free_ends e on i.drawing_id = e.drawing_id and (i.x - e.x) * (i.x - e.x) + (i.y - e.y) * (i.y - e.y) <= 2250000")
 def entity_near_endpoint(entities: DataFrame, segments: DataFrame) -> DataFrame:
-    return near_free(entities, segments, 500)
+    return near_free(entities, segments, 1500)
 
 
 SEG_D2 = "power(greatest(s.x1 - {0}.x, 0, {0}.x - s.x2), 2) + power(greatest(s.y1 - {0}.y, 0, {0}.y - s.y2), 2)"
 
 
 def near_segments(points: DataFrame, segments: DataFrame, reach: float) -> DataFrame:
-    """Axis-aligned segments within reach of points; a segment goes to the cells that it crosses, widened by the reach."""
-    boxes = segments.select("drawing_id", "seg_id", F.col("x1").alias("x0"), F.col("y1").alias("y0"), F.col("x2").alias("x1"), F.col("y2").alias("y1"))
-    near = points_in_boxes(points, boxes, 2000, pad=reach)
-    gap = lambda c: F.greatest(F.col(f"{c}0") - F.col(c), F.lit(0), F.col(c) - F.col(f"{c}1")).cast("double")
-    dx = F.greatest(F.col("x0") - F.col("x"), F.lit(0), F.col("x") - F.col("x1")).cast("double")
-    dy = F.greatest(F.col("y0") - F.col("y"), F.lit(0), F.col("y") - F.col("y1")).cast("double")
-    return near.withColumn("d2", dx * dx + dy * dy).where(F.col("d2") <= reach * reach)
+    """Segments of any direction within reach of points, with d2; a segment goes to the cells of its box, widened by the reach."""
+    own = {"sx": F.col("x1"), "sy": F.col("y1"), "ex": F.col("x2"), "ey": F.col("y2")}
+    ends = segments.select("drawing_id", "seg_id", *(c.alias(n) for n, c in own.items()))
+    boxes = ends.withColumns({f"{c}0": F.least(f"s{c}", f"e{c}") for c in "xy"} | {f"{c}1": F.greatest(f"s{c}", f"e{c}") for c in "xy"})
+    near = points_in_boxes(points, boxes, max(2000.0, reach), pad=reach)
+    d2 = G.point_segment_square(*(F.col(c) for c in ("x", "y", "sx", "sy", "ex", "ey")))
+    return near.withColumn("d2", d2).where(F.col("d2") <= reach * reach)
+
+
+def nearest_segments(points: DataFrame, segments: DataFrame, ids: list[str]) -> DataFrame:
+    """ids, d2 and the nearest segment (seg_id, sx, sy, ex, ey) of each point, however far; ties to the smaller id."""
+    best = F.min(F.struct("d2", "seg_id", "sx", "sy", "ex", "ey"))
+    found = lambda left, reach: near_segments(left, segments, reach).groupBy(*ids).agg(best.alias("n")).select(*ids, "n.*")
+    limit = extent(points, segments.select(F.col("x1").alias("x"), F.col("y1").alias("y")), segments.select(F.col("x2").alias("x"), F.col("y2").alias("y")))
+    return widening(points, ids, found, 1000.0, limit, Steps(points.sparkSession))
 
 
 @query("entities", "segments", sql=f"select distinct i.drawing_id, i.x, i.y from ({INS}) i join segments s on i.drawing_id = s.drawing_id and {SEG_D2.format('i')} <= 250000")
@@ -218,24 +286,48 @@ def entity_near_gap(entities: DataFrame, segments: DataFrame) -> DataFrame:
     return near_points(a, gaps, 1500).select("drawing_id", F.col("ax").alias("x"), F.col("ay").alias("y")).distinct()
 
 
-@query("seeds", "segments", sql=f"select seed_id, seg_id, d2 from (select i.seed_id, s.seg_id, {SEG_D2.format('i')} as d2, row_number() over (partition by i.seed_id order by {SEG_D2.format('i')}, s.seg_id) as r from seeds i join segments s on i.drawing_id = s.drawing_id and {SEG_D2.format('i')} <= 1000000) t where r = 1")
+NEAREST = f"select seed_id, seg_id, d2, x, y, sx, sy, ex, ey from (select i.seed_id, i.x, i.y, s.seg_id, s.x1 as sx, s.y1 as sy, s.x2 as ex, s.y2 as ey, {SEG_D2.format('i')} as d2, row_number() over (partition by i.seed_id order by {SEG_D2.format('i')}, s.seg_id) as r from seeds i join segments s on i.drawing_id = s.drawing_id) t where r = 1"
+
+
+@query("seeds", "segments", sql=f"select seed_id, seg_id, d2 from ({NEAREST}) n")
 def nearest_segment(seeds: DataFrame, segments: DataFrame) -> DataFrame:
-    near = near_segments(seeds, segments, 1000)
-    return near.groupBy("seed_id").agg(F.min(F.struct("d2", "seg_id")).alias("n")).select("seed_id", "n.seg_id", "n.d2")
+    return nearest_segments(seeds, segments, ["seed_id"]).select("seed_id", "seg_id", "d2")
+
 
+SEARCH_RADIUS = 5000.0
 
-@query("seeds", "segments", sql=f"select seed_id, cast(count(*) as bigint) as n from seeds i join segments s on i.drawing_id = s.drawing_id and {SEG_D2.format('i')} <= 4000000 group by seed_id")
+
+def cropped(seeds: DataFrame, segments: DataFrame, reach: float = SEARCH_RADIUS) -> DataFrame:
+    """seed_id and seg_id of segments within the radius of each seed; where there is none, all of its drawing's."""
+    near = near_segments(seeds, segments, reach).select("seed_id", "seg_id").distinct()
+    near = Steps(seeds.sparkSession).cut(near)
+    alone = seeds.join(near.select("seed_id").distinct(), "seed_id", "left_anti").select("seed_id", "drawing_id").distinct()
+    return near.unionByName(alone.join(segments.select("drawing_id", "seg_id"), "drawing_id").select("seed_id", "seg_id").distinct())
+
+
+@query("seeds", "segments", sql=f"select seed_id, case when near > 0 then near else every end as n from (select i.seed_id, cast(count(*) filter (where {SEG_D2.format('i')} <= 25000000) as bigint) as near, cast(count(*) as bigint) as every from seeds i join segments s on i.drawing_id = s.drawing_id group by seed_id) c")
 def crop_segments(seeds: DataFrame, segments: DataFrame) -> DataFrame:
-    """How many segments lie within the search radius of each seed."""
-    return near_segments(seeds, segments, 2000).groupBy("seed_id").agg(F.count("*").alias("n"))
+    """How many segments each seed searches."""
+    return cropped(seeds, segments).groupBy("seed_id").agg(F.count("*").alias("n"))
 
 
-@query("segments", "entities", sql=f"select seg_id, layer, d2 from (select s.seg_id, i.layer, power(i.x - s.x1, 2) + power(i.y - s.y1, 2) as d2, row_number() over (partition by s.seg_id order by power(i.x - s.x1, 2) + power(i.y - s.y1, 2), i.layer) as r from segments s join (select distinct drawing_id, layer, x, y from entities where entity_type = 'INSERT') i on i.drawing_id = s.drawing_id and power(i.x - s.x1, 2) + power(i.y - s.y1, 2) <= 1000000) t where r = 1")
+@query("segments", "entities", sql="select seg_id, layer, d2 from (select s.seg_id, i.layer, power(i.x - s.x1, 2) + power(i.y - s.y1, 2) as d2, row_number() over (partition by s.seg_id order by power(i.x - s.x1, 2) + power(i.y - s.y1, 2), i.layer) as r from segments s join (select distinct drawing_id, layer, x, y from entities where entity_type = 'INSERT') i on i.drawing_id = s.drawing_id) t where r = 1")
 def nearest_insert(segments: DataFrame, entities: DataFrame) -> DataFrame:
-    a = segments.select("drawing_id", "seg_id", F.col("x1").alias("ax"), F.col("y1").alias("ay"))
-    b = entities.where("entity_type = 'INSERT'").select("drawing_id", "layer", F.col("x").alias("bx"), F.col("y").alias("by")).distinct()
-    near = near_points(a, b, 1000).groupBy("seg_id").agg(F.min(F.struct(F.col("d2").cast("double").alias("d2"), "layer")).alias("n"))
-    return near.select("seg_id", "n.layer", "n.d2")
+    """For each segment's first end the nearest insert, however far, and its layer."""
+    inserts = entities.where("entity_type = 'INSERT'").select("drawing_id", "layer", "x", "y").distinct()
+    return nearest_points(segments.select("drawing_id", "seg_id", F.col("x1").alias("x"), F.col("y1").alias("y")), inserts, ["seg_id"], "layer").select("seg_id", "layer", "d2")
+
+
+def nearest_points(points: DataFrame, others: DataFrame, ids: list[str], *carry: str) -> DataFrame:
+    """ids, d2 and the carried columns of the nearest of the others in the drawing, ties by these."""
+    a = points.select("drawing_id", *[i for i in ids if i != "drawing_id"], F.col("x").alias("ax"), F.col("y").alias("ay"), "x", "y")
+    b = others.select("drawing_id", *carry, F.col("x").alias("bx"), F.col("y").alias("by"))
+
+    def found(left: DataFrame, reach: float) -> DataFrame:
+        best = F.min(F.struct(F.col("d2").cast("double").alias("d2"), *carry))
+        return near_points(left, b, reach).groupBy(*ids).agg(best.alias("n")).select(*ids, "n.*")
+
+    return widening(a, ids, found, 1000.0, extent(points, others), Steps(points.sparkSession))
 
 
 @query("bays", "manifest_zones", sql="select coalesce(m.label, concat('INT-', b.bay_id)) as label, m.area_native as expected, cast(100000000 as bigint) * case when b.bay_id is null then 0 else 3 end as found, case when m.label is null then 'not in manifest' when b.bay_id is null then 'not detected' when m.area_native is null then 'no area' when abs(m.area_native - 300000000) * 100 <= 5 * m.area_native then 'within tolerance' else 'outside tolerance' end as state from bays b full outer join manifest_zones m on m.label = concat('INT-', b.bay_id)")
@@ -286,13 +378,16 @@ def bridge_crossing(segments: DataFrame) -> DataFrame:
     return not_crossing(straight, segments).select("drawing_id", "ax", "ay", "bx", "by")
 
 
-@query("segments", sql="select c.drawing_id, ax, ay, bx, by_ as \"by\", coalesce(case when d2 <= 10000 then 'pairing conflict' end, 'bearing mismatch') as reason from candidate_pairs c where d2 <= 40000")
+@query("segments", sql="select g.drawing_id, g.ax, g.ay, g.bx, g.by_ as \"by\", g.status, f.reason from gaps g left join gap_failed f on f.drawing_id = g.drawing_id and f.ax = g.ax and f.ay = g.ay and f.bx = g.bx and f.by_ = g.by_")
 def gap_failure_lookup(segments: DataFrame) -> DataFrame:
-    """Failure reasons found by the gap's two points as a composite key."""
-    gaps = E.gap_candidates(segments, 500.0).where("d2 <= 40000")
+    """Gaps with the failure reason found by their two points as a composite key; null where there is none."""
+    return with_reasons(P.gaps(segments)).select("drawing_id", "ax", "ay", "bx", "by", "status", "reason")
+
+
+def with_reasons(found: DataFrame) -> DataFrame:
     key = ["drawing_id", "ax", "ay", "bx", "by"]
-    reasons = gaps.where("d2 <= 10000").select(*key, F.lit("pairing conflict").alias("why"))
-    return gaps.join(reasons, key, "left").select(*key, F.coalesce("why", F.lit("bearing mismatch")).alias("reason"))
+    reasons = P.failures(found).select(*key, "reason")
+    return found.join(reasons, key, "left")
 
 
 @query("entities", sql="select a.drawing_id, a.layer, cast(count(*) as bigint) as inserts, (b.n is not null) as has_boundary from entities a left join (select drawing_id, layer, count(*) as n from entities where entity_type <> 'INSERT' group by 1, 2) b on a.drawing_id = b.drawing_id and a.layer = b.layer where a.entity_type = 'INSERT' group by 1, 2, 4")

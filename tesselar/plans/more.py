@@ -9,6 +9,7 @@ from tesselar.functions import geom as G
 from tesselar.functions import review as R
 from tesselar.functions import text as X
 from tesselar.operators import endpoints as E
+from tesselar.operators import gaps as P
 from tesselar.operators import topology as T
 from tesselar.plans import joins as J
 from tesselar.plans import reviews as V
@@ -16,10 +17,11 @@ from tesselar.plans import summaries as S
 from tesselar.plans.filters import ACTIVE, SLAB
 from tesselar.plans.registry import query
 from tesselar.plans.topology import plan, seed_resolve
+from tesselar.plans.windows import CLUSTER
 
 D, DELTA = "cast(seg_id % 400 as double)", "cast(seg_id % 181 as double)"
 PROFILE = f"((abs({D} - 150) <= 5 or abs({D} - 180) <= 5) and {DELTA} >= 135)"
-MICRO = f"({D} <= 15 and ({DELTA} <= 30 or abs({DELTA} - 90) <= 15 or {DELTA} >= 150))"
+MICRO = f"({D} <= 15 and ({DELTA} <= 35 or {DELTA} between 85 and 95 or {DELTA} >= 175))"
 
 
 def _pair():
@@ -58,18 +60,15 @@ def gap_bbox(segments: DataFrame) -> DataFrame:
     return E.gap_candidates(segments, 500.0).select("drawing_id", "ax", "ay", low("x"), low("y"), high("x"), high("y"))
 
 
-@query("segments", sql="select drawing_id, ax, ay, 90 as priority from candidate_pairs where d2 <= 62500")
+@query("segments", sql="select drawing_id, ax, ay, status, case status when 'within_threshold_unclosed' then 100 when 'above_threshold_close' then 80 when 'orphan_endpoint' then 60 else 40 end as priority from gaps")
 def gap_candidate_status(segments: DataFrame) -> DataFrame:
-    """Gaps whose status has a priority: those within the threshold."""
-    rank = F.create_map(F.lit("within"), F.lit(90))
-    status = F.when(F.col("d2") <= 62500, "within").otherwise("above")
-    return E.gap_candidates(segments, 500.0).withColumn("priority", rank[status]).where("priority is not null").select("drawing_id", "ax", "ay", "priority")
+    """Gaps whose status has a priority."""
+    return P.gaps(segments).withColumn("priority", P.priority(F.col("status"))).where("priority is not null").select("drawing_id", "ax", "ay", "status", "priority")
 
 
-@query("segments", sql="select drawing_id, ax, ay, 'above; distance ' || cast(d2 as varchar) || case when al <> bl then '; layers differ' else '' end as reason from candidate_pairs where d2 > 62500")
+@query("segments", sql="select g.drawing_id, g.ax, g.ay, 'Gap status: ' || g.status || case when g.distance is null then '' else '; distance=' || cast(round(g.distance, 3) as varchar) end || case when f.reason is null then '' else '; failure_reason=' || f.reason end as reason from gaps g left join gap_failed f on f.drawing_id = g.drawing_id and f.ax = g.ax and f.ay = g.ay")
 def gap_reason_text(segments: DataFrame) -> DataFrame:
-    why = F.when(F.col("alayer") != F.col("blayer"), "layers differ")
-    return E.gap_candidates(segments, 500.0).where("d2 > 62500").select("drawing_id", "ax", "ay", X.gap_reason_text(F.lit("above"), F.col("d2"), why).alias("reason"))
+    return J.with_reasons(P.gaps(segments)).select("drawing_id", "ax", "ay", X.gap_reason_text(F.col("status"), F.col("distance"), F.col("reason")).alias("reason"))
 
 
 @query("segments", sql="select seg_id, case when length(repeat(layer, 9)) > 60 then left(repeat(layer, 9), 60) || '…' else repeat(layer, 9) end as short from segments")
@@ -101,28 +100,37 @@ def scope_normalize(faces: DataFrame) -> DataFrame:
     return text.select("face_id", F.coalesce(scope["unit"], F.lit("mm")).alias("unit"), F.size(scope["boundary"]["ring"]).cast("bigint").alias("points"), F.coalesce(scope["boundary"]["applied"], F.lit(False)).alias("applied"))
 
 
-@query("records", sql=f"select face_id, case when not ({SLAB}) then 'outside scope' when area_native < 500000 then 'too small' else 'ok' end as reason from records")
-def manual_polygon_check(records: DataFrame) -> DataFrame:
-    """The first failing check of a ring: shape, scope, size."""
-    ring = G.rect_ring()
-    inside = (F.col("x0") + F.col("x1")).between(10_000, 80_000) & (F.col("y0") + F.col("y1")).between(10_000, 80_000)
-    return records.select("face_id", F.coalesce(F.when(~G.ring_validity(ring), "invalid ring"), F.when(~inside, "outside scope"), F.when(F.col("area_native") < 500_000, "too small"), F.lit("ok")).alias("reason"))
+@query("redrawn", "records", sql=f"select n.face_id, case when not (n.x0 >= 2000 and n.y0 >= 2000 and n.x1 <= 46000 and n.y1 <= 46000) then 'outside scope' when exists (select 1 from records r where n.drawing_id = r.drawing_id and {ACTIVE} and n.x0 < r.x1 and r.x0 < n.x1 and n.y0 < r.y1 and r.y0 < n.y1 and 100 * (least(n.x1, r.x1) - greatest(n.x0, r.x0)) * (least(n.y1, r.y1) - greatest(n.y0, r.y0)) >= 95 * ((n.x1 - n.x0) * (n.y1 - n.y0) + r.area_native - (least(n.x1, r.x1) - greatest(n.x0, r.x0)) * (least(n.y1, r.y1) - greatest(n.y0, r.y0)))) then 'overlaps existing' else 'ok' end as reason from redrawn n")
+def manual_polygon_check(redrawn: DataFrame, records: DataFrame) -> DataFrame:
+    """The first failing check of a drawn ring: its shape, the scope that must cover all of it, an active polygon that it repeats."""
+    ring = G.normalize_ring(G.rect_ring())
+    live = records.where(R.is_active(F.col("status"), F.col("scope_excluded")))
+    taken = J.overlapping_boxes(redrawn, live, 95).select("face_id").distinct().withColumn("taken", F.lit(True))
+    inside = F.expr("x0 >= 2000 and y0 >= 2000 and x1 <= 46000 and y1 <= 46000")
+    first = F.coalesce(F.when(~G.ring_validity(ring), "invalid ring"), F.when(~inside, "outside scope"), F.when(F.col("taken"), "overlaps existing"), F.lit("ok"))
+    return redrawn.join(taken, "face_id", "left").select("face_id", first.alias("reason"))
 
 
-@query("seeds", "segments", name="offset_inward")
+@query("seeds", "segments", sql=f"select seed_id, round(x + 75 * case when d > 1e-6 then (x - px) / d else case when sy = ey then 0 else -1 end end, 3) as x, round(y + 75 * case when d > 1e-6 then (y - py) / d else case when sy = ey then 1 else 0 end end, 3) as y from (select *, sqrt(d2) as d, least(greatest(x, sx), ex) as px, least(greatest(y, sy), ey) as py from ({J.NEAREST}) n) m", name="offset_inward")
 def offset_inward(seeds: DataFrame, segments: DataFrame) -> DataFrame:
     """Seeds moved 75 away from the nearest segment, or along its normal when they lie on it."""
-    near = J.near_segments(seeds, segments, 1000).withColumn("rank", F.struct("d2", "seg_id", "x0", "y0", "x1", "y1"))
-    best = near.groupBy("seed_id", "x", "y").agg(F.min("rank").alias("n")).select("seed_id", "x", "y", "n.*")
-    px, py = (F.least(F.greatest(F.col(c), F.col(f"{c}0")), F.col(f"{c}1")) for c in "xy")
-    d = F.sqrt("d2")
-    level = F.col("y0") == F.col("y1")
-    dx = F.when(d > 0, (F.col("x") - px) / F.nullif(d, F.lit(0.0))).otherwise(F.when(level, 0.0).otherwise(1.0))
-    dy = F.when(d > 0, (F.col("y") - py) / F.nullif(d, F.lit(0.0))).otherwise(F.when(level, 1.0).otherwise(0.0))
-    return best.select("seed_id", F.round(F.col("x") + 75 * dx, 3).alias("x"), F.round(F.col("y") + 75 * dy, 3).alias("y"))
+    return moved_inward(seeds, segments, ["seed_id"]).select("seed_id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
+def moved_inward(points: DataFrame, segments: DataFrame, ids: list[str], by: float = 75.0) -> DataFrame:
+    best = J.nearest_segments(points, segments, ids)
+    both = points.join(best, ids)
+    x, y, sx, sy, ex, ey = (F.col(c).cast("double") for c in ("x", "y", "sx", "sy", "ex", "ey"))
+    dx, dy = ex - sx, ey - sy
+    t = F.coalesce(((x - sx) * dx + (y - sy) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))
+    t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
+    px, py, d = sx + t * dx, sy + t * dy, F.sqrt("d2")
+    long = F.coalesce(F.nullif(F.hypot(dx, dy), F.lit(0.0)), F.lit(1.0))
+    step = lambda away, normal: F.when(d > 1e-6, away / F.nullif(d, F.lit(0.0))).otherwise(normal / long) * by
+    return both.select(*[c for c in points.columns if c not in ("x", "y")], (x + step(x - px, -dy)).alias("x"), (y + step(y - py, dx)).alias("y"))
 
 
-@query("faces", name="normalize_polygon")
+@query("faces", sql="select face_id, round((x1 - x0) * (y1 - y0) / 4.0, 1) as area, cast(2 as bigint) as parts from faces", name="normalize_polygon")
 def normalize_polygon(faces: DataFrame) -> DataFrame:
     """Rings crossed by swapping two corners are noded, each as a drawing of its own, and the largest part is kept."""
     c = [("x0", "y0"), ("x1", "y1"), ("x1", "y0"), ("x0", "y1")]
@@ -141,7 +149,13 @@ def regions_csv(faces: DataFrame) -> DataFrame:
 
 @query("records", "entities", sql="select kind, cast(sum(n) as bigint) as n from (select 'detected' as kind, cast(count(*) as bigint) as n from records where source = 'auto' union all select 'entity_miss', cast(count(*) as bigint) from entities where entity_type = 'INSERT' union all select 'layer_miss', cast(count(*) as bigint) from entities where layer = 'TEXT-NOTES') t group by 1")
 def coverage_export(records: DataFrame, entities: DataFrame) -> DataFrame:
-    return S.coverage_union(records, entities).groupBy("kind").agg(F.sum("n").alias("n"))
+    """Records by kind and drawing written as CSV, a folder for each kind, and the totals of what is read back."""
+    from tesselar.operators.state import Steps
+
+    spark = records.sparkSession
+    path = f"{Steps(spark).path}/coverage"
+    S.coverage_union(records, entities).write.option("header", "true").partitionBy("kind").csv(path)
+    return spark.read.option("header", "true").schema("drawing_id long, n long, kind string").csv(path).groupBy("kind").agg(F.sum("n").alias("n"))
 
 
 @query("records", "entities", sql="select drawing_id, cast(sum(case when kind = 'detected' then n else 0 end) as bigint) as detected, cast(sum(case when kind <> 'detected' then n else 0 end) as bigint) as missed from (select 'detected' as kind, drawing_id, count(*) as n from records where source = 'auto' group by 2 union all select 'entity_miss', drawing_id, count(*) from entities where entity_type = 'INSERT' group by 2 union all select 'layer_miss', drawing_id, count(*) from entities where layer = 'TEXT-NOTES' group by 2) t group by 1")
@@ -150,25 +164,7 @@ def coverage_analysis(records: DataFrame, entities: DataFrame) -> DataFrame:
     return S.coverage_union(records, entities).groupBy("drawing_id").agg(of(F.col("kind") == "detected").alias("detected"), of(F.col("kind") != "detected").alias("missed"))
 
 
-@query("records", sql="select drawing_id as session_id, cast(count(*) as bigint) as polygons, cast(count(*) filter (where coalesce(status, 'active') = 'deleted') as bigint) as deleted from records group by 1")
-def workspace_save(records: DataFrame) -> DataFrame:
-    """What a snapshot of each session holds (written with ``sources.sinks.workspace_save``)."""
-    return records.groupBy(F.col("drawing_id").alias("session_id")).agg(F.count("*").alias("polygons"), F.count_if(F.coalesce("status", F.lit("active")) == "deleted").alias("deleted"))
-
-
-@query("records", sql="select drawing_id, 'data' as category, sha256(string_agg(cast(face_id as varchar), ',' order by face_id)) as sha256 from records group by 1")
-def delivery_manifest(records: DataFrame) -> DataFrame:
-    """Digest of what each drawing delivers; files are digested by ``sources.sinks.delivery_manifest``."""
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list("face_id")), lambda x: x.cast("string")), ",")
-    return records.groupBy("drawing_id").agg(F.sha2(ids, 256).alias("sha256")).withColumn("category", F.lit("data"))
-
-
-@query("records", sql=f"select drawing_id, reason from (select drawing_id, coalesce(string_agg(case when status in ('FAIL', 'REVIEW') then gate end, '; ' order by gate), '') as reason from ({S.GATES_SQL}) g group by 1) r where reason <> ''")
-def overall_reason(records: DataFrame) -> DataFrame:
-    return S.overall_gate(records).where("reason <> ''").select("drawing_id", "reason")
-
-
-@query("grid_lines", name="grid_frame")
+@query("grid_lines", sql=f"select drawing_id, nx, ny, greatest(nx - 1, 0) * greatest(ny - 1, 0) as bays, case when greatest(nx - 1, 0) * greatest(ny - 1, 0) < 4 then 'few bays' else '' end as warning from (select drawing_id, cast(count(*) filter (where angle_deg = 90) as bigint) as nx, cast(count(*) filter (where angle_deg = 0) as bigint) as ny from ({CLUSTER}) c group by 1) n", name="grid_frame")
 def grid_frame(lines: DataFrame) -> DataFrame:
     """By drawing: axes of both families, bays, and a warning when they are too few."""
     from tesselar.operators import grid
@@ -187,8 +183,9 @@ def grid_geometry(bays: DataFrame) -> DataFrame:
 
 @query("segments", name="auto_boundary")
 def auto_boundary(segments: DataFrame) -> DataFrame:
-    hull = T.convex_hulls(E.ends(segments.where("layer = 'S-FNDN-1'")).select("drawing_id", "x", "y"))
-    return hull.select("drawing_id", F.lit("auto_layer").alias("source"), F.round(G.ring_area(F.col("ring")), 1).alias("area"), F.round(G.ring_perimeter(F.col("ring")), 1).alias("perimeter"))
+    from tesselar.plans.topology import slab_outline
+
+    return slab_outline(segments).select("drawing_id", F.lit("auto_layer").alias("source"), "area", "perimeter")
 
 
 @query("records", sql=f"select drawing_id, cast(count(*) filter (where {SLAB}) as bigint) as inside, cast(count(*) filter (where not ({SLAB})) as bigint) as excluded, cast(count(*) filter (where {SLAB} and geometry_role = 'obstacle') as bigint) as obstacles from records group by 1")
@@ -215,19 +212,12 @@ def drawing_arrivals(segments: DataFrame) -> DataFrame:
     return arrivals(files).select(F.regexp_extract("path", r"/(\d+)", 1).cast("bigint").alias("drawing_id"), "check")
 
 
-AUTO = f"select * from records where source = 'auto' and {ACTIVE}"
-SEED = f"select * from records where source = 'seed' and {ACTIVE}"
-
-
-@query("records", sql=f"select face_id, 'auto' as provenance from ({AUTO}) a union all select face_id, 'seed' from ({SEED}) s where not exists (select 1 from ({AUTO}) a where a.drawing_id = s.drawing_id and a.x0 < s.x1 and s.x0 < a.x1 and a.y0 < s.y1 and s.y0 < a.y1 and 100 * (least(a.x1, s.x1) - greatest(a.x0, s.x0)) * (least(a.y1, s.y1) - greatest(a.y0, s.y0)) >= 20 * (a.area_native + s.area_native - (least(a.x1, s.x1) - greatest(a.x0, s.x0)) * (least(a.y1, s.y1) - greatest(a.y0, s.y0))))")
-def merge_regions(records: DataFrame) -> DataFrame:
-    """Automatic regions, and seeded ones that match none of them."""
-    live = records.where(R.is_active(F.col("status"), F.col("scope_excluded")) & F.col("source").isin("auto", "seed"))
-    kind = live.select("face_id", "source")
-    pairs = J.self_overlap(live.select("drawing_id", "face_id", "x0", "y0", "x1", "y1")).where("100 * shared >= 20 * (aa + ba - shared)")
-    pairs = pairs.join(kind.withColumnsRenamed({"face_id": "a", "source": "sa"}), "a").join(kind.withColumnsRenamed({"face_id": "b", "source": "sb"}), "b").where("sa <> sb")
-    gone = pairs.select(F.when(F.col("sa") == "seed", F.col("a")).otherwise(F.col("b")).alias("face_id")).distinct()
-    return kind.join(gone, "face_id", "left_anti").select("face_id", F.col("source").alias("provenance"))
+@query("records", "redrawn", sql=f"select face_id, 'auto' as provenance from records where source = 'auto' and {ACTIVE} union all select n.face_id, 'seed_assisted' from redrawn n where not exists (select 1 from records r where r.source = 'auto' and {ACTIVE} and n.drawing_id = r.drawing_id and n.x0 < r.x1 and r.x0 < n.x1 and n.y0 < r.y1 and r.y0 < n.y1 and 100 * (least(n.x1, r.x1) - greatest(n.x0, r.x0)) * (least(n.y1, r.y1) - greatest(n.y0, r.y0)) >= 90 * ((n.x1 - n.x0) * (n.y1 - n.y0) + r.area_native - (least(n.x1, r.x1) - greatest(n.x0, r.x0)) * (least(n.y1, r.y1) - greatest(n.y0, r.y0))))")
+def merge_regions(records: DataFrame, redrawn: DataFrame) -> DataFrame:
+    """Automatic regions, and of seeded ones (here the second drawing) those that share less than 90 % with each of them."""
+    auto = records.where(R.is_active(F.col("status"), F.col("scope_excluded")) & (F.col("source") == "auto"))
+    gone = J.overlapping_boxes(redrawn, auto, 90).select("face_id").distinct()
+    return auto.select("face_id", F.lit("auto").alias("provenance")).unionByName(redrawn.select("face_id").join(gone, "face_id", "left_anti").withColumn("provenance", F.lit("seed_assisted")))
 
 
 @query("seeds", "faces", name="seed_resolve_all")
@@ -245,9 +235,7 @@ def repaired(seeds: DataFrame, segments: DataFrame, reach: float = 5000.0) -> Da
     from tesselar.operators.state import Steps
 
     steps = Steps(seeds.sparkSession)
-    near = steps.cut(J.near_segments(seeds, segments.select("drawing_id", "seg_id", "x1", "y1", "x2", "y2", "layer"), reach).select("seed_id", "seg_id").distinct())
-    alone = seeds.join(near.select("seed_id").distinct(), "seed_id", "left_anti").select("seed_id", "drawing_id").distinct()
-    near = near.unionByName(alone.join(segments.select("drawing_id", "seg_id"), "drawing_id").select("seed_id", "seg_id").distinct())
+    near = J.cropped(seeds, segments.select("drawing_id", "seg_id", "x1", "y1", "x2", "y2", "layer"), reach)
     own = steps.cut(near.join(segments.drop("drawing_id"), "seg_id").withColumnRenamed("seed_id", "drawing_id"))
     lines = steps.cut(T.with_bridges(own, T.close_gaps(own, 1000.0)))
     found, outlines = T.polygonize(T.node_edges(lines))

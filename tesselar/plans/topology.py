@@ -9,7 +9,10 @@ from tesselar.functions import geom as G
 from tesselar.operators import endpoints as E
 from tesselar.operators import matching as M
 from tesselar.operators import topology as T
+from tesselar.operators.state import shared
+from tesselar.plans.joins import TWICE, self_overlap, twice
 from tesselar.plans.registry import query
+from tesselar.plans.windows import RANKED
 
 MM = 1.0 / T.SCALE
 
@@ -33,16 +36,28 @@ def node_edges(segments: DataFrame) -> DataFrame:
     return e.select("drawing_id", *((F.col(c) * MM).cast("bigint").alias(c) for c in ("ux", "uy", "vx", "vy")))
 
 
+def traced(faces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Faces and outlines of the plan, traced once for all queries of a session."""
+    made: list = []
+
+    def both() -> tuple[DataFrame, DataFrame]:
+        if not made:
+            made.append(T.polygonize(T.node_edges(plan(faces))))
+        return made[0]
+
+    return shared("traced-faces", lambda _: both()[0], faces), shared("traced-outlines", lambda _: both()[1], faces)
+
+
 @query("faces")
 def polygonize(faces: DataFrame) -> DataFrame:
-    found, _ = T.polygonize(T.node_edges(plan(faces)))
+    found, _ = traced(faces)
     return found.select("drawing_id", F.round("area", 2).alias("area"), F.round("perimeter", 2).alias("perimeter"), "holes")
 
 
 @query("faces")
 def detect_regions(faces: DataFrame) -> DataFrame:
     """Faces of at least 1 m2, the largest first, with metrics in metres."""
-    found, _ = T.polygonize(T.node_edges(plan(faces)))
+    found, _ = traced(faces)
     big = found.where("area >= 1000000")
     return compute(big)
 
@@ -59,42 +74,45 @@ def compute(found: DataFrame) -> DataFrame:
 
 @query("faces", name="compute_regions")
 def compute_regions(faces: DataFrame) -> DataFrame:
-    return compute(T.polygonize(T.node_edges(plan(faces)))[0])
+    return compute(traced(faces)[0])
 
 
 @query("faces")
 def detect_from_tagged(faces: DataFrame) -> DataFrame:
     """Counters by drawing: faces, those too small, total area."""
-    found, _ = T.polygonize(T.node_edges(plan(faces)))
+    found, _ = traced(faces)
     return found.groupBy("drawing_id").agg(F.count("*").alias("faces"), F.count_if(F.expr("area < 1000000")).alias("small"), F.round(F.sum("area") * 1e-6, 3).alias("area_m2"))
 
 
-@query("faces")
-def remove_duplicates(faces: DataFrame) -> DataFrame:
+_BOTH = "select a.face_id as a, b.face_id as b, (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) as shared, (a.x1 - a.x0) * (a.y1 - a.y0) as aa, (b.x1 - b.x0) * (b.y1 - b.y0) as ba from (" + TWICE[1:-1] + ") a join (" + TWICE[1:-1] + ") b on a.drawing_id = b.drawing_id and a.face_id < b.face_id and a.x0 < b.x1 and b.x0 < a.x1 and a.y0 < b.y1 and b.y0 < a.y1"
+
+
+@query("faces", "redrawn", sql=f"select face_id, drawing_id, (x1 - x0) * (y1 - y0) as area from {TWICE} t where face_id not in (select case when aa >= ba then b else a end from ({_BOTH}) p where 100 * shared >= 95 * (aa + ba - shared))")
+def remove_duplicates(faces: DataFrame, redrawn: DataFrame) -> DataFrame:
     """Largest first, later ones that match an earlier at 0.95 go; in rounds, as a face that went takes none with it."""
     from tesselar.operators.state import Steps
-    from tesselar.plans.joins import self_overlap
 
+    both = twice(faces, redrawn)
     steps = Steps(faces.sparkSession)
     size = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    near = self_overlap(faces).where("100 * shared >= 95 * (aa + ba - shared)")
+    near = self_overlap(both).where("100 * shared >= 95 * (aa + ba - shared)")
     first = F.when((F.col("aa") > F.col("ba")) | ((F.col("aa") == F.col("ba")) & (F.col("a") < F.col("b"))), F.col("a")).otherwise(F.col("b"))
-    left = steps.cut(near.select(first.alias("over"), F.when(first == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("under")))
-    gone = steps.cut(left.select(F.col("under").alias("face_id")).limit(0))
-    while not left.isEmpty():
+    left, n = steps.cut_and_count(near.select(first.alias("over"), F.when(first == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("under")), F.lit(True))
+    gone = left.select(F.col("under").alias("face_id")).limit(0)
+    while n:
         safe = left.select("over").distinct().join(left.select(F.col("under").alias("over")), "over", "left_anti")
         now = steps.cut(left.join(safe, "over", "left_semi").select(F.col("under").alias("face_id")).distinct())
         gone = gone.unionByName(now)
         for c in ("under", "over"):
             left = left.join(now.withColumnRenamed("face_id", c), c, "left_anti")
-        left = steps.cut(left.join(safe, "over", "left_anti").select("over", "under"))
-    return faces.join(gone, "face_id", "left_anti").select("face_id", "drawing_id", size.alias("area"))
+        left, n = steps.cut_and_count(left.join(safe, "over", "left_anti").select("over", "under"), F.lit(True))
+    return both.join(gone, "face_id", "left_anti").select("face_id", "drawing_id", size.alias("area"))
 
 
 @query("faces")
 def dissolve(faces: DataFrame) -> DataFrame:
     """Boundary length and area of the union of each drawing's faces, by edges that one face alone has."""
-    found, outlines = T.polygonize(T.node_edges(plan(faces)))
+    found, outlines = traced(faces)
     groups = found.select("drawing_id", "face", F.lit(1).alias("grp"))
     edges = T.dissolve_edges(outlines, groups)
     length = (F.hypot((F.col("vx") - F.col("ux")).cast("double"), (F.col("vy") - F.col("uy")).cast("double")) * MM).alias("l")
@@ -107,17 +125,22 @@ def match_unique(segments: DataFrame) -> DataFrame:
     return E.unique_pairs(E.gap_candidates(segments, 500.0)).select("drawing_id", "ax", "ay", "bx", "by")
 
 
-@query("segments")
+@query("segments", sql="select drawing_id, ax, ay, bx, by_ as \"by\" from profile_unique")
 def match_profile(segments: DataFrame) -> DataFrame:
     return E.unique_pairs(E.gap_candidates(segments, 500.0).where("profile")).select("drawing_id", "ax", "ay", "bx", "by")
 
 
-@query("segments")
+@query("segments", sql="select drawing_id, ax, ay, bx, by_ as \"by\" from micro_unique")
 def match_micro(segments: DataFrame) -> DataFrame:
     c = E.gap_candidates(segments, 500.0)
     return E.unique_pairs(E.without_used(c, E.unique_pairs(c.where("profile"))).where("micro")).select("drawing_id", "ax", "ay", "bx", "by")
 
 
+def bridges(segments: DataFrame) -> DataFrame:
+    """Bridges at the plain threshold, found once for all queries of a session."""
+    return shared("bridges", lambda s: T.close_gaps(s, 500.0), segments)
+
+
 @query("segments")
 def match_general(segments: DataFrame) -> DataFrame:
     return M.match_general(E.gap_candidates(segments, 500.0)).select("drawing_id", "ax", "ay", "bx", "by")
@@ -130,7 +153,7 @@ def match_adopt(segments: DataFrame) -> DataFrame:
 
 @query("segments")
 def close_gaps(segments: DataFrame) -> DataFrame:
-    return T.close_gaps(segments, 500.0).select("drawing_id", "ax", "ay", "bx", "by", F.round("distance", 4).alias("distance"))
+    return bridges(segments).select("drawing_id", "ax", "ay", "bx", "by", F.round("distance", 4).alias("distance"))
 
 
 @query("segments")
@@ -138,19 +161,31 @@ def close_gaps_tier2(segments: DataFrame) -> DataFrame:
     return T.close_gaps(segments, 500.0, 800.0).select("drawing_id", "ax", "ay", "bx", "by", F.round("distance", 4).alias("distance"))
 
 
+def closed(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Segments after all passes, and the passes, made once for all queries of a session."""
+    made: list = []
+
+    def both() -> tuple[DataFrame, DataFrame]:
+        if not made:
+            made.append(T.iterative_close(segments))
+        return made[0]
+
+    return shared("closed", lambda _: both()[0], segments), shared("passes", lambda _: both()[1], segments)
+
+
 @query("segments")
 def iterative_close(segments: DataFrame) -> DataFrame:
-    return T.iterative_close(segments)[0].groupBy("drawing_id", "layer").agg(F.count("*").alias("n"))
+    return closed(segments)[0].groupBy("drawing_id", "layer").agg(F.count("*").alias("n"))
 
 
 @query("segments")
 def closure_history(segments: DataFrame) -> DataFrame:
-    return T.iterative_close(segments)[1]
+    return closed(segments)[1]
 
 
 @query("segments")
 def tagged_close(segments: DataFrame) -> DataFrame:
-    return T.with_bridges(segments, T.close_gaps(segments)).where("layer = 'GAP_BRIDGE'").select("drawing_id", "x1", "y1", "x2", "y2", "layer")
+    return T.with_bridges(segments, bridges(segments)).where("layer = 'GAP_BRIDGE'").select("drawing_id", "x1", "y1", "x2", "y2", "layer")
 
 
 @query("segments", sql="select drawing_id, cast(count(*) as bigint) as n, cast(sum(x1 + y1 + x2 + y2) as double) as total from segments group by 1")
@@ -162,10 +197,9 @@ def snap_endpoints(segments: DataFrame) -> DataFrame:
 
 @query("segments")
 def slab_outline(segments: DataFrame) -> DataFrame:
-    """Hull of the foundation layer's ends: the fallback where it encloses no face of 100 m2."""
-    ends = E.ends(segments.where("layer = 'S-FNDN-1'")).select("drawing_id", "x", "y")
-    hull = T.convex_hulls(ends)
-    return hull.select("drawing_id", F.size("ring").alias("points"), F.round(G.ring_area(F.col("ring")), 1).alias("area"), F.lit("convex_hull").alias("method"))
+    """Outline of the foundation layer: its large faces united, or the hull where it encloses none."""
+    outline = shared("slab", T.slab_outlines, segments.where("layer = 'S-FNDN-1'"))
+    return outline.select("drawing_id", "method", F.round("area", 1).alias("area"), F.round("perimeter", 1).alias("perimeter"))
 
 
 @query("seeds", "faces")
@@ -173,7 +207,7 @@ def seed_resolve(seeds: DataFrame, faces: DataFrame) -> DataFrame:
     """Seeds to the smallest traced face: ok, duplicate (a smaller id has the face), too small, or no face."""
     from pyspark.sql import Window
 
-    found, outlines = T.polygonize(T.node_edges(plan(faces)))
+    found, outlines = traced(faces)
     hit = T.seeds_in_faces(seeds, found, outlines)
     n = F.row_number().over(Window.partitionBy("drawing_id", "face").orderBy("seed_id"))
     ranked = hit.withColumn("n", n)
@@ -184,15 +218,32 @@ def seed_resolve(seeds: DataFrame, faces: DataFrame) -> DataFrame:
 @query("seeds", "faces", name="missed_centroids")
 def missed_centroids(seeds: DataFrame, faces: DataFrame) -> DataFrame:
     """Centres of traced faces that no accepted seed or given face names: candidates for seeds."""
-    found, outlines = T.polygonize(T.node_edges(plan(faces)))
+    found, outlines = traced(faces)
     hit = T.seeds_in_faces(seeds, found, outlines).select("drawing_id", "face")
     return found.join(hit, ["drawing_id", "face"], "left_anti").select("drawing_id", F.round("cx", 2).alias("x"), F.round("cy", 2).alias("y"), F.round("area", 2).alias("area"))
 
 
-@query("segments", "seeds", name="suspected_gaps")
-def suspected_gaps(segments: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Open gaps with a rank, a point beside the gap's middle, and a threshold that would close them."""
-    c = E.gap_candidates(segments, 500.0)
-    priority = F.lit(90) + F.when(F.col("distance") <= 250, 20).otherwise(0) - F.when(F.col("delta") < 135, 5).otherwise(0)
-    mid = lambda p: ((F.col(f"a{p}") + F.col(f"b{p}")) / 2).alias(p)
-    return c.select("drawing_id", mid("x"), mid("y"), priority.alias("priority"), G.suggested_threshold(F.col("distance"), 250).alias("threshold"))
+MIDDLE = "select drawing_id, ax, ay, status, reason, priority, (ax + coalesce(bx, ax)) / 2.0 as x, (ay + coalesce(by_, ay)) / 2.0 as y from (" + RANKED + ") g"
+_D2 = "power(greatest(s.x1 - i.x, 0, i.x - s.x2), 2) + power(greatest(s.y1 - i.y, 0, i.y - s.y2), 2)"
+_NEAR = f"select i.*, s.x1 as sx, s.y1 as sy, s.x2 as ex, s.y2 as ey, {_D2} as d2, row_number() over (partition by i.drawing_id, i.ax, i.ay order by {_D2}, s.seg_id) as r from ({MIDDLE}) i join segments s on s.drawing_id = i.drawing_id"
+_INWARD = f"select *, round(x + 75 * case when d > 1e-6 then (x - px) / d else case when sy = ey then 0 else -1 end end, 1) as seed_x, round(y + 75 * case when d > 1e-6 then (y - py) / d else case when sy = ey then 1 else 0 end end, 1) as seed_y from (select *, sqrt(d2) as d, least(greatest(x, sx), ex) as px, least(greatest(y, sy), ey) as py from ({_NEAR}) n where r = 1) m"
+SUSPECTED = f"select drawing_id, seed_x, seed_y, status, priority, recoverable, priority + case when recoverable then 20 else 0 end - case when reason = 'bearing_mismatch_suspected' then 5 else 0 end as confidence from (select g.*, exists (select 1 from faces f where f.drawing_id = g.drawing_id and g.seed_x between f.x0 and f.x1 and g.seed_y between f.y0 and f.y1) as recoverable from (select *, row_number() over (partition by drawing_id, seed_x, seed_y order by ax, ay) as k from ({_INWARD}) w) g where k = 1) u"
+
+
+@query("segments", "faces", sql=SUSPECTED, name="suspected_gaps")
+def suspected_gaps(segments: DataFrame, faces: DataFrame) -> DataFrame:
+    """Open gaps, each with a seed point beside its middle (one gap for each such point), whether that lies in a face, and a confidence."""
+    from tesselar.operators import gaps as P
+    from tesselar.operators.cells import points_in_boxes
+    from tesselar.plans.joins import with_reasons
+    from tesselar.plans.more import moved_inward
+
+    every = with_reasons(P.gaps(segments)).withColumn("priority", P.priority(F.col("status")))
+    middle = {c: (F.col(f"a{c}") + F.coalesce(f"b{c}", f"a{c}")) / 2 for c in "xy"}
+    points = every.select("drawing_id", "ax", "ay", "status", "reason", "priority", *(v.alias(k) for k, v in middle.items()))
+    seeds = moved_inward(points, segments, ["drawing_id", "ax", "ay"]).withColumns({c: F.round(c, 1) for c in "xy"})
+    seeds = E.first_by(seeds, ["drawing_id", "x", "y"], F.col("ax"), F.col("ay"))
+    hit = points_in_boxes(seeds.select("drawing_id", "x", "y"), faces.select("drawing_id", "x0", "y0", "x1", "y1"), 4000).select("drawing_id", "x", "y").distinct().withColumn("hit", F.lit(True))
+    out = seeds.join(hit, ["drawing_id", "x", "y"], "left").withColumn("recoverable", F.coalesce("hit", F.lit(False)))
+    confidence = F.col("priority") + F.when(F.col("recoverable"), 20).otherwise(0) - F.when(F.col("reason") == P.BEARING, 5).otherwise(0)
+    return out.select("drawing_id", F.col("x").alias("seed_x"), F.col("y").alias("seed_y"), "status", "priority", "recoverable", confidence.alias("confidence"))

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesselar.functions import review as R
-from tesselar.operators import endpoints as E
+from tesselar.operators import gaps as P
 from tesselar.operators import grid as G
 from tesselar.operators import zones as Z
+from tesselar.plans.filters import HINT
 from tesselar.plans.registry import query
 
 AREA = "(x1 - x0) * (y1 - y0)"
@@ -56,7 +57,7 @@ def axis_select(lines: DataFrame) -> DataFrame:
     return picked.select("drawing_id", F.col("angle_deg").cast("bigint").alias("angle_deg"), F.round("position", 3).alias("position"))
 
 
-@query("grid_lines", sql=f"select drawing_id, cast(a as bigint) as columns, cast(b as bigint) as rows from (select *, row_number() over (partition by drawing_id order by round(least(a / (nx - 1.0), b / (ny - 1.0)), 6) desc, a desc, b desc) as r from (select drawing_id, cast(count(*) filter (where angle_deg = 90) as bigint) as nx, cast(count(*) filter (where angle_deg = 0) as bigint) as ny from ({CLUSTER}) c group by 1) n, (values (1, 12), (2, 6), (3, 4), (4, 3), (6, 2), (12, 1)) v(a, b) where a <= nx - 1 and b <= ny - 1) t where r = 1")
+@query("grid_lines", sql=f"select drawing_id, cast(a as bigint) as columns, cast(b as bigint) as rows from (select *, row_number() over (partition by drawing_id order by round(least((a + 1.0) / nx, (b + 1.0) / ny), 9) desc, least(a, b), a) as r from (select drawing_id, cast(count(*) filter (where angle_deg = 90) as bigint) as nx, cast(count(*) filter (where angle_deg = 0) as bigint) as ny from ({CLUSTER}) c group by 1) n, (values (1, 12), (2, 6), (3, 4), (4, 3), (6, 2), (12, 1)) v(a, b) where a <= nx - 1 and b <= ny - 1) t where r = 1")
 def axis_target(lines: DataFrame) -> DataFrame:
     of = lambda a: F.count_if(F.col("angle_deg") == a)
     counts = G.axis_clusters(lines).groupBy("drawing_id").agg(of(90).alias("nx"), of(0).alias("ny"))
@@ -97,7 +98,7 @@ def layer_ranking(entities: DataFrame) -> DataFrame:
     return by.withColumn("place", _rank(["drawing_id"], F.col("n").desc(), "layer"))
 
 
-@query("entities", sql=f"select drawing_id, layer, n, row_number() over (partition by drawing_id order by n desc, layer) as place from ({BYLAYER}) l where n >= 4 and layer not like '%TEXT%' and layer not like '%NOTE%'")
+@query("entities", sql=f"select drawing_id, layer, n, row_number() over (partition by drawing_id order by n desc, layer) as place from ({BYLAYER}) l where n >= 4 and layer not like '%TEXT%' and layer not like '%NOTE%' and layer not like '%GRID%'")
 def candidate_layers(entities: DataFrame) -> DataFrame:
     return candidates(entities)
 
@@ -107,30 +108,55 @@ def candidates(entities: DataFrame) -> DataFrame:
     return by.where((F.col("n") >= 4) & ~R.annotation_layer(F.col("layer"))).withColumn("place", _rank(["drawing_id"], F.col("n").desc(), "layer"))
 
 
-@query("entities", sql=f"select l.drawing_id, l.layer, case when c.k > 0 then 'configured' else 'candidates' end as source from ({BYLAYER}) l join (select drawing_id, sum(case when layer = 'S-GRID-1' and drawing_id % 2 = 0 then 1 else 0 end) as k from ({BYLAYER}) l group by 1) c on c.drawing_id = l.drawing_id where case when c.k > 0 then l.layer = 'S-GRID-1' else l.n >= 4 and l.layer not like '%TEXT%' and l.layer not like '%NOTE%' end")
-def layer_resolve(entities: DataFrame) -> DataFrame:
-    """The configured layer (S-GRID-1, configured for even drawings) if it has geometry, else the candidates."""
-    own = entities.where("drawing_id % 2 = 0 and layer = 'S-GRID-1'").where(F.col("entity_type").isin(*R.SUPPORTED)).select("drawing_id", "layer").distinct().withColumn("source", F.lit("configured"))
-    rest = candidates(entities).join(own.select("drawing_id"), "drawing_id", "left_anti").select("drawing_id", "layer", F.lit("candidates").alias("source"))
-    return own.unionByName(rest)
+CONFIGURED = "select distinct l.drawing_id, l.layer from (" + BYLAYER + ") l join layer_config c on c.drawing_id = l.drawing_id and upper(c.layer) = upper(l.layer)"
 
 
-@query("entities", sql="select drawing_id, layer, cast(count(*) as bigint) as n from entities where layer like '%GRID%' and drawing_id % 3 > 0 group by 1, 2")
-def grid_layer_candidates(entities: DataFrame) -> DataFrame:
-    """Grid layers that are not configured (drawings divisible by three have theirs configured)."""
-    return entities.where(F.upper("layer").contains("GRID") & (F.col("drawing_id") % 3 > 0)).groupBy("drawing_id", "layer").agg(F.count("*").alias("n"))
+@query("entities", "layer_config", sql=f"with own as ({CONFIGURED}) select drawing_id, layer, 'configured' as source from own union all select drawing_id, layer, 'auto_fallback' from ({BYLAYER}) l where n >= 4 and not {HINT} and drawing_id not in (select drawing_id from own) union all select distinct drawing_id, layer, 'configured' from layer_config c where drawing_id in (select drawing_id from entities) and drawing_id not in (select drawing_id from own) and drawing_id not in (select drawing_id from ({BYLAYER}) l where n >= 4 and not {HINT})")
+def layer_resolve(entities: DataFrame, config: DataFrame) -> DataFrame:
+    """By drawing the configured layers that have geometry, else the candidates, else the configured ones as they are."""
+    by = entities.where(F.col("entity_type").isin(*R.SUPPORTED)).select("drawing_id", "layer").distinct()
+    own = by.join(config.select("drawing_id", F.upper("layer").alias("up")).distinct(), (by["layer"] == F.col("up")) & (by["drawing_id"] == config["drawing_id"]), "left_semi").withColumn("source", F.lit("configured"))
+    rest = candidates(entities).join(own.select("drawing_id").distinct(), "drawing_id", "left_anti").select("drawing_id", "layer", F.lit("auto_fallback").alias("source"))
+    known = own.select("drawing_id").unionByName(rest.select("drawing_id")).distinct()
+    bare = config.select("drawing_id", "layer").distinct().join(entities.select("drawing_id").distinct(), "drawing_id", "left_semi").join(known, "drawing_id", "left_anti").withColumn("source", F.lit("configured"))
+    return own.unionByName(rest).unionByName(bare)
 
 
-@query("segments", sql="select drawing_id, ax, ay, bx, by_ as \"by\", 90 + case when d2 <= 62500 then 20 else 0 end - case when al <> bl then 5 else 0 end as priority from candidate_pairs")
-def suspected_gap_ranking(segments: DataFrame) -> DataFrame:
-    p = F.lit(90) + F.when(F.col("d2") <= 62500, 20).otherwise(0) - F.when(F.col("alayer") != F.col("blayer"), 5).otherwise(0)
-    return E.gap_candidates(segments, 500.0).select("drawing_id", "ax", "ay", "bx", "by", p.alias("priority"))
+@query("entities", "layer_config", sql="select drawing_id, layer, cast(count(*) as bigint) as n from entities e where upper(layer) like '%GRID%' and not exists (select 1 from layer_config c where c.drawing_id = e.drawing_id and upper(c.layer) = upper(e.layer)) group by 1, 2")
+def grid_layer_candidates(entities: DataFrame, config: DataFrame) -> DataFrame:
+    """Layers with GRID in their name that the drawing's configuration does not name."""
+    named = entities.where(F.upper("layer").contains("GRID")).withColumn("up", F.upper("layer"))
+    known = config.select("drawing_id", F.upper("layer").alias("up")).distinct()
+    return named.join(known, ["drawing_id", "up"], "left_anti").groupBy("drawing_id", "layer").agg(F.count("*").alias("n"))
+
+
+RANKED = "select g.drawing_id, g.ax, g.ay, g.bx, g.by_, g.status, case g.status when 'within_threshold_unclosed' then 100 when 'above_threshold_close' then 80 when 'orphan_endpoint' then 60 else 40 end as priority, f.reason, exists (select 1 from faces f where f.drawing_id = g.drawing_id and g.ax + coalesce(g.bx, g.ax) between 2 * f.x0 and 2 * f.x1 and g.ay + coalesce(g.by_, g.ay) between 2 * f.y0 and 2 * f.y1) as recoverable from gaps g left join gap_failed f on f.drawing_id = g.drawing_id and f.ax = g.ax and f.ay = g.ay"
+
+
+@query("segments", "faces", sql=f"select drawing_id, ax, ay, bx, by_ as \"by\", priority, recoverable, priority + case when recoverable then 20 else 0 end - case when reason = 'bearing_mismatch_suspected' then 5 else 0 end as confidence from ({RANKED}) r")
+def suspected_gap_ranking(segments: DataFrame, faces: DataFrame) -> DataFrame:
+    """Gaps by status; those whose middle lies in a face count as recoverable, and a bearing mismatch as less certain."""
+    return ranked(segments, faces).select("drawing_id", "ax", "ay", "bx", "by", "priority", "recoverable", "confidence")
+
+
+def ranked(segments: DataFrame, faces: DataFrame) -> DataFrame:
+    from tesselar.operators.cells import points_in_boxes
+    from tesselar.plans.joins import with_reasons
+
+    every = with_reasons(P.gaps(segments))
+    middle = {c: (F.col(f"a{c}") + F.coalesce(f"b{c}", f"a{c}")) / 2 for c in "xy"}
+    hit = points_in_boxes(every.select("drawing_id", "ax", "ay", *(v.alias(k) for k, v in middle.items())), faces.select("drawing_id", "x0", "y0", "x1", "y1"), 4000).select("drawing_id", "ax", "ay").distinct().withColumn("hit", F.lit(True))
+    out = every.join(hit, ["drawing_id", "ax", "ay"], "left").withColumn("recoverable", F.coalesce("hit", F.lit(False))).withColumn("priority", P.priority(F.col("status")))
+    confidence = F.col("priority") + F.when(F.col("recoverable"), 20).otherwise(0) - F.when(F.col("reason") == P.BEARING, 5).otherwise(0)
+    return out.withColumn("confidence", confidence)
 
 
 @query("seeds", sql="select min(seed_id) as seed_id, drawing_id, x - x % 500 as kx, y - y % 500 as ky from seeds group by 2, 3, 4")
 def point_dedupe(seeds: DataFrame) -> DataFrame:
     keyed = seeds.select("seed_id", "drawing_id", (F.col("x") - F.col("x") % 500).alias("kx"), (F.col("y") - F.col("y") % 500).alias("ky"))
-    return E.first_by(keyed, ["drawing_id", "kx", "ky"], F.col("seed_id"))
+    from tesselar.operators.endpoints import first_by
+
+    return first_by(keyed, ["drawing_id", "kx", "ky"], F.col("seed_id"))
 
 
 @query("faces", sql=f"select drawing_id, area from (select drawing_id, {AREA} as area, row_number() over (partition by drawing_id order by {AREA} desc, face_id) as r, count(*) over (partition by drawing_id) as n from faces) t where r = cast(floor(0.2 * n) as bigint) + 1")
@@ -157,38 +183,21 @@ def label_signature(bays: DataFrame) -> DataFrame:
     return bays.agg(F.array_join(rows, ",").alias("signature"))
 
 
-@query("faces", sql=f"select face_id, drawing_id, row_number() over (partition by drawing_id order by {AREA} desc, face_id) as place from faces where layer in ('Brand#11', 'Brand#22', 'Brand#33')")
+@query("faces", sql=f"select f.face_id, f.drawing_id, row_number() over (partition by f.drawing_id order by {AREA} desc, f.face_id) as place from faces f where f.layer in (select distinct b from (select min(layer) as b from faces group by drawing_id union all select max(layer) from faces group by drawing_id) w)")
 def closed_loops(faces: DataFrame) -> DataFrame:
-    """Closed outlines on wall layers, one by handle, the largest first."""
-    walls = faces.where(F.col("layer").isin("Brand#11", "Brand#22", "Brand#33")).dropDuplicates(["face_id"])
-    return walls.select("face_id", "drawing_id", _rank(["drawing_id"], _area().desc(), "face_id").alias("place"))
-
+    """Closed outlines on wall layers (the first and the last layer of any drawing), one by handle, the largest first."""
+    by = faces.groupBy("drawing_id").agg(F.min("layer").alias("a"), F.max("layer").alias("b"))
+    walls = by.select(F.explode(F.array("a", "b")).alias("layer")).distinct()
+    return faces.join(walls, "layer", "left_semi").dropDuplicates(["face_id"]).select("face_id", "drawing_id", _rank(["drawing_id"], _area().desc(), "face_id").alias("place"))
 
-PAIRED = "select a.drawing_id, a.seg_id as a, b.seg_id as b, power(a.x - b.x, 2) + power(a.y - b.y, 2) as d2 from free_ends a join free_ends b on a.drawing_id = b.drawing_id and a.seg_id <> b.seg_id and power(a.x - b.x, 2) + power(a.y - b.y, 2) <= 4000000"
 
-
-@query("segments", name="gap_pairing")
+@query("segments", sql="select drawing_id, ax, ay, bx, by_ as \"by\", round(distance, 3) as distance, al as alayer, bl as blayer, status from gaps")
 def gap_pairing(segments: DataFrame) -> DataFrame:
-    """Free ends paired by rounds of mutual nearest neighbours; the rest are orphans."""
-    from tesselar.operators.matching import mutual_pairs
-
-    free = E.free_ends(segments)
-    pairs = mutual_pairs(E.pairs(free, 2000.0).withColumn("cost", F.col("distance")))
-    key = ["drawing_id", "x", "y"]
-    used = pairs.select("drawing_id", F.col("ax").alias("x"), F.col("ay").alias("y")).unionByName(pairs.select("drawing_id", F.col("bx").alias("x"), F.col("by").alias("y")))
-    lone = free.join(used, key, "left_anti").select("drawing_id", F.col("x").alias("ax"), F.col("y").alias("ay"), F.lit(None).cast("bigint").alias("bx"), F.lit(None).cast("bigint").alias("by"), F.lit("orphan").alias("status"))
-    status = F.when(F.col("distance") <= 500, "within_threshold").otherwise("above_threshold")
-    return pairs.select("drawing_id", "ax", "ay", "bx", "by", status.alias("status")).unionByName(lone)
+    """Free ends paired up to 10,000, the nearest first; the rest are orphans."""
+    return P.gaps(segments).select("drawing_id", "ax", "ay", "bx", "by", F.round("distance", 3).alias("distance"), "alayer", "blayer", "status")
 
 
-@query("segments", name="gap_failures")
+@query("segments", sql="select drawing_id, ax, ay, bx, by_ as \"by\", cast(delta as double) as delta, reason from gap_failed")
 def gap_failures(segments: DataFrame) -> DataFrame:
-    """Why a gap within the threshold stays open: one of its ends has a nearer neighbour, or the bearings do not match."""
-    free = E.free_ends(segments)
-    near = E.nearest_other(free, 2000).select("drawing_id", "x", "y", F.col("d2").alias("best"))
-    gaps = gap_pairing(segments).where("status = 'within_threshold'")
-    for p in "ab":
-        gaps = gaps.join(near.withColumnsRenamed({"x": f"{p}x", "y": f"{p}y", "best": f"{p}best"}), ["drawing_id", f"{p}x", f"{p}y"], "left")
-    d2 = F.pow(F.col("ax") - F.col("bx"), F.lit(2)) + F.pow(F.col("ay") - F.col("by"), F.lit(2))
-    reason = F.when((F.col("abest") < d2) | (F.col("bbest") < d2), "pairing conflict").otherwise("bearing mismatch")
-    return gaps.select("drawing_id", "ax", "ay", "bx", "by", reason.alias("reason"))
+    """Why a gap within the threshold stays open: its bearings differ by more than 75 degrees, or its ends were paired otherwise."""
+    return P.failures(P.gaps(segments)).select("drawing_id", "ax", "ay", "bx", "by", "delta", "reason")

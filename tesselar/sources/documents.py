@@ -36,7 +36,19 @@ def read_workspace(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where("reason is null").select("id", "version", filled.alias("polygons")), rows.where("reason is not null").select("id", "reason")
 
 
-def drawing_matches(seed_drawing, drawing):
-    """Equal, equal without suffix, or one part of the other; a seed without a drawing fits all."""
-    stem = lambda c: F.lower(F.regexp_replace(c, r"\.[A-Za-z0-9]+$", ""))
-    return seed_drawing.isNull() | (F.lower(seed_drawing) == F.lower(drawing)) | (stem(seed_drawing) == stem(drawing)) | stem(drawing).contains(stem(seed_drawing)) | stem(seed_drawing).contains(stem(drawing))
+def match_drawings(seeds: DataFrame, drawings: DataFrame) -> DataFrame:
+    """Rows of seeds (seed_drawing) and drawings (drawing) whose names match: the seed's is equal to the drawing's, in any case, or part of it.
+
+    Distinct parts of drawing names meet seed names by equality, so no pair of names is formed that does not match. A null name
+    matches every drawing; these seeds, few as they are, are given all names as one list.
+    """
+    names = drawings.select("drawing").distinct().withColumn("low", F.lower(F.trim("drawing")))
+    start = F.explode(F.sequence(F.lit(1), F.length("low")))
+    parts = names.where("low <> ''").withColumn("s", start).withColumn("n", F.explode(F.sequence(F.lit(1), F.length("low") - F.col("s") + 1)))
+    parts = parts.select("drawing", F.expr("substring(low, s, n)").alias("part")).distinct()
+    asked = seeds.select("seed_drawing").distinct().withColumn("part", F.lower(F.trim("seed_drawing")))
+    pairs = asked.where("part is not null").join(parts, "part").select("seed_drawing", "drawing")
+    named = seeds.join(pairs, "seed_drawing").join(drawings, "drawing")
+    every = drawings.groupBy(F.lit(0).alias("k")).agg(F.collect_set("drawing").alias("all"))
+    free = seeds.where("seed_drawing is null").withColumn("k", F.lit(0)).join(every, "k").withColumn("drawing", F.explode("all")).drop("k", "all").join(drawings, "drawing")
+    return named.select(*free.columns).unionByName(free)

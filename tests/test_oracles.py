@@ -1,4 +1,4 @@
-"""Every query against its SQL twin in DuckDB, and every query without one against its own repetition."""
+"""Every query against its SQL twin in DuckDB; queries without one are named with the test that checks them."""
 
 import decimal
 import math
@@ -48,7 +48,13 @@ def test_twin(spark, con, name):
     assert got[1] == want[1]
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_rows(spark, name):
-    df = QUERIES[name](spark, SF)
-    assert df.columns and df.count() >= 0
+#: Queries that SQL does not express, and the test that holds them against something else.
+ELSEWHERE = {
+    "test_topology": ["polygonize", "detect_from_tagged", "detect_regions", "compute_regions", "seed_resolve", "seed_resolve_all", "seed_candidates", "missed_centroids", "dissolve"],
+    "test_matching": ["match_general", "match_adopt", "close_gaps", "tagged_close", "close_gaps_tier2", "closure_history", "iterative_close", "slab_outline", "auto_boundary", "local_repair", "local_repair_candidates"],
+    "test_streams": ["undo_redo_fold"],
+}
+
+
+def test_every_query_has_a_check():
+    assert set(QUERIES) - set(SQL) == {n for names in ELSEWHERE.values() for n in names}
