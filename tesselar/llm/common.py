@@ -188,8 +188,8 @@ def by_group(batches: Iterator[pa.RecordBatch], key: str, fn: Callable[[pa.Table
 
 
 def held_out(modulus: int, rest: int):
-    """Whether crc32 of doc_id as text leaves ``rest``."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == rest
+    """Whether crc32 of doc_id as text leaves ``rest``; a null doc_id is not held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == rest, F.lit(False))
 
 
 # ---- connected components ----------------------------------------------------------------------

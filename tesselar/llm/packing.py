@@ -34,6 +34,8 @@ from tesselar.llm.common import Scratch, gathered, tune, words
 #: Distinct words whose ids a worker keeps; text bytes that it encodes at once.
 CACHE = 700_000
 STEP = 4 << 20
+#: Texts that a tokenizer must give the same ids for as for their words one by one.
+PROBES = ["the cat  sat\ton\n the mat.", "don't stop", " a  leading and trailing blank ", "É naïve 漢字 12,5 x_y", "one"]
 _loaded: dict[str, tuple] = {}
 
 
@@ -81,7 +83,12 @@ def _tokenizer(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _loaded[path] = (Tokenizer.from_file(path), Known())
+        tokenizer = Tokenizer.from_file(path)
+        for probe in PROBES:
+            apart = [x for w in probe.split() for x in tokenizer.encode(w, add_special_tokens=False).ids]
+            if tokenizer.encode(probe, add_special_tokens=False).ids != apart:
+                raise ValueError("the tokenizer does not treat runs between white space on their own")
+        _loaded[path] = (tokenizer, Known())
     return _loaded[path]
 
 

@@ -177,7 +177,9 @@ def fit(documents: DataFrame, labels: DataFrame, config: QualityConfig = Quality
     chosen = [rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(config.train_by_label) for y in (0, 1)]
     n_chars = F.col("n_chars").cast("double") if "n_chars" in documents.columns else F.lit(-1.0)
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(n_chars, F.lit(-1.0)).alias("n_chars")).where(F.length("text") <= config.train_chars)
-    got = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").limit(4 * config.train_by_label).toPandas().sort_values(["doc_id", "text"])
+    # of rows that share a doc_id the text of the smallest hash, so the bound on doc_ids is one on rows
+    one = F.min_by(F.struct("text", "n_chars"), F.xxhash64("text", "n_chars")).alias("t")
+    got = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").groupBy("doc_id").agg(one, F.max("y").alias("y")).select("doc_id", "t.*", "y").toPandas().sort_values("doc_id")
     return _train(got["text"].tolist(), got["n_chars"].to_numpy(np.float64), got["y"].to_numpy(np.int64), config)
 
 

@@ -36,3 +36,24 @@ def test_scores_do_not_see_columns(spark):
     labels = spark.createDataFrame([(1, 1), (99, 0)], "doc_id long, toxic int")
     a, b = toxicity.score(df, toxicity.fit(df, labels)).collect()
     assert a.score == b.score
+
+
+@pytest.mark.parametrize("module,label", [(toxicity, "toxic"), (quality, "quality")])
+def test_repeated_ids_and_clashing_columns(spark, module, label):
+    """Rows that share a doc_id give one training row whatever their order; a column named like an output is replaced."""
+    rows = [(k // 2, f"text {k} " + ("good fine" if k % 4 < 2 else "bad awful"), 7, "x") for k in range(80)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], f"doc_id long, {label} int")
+    schema = "doc_id long, text string, predicted int, score string"
+    scores = []
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, schema).repartition(3)
+        out = module.score(df, module.fit(df, labels))
+        assert out.columns == ["doc_id", "text", "score", "predicted"]
+        scores.append(sorted((r.doc_id, r.text, round(r.score, 6), r.predicted) for r in out.collect()))
+    assert scores[0] == scores[1]
+
+
+def test_null_id_is_not_held_out(spark):
+    from tesselar.llm.common import held_out
+
+    assert not spark.createDataFrame([(None,)], "doc_id long").select(held_out(5, 0).alias("h")).first().h

@@ -55,3 +55,17 @@ def test_pack(spark):
 def test_query(spark):
     rows = packing.op8_packing(spark, "/root/testdata/sf0.001").collect()
     check(rows, [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()][:40])
+
+
+def test_texts_beyond_a_step_and_other_tokenizers(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    texts = [(1, " ".join("w" + str(int(x)) for x in rng.integers(0, 3000, 900_000))), (2, "short")]
+    assert len(texts[0][1]) > packing.STEP
+    check(packing.pack(spark.createDataFrame(texts, "doc_id long, text string"), packing.PackConfig(PATH)).collect(), texts)
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    other = Tokenizer(models.BPE({"a": 0, "b": 1, " ": 2, "Ġ": 3}, []))
+    other.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    other.save(str(tmp_path / "other.json"))
+    with pytest.raises(ValueError):
+        packing._tokenizer(str(tmp_path / "other.json"))

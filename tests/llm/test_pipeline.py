@@ -46,3 +46,23 @@ def test_stages_against_brute_force(spark):
     for k in ids:
         own = sorted((r for r in pieces if r.doc_id == k), key=lambda r: r.start)
         assert sum(r.length for r in own) == own[0].doc_tokens
+
+
+def test_stages_on_odd_tables(spark):
+    """Nulls, empty texts, repeated rows and an extra column go through every stage; so does a table without rows."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0).withColumn("t1", F.lit("x"))
+    long = " ".join(f"w{k}" for k in range(80))
+    fill = {"doc_id": None, "text": None, "n_chars": None}
+    rows = [{**fill, "doc_id": 1, "text": long}, {**fill, "doc_id": 1, "text": long}, {**fill, "doc_id": 2}, {**fill, "text": "mail a.b@example.org"}, {**fill, "doc_id": 3, "text": ""}, fill]
+    odd = spark.createDataFrame([tuple(r.get(c) for c in docs.columns) for r in rows], docs.schema)
+    for table, n in ((odd, len(rows)), (docs, 0)):
+        now = table
+        for name, stage in corpus_pipeline.STAGES:
+            now = stage(spark, now, SF)
+            if name != "packing":
+                assert now.columns == docs.columns
+            if name in ("toxicity", "ngram_jaccard_join"):
+                assert now.count() == n
+        assert (now.count() > 0) == (n > 0)
