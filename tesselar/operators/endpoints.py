@@ -56,6 +56,8 @@ def nearest_other(free: DataFrame) -> DataFrame:
     from tesselar.operators.state import Steps
 
     key = ["drawing_id", "x", "y"]
+    steps = Steps(free.sparkSession)
+    free = steps.cut(free)
     b = free.select("drawing_id", F.col("x").alias("bx"), F.col("y").alias("by"), F.col("seg_id").alias("bseg"))
 
     def found(left: DataFrame, reach: float) -> DataFrame:
@@ -63,7 +65,7 @@ def nearest_other(free: DataFrame) -> DataFrame:
         near = near_points(a, b, reach).where("aseg <> bseg")
         return near.groupBy("drawing_id", F.col("ax").alias("x"), F.col("ay").alias("y")).agg(F.min(F.struct("d2", "bx", "by")).alias("n")).select(*key, "n.*")
 
-    return free.join(widening(free, key, found, 500.0, extent(free), Steps(free.sparkSession)), key, "left")
+    return free.join(widening(free, key, found, 500.0, extent(free), steps), key, "left")
 
 
 def unique_pairs(candidates: DataFrame) -> DataFrame:

@@ -150,6 +150,7 @@ def traced(edges: DataFrame, steps: Steps) -> DataFrame:
     Such an edge is in one cycle with both directions. They are the bridges of the graph, whole trees of dangles among them; when all are
     taken away at once no new one comes up, so the cycles are traced twice at most.
     """
+    edges = steps.cut(edges)
     for _ in range(2):
         halves = steps.cut(half_edges(edges))
         ring = steps.cut(halves.join(cycles(halves, steps), ["drawing_id", "h"]))

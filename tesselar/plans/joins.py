@@ -320,6 +320,8 @@ def nearest_insert(segments: DataFrame, entities: DataFrame) -> DataFrame:
 
 def nearest_points(points: DataFrame, others: DataFrame, ids: list[str], *carry: str) -> DataFrame:
     """ids, d2 and the carried columns of the nearest of the others in the drawing, ties by these."""
+    steps = Steps(points.sparkSession)
+    others = steps.cut(others)
     a = points.select("drawing_id", *[i for i in ids if i != "drawing_id"], F.col("x").alias("ax"), F.col("y").alias("ay"), "x", "y")
     b = others.select("drawing_id", *carry, F.col("x").alias("bx"), F.col("y").alias("by"))
 
@@ -327,7 +329,7 @@ def nearest_points(points: DataFrame, others: DataFrame, ids: list[str], *carry:
         best = F.min(F.struct(F.col("d2").cast("double").alias("d2"), *carry))
         return near_points(left, b, reach).groupBy(*ids).agg(best.alias("n")).select(*ids, "n.*")
 
-    return widening(a, ids, found, 1000.0, extent(points, others), Steps(points.sparkSession))
+    return widening(a, ids, found, 1000.0, extent(points, others), steps)
 
 
 @query("bays", "manifest_zones", sql="select coalesce(m.label, concat('INT-', b.bay_id)) as label, m.area_native as expected, cast(100000000 as bigint) * case when b.bay_id is null then 0 else 3 end as found, case when m.label is null then 'not in manifest' when b.bay_id is null then 'not detected' when m.area_native is null then 'no area' when abs(m.area_native - 300000000) * 100 <= 5 * m.area_native then 'within tolerance' else 'outside tolerance' end as state from bays b full outer join manifest_zones m on m.label = concat('INT-', b.bay_id)")
