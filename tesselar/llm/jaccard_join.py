@@ -70,7 +70,8 @@ def shingles(texts: pa.Array, cfg: JoinConfig) -> tuple[np.ndarray, np.ndarray]:
     size = np.diff(offsets)
     total = np.zeros(len(value), U)
     for k in range(cfg.n):  # the last places of a text run out of words; only a short text's first place counts then
-        total[: len(value) - k] += value[k:] * STEPS[k]
+        whole = max(0, len(value) - k)  # a run of texts can hold fewer words than n
+        total[:whole] += value[k : k + whole] * STEPS[k]
     count = np.where(size >= cfg.n, size - cfg.n + 1, np.minimum(size, 1))
     row = np.repeat(np.arange(len(size)), count)
     place = np.repeat(offsets[:-1] - np.cumsum(count) + count, count) + np.arange(len(row))

@@ -134,3 +134,13 @@ def test_query(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     want = brute(list(docs), sets_of(docs.values()))
     assert {r.doc_id: r.component_id for r in jj.op3_jaccard_join(spark, sf).collect()} == want
+
+
+@pytest.mark.parametrize("n", range(1, 9))
+def test_sets_of_few_words(n):
+    """A run of texts that holds fewer words than n in all."""
+    for texts in (["a b c d e"[: 2 * k] for k in range(1, 6)], ["a"], ["a b"], ["a b c"], ["a", "b"], ["", None, "a b"], [None], [""], ["a b c d"], ["a b c d e"], ["a b", "", "c"]):
+        at, elements = jj.shingles(pa.array(texts, pa.string()), jj.JoinConfig(n=n))
+        assert np.diff(at).tolist() == [len(s) for s in sets_of(texts, n)]
+        both = {tuple(sorted(s)): tuple(elements[a:b]) for s, a, b in zip(sets_of(texts, n), at[:-1], at[1:], strict=True)}
+        assert len(set(both.values())) == len(both)

@@ -51,13 +51,16 @@ def test_stages_against_brute_force(spark):
 def test_stages_on_odd_tables(spark):
     """Nulls, empty texts, repeated rows and an extra column go through every stage; so does a table without rows."""
     from pyspark.sql import functions as F
+    from pyspark.sql.types import StructField, StructType
 
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0).withColumn("t1", F.lit("x"))
+    docs = spark.createDataFrame([], StructType([StructField(f.name, f.dataType, True) for f in docs.schema]))
     long = " ".join(f"w{k}" for k in range(80))
     fill = {"doc_id": None, "text": None, "n_chars": None}
     rows = [{**fill, "doc_id": 1, "text": long}, {**fill, "doc_id": 1, "text": long}, {**fill, "doc_id": 2}, {**fill, "text": "mail a.b@example.org"}, {**fill, "doc_id": 3, "text": ""}, fill]
     odd = spark.createDataFrame([tuple(r.get(c) for c in docs.columns) for r in rows], docs.schema)
-    for table, n in ((odd, len(rows)), (docs, 0)):
+    few = [spark.createDataFrame([tuple({**fill, "doc_id": 1, "text": " ".join("abc"[:k])}.get(c) for c in docs.columns)], docs.schema) for k in (1, 2, 3)]
+    for table, n in ((odd, len(rows)), (docs, 0), *((t, 1) for t in few)):
         now = table
         for name, stage in corpus_pipeline.STAGES:
             now = stage(spark, now, SF)
