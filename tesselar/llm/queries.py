@@ -18,6 +18,9 @@ NAMES = {
     "op8_packing": "packing",
     "op9_suffix_dedup": "suffix_dedup",
     "op10_substring_dedup": "substring_dedup",
+    "op11_rules": "rules",
+    "op12_conversations": "conversations",
+    "op13_clusters": "clusters",
 }
 
 
@@ -26,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from tesselar.llm import topk, twins
+    from tesselar.llm import clusters, topk, twins
 
-    return {"op3_jaccard_join": twins.OP3, "op4_topk": topk.SQL, "op7_vector_dedup": twins.OP7, "op10_substring_dedup": twins.OP10}
+    return {"op3_jaccard_join": twins.OP3, "op4_topk": topk.SQL, "op7_vector_dedup": twins.OP7, "op10_substring_dedup": twins.OP10,
+            "op11_rules": twins.OP11, "op12_conversations": twins.OP12, "op13_clusters": clusters.SQL}

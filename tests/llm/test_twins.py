@@ -12,7 +12,7 @@ SQL = queries.oracle_sql()
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_twin(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = queries.queries()[name](spark, SF)
     want = con.execute(SQL[name])
