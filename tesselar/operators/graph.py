@@ -1,7 +1,10 @@
-"""Connected components by label hooking and pointer jumping."""
+"""Connected components: groups inside a task first, then label hooking and pointer jumping over what connects tasks."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,3 +27,48 @@ def components(nodes: DataFrame, edges: DataFrame, steps: Steps) -> DataFrame:
         label = moved.select("id", "label")
         if not n:
             return label
+
+
+def linked_groups(links: DataFrame, steps: Steps, tile: int = 8000) -> DataFrame:
+    """Rows of ``links`` (drawing_id, ax, ay, bx, by and others) with gx, gy: the smallest point of their connected group.
+
+    Links of a tile of the plane go to one task, which joins them into groups of its own; any deal of links to tasks would be right. Only points that
+    several tasks have seen tie such groups, so the rounds of joins run over some thousandths of the links.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        up: dict[tuple, tuple] = {}
+
+        def find(p: tuple) -> tuple:
+            while up[p] != p:
+                up[p] = up[up[p]]
+                p = up[p]
+            return p
+
+        for batch in held:
+            d, ax, ay, bx, by = (batch.column(c).to_pylist() for c in ("drawing_id", "ax", "ay", "bx", "by"))
+            for p, q in zip(zip(d, ax, ay, strict=True), zip(d, bx, by, strict=True), strict=True):
+                up.setdefault(p, p)
+                up.setdefault(q, q)
+                p, q = find(p), find(q)
+                if p != q:
+                    up[max(p, q)] = min(p, q)
+        for batch in held:
+            root = [find(p) for p in zip(*(batch.column(c).to_pylist() for c in ("drawing_id", "ax", "ay")), strict=True)]
+            x, y = (pa.array([r[k] for r in root], pa.int64()) for k in (1, 2))
+            yield pa.RecordBatch.from_arrays([*batch.columns, x, y], names=[*batch.schema.names, "rx", "ry"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in links.schema.fields)
+    near = links.repartition("drawing_id", F.floor(F.col("ax") / tile), F.floor(F.col("ay") / tile))
+    rooted = steps.cut(near.mapInArrow(run, f"{kinds}, rx long, ry long"))
+    point = lambda x, y: F.struct("drawing_id", F.col(x).alias("x"), F.col(y).alias("y"))
+    seen = rooted.select(F.explode(F.array(*(F.struct(point(f"{p}x", f"{p}y").alias("p"), point("rx", "ry").alias("r")) for p in "ab"))).alias("e"))
+    roots = seen.groupBy("e.p").agg(F.collect_set("e.r").alias("r")).where(F.size("r") > 1)  # one by task that has the point
+    ties = steps.cut(roots.select(F.array_min("r").alias("a"), F.explode("r").alias("b")).where("a <> b").distinct())
+    if ties.isEmpty():
+        return rooted.withColumnsRenamed({"rx": "gx", "ry": "gy"})
+    nodes = ties.select(F.col("a").alias("id")).union(ties.select("b")).distinct()
+    label = components(nodes, ties, steps).select("id.drawing_id", F.col("id.x").alias("rx"), F.col("id.y").alias("ry"), F.col("label.x").alias("gx"), F.col("label.y").alias("gy"))
+    out = rooted.join(label, ["drawing_id", "rx", "ry"], "left")
+    return out.withColumns({"gx": F.coalesce("gx", "rx"), "gy": F.coalesce("gy", "ry")}).drop("rx", "ry")

@@ -1,23 +1,28 @@
-"""Choosing bridges: unique pairs, profile and micro-gap phases, exact matching of small groups of ends, rounds of mutual best pairs, crossing checks."""
+"""Choosing bridges: connected groups of candidates, matched each in a task (blossoms, then exchanges), larger ones by tiles; phases, crossing checks."""
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesselar.operators.cells import boxes_meet
 from tesselar.operators.endpoints import unique_pairs, without_used
-from tesselar.operators.graph import components
+from tesselar.operators.graph import linked_groups
 from tesselar.operators.state import Steps
 
 KEY = ["drawing_id", "ax", "ay", "bx", "by"]
 COLUMNS = [*KEY, "distance", "cost", "profile"]
-#: Ends of a connected group of candidates up to which it is matched exactly.
+#: Ends of a connected group of candidates up to which all its matchings are weighed; how deep exchanges go in larger ones.
 EXACT = 12
+DEPTH = 5
+#: Candidates of a group that one task matches, and the side of the squares by which larger groups are measured.
+LARGEST = 400_000
+COARSE = 2000
 
 
 def mutual_pairs(candidates: DataFrame) -> DataFrame:
@@ -73,103 +78,285 @@ def best_matching(edges: list[tuple[int, int, bool, float]], n: int) -> list[int
     return list(best((1 << n) - 1)[3])
 
 
-def match_exact(grouped: DataFrame) -> DataFrame:
-    """Candidates with ``grp``, a small connected group each: the best matching of every group."""
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        keep = []
-        for _, g in pdf.groupby("grp", sort=False):
-            g = g.sort_values(KEY)
-            ends: dict[tuple, int] = {}
-            edges = []
-            for r in g.itertuples():
-                a, b = (ends.setdefault(p, len(ends)) for p in ((r.ax, r.ay), (r.bx, r.by)))
-                edges.append((a, b, bool(r.profile), float(r.cost)))
-            keep += [g.index[k] for k in best_matching(edges, len(ends))]
-        return pdf.loc[keep, COLUMNS]
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for pdf in parts:
-            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            last = pdf["grp"] == pdf["grp"].iloc[-1] if len(pdf) else None
-            if last is not None:
-                held = pdf[last]
-                yield solve(pdf[~last])
-        if held is not None:
-            yield solve(held)
-
-    rows = grouped.select("grp", *COLUMNS).repartition("grp").sortWithinPartitions("grp")
-    return rows.mapInPandas(run, grouped.select(*COLUMNS).schema)
-
-
-def augmented(candidates: DataFrame, chosen: DataFrame) -> DataFrame:
-    """One round of augmentation: a pair (u, v) and free ends a, b with candidates (a, u) and (v, b) give two pairs for one.
-
-    Of several swaps that touch an end, the cheapest is done; ends of swaps are distinct, so all are done at once.
-    """
-    both = lambda df: df.select("drawing_id", F.struct("ax", "ay").alias("p"), F.struct(F.col("bx").alias("ax"), F.col("by").alias("ay")).alias("q"), "distance", "cost", "profile").unionByName(
-        df.select("drawing_id", F.struct(F.col("bx").alias("ax"), F.col("by").alias("ay")).alias("p"), F.struct("ax", "ay").alias("q"), "distance", "cost", "profile")
-    )
-    pairs = both(chosen).select("drawing_id", F.col("p").alias("u"), F.col("q").alias("v"))
-    used = pairs.select("drawing_id", F.col("u").alias("q"))
-    open_to = both(candidates).join(used, ["drawing_id", "q"], "left_anti").withColumn("w", F.struct("cost", "q"))
-    best = open_to.groupBy("drawing_id", "p").agg(F.array_sort(F.collect_set("w")).alias("w"))
-    at = lambda k, name: best.select("drawing_id", F.col("p").alias(k), F.slice("w", 1, 2).alias(name))
-    swap = pairs.where("u < v").join(at("u", "wu"), ["drawing_id", "u"]).join(at("v", "wv"), ["drawing_id", "v"])
-    options = swap.select("drawing_id", "u", "v", F.explode("wu").alias("a"), "wv").select("drawing_id", "u", "v", "a", F.explode("wv").alias("b")).where("a.q <> b.q")
-    options = options.withColumn("rank", F.struct((F.col("a.cost") + F.col("b.cost")).alias("c"), "u", "v", F.col("a.q").alias("aq"), F.col("b.q").alias("bq")))
-    touches = options.select("drawing_id", "rank", F.explode(F.array("u", "a.q", "b.q")).alias("e"))
-    first = touches.groupBy("drawing_id", "e").agg(F.min("rank").alias("rank"))
-    done = first.groupBy("drawing_id", "rank").count().where("count = 3").select("drawing_id", "rank.*")
-    pair = lambda p, q: F.struct(F.least(p, q).alias("s"), F.greatest(p, q).alias("t"))
-    new = done.select("drawing_id", F.explode(F.array(pair(F.col("u"), F.col("aq")), pair(F.col("v"), F.col("bq")))).alias("n"))
-    new = new.select("drawing_id", F.col("n.s.ax").alias("ax"), F.col("n.s.ay").alias("ay"), F.col("n.t.ax").alias("bx"), F.col("n.t.ay").alias("by"))
-    old = done.select("drawing_id", F.col("u.ax").alias("ax"), F.col("u.ay").alias("ay"), F.col("v.ax").alias("bx"), F.col("v.ay").alias("by"))
-    kept = chosen.join(old, KEY, "left_anti").select(*KEY, "distance", "cost", "profile")
-    return kept.unionByName(candidates.join(new, KEY, "left_semi").select(*KEY, "distance", "cost", "profile"))
-
-
-def match_general(candidates: DataFrame, rounds: int = 2) -> DataFrame:
-    """Most pairs, and of these the cheapest, in every connected group of at most EXACT ends; in larger ones mutual best pairs with swaps that win one more.
-
-    The large groups are not guaranteed the most pairs: that takes a search over the whole group, which does not split into tasks.
+# ---- matching of a group inside a task ----------------------------------------------------------
+
+
+class Graph:
+    """Ends 0..n-1 and edges (end, end, profile, cost) in a fixed order; a matching as each end's partner."""
+
+    def __init__(self, n: int, edges: list[tuple[int, int, bool, float]]):
+        self.n = n
+        #: A profile pair outweighs any sum of costs.
+        heavy = 1.0 + 2.0 * sum(abs(c) for _, _, _, c in edges)
+        self.weight: dict[tuple[int, int], float] = {}
+        for a, b, profile, cost in edges:
+            key = (a, b) if a < b else (b, a)
+            w = cost - heavy if profile else cost
+            self.weight[key] = min(w, self.weight.get(key, w))
+        self.near: list[list[tuple[float, int]]] = [[] for _ in range(n)]
+        for (a, b), w in self.weight.items():
+            self.near[a].append((w, b))
+            self.near[b].append((w, a))
+        for x in self.near:
+            x.sort()
+        self.mate = [-1] * n
+
+    def greedy(self) -> None:
+        for _, a, b in sorted((w, a, b) for (a, b), w in self.weight.items()):
+            if self.mate[a] < 0 and self.mate[b] < 0:
+                self.mate[a], self.mate[b] = b, a
+
+    def augment(self) -> None:
+        """As many pairs as possible: a search tree from every free end, odd cycles (blossoms) taken together as they are found.
+
+        A tree that reaches no other free end is left out of all later searches: no augmenting path meets it.
+        """
+        left_out = [False] * self.n
+        for root in range(self.n):
+            if self.mate[root] < 0 and self.near[root] and not left_out[root]:
+                for v in self._search(root, left_out):
+                    left_out[v] = True
+
+    def _search(self, root: int, left_out: list[bool]) -> list[int]:
+        mate, near = self.mate, self.near
+        before = {root: -1}  # how an end was reached, for odd ends and for ends of blossoms
+        up = {root: root}  # the base of the blossom that an end of the tree is in, by pointers
+        even = {root}
+        queue = [root]
+
+        def base(v: int) -> int:
+            while up[v] != v:
+                up[v] = up[up[v]]
+                v = up[v]
+            return v
+
+        def common(a: int, b: int) -> int:
+            """The first base that both ends' ways to the root meet in, found by steps on both ways in turn."""
+            seen = set()
+            a, b = base(a), base(b)
+            while True:
+                if a >= 0:
+                    if a in seen:
+                        return a
+                    seen.add(a)
+                    a = base(before[mate[a]]) if mate[a] >= 0 else -1
+                a, b = b, a
+
+        def shrink(v: int, to: int, child: int) -> None:
+            while base(v) != to:
+                other = mate[v]
+                before[v] = child
+                if other not in even:
+                    even.add(other)
+                    queue.append(other)
+                for x in (base(v), base(other)):
+                    up[x] = to
+                child, v = other, before[other]
+
+        for v in queue:
+            for _, to in near[v]:
+                if left_out[to] or mate[v] == to:
+                    continue
+                if to not in up:
+                    before[to] = v
+                    up[to] = to
+                    if mate[to] < 0:  # an augmenting path
+                        while to >= 0:
+                            back = before[to]
+                            ahead = mate[back]
+                            mate[to], mate[back] = back, to
+                            to = ahead
+                        return []
+                    other = mate[to]
+                    up[other] = other
+                    even.add(other)
+                    queue.append(other)
+                elif to in even and base(v) != base(to):
+                    top = common(v, to)
+                    shrink(v, top, to)
+                    shrink(to, top, v)
+        return list(up)
+
+    def improve(self, depth: int) -> None:
+        """Exchanges along alternating cycles of up to ``2 * depth`` edges, and alternating paths from free ends, while they make pairs cheaper.
+
+        A cycle that gains has a place to start from where every partial sum gains, so others are not followed.
+        """
+        mate, near = self.mate, self.near
+        todo = list(range(self.n))
+        while todo:
+            queue, todo = todo, []
+            for u in queue:
+                if near[u] and (ends := self._exchange(u, depth)):
+                    todo += [x for e in ends for x in ((e,) if mate[e] < 0 else (e, mate[e]))]
+            todo = sorted(set(todo))
+
+    def _exchange(self, u: int, depth: int) -> list[int]:
+        mate, near, weight = self.mate, self.near, self.weight
+        get = lambda a, b: weight.get((a, b) if a < b else (b, a))
+        free = mate[u] < 0
+        least = 1e-7
+
+        def follow(v: int, gain: float, path: list[int]) -> list[int]:
+            """``v`` has lost its partner, the sum so far is ``gain``; path: ends to be paired, two by two."""
+            for w, x in near[v]:
+                if not free and w >= gain - least:
+                    break
+                y = mate[x]
+                if y < 0 or x == u or x in path or x == v:
+                    continue
+                now = gain - w + get(x, y)
+                way = [*path, v, x]
+                if free:
+                    if now > least:
+                        return [*way, y, -1]
+                elif (last := get(y, u)) is not None and now - last > least:
+                    return [*way, y, u]
+                if len(way) < 2 * (2 if free else depth - 1) and (found := follow(y, now, way)):
+                    return found
+            return []
+
+        found = follow(u, 0.0, []) if free else follow(mate[u], get(u, mate[u]), [])
+        for a, b in zip(found[::2], found[1::2], strict=True):
+            if b < 0:
+                mate[a] = -1
+            else:
+                mate[a], mate[b] = b, a
+        return [x for x in found if x >= 0]
+
+
+def solve_group(edges: list[tuple[int, int, bool, float]], n: int, depth: int = DEPTH) -> list[int]:
+    """Places of the edges chosen: most pairs in a group of any size; of these the best up to EXACT ends, beyond that one that no exchange of up to
+    ``2 * depth`` edges makes better (more profiles, then less cost)."""
+    if n <= EXACT:
+        return best_matching(edges, n)
+    g = Graph(n, edges)
+    g.greedy()
+    g.improve(depth)
+    g.augment()
+    g.improve(depth)
+    place: dict[tuple[int, int], int] = {}
+    for k, (a, b, profile, cost) in enumerate(edges):
+        key = (a, b) if a < b else (b, a)
+        if g.mate[a] == b and (key not in place or (not profile, cost) < (not edges[place[key]][2], edges[place[key]][3])):
+            place[key] = k
+    return sorted(place.values())
+
+
+def _solved(rows: pa.Table, flags: bool) -> pa.Table:
+    """Candidates of one group: those of the general matching, with ``flags`` also those of the phased one (column ``phase``)."""
+    rows = rows.sort_by([(c, "ascending") for c in KEY])
+    columns = {c: rows.column(c).to_pylist() for c in ("ax", "ay", "bx", "by", "cost", "profile", *(["micro"] if flags else []))}
+    ends: dict[tuple[int, int], int] = {}
+    a = [ends.setdefault(p, len(ends)) for p in zip(columns["ax"], columns["ay"], strict=True)]
+    b = [ends.setdefault(p, len(ends)) for p in zip(columns["bx"], columns["by"], strict=True)]
+    edges = list(zip(a, b, map(bool, columns["profile"]), map(float, columns["cost"]), strict=True))
+    chosen = [(k, "general") for k in solve_group(edges, len(ends))]
+    if flags:
+        used: set[int] = set()
+        for kind in ("profile", "micro"):
+            open_ = [k for k in range(len(edges)) if columns[kind][k] and a[k] not in used and b[k] not in used]
+            times = Counter(e for k in open_ for e in (a[k], b[k]))
+            lone = [k for k in open_ if times[a[k]] == times[b[k]] == 1]
+            used |= {e for k in lone for e in (a[k], b[k])}
+            chosen += [(k, "phased") for k in lone]
+        rest = [k for k in range(len(edges)) if a[k] not in used and b[k] not in used]
+        again: dict[int, int] = {}
+        left = [(again.setdefault(a[k], len(again)), again.setdefault(b[k], len(again)), *edges[k][2:]) for k in rest]
+        chosen += [(rest[k], "phased") for k in solve_group(left, len(again))]
+    out = rows.take([k for k, _ in chosen]).select(COLUMNS)
+    return out.append_column("phase", pa.array([p for _, p in chosen], pa.string()))
+
+
+def _by_group(rows: DataFrame, group: list[str], flags: bool) -> DataFrame:
+    """Every group solved in a task; groups come one after another, none is held but the one that is read."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        now = None
+        for batch in batches:
+            whole = pa.Table.from_batches([batch])
+            keys = list(zip(*(whole.column(c).to_pylist() for c in group), strict=True))
+            start = 0
+            for k in range(len(keys) + 1):
+                if k < len(keys) and keys[k] == now:
+                    continue
+                if k > start:
+                    held.append(whole.slice(start, k - start))
+                if k == len(keys):
+                    break
+                if held:
+                    yield from _solved(pa.concat_tables(held).combine_chunks(), flags).to_batches()
+                held, now, start = [], keys[k], k
+        if held:
+            yield from _solved(pa.concat_tables(held).combine_chunks(), flags).to_batches()
+
+    columns = [*group, *(c for c in [*COLUMNS, *(["micro"] if flags else [])] if c not in group)]
+    return rows.select(*columns).repartition(*group).sortWithinPartitions(*group).mapInArrow(run, ", ".join([*(f"{c} {kinds[c]}" for c in COLUMNS), "phase string"]))
+
+
+# ---- groups over a table ------------------------------------------------------------------------
+
+
+def tiled(candidates: DataFrame, largest: int, steps: Steps) -> DataFrame:
+    """A matching of groups too large for a task: by square tiles of the plane, and again by tiles moved half a side in either direction.
+
+    In every round a tile has the candidates that lie within it, but for ends paired across its border; these pairs stay. Every other pair inside is
+    found anew, so a round never loses pairs. What may be missing are augmenting paths that leave a tile in all four positions.
     """
+    fine = candidates.select("drawing_id", *(F.floor(F.col(c) / COARSE).alias(k) for c, k in (("ax", "i"), ("ay", "j")))).groupBy("drawing_id", "i", "j").count()
+    densest = fine.agg(F.max("count")).first()[0] or 1
+    side = COARSE * max(1, int((largest / densest) ** 0.5))
+    chosen = None
+    for dx, dy in ((0, 0), (1, 1), (1, 0), (0, 1)):
+        tile = lambda c, d: F.floor((F.col(c) + d * (side // 2)) / side)  # noqa: E731, B023
+        placed = candidates.withColumns({"ti": tile("ax", dx), "tj": tile("ay", dy), "inner": (tile("ax", dx) == tile("bx", dx)) & (tile("ay", dy) == tile("by", dy))})
+        inner = placed.where("inner").drop("inner")
+        if chosen is None:
+            kept = None
+        else:
+            kept = chosen.join(placed.where("not inner").select(*KEY), KEY, "left_semi")
+            inner = without_used(inner, kept)
+        found = _by_group(inner, ["drawing_id", "ti", "tj"], False).drop("phase")
+        chosen = steps.cut(found if kept is None else found.unionByName(kept))
+    return chosen
+
+
+def grouped(candidates: DataFrame, steps: Steps) -> DataFrame:
+    """Candidates with their connected group (gx, gy: its smallest end) and how many of them it has."""
+    named = linked_groups(candidates, steps)
+    return steps.cut(named.join(named.groupBy("drawing_id", "gx", "gy").agg(F.count("*").alias("n")), ["drawing_id", "gx", "gy"]))
+
+
+def match_general(candidates: DataFrame, largest: int = LARGEST) -> DataFrame:
+    """Most pairs, of these the most profiles, of these the cheapest: see ``solve_group`` for groups of up to ``largest`` candidates, ``tiled`` beyond."""
     steps = Steps(candidates.sparkSession)
-    full = steps.cut(candidates.select(*COLUMNS))
-    end = lambda p: F.struct("drawing_id", F.col(f"{p}x").alias("x"), F.col(f"{p}y").alias("y"))
-    links = full.select(end("a").alias("a"), end("b").alias("b"))
-    nodes = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
-    label = components(nodes, links, steps)
-    size = label.groupBy("label").agg(F.count("*").alias("n"))
-    grouped = full.withColumn("a", end("a")).join(label.select(F.col("id").alias("a"), "label"), "a").join(size, "label")
-    grouped = steps.cut(grouped.select(*COLUMNS, F.xxhash64("label").alias("grp"), F.struct("label.*").alias("label"), "n"))
-    small = match_exact(grouped.where(F.col("n") <= EXACT))
-    rest = grouped.where(F.col("n") > EXACT).select(*COLUMNS)
-    chosen = mutual_pairs(rest)
-    for _ in range(rounds):
-        chosen = steps.cut(augmented(rest, chosen))
-    return small.unionByName(chosen)
-
-
-def match_phased(candidates: DataFrame) -> DataFrame:
-    """Unique profile pairs, then unique micro gaps, then the rest."""
-    columns = [*KEY, "distance", "cost", "profile"]
-    one = unique_pairs(candidates.where("profile"))
-    rest = without_used(candidates, one)
-    two = unique_pairs(rest.where("micro"))
-    rest = without_used(rest, two)
-    return one.select(*columns).unionByName(two.select(*columns)).unionByName(match_general(rest))
-
-
-def match_adopt(candidates: DataFrame) -> DataFrame:
-    """By drawing the phased pairs if they are at least as many as the general ones."""
+    every = grouped(candidates.select(*COLUMNS), steps)
+    small = _by_group(every.where(F.col("n") <= largest), ["drawing_id", "gx", "gy"], False).drop("phase")
+    rest = every.where(F.col("n") > largest).select(*COLUMNS)
+    return small if rest.isEmpty() else small.unionByName(tiled(rest, largest, steps))
+
+
+def match_adopt(candidates: DataFrame, largest: int = LARGEST) -> DataFrame:
+    """By drawing the phased pairs if they are at least as many as the general ones. Both are found in one pass over the groups: what a phase takes
+    depends on its own group alone."""
     steps = Steps(candidates.sparkSession)
-    candidates = steps.cut(candidates)
-    general, phased = steps.cut(match_general(candidates)), steps.cut(match_phased(candidates))
-    counts = general.groupBy("drawing_id").agg(F.count("*").alias("g")).join(phased.groupBy("drawing_id").agg(F.count("*").alias("p")), "drawing_id", "full_outer")
-    adopt = counts.where(F.coalesce("p", F.lit(0)) >= F.coalesce("g", F.lit(0))).select("drawing_id")
-    return phased.join(adopt, "drawing_id", "left_semi").unionByName(general.join(adopt, "drawing_id", "left_anti"))
+    every = grouped(candidates.select(*COLUMNS, "micro"), steps)
+    both = _by_group(every.where(F.col("n") <= largest), ["drawing_id", "gx", "gy"], True)
+    rest = every.where(F.col("n") > largest).select(*COLUMNS, "micro")
+    if not rest.isEmpty():
+        one = unique_pairs(rest.where("profile"))
+        left = without_used(rest, one)
+        two = unique_pairs(left.where("micro"))
+        left = steps.cut(without_used(left, two))
+        lone = one.unionByName(two).select(*COLUMNS)
+        both = both.unionByName(tiled(rest, largest, steps).withColumn("phase", F.lit("general")))
+        both = both.unionByName(tiled(left, largest, steps).unionByName(lone).withColumn("phase", F.lit("phased")))
+    both = steps.cut(both)
+    counts = both.groupBy("drawing_id").agg(F.count_if(F.col("phase") == "phased").alias("p"), F.count_if(F.col("phase") == "general").alias("g"))
+    wanted = counts.select("drawing_id", F.when(F.col("p") >= F.col("g"), "phased").otherwise("general").alias("phase"))
+    return both.join(wanted, ["drawing_id", "phase"], "left_semi").select(*COLUMNS)
 
 
 def not_crossing(bridges: DataFrame, segments: DataFrame, cell: float = 1000.0) -> DataFrame:

@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +38,115 @@ def test_small_groups_are_matched_best():
         assert (len(chosen), sum(p for _, _, p, _ in chosen), round(-sum(c for _, _, _, c in chosen), 6)) == every_matching(edges)
 
 
+def most_pairs(n, edges, p=2_147_483_629):
+    """Half the rank of a skew matrix with a random value for each edge: the pairs of a maximum matching, but for odds of n in p."""
+    rng = random.Random(5)
+    a = np.zeros((n, n), np.int64)
+    for i, j, *_ in edges:
+        v = rng.randrange(1, p)
+        a[i, j], a[j, i] = v, p - v
+    rank = 0
+    for c in range(n):
+        at = np.flatnonzero(a[rank:, c])
+        if not len(at):
+            continue
+        a[[rank, rank + at[0]]] = a[[rank + at[0], rank]]
+        inverse = pow(int(a[rank, c]), -1, p)
+        a[rank] = [int(x) * inverse % p for x in a[rank]]
+        below = rank + 1 + np.flatnonzero(a[rank + 1 :, c])
+        a[below] = (a[below] - a[below, c][:, None] * a[rank][None, :] % p) % p
+        rank += 1
+    return rank // 2
+
+
+def scattered(seed, n, width, height, reach=500.0):
+    """Ends at random whole places, and all candidates within the reach."""
+    rng = random.Random(seed)
+    points = sorted({(rng.randrange(width), rng.randrange(height)) for _ in range(n)})
+    edges = []
+    for i, (x, y) in enumerate(points):
+        for j in range(i + 1, len(points)):
+            if points[j][0] - x > reach:
+                break
+            d = ((points[j][0] - x) ** 2 + (points[j][1] - y) ** 2) ** 0.5
+            if d <= reach:
+                edges.append((i, j, rng.random() < 0.1, d))
+    return points, edges
+
+
+def test_large_groups_get_the_most_pairs():
+    rng = random.Random(1)
+    for n, degree in itertools.product((13, 20, 41, 80, 150), (1.2, 2, 3)):
+        for _ in range(3):
+            edges = [(i, j, rng.random() < 0.1, rng.random() * 100) for i, j in itertools.combinations(range(n), 2) if rng.random() < degree / n]
+            ends = [e for k in M.solve_group(edges, n) for e in edges[k][:2]]
+            assert len(ends) == len(set(ends)) == 2 * most_pairs(n, edges)
+    points, edges = scattered(4, 600, 9000, 9000)
+    assert len(M.solve_group(edges, len(points))) == most_pairs(len(points), edges)
+
+
+def test_odd_cycles_in_odd_cycles():
+    """Two triangles and a pentagon in a row: paths lead through each of them."""
+    edges = [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 5), (5, 6), (6, 7), (7, 3), (5, 8), (8, 9), (9, 10), (10, 8), (10, 11), (1, 12), (6, 13)]
+    for seed in range(20):
+        rng = random.Random(seed)
+        names = rng.sample(range(14), 14)
+        own = [(names[a], names[b], False, rng.random()) for a, b in edges]
+        assert len(M.solve_group(own, 14)) == most_pairs(14, own) == 7
+
+
+def test_exchanges_come_close_to_the_best(monkeypatch):
+    """Groups of up to 12 ends, once by weighing all matchings and once as large groups are matched."""
+    got = want = 0.0
+    for seed in range(120):
+        points, edges = scattered(seed, 12, 900, 900)
+        value = lambda chosen: (len(chosen), sum(edges[k][2] for k in chosen), sum(edges[k][3] for k in chosen))  # noqa: B023, E731
+        monkeypatch.setattr(M, "EXACT", 12)
+        best = value(M.solve_group(edges, len(points)))
+        monkeypatch.setattr(M, "EXACT", 0)
+        own = value(M.solve_group(edges, len(points)))
+        assert own[0] == best[0] and own[1] <= best[1]
+        got, want = got + own[2], want + best[2]
+    assert got <= 1.005 * want
+
+
+def as_candidates(spark, points, edges):
+    rows = [(d, *points[i], *points[j], c, c, p, c < 15) for d in (1, 2) for i, j, p, c in edges]
+    return spark.createDataFrame(rows, "drawing_id long, ax long, ay long, bx long, by long, distance double, cost double, profile boolean, micro boolean").repartition(5)
+
+
+def test_groups_over_tiles(spark):
+    """Points that several tasks see tie their groups."""
+    from tesselar.operators.graph import linked_groups
+    from tesselar.operators.state import Steps
+
+    df = as_candidates(spark, *scattered(9, 500, 12_000, 9000)).cache()
+    got = {}
+    for r in linked_groups(df, Steps(spark), tile=700).collect():
+        got.setdefault((r.drawing_id, r.gx, r.gy), set()).add((r.ax, r.ay, r.bx, r.by))
+    want = {}
+    for g in groups(df.collect()):
+        ends = [(r.drawing_id, x, y) for r in g for x, y in ((r.ax, r.ay), (r.bx, r.by))]
+        want[min(ends)] = {(r.ax, r.ay, r.bx, r.by) for r in g}
+    assert got == want and len(got) > 20
+
+
+def test_groups_too_large_for_a_task(spark):
+    """Tiles in four positions: pairs are disjoint, and hardly fewer than in one piece; phases give what they give in one piece."""
+    points, edges = scattered(6, 900, 9000, 9000)
+    df = as_candidates(spark, points, edges).cache()
+    most = most_pairs(len(points), edges)
+    whole = M.match_general(df).collect()
+    tiles = M.match_general(df, largest=300).collect()
+    assert len(whole) == 2 * most and 2 * most * 0.99 <= len(tiles) <= 2 * most
+    for rows in (tiles, M.match_adopt(df, largest=300).collect()):
+        ends = [(r.drawing_id, x, y) for r in rows for x, y in ((r.ax, r.ay), (r.bx, r.by))]
+        assert len(ends) == len(set(ends))
+    phased = M.match_adopt(df).collect()
+    assert len(phased) >= 0.95 * len(whole)
+    assert M.match_general(df.limit(0)).count() == 0 and M.match_adopt(df.limit(0)).count() == 0
+
+
 def test_most_pairs_before_least_cost(spark):
     """A cheap pair in the middle would leave both outer ends alone."""
     rows = [(1, p, 0, q, 0, float(q - p), float(q - p), False) for p, q in ((0, 100), (100, 110), (110, 210))]
