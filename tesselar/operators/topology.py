@@ -6,64 +6,22 @@ to the shared folder; each loop runs over all drawings at once and ends when non
 
 from __future__ import annotations
 
-
-import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from tesselar.functions import geom as G
 from tesselar.operators import endpoints as E
 from tesselar.operators.cells import boxes_meet, points_in_boxes, renamed
 from tesselar.operators.graph import components
 from tesselar.operators.matching import KEY, match_adopt, not_crossing
+from tesselar.operators.overlay import crossings
 from tesselar.operators.state import Steps
 
 SCALE = 1000
 
 
-# ---- polygon overlap --------------------------------------------------------------------------
-
-
-def _fan_overlap(a: np.ndarray, b: np.ndarray) -> float:
-    """Signed triangle fans: every triangle of a clipped by every triangle of b, with the signs' product."""
-    total = 0.0
-    for p in range(1, len(a) - 1):
-        for q in range(1, len(b) - 1):
-            s, t = a[[0, p, p + 1]], b[[0, q, q + 1]]
-            cs = (s[1, 0] - s[0, 0]) * (s[2, 1] - s[0, 1]) - (s[1, 1] - s[0, 1]) * (s[2, 0] - s[0, 0])
-            ct = (t[1, 0] - t[0, 0]) * (t[2, 1] - t[0, 1]) - (t[1, 1] - t[0, 1]) * (t[2, 0] - t[0, 0])
-            if cs == 0 or ct == 0:
-                continue
-            poly = list(s if cs > 0 else s[::-1])
-            clip = t if ct > 0 else t[::-1]
-            for k in range(3):
-                o, d = clip[k], clip[(k + 1) % 3] - clip[k]
-                side = [d[0] * (v[1] - o[1]) - d[1] * (v[0] - o[0]) for v in poly]
-                out = []
-                for i, v in enumerate(poly):
-                    j = i - 1
-                    if (side[i] >= 0) != (side[j] >= 0):
-                        out.append(poly[j] + (v - poly[j]) * (side[j] / (side[j] - side[i])))
-                    if side[i] >= 0:
-                        out.append(v)
-                poly = out
-            if len(poly) > 2:
-                x, y = np.array(poly).T
-                total += np.sign(cs) * np.sign(ct) * abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2
-    return abs(total)
-
-
-@F.pandas_udf(DoubleType())
-def _overlap(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series) -> pd.Series:
-    return pd.Series([_fan_overlap(np.stack([p, q], 1).astype(float), np.stack([r, s], 1).astype(float)) for p, q, r, s in zip(ax, ay, bx, by, strict=True)], dtype=float)
-
-
-def polygon_overlap(a: Column, b: Column) -> Column:
-    """Area that two rings share. Callers filter by box first."""
-    axis = lambda ring, k: F.transform(ring, lambda p: p[k])
-    return _overlap(axis(a, "x"), axis(a, "y"), axis(b, "x"), axis(b, "y"))
+# ---- hulls -------------------------------------------------------------------------------------
 
 
 def convex_hulls(points: DataFrame) -> DataFrame:
@@ -165,7 +123,7 @@ def traced(edges: DataFrame, steps: Steps) -> DataFrame:
 
 
 def polygonize(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Bounded faces (drawing_id, face, area, perimeter, centre, box, holes) and the half-edges of their rings.
+    """Bounded faces (drawing_id, face, area, perimeter, centre, box, holes) and the half-edges of their rings, ``hole`` for those around holes.
 
     A contour (negative cycle) is a hole of the smallest face that holds one of its points and does not touch it there.
     """
@@ -185,14 +143,10 @@ def polygonize(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     shells = rings.where("signed > 0")
     holes = rings.where("signed < 0").select("drawing_id", F.col("cycle").alias("hole"), F.col("first.ux").alias("x"), F.col("first.uy").alias("y"), (-F.col("signed")).alias("cut"), "mx", "my")
-    size = 4000 * SCALE
-    near = points_in_boxes(holes.drop("mx", "my"), shells.select("drawing_id", F.col("cycle").alias("shell"), "x0", "y0", "x1", "y1", "signed"), size)
-    sides = ring.select("drawing_id", F.col("cycle").alias("shell"), "ux", "uy", "vx", "vy")
-    tests = near.join(sides, ["drawing_id", "shell"])
-    over = (F.col("uy") > F.col("y")) != (F.col("vy") > F.col("y"))
-    at = F.col("ux") + (F.col("y") - F.col("uy")) * (F.col("vx") - F.col("ux")) / F.nullif((F.col("vy") - F.col("uy")).cast("double"), F.lit(0.0))
-    touch = (F.col("ux") == F.col("x")) & (F.col("uy") == F.col("y"))
-    inside = tests.groupBy("drawing_id", "hole", "shell").agg(F.count_if(over & (F.col("x") < at)).alias("k"), F.bool_or(touch).alias("touches"), F.first("signed").alias("area")).where("k % 2 = 1 and not touches")
+    sides = ring.select("drawing_id", F.col("cycle").alias("face"), "ux", "uy", "vx", "vy")
+    boxes = shells.select("drawing_id", F.col("cycle").alias("face"), "x0", "y0", "x1", "y1")
+    tests = crossings(holes.select("drawing_id", "hole", "x", "y"), boxes, sides, ["hole"], 4000 * SCALE).where("k % 2 = 1 and not touches")
+    inside = tests.join(shells.select("drawing_id", F.col("cycle").alias("face"), F.col("signed").alias("area")), ["drawing_id", "face"]).withColumnRenamed("face", "shell")
     owner = inside.groupBy("drawing_id", "hole").agg(F.min(F.struct("area", "shell")).alias("o")).select("drawing_id", "hole", F.col("o.shell").alias("cycle"))
     lost = holes.join(owner, ["drawing_id", "hole"]).groupBy("drawing_id", "cycle").agg(F.sum("cut").alias("cut"), F.sum("mx").alias("hx"), F.sum("my").alias("hy"), F.count("*").alias("holes"))
     whole = shells.join(lost, ["drawing_id", "cycle"], "left").na.fill(0, ["cut", "hx", "hy", "holes"])
@@ -201,15 +155,16 @@ def polygonize(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     faces = whole.select(
         "drawing_id", F.col("cycle").alias("face"), area.alias("area"), "perimeter", ((F.col("mx") + F.col("hx")) / (6 * area)).alias("cx"), ((F.col("my") + F.col("hy")) / (6 * area)).alias("cy"), *(v.alias(k) for k, v in box.items()), "holes"
     )
-    outlines = ring.select("drawing_id", F.col("cycle").alias("face"), "h", "ux", "uy", "vx", "vy", "next").join(shells.select("drawing_id", F.col("cycle").alias("face")), ["drawing_id", "face"], "left_semi")
-    return faces, outlines
+    owned = owner.select("drawing_id", "hole", F.col("cycle").alias("face")).unionByName(shells.select("drawing_id", F.col("cycle").alias("hole"), F.col("cycle").alias("face")))
+    outlines = ring.withColumnRenamed("cycle", "hole").join(owned, ["drawing_id", "hole"])
+    return faces, outlines.select("drawing_id", "face", (F.col("hole") != F.col("face")).alias("hole"), "h", "ux", "uy", "vx", "vy", "next")
 
 
 def face_rings(outlines: DataFrame) -> DataFrame:
     """Ordered rings: places along the chain by pointer jumping, then one array for each face."""
     steps = Steps(outlines.sparkSession)
     last = F.when(F.col("next") != F.col("face"), F.col("next"))
-    now = steps.cut(outlines.select("drawing_id", "face", "h", "ux", "uy", last.alias("to"), F.when(last.isNull(), 0).otherwise(1).alias("left")))
+    now = steps.cut(outlines.where("not hole").select("drawing_id", "face", "h", "ux", "uy", last.alias("to"), F.when(last.isNull(), 0).otherwise(1).alias("left")))
     while not now.where("to is not null").isEmpty():
         ahead = now.select("drawing_id", F.col("h").alias("to"), F.col("to").alias("far"), F.col("left").alias("more"))
         now = steps.cut(now.join(ahead, ["drawing_id", "to"], "left").select("drawing_id", "face", "h", "ux", "uy", F.col("far").alias("to"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left")))
@@ -303,15 +258,15 @@ def iterative_close(segments: DataFrame, tier1: float = 500.0, passes: int = 3)
 
 def seeds_in_faces(seeds: DataFrame, faces: DataFrame, outlines: DataFrame) -> DataFrame:
     """seed_id and the smallest face that holds it (border edges decide by crossing parity)."""
-    boxes = faces.select("drawing_id", "face", "area", *(F.col(f"b{c}").alias(c) for c in ("x0", "y0", "x1", "y1")))
-    near = points_in_boxes(seeds, boxes, 4000.0)
+    boxes = faces.select("drawing_id", "face", *(F.col(f"b{c}").alias(c) for c in ("x0", "y0", "x1", "y1")))
     sides = outlines.select("drawing_id", "face", *((F.col(c) / float(SCALE)).alias(c) for c in ("ux", "uy", "vx", "vy")))
-    over = (F.col("uy") > F.col("y")) != (F.col("vy") > F.col("y"))
-    at = F.col("ux") + (F.col("y") - F.col("uy")) * (F.col("vx") - F.col("ux")) / F.nullif(F.col("vy") - F.col("uy"), F.lit(0.0))
-    inside = near.join(sides, ["drawing_id", "face"]).groupBy("drawing_id", "seed_id", "face", "area").agg(F.count_if(over & (F.col("x") < at)).alias("k")).where("k % 2 = 1")
+    inside = crossings(seeds.select("drawing_id", "seed_id", "x", "y"), boxes, sides, ["seed_id"], 4000.0).where("k % 2 = 1").join(faces.select("drawing_id", "face", "area"), ["drawing_id", "face"])
     return inside.groupBy("drawing_id", "seed_id").agg(F.min(F.struct("area", "face")).alias("f")).select("drawing_id", "seed_id", "f.face", "f.area")
 
 
+def face_edges(outlines: DataFrame) -> DataFrame:
+    """Edges of traced faces, holes among them, as polygons for an overlay: drawing_id, id, ux, uy, vx, vy in drawing units."""
+    return outlines.select("drawing_id", F.col("face").alias("id"), *((F.col(c) / float(SCALE)).alias(c) for c in EDGE[1:]))
 
 
 def slab_outlines(segments: DataFrame, least: float = 1e8) -> DataFrame:

@@ -68,6 +68,21 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
             "(p_partkey * 104729) % 48000 + 100 * (1 + p_partkey % 40) as y1",
         ],
     ),
+    "polygons": (  # five corners: slanted at the bottom, an upper side bent in or out
+        "part",
+        [
+            "p_partkey as face_id",
+            "p_partkey % 20 as drawing_id",
+            "(p_partkey * 7919) % 52000 as x0",
+            "(p_partkey * 7919) % 52000 + 50 * (1 + cast(p_size as bigint)) as xm",
+            "(p_partkey * 7919) % 52000 + 100 * (1 + cast(p_size as bigint)) as x1",
+            "(p_partkey * 104729) % 48000 + 1000 as y0",
+            "(p_partkey * 104729) % 48000 + 1000 + 100 * (p_partkey % 9 - 4) as y1",
+            "(p_partkey * 104729) % 48000 + 1500 + 100 * (p_partkey % 40) as y2",
+            "(p_partkey * 104729) % 48000 + 1500 + 50 * (p_partkey % 77) as ym",
+            "(p_partkey * 104729) % 48000 + 1500 + 100 * (p_partkey % 31) as y3",
+        ],
+    ),
     "bays": (
         "nation",
         [
@@ -168,7 +183,35 @@ def union_sql(view: str, keys: str) -> str:
     return f"select {keys}, cast(sum((xb - xa) * greatest(0, y1 - greatest(y0, coalesce(reach, y0)))) as bigint) as area from ({strips}) t group by {keys}"
 
 
+_LINES = {"low": ("x0", "y0", "x1", "y1"), "left": ("x0", "y3", "xm", "ym"), "right": ("xm", "ym", "x1", "y2")}
+
+
+def _at(p: str, line: str, x: str) -> str:
+    a, b, c, d = (f"{p}.{n}" for n in _LINES[line])
+    return f"({b} + ({x} - {a}) * cast({d} - {b} as double) / ({c} - {a}))"
+
+
+def _pentagons() -> dict[str, str]:
+    """Shared areas of ``polygons``: at every x each is one stretch, so the common length is integrated between the corners and all crossings."""
+    cross = []
+    for one in _LINES:
+        for other in _LINES:
+            (a, b, c, d), (e, f, g, h) = ([f"{p}.{n}" for n in _LINES[k]] for p, k in (("a", one), ("b", other)))
+            slope = f"(cast({d} - {b} as double) / ({c} - {a}) - cast({h} - {f} as double) / ({g} - {e}))"
+            cross.append(f"({f} - {b} + {a} * cast({d} - {b} as double) / ({c} - {a}) - {e} * cast({h} - {f} as double) / ({g} - {e})) / nullif({slope}, 0)")
+    xs = ", ".join(["cast(a.x0 as double)", "a.xm", "a.x1", "b.x0", "b.xm", "b.x1", *cross])
+    top = lambda p, x: f"case when {x} <= {p}.xm then {_at(p, 'left', x)} else {_at(p, 'right', x)} end"
+    length = lambda x: f"greatest(0, least({top('a', x)}, {top('b', x)}) - greatest({_at('a', 'low', x)}, {_at('b', 'low', x)}))"
+    return {
+        "pentagon_area": "select face_id, ((ym + y3) * (xm - x0) + (y2 + ym) * (x1 - xm) - (y0 + y1) * (x1 - x0)) / 2.0 as area from polygons",
+        "pentagon_marks": f"select distinct a.face_id as a, b.face_id as b, unnest([{xs}]) as x from polygons a join polygons b on a.drawing_id = b.drawing_id and a.face_id < b.face_id and a.x0 < b.x1 and b.x0 < a.x1 and least(a.y0, a.y1) < greatest(b.y2, b.ym, b.y3) and least(b.y0, b.y1) < greatest(a.y2, a.ym, a.y3)",
+        "pentagon_steps": "select m.a, m.b, x as l, lead(x) over (partition by m.a, m.b order by x) as r from pentagon_marks m join polygons a on a.face_id = m.a join polygons b on b.face_id = m.b where x between greatest(a.x0, b.x0) and least(a.x1, b.x1)",
+        "pentagon_shared": f"select s.a, s.b, sum((s.r - s.l) * ({length('s.l')} + {length('s.r')}) / 2) as shared from pentagon_steps s join polygons a on a.face_id = s.a join polygons b on b.face_id = s.b where s.r is not null group by 1, 2",
+    }
+
+
 SHARED = {
+    **_pentagons(),
     "zone_boxes": "select f.drawing_id, a.bay_id, f.face_id, f.x0, f.y0, f.x1, f.y1 from faces f join assigned a on a.face_id = f.face_id where (f.x1 - f.x0) * (f.y1 - f.y0) >= 1000000",
     "zone_touch": "select a.face_id as a, b.face_id as b from zone_boxes a join zone_boxes b on a.drawing_id = b.drawing_id and a.bay_id = b.bay_id and a.face_id <> b.face_id and ((a.x0 < b.x1 and b.x0 < a.x1 and a.y0 <= b.y1 and b.y0 <= a.y1) or (a.x0 <= b.x1 and b.x0 <= a.x1 and a.y0 < b.y1 and b.y0 < a.y1))",
     "zone_reach": "select face_id, face_id as root from zone_boxes union select t.b, r.root from zone_reach r join zone_touch t on t.a = r.face_id",

@@ -11,6 +11,7 @@ from tesselar.functions import geom as G
 from tesselar.functions import review as R
 from tesselar.operators import endpoints as E
 from tesselar.operators import gaps as P
+from tesselar.operators import overlay as O
 from tesselar.operators.cells import boxes_meet, extent, near_points, points_in_boxes, renamed, widening
 from tesselar.operators.state import Steps
 from tesselar.plans.filters import PAIR_SQL, PARTITION
@@ -114,25 +115,42 @@ def iou_dedupe_pairs(faces: DataFrame, redrawn: DataFrame) -> DataFrame:
     return self_overlap(twice(faces, redrawn)).where("100 * shared >= 98 * (aa + ba - shared)").select("drawing_id", "a", "b", "shared")
 
 
+def ring_overlap(faces: DataFrame, ring) -> DataFrame:
+    """drawing_id, a, b (ids of faces, a < b), shared, and both areas, for rings of any shape. Areas are rounded to a thousandth of a square unit."""
+    sides = O.ring_edges(faces.select("drawing_id", F.col("face_id").alias("id"), ring.alias("ring")), "drawing_id", "id")
+    both = O.with_iou(O.shared_areas(sides, sides, own=True), sides, sides)
+    return both.select("drawing_id", "a", "b", *(F.round(c, 3).alias(n) for c, n in (("shared", "shared"), ("a_area", "aa"), ("b_area", "ba")))).where("shared > 0")
+
+
 @query("faces", sql=f"select a, b, round(shared / cast(aa + ba - shared as double), 4) as iou from ({OV.format('faces')}) o")
 def iou(faces: DataFrame) -> DataFrame:
-    return self_overlap(faces).select("a", "b", F.round(G.iou(F.col("shared").cast("double"), F.col("aa"), F.col("ba")), 4).alias("iou"))
+    return ring_overlap(faces, G.rect_ring()).select("a", "b", F.round(G.iou(F.col("shared"), F.col("aa"), F.col("ba")), 4).alias("iou"))
 
 
 @query("faces", sql=f"select a, b, shared from ({OV.format('faces')}) o")
 def overlap_area(faces: DataFrame) -> DataFrame:
-    from tesselar.operators.topology import polygon_overlap
+    return ring_overlap(faces, G.rect_ring()).select("a", "b", F.col("shared").cast("bigint").alias("shared"))
 
-    both = boxes_meet(renamed(faces, "a", "drawing_id"), renamed(faces, "b", "drawing_id"), 4000).where("aface_id < bface_id")
-    area = polygon_overlap(G.rect_ring("ax0", "ay0", "ax1", "ay1"), G.rect_ring("bx0", "by0", "bx1", "by1"))
-    return both.select(F.col("aface_id").alias("a"), F.col("bface_id").alias("b"), F.round(area).cast("bigint").alias("shared"))
+
+def pentagon():
+    """The ring of a row of ``polygons``."""
+    corners = (("x0", "y0"), ("x1", "y1"), ("x1", "y2"), ("xm", "ym"), ("x0", "y3"))
+    return F.array(*(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")) for x, y in corners))
+
+
+@query("polygons", sql="select s.a, s.b, cast(floor(shared + 0.3127) as bigint) as shared, cast(floor(1000 * shared / (p.area + q.area - shared) + 0.3127) as bigint) as iou_permille from pentagon_shared s join pentagon_area p on p.face_id = s.a join pentagon_area q on q.face_id = s.b where shared > 1")
+def polygon_overlaps(polygons: DataFrame) -> DataFrame:
+    """Slanted and concave rings: what each two of a drawing share, and the share of their union. Rounded off the halves, where engines differ."""
+    whole = lambda x: F.floor(x + 0.3127).cast("bigint")
+    both = ring_overlap(polygons, pentagon()).where("shared > 1")
+    return both.select("a", "b", whole(F.col("shared")).alias("shared"), whole(1000 * G.iou(F.col("shared"), F.col("aa"), F.col("ba"))).alias("iou_permille"))
 
 
 @query("records", sql=f"select drawing_id, a, b, case when 100 * shared > 85 * aa and 100 * shared > 85 * ba then 'duplicate' else 'overlap' end as issue from ({OV.format('(select * from records where ' + PARTITION + ')')}) o where shared > 100000")
 def record_overlaps(records: DataFrame) -> DataFrame:
     live = records.where(R.is_partition(F.col("status"), F.col("scope_excluded"), F.col("geometry_role"))).select("drawing_id", "face_id", "x0", "y0", "x1", "y1")
     issue = F.when(F.expr("100 * shared > 85 * aa and 100 * shared > 85 * ba"), "duplicate").otherwise("overlap")
-    return self_overlap(live).where("shared > 100000").select("drawing_id", "a", "b", issue.alias("issue"))
+    return ring_overlap(live, G.rect_ring()).where("shared > 100000").select("drawing_id", "a", "b", issue.alias("issue"))
 
 
 @query("bays", sql="select cast(count(*) as bigint) as n from bays a join bays b on a.bay_id < b.bay_id and a.x0 < b.x1 and b.x0 < a.x1 and a.y0 < b.y1 and b.y0 < a.y1")
@@ -145,7 +163,7 @@ def bay_overlaps(bays: DataFrame) -> DataFrame:
 def zone_overlaps(records: DataFrame) -> DataFrame:
     box = records.select("drawing_id", "face_id", "x0", "y0", "x1", "y1")
     zone = lambda p: records.select(F.col("face_id").alias(p), F.col("zone").alias(f"z{p}"))
-    both = self_overlap(box).where("shared > 500000").join(zone("a"), "a").join(zone("b"), "b").where("za <> zb")
+    both = ring_overlap(box, G.rect_ring()).where("shared > 500000").join(zone("a"), "a").join(zone("b"), "b").where("za <> zb")
     return both.select(F.least("za", "zb").alias("l"), F.greatest("za", "zb").alias("h")).distinct().select(F.col("l").alias("za"), F.col("h").alias("zb"))
 
 

@@ -202,6 +202,19 @@ def slab_outline(segments: DataFrame) -> DataFrame:
     return outline.select("drawing_id", "method", F.round("area", 1).alias("area"), F.round("perimeter", 1).alias("perimeter"))
 
 
+@query("faces", "bays")
+def assign_traced(faces: DataFrame, bays: DataFrame) -> DataFrame:
+    """Traced faces, of any shape and with their holes, to the bay that they share most with."""
+    from tesselar.operators import overlay as O
+
+    found, outlines = traced(faces)
+    grid = O.ring_edges(bays.select(F.col("bay_id").alias("id"), G.rect_ring().alias("ring")), "id")
+    every = found.select("drawing_id").distinct().withColumn("k", F.lit(0)).join(grid.withColumn("k", F.lit(0)), "k").drop("k")  # a drawing's grid has few bays
+    best = O.most_shared(O.shared_areas(T.face_edges(outlines), every, cell=10_000.0), least=0.5)
+    rows = found.withColumnRenamed("face", "a").join(best, ["drawing_id", "a"])
+    return rows.select("drawing_id", F.round("cx", 1).alias("x"), F.round("cy", 1).alias("y"), F.round("area", 1).alias("area"), F.col("b").alias("bay_id"), F.round("shared", 1).alias("shared"))
+
+
 @query("seeds", "faces")
 def seed_resolve(seeds: DataFrame, faces: DataFrame) -> DataFrame:
     """Seeds to the smallest traced face: ok, duplicate (a smaller id has the face), too small, or no face."""
