@@ -30,8 +30,45 @@ def assign_with_nearest(faces: DataFrame, bays: DataFrame, sliver: int) -> DataF
     return got.withColumn("method", F.lit("max_overlap")).unionByName(near)
 
 
-def union_area(boxes: DataFrame, keys: list[str]) -> DataFrame:
-    """Area of the union of each key's boxes: strips between neighbouring x, in each the lengths that intervals add to those before."""
+def union_area(boxes: DataFrame, keys: list[str], side: int = 4096, few: int = 32) -> DataFrame:
+    """Area of the union of each key's boxes.
+
+    Boxes are clipped to square cells. A cell that one of its boxes fills counts as a whole, whatever else is in it; one with few boxes is cut into strips;
+    any other is split into four, and so on. Where boxes are many, small cells are soon filled, so rows stay in proportion to the boxes however dense
+    a key is, and no cell's boxes are compared with all of a key's.
+    """
+    steps = Steps(boxes.sparkSession)
+    at = [*keys, "cx", "cy"]
+    area = None
+
+    def clipped(rows: DataFrame, width: float) -> DataFrame:
+        cells = lambda a, b: F.sequence(F.floor(F.col(a) / width).cast("bigint"), (F.ceil(F.col(b) / width) - 1).cast("bigint"))
+        out = rows.withColumn("cx", F.explode(cells("x0", "x1"))).withColumn("cy", F.explode(cells("y0", "y1")))
+        low = {f"{c}0": F.greatest(f"{c}0", F.col(f"c{c}") * F.lit(width)) for c in "xy"}
+        high = {f"{c}1": F.least(f"{c}1", (F.col(f"c{c}") + 1) * F.lit(width)) for c in "xy"}
+        return out.withColumns(low | high).distinct()
+
+    left, width = boxes.select(*keys, "x0", "y0", "x1", "y1").where("x0 < x1 and y0 < y1"), side
+    while True:
+        rows = steps.cut(clipped(left, width))
+        full = (F.col("x1") - F.col("x0") == width) & (F.col("y1") - F.col("y0") == width)
+        state = rows.groupBy(*at).agg(F.bool_or(full).alias("full"), F.count("*").alias("n"))
+        whole = state.where("full").groupBy(*keys).agg((F.count("*") * F.lit(width) * F.lit(width)).alias("area"))
+        last = width / 2 < 1  # whole numbers are full in unit cells; others go to strips
+        some = state.where(~F.col("full") & ((F.col("n") <= few) | F.lit(last)))
+        now = whole.unionByName(_strips(rows.join(some.select(*at), at), at).groupBy(*keys).agg(F.sum("area").alias("area")))
+        area = now if area is None else area.unionByName(now)
+        if last:
+            break
+        left, n = steps.cut_and_count(rows.join(state.where((~F.col("full")) & (F.col("n") > few)).select(*at), at).select(*keys, "x0", "y0", "x1", "y1"), F.lit(True))
+        if not n:
+            break
+        width //= 2
+    return area.groupBy(*keys).agg(F.sum("area").alias("area"))
+
+
+def _strips(boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """The same for keys with few boxes: strips between neighbouring x, in each the lengths that intervals add to those before."""
     order = Window.partitionBy(*keys).orderBy("xa")
     edges = boxes.select(*keys, F.explode(F.array("x0", "x1")).alias("xa")).distinct()
     strips = edges.withColumn("xb", F.lead("xa").over(order)).where("xb is not null")

@@ -286,3 +286,46 @@ def test_zones_count_overlaps_once(spark):
     bays = spark.createDataFrame([(1, 0, 0, 10_000, 10_000)], "bay_id long, x0 long, y0 long, x1 long, y1 long")
     (r,) = zones(faces, bays)[0].collect()
     assert (r.face_ids, r.faces, r.face_sum, r.area) == ([1, 2, 3], 3, 9_100_000, 6_000_000)
+
+
+@pytest.mark.parametrize("few", [2, 32])
+def test_union_of_many_boxes(spark, few):
+    """Dense and sparse keys, copies, whole and broken coordinates, against a raster; boxes without area count nothing."""
+    from tesselar.operators.zones import union_area
+
+    rng = random.Random(12)
+    rows = []
+    for key, n, most in ((1, 150, 60), (2, 4, 200), (3, 300, 20)):
+        for _ in range(n):
+            x, y = rng.randrange(200), rng.randrange(200)
+            rows.append((key, x, y, x + rng.randrange(most), y + rng.randrange(most)))
+    rows += rows[:20]
+    df = spark.createDataFrame(rows, "k long, x0 long, y0 long, x1 long, y1 long")
+    raster = {}
+    for k, x0, y0, x1, y1 in rows:
+        raster.setdefault(k, np.zeros((500, 500), bool))[x0:x1, y0:y1] = True
+    for scale in (1, 0.25):
+        scaled = df.select("k", *((F.col(c) * scale).alias(c) for c in ("x0", "y0", "x1", "y1")))
+        got = {r.k: r.area for r in union_area(scaled, ["k"], side=64, few=few).collect()}
+        assert got == {k: int(m.sum()) * scale * scale for k, m in raster.items()}
+    assert union_area(df.limit(0), ["k"]).count() == 0
+
+
+def test_dense_boxes_stay_in_proportion(spark, monkeypatch):
+    """Twenty boxes over every point: all levels together have some rows for each box, not one for each pair."""
+    from tesselar.operators import zones as Z
+
+    seen = []
+    cut = Z.Steps.cut
+
+    def counted(self, df):
+        out = cut(self, df)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(Z.Steps, "cut", counted)
+    n = 16_000
+    rng = random.Random(5)
+    rows = [(1, x, y, x + 40 + rng.randrange(200), y + 40 + rng.randrange(200)) for x, y in ((rng.randrange(4000), rng.randrange(4000)) for _ in range(n))]
+    Z.union_area(spark.createDataFrame(rows, "k long, x0 long, y0 long, x1 long, y1 long"), ["k"], side=512).collect()
+    assert sum(seen) < 40 * n
