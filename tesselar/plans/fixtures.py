@@ -232,6 +232,11 @@ SHARED = {
     "zone_named": "select drawing_id, gate, count(*) as n, array_to_string(list(label order by bay_id)[1:max(named)], ', ') as labels from zone_flags group by 1, 2",
     "zone_orphans": "select f.drawing_id, cast(count(*) filter (where a.face_id is null and (f.x1 - f.x0) * (f.y1 - f.y0) >= 1000000) as bigint) as orphans from faces f left join assigned a on a.face_id = f.face_id group by 1",
     "zone_manifest": "select z.drawing_id, z.label, z.faces, m.area_native, (m.area_native > 0) as has_area, (m.area_native > 0 and abs(z.area - m.area_native) * 2000 <= m.area_native) as within from zone_all z join manifest_zones m on m.label = z.label",
+    "zone_reconciled": (
+        "select l.drawing_id, l.label, z.label is not null as built, m.label is not null as listed, m.area_native as expected, coalesce(z.area, 0) as found, coalesce(z.faces, 0) as faces, coalesce(m.area_native > 0, false) as has_area, "
+        "coalesce(m.area_native > 0 and abs(coalesce(z.area, 0) - m.area_native) * 2000 <= m.area_native, false) as within "
+        "from (select drawing_id, label from (select distinct drawing_id from faces) d cross join (select 'INT-' || bay_id as label from bays union select label from manifest_zones) n) l left join zone_all z on z.drawing_id = l.drawing_id and z.label = l.label left join manifest_zones m on m.label = l.label"
+    ),
     "zone_gates": (
         "select d.drawing_id, 'zone_count' as gate, 1 as place, case when z.n = e.n then 'PASS' else 'REVIEW' end as status, z.n || ' zones vs expected ' || e.n as detail from (select distinct drawing_id from faces) d, (select count(*) as n from bays) z, (select count(*) as n from manifest_zones) e "
         "union all select drawing_id, 'orphan_faces', 2, case when orphans = 0 then 'PASS' else 'FAIL' end, orphans || ' orphan(s) (max allowed 0)' from zone_orphans "

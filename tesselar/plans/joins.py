@@ -251,23 +251,43 @@ def seed_auto_duplicate(seeds: DataFrame, faces: DataFrame, redrawn: DataFrame)
     return auto_duplicates(resolved(seeds, faces), redrawn)
 
 
-INS = "select distinct drawing_id, x, y from entities where entity_type = 'INSERT' and layer = 'S-COLS'"
+UNSUPPORTED = "select distinct drawing_id, entity_type, layer, x, y from entities where entity_type not in ('LINE', 'LWPOLYLINE', 'POLYLINE', 'ARC')"
+GAP_POINTS = "select drawing_id, ax as x, ay as y from gaps {0} union select drawing_id, bx, by_ from gaps {0}"
+OPEN = "where status <> 'above_threshold_close'"
+#: How near an entity is to a point of interest, and to a segment.
+NEAR_POINT, NEAR_SEGMENT = 1500, 500
+_NEAR = "select distinct i.* from ({0}) i join ({1}) e on i.drawing_id = e.drawing_id and (i.x - e.x) * (i.x - e.x) + (i.y - e.y) * (i.y - e.y) <= 2250000 and e.x is not null"
 
 
-@query("entities", "segments", sql=f"select distinct i.drawing_id, i.x, i.y from ({INS}) i join free_ends e on i.drawing_id = e.drawing_id and (i.x - e.x) * (i.x - e.x) + (i.y - e.y) * (i.y - e.y) <= 2250000")
-def insert_near_gap(entities: DataFrame, segments: DataFrame) -> DataFrame:
-    return near_free(entities, segments, 1500)
+def unsupported(entities: DataFrame) -> DataFrame:
+    """Entities of all types that carry no boundary, on any layer; those of one type, layer and place once."""
+    return entities.where(~F.col("entity_type").isin(*R.SUPPORTED)).select("drawing_id", "entity_type", "layer", "x", "y").distinct()
+
+
+def near(found: DataFrame, points: DataFrame, reach: float) -> DataFrame:
+    """Rows of ``found`` with a point in reach. A point goes to a cell of the reach once, however many lie on it."""
+    a = found.withColumns({"ax": F.col("x"), "ay": F.col("y")})
+    b = points.select("drawing_id", F.col("x").alias("bx"), F.col("y").alias("by")).distinct()
+    return near_points(a, b, reach).select(*found.columns).distinct()
 
 
-def near_free(entities: DataFrame, segments: DataFrame, reach: float) -> DataFrame:
-    a = entities.where("entity_type = 'INSERT' and layer = 'S-COLS'").select("drawing_id", F.col("x").alias("ax"), F.col("y").alias("ay")).distinct()
-    b = E.free_ends(segments).select("drawing_id", F.col("x").alias("bx"), F.col("y").alias("by"))
-    return near_points(a, b, reach).select("drawing_id", F.col("ax").alias("x"), F.col("ay").alias("y")).distinct()
+def gap_points(segments: DataFrame, every: bool = True) -> DataFrame:
+    """Both ends of gaps; ``every``: also of those that are closed just above the threshold."""
+    found = P.gaps(segments)
+    found = found if every else found.where("status <> 'above_threshold_close'")
+    end = lambda p: found.select("drawing_id", F.col(f"{p}x").alias("x"), F.col(f"{p}y").alias("y")).where("x is not null")
+    return end("a").unionByName(end("b"))
+
+
+@query("entities", "segments", sql=_NEAR.format(UNSUPPORTED.replace("where", "where entity_type = 'INSERT' and"), GAP_POINTS.format(OPEN)))
+def insert_near_gap(entities: DataFrame, segments: DataFrame) -> DataFrame:
+    """Inserts within reach of an end of a gap that stays open."""
+    return near(unsupported(entities).where("entity_type = 'INSERT'"), gap_points(segments, False), NEAR_POINT)
 
 
-@query("entities", "segments", sql=f"select distinct i.drawing_id, i.x, i.y from ({INS}) i join free_ends e on i.drawing_id = e.drawing_id and (i.x - e.x) * (i.x - e.x) + (i.y - e.y) * (i.y - e.y) <= 2250000")
+@query("entities", "segments", sql=_NEAR.format(UNSUPPORTED, "select * from free_ends"))
 def entity_near_endpoint(entities: DataFrame, segments: DataFrame) -> DataFrame:
-    return near_free(entities, segments, 1500)
+    return near(unsupported(entities), E.free_ends(segments), NEAR_POINT)
 
 
 SEG_D2 = "power(greatest(s.x1 - {0}.x, 0, {0}.x - s.x2), 2) + power(greatest(s.y1 - {0}.y, 0, {0}.y - s.y2), 2)"
@@ -291,17 +311,15 @@ def nearest_segments(points: DataFrame, segments: DataFrame, ids: list[str]) ->
     return widening(points, ids, found, 1000.0, limit, Steps(points.sparkSession))
 
 
-@query("entities", "segments", sql=f"select distinct i.drawing_id, i.x, i.y from ({INS}) i join segments s on i.drawing_id = s.drawing_id and {SEG_D2.format('i')} <= 250000")
+@query("entities", "segments", sql=f"select distinct i.* from ({UNSUPPORTED}) i join segments s on i.drawing_id = s.drawing_id and {SEG_D2.format('i')} <= 250000")
 def entity_near_segment(entities: DataFrame, segments: DataFrame) -> DataFrame:
-    inserts = entities.where("entity_type = 'INSERT' and layer = 'S-COLS'").select("drawing_id", "x", "y").distinct()
-    return near_segments(inserts, segments, 500).select("drawing_id", "x", "y").distinct()
+    found = unsupported(entities)
+    return near_segments(found, segments, NEAR_SEGMENT).select(*found.columns).distinct()
 
 
-@query("entities", "segments", sql=f"select distinct i.drawing_id, i.x, i.y from ({INS}) i join candidate_pairs c on i.drawing_id = c.drawing_id and power(2 * i.x - c.ax - c.bx, 2) + power(2 * i.y - c.ay - c.by_, 2) <= 9000000")
+@query("entities", "segments", sql=_NEAR.format(UNSUPPORTED, GAP_POINTS.format("")))
 def entity_near_gap(entities: DataFrame, segments: DataFrame) -> DataFrame:
-    gaps = E.gap_candidates(segments, 500.0).select("drawing_id", ((F.col("ax") + F.col("bx")) / 2).alias("bx"), ((F.col("ay") + F.col("by")) / 2).alias("by"))
-    a = entities.where("entity_type = 'INSERT' and layer = 'S-COLS'").select("drawing_id", F.col("x").alias("ax"), F.col("y").alias("ay")).distinct()
-    return near_points(a, gaps, 1500).select("drawing_id", F.col("ax").alias("x"), F.col("ay").alias("y")).distinct()
+    return near(unsupported(entities), gap_points(segments), NEAR_POINT)
 
 
 NEAREST = f"select seed_id, seg_id, d2, x, y, sx, sy, ex, ey from (select i.seed_id, i.x, i.y, s.seg_id, s.x1 as sx, s.y1 as sy, s.x2 as ex, s.y2 as ey, {SEG_D2.format('i')} as d2, row_number() over (partition by i.seed_id order by {SEG_D2.format('i')}, s.seg_id) as r from seeds i join segments s on i.drawing_id = s.drawing_id) t where r = 1"
@@ -350,36 +368,13 @@ def nearest_points(points: DataFrame, others: DataFrame, ids: list[str], *carry:
     return widening(a, ids, found, 1000.0, extent(points, others), steps)
 
 
-@query("bays", "manifest_zones", sql="select coalesce(m.label, concat('INT-', b.bay_id)) as label, m.area_native as expected, cast(100000000 as bigint) * case when b.bay_id is null then 0 else 3 end as found, case when m.label is null then 'not in manifest' when b.bay_id is null then 'not detected' when m.area_native is null then 'no area' when abs(m.area_native - 300000000) * 100 <= 5 * m.area_native then 'within tolerance' else 'outside tolerance' end as state from bays b full outer join manifest_zones m on m.label = concat('INT-', b.bay_id)")
-def manifest_reconcile(bays: DataFrame, zones: DataFrame) -> DataFrame:
-    return reconciled(bays, zones)
-
-
-def reconciled(bays: DataFrame, zones: DataFrame) -> DataFrame:
-    found = bays.select(F.concat(F.lit("INT-"), F.col("bay_id").cast("string")).alias("label"), F.lit(300_000_000).cast("bigint").alias("found"))
-    both = zones.select("label", F.col("area_native").alias("expected"), F.lit(1).alias("in_manifest")).join(found, "label", "full_outer")
-    delta = F.abs(F.col("expected") - F.col("found")) * 100
-    state = (
-        F.when(F.col("in_manifest").isNull(), "not in manifest")
-        .when(F.col("found").isNull(), "not detected")
-        .when(F.col("expected").isNull(), "no area")
-        .when(delta <= 5 * F.col("expected"), "within tolerance")
-        .otherwise("outside tolerance")
-    )
-    return both.select("label", "expected", F.coalesce("found", F.lit(0).cast("bigint")).alias("found"), state.alias("state"))
-
-
-@query("records", "bays", sql="select r.face_id, case when b.bay_id % 3 > 0 then r.zone end as zone from records r left join bays b on r.zone = concat('INT-', b.bay_id)")
-def apply_zone_labels(records: DataFrame, bays: DataFrame) -> DataFrame:
-    """Records keep a label that the last build knows (here of bays not divisible by three), else lose it."""
-    known = bays.where("bay_id % 3 > 0").select(F.concat(F.lit("INT-"), F.col("bay_id").cast("string")).alias("zone"), F.lit(True).alias("known"))
-    return records.join(known, "zone", "left").select("face_id", F.when(F.col("known"), F.col("zone")).alias("zone"))
-
+@query("records", "faces", "bays", sql="select r.face_id, z.label as zone from records r left join zone_all z on z.drawing_id = r.drawing_id and z.label = r.zone and z.faces > 0")
+def apply_zone_labels(records: DataFrame, faces: DataFrame, bays: DataFrame) -> DataFrame:
+    """Records keep a label under which the last build of their drawing has a zone with faces, else lose it."""
+    from tesselar.plans.gates import all_zones
 
-@query("bays", "manifest_zones", sql="select concat('INT-', b.bay_id) as label, case when m.label is null then 'SKIP' when m.area_native is null then 'SKIP' when abs(m.area_native - 300000000) * 100 <= 5 * m.area_native then 'PASS' else 'REVIEW' end as status from bays b left join manifest_zones m on m.label = concat('INT-', b.bay_id)")
-def manifest_overlay(bays: DataFrame, zones: DataFrame) -> DataFrame:
-    state = reconciled(bays, zones).where("state <> 'not detected'")
-    return state.select("label", F.when(F.col("state") == "within tolerance", "PASS").when(F.col("state") == "outside tolerance", "REVIEW").otherwise("SKIP").alias("status"))
+    known = all_zones(faces, bays).where("faces > 0").select("drawing_id", F.col("label").alias("zone"), F.lit(True).alias("known"))
+    return records.join(known, ["drawing_id", "zone"], "left").select("face_id", F.when(F.col("known"), F.col("zone")).alias("zone"))
 
 
 @query("faces", "bays", sql="select b.bay_id, cast(coalesce(sum(a.area), 0) as bigint) as area, cast(count(a.face_id) as bigint) as faces from bays b left join assigned a on a.bay_id = b.bay_id group by b.bay_id")

@@ -147,23 +147,6 @@ def regions_csv(faces: DataFrame) -> DataFrame:
     return regions_report(faces).select("drawing_id", F.to_csv(F.struct("drawing_id", "region", "area")).alias("line"))
 
 
-@query("records", "entities", sql="select kind, cast(sum(n) as bigint) as n from (select 'detected' as kind, cast(count(*) as bigint) as n from records where source = 'auto' union all select 'entity_miss', cast(count(*) as bigint) from entities where entity_type = 'INSERT' union all select 'layer_miss', cast(count(*) as bigint) from entities where layer = 'TEXT-NOTES') t group by 1")
-def coverage_export(records: DataFrame, entities: DataFrame) -> DataFrame:
-    """Records by kind and drawing written as CSV, a folder for each kind, and the totals of what is read back."""
-    from tesselar.operators.state import Steps
-
-    spark = records.sparkSession
-    path = f"{Steps(spark).path}/coverage"
-    S.coverage_union(records, entities).write.option("header", "true").partitionBy("kind").csv(path)
-    return spark.read.option("header", "true").schema("drawing_id long, n long, kind string").csv(path).groupBy("kind").agg(F.sum("n").alias("n"))
-
-
-@query("records", "entities", sql="select drawing_id, cast(sum(case when kind = 'detected' then n else 0 end) as bigint) as detected, cast(sum(case when kind <> 'detected' then n else 0 end) as bigint) as missed from (select 'detected' as kind, drawing_id, count(*) as n from records where source = 'auto' group by 2 union all select 'entity_miss', drawing_id, count(*) from entities where entity_type = 'INSERT' group by 2 union all select 'layer_miss', drawing_id, count(*) from entities where layer = 'TEXT-NOTES' group by 2) t group by 1")
-def coverage_analysis(records: DataFrame, entities: DataFrame) -> DataFrame:
-    of = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
-    return S.coverage_union(records, entities).groupBy("drawing_id").agg(of(F.col("kind") == "detected").alias("detected"), of(F.col("kind") != "detected").alias("missed"))
-
-
 @query("grid_lines", sql=f"select drawing_id, nx, ny, greatest(nx - 1, 0) * greatest(ny - 1, 0) as bays, case when greatest(nx - 1, 0) * greatest(ny - 1, 0) < 4 then 'few bays' else '' end as warning from (select drawing_id, cast(count(*) filter (where angle_deg = 90) as bigint) as nx, cast(count(*) filter (where angle_deg = 0) as bigint) as ny from ({CLUSTER}) c group by 1) n", name="grid_frame")
 def grid_frame(lines: DataFrame) -> DataFrame:
     """By drawing: axes of both families, bays, and a warning when they are too few."""
@@ -175,12 +158,6 @@ def grid_frame(lines: DataFrame) -> DataFrame:
     return n.select("drawing_id", "nx", "ny", bays.alias("bays"), F.when(bays < 4, "few bays").otherwise("").alias("warning"))
 
 
-@query("bays", sql="select bay_id, 'INT-' || bay_id as label, a as area from (select bay_id, greatest(0, least(x1, 42000) - greatest(x0, 3000)) * greatest(0, least(y1, 42000) - greatest(y0, 3000)) as a from bays) t where a > 0")
-def grid_geometry(bays: DataFrame) -> DataFrame:
-    """Bays clipped to the slab, labelled, without empty ones."""
-    return V.clip_bays(bays).where("area > 0").select("bay_id", F.concat(F.lit("INT-"), F.col("bay_id").cast("string")).alias("label"), "area")
-
-
 @query("segments", name="auto_boundary")
 def auto_boundary(segments: DataFrame) -> DataFrame:
     from tesselar.plans.topology import slab_outline
@@ -196,11 +173,6 @@ def scoped_detection(records: DataFrame) -> DataFrame:
     return records.groupBy("drawing_id").agg(F.count_if(inside).alias("inside"), F.count_if(~inside).alias("excluded"), F.count_if(inside & role).alias("obstacles"))
 
 
-@query("bays", "manifest_zones", sql="select status, cast(count(*) as bigint) as zones from (select case when m.label is null or m.area_native is null then 'SKIP' when abs(m.area_native - 300000000) * 100 <= 5 * m.area_native then 'PASS' else 'REVIEW' end as status from bays b left join manifest_zones m on m.label = concat('INT-', b.bay_id)) t group by 1")
-def geometry_correctness(bays: DataFrame, zones: DataFrame) -> DataFrame:
-    return J.manifest_overlay(bays, zones).groupBy("status").agg(F.count("*").alias("zones"))
-
-
 @query("segments", sql="select drawing_id, case when drawing_id % 6 = 5 then 'suffix' else 'ok' end as \"check\" from (select distinct drawing_id from segments) d")
 def drawing_arrivals(segments: DataFrame) -> DataFrame:
     """Drawings made of the segments, some under a name that is no drawing's, through the checks of arrivals."""

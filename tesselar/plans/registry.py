@@ -12,7 +12,7 @@ from tesselar.plans.fixtures import load, twin
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
-MODULES = ("filters", "geometry", "joins", "summaries", "windows", "topology", "reviews", "files", "more", "gates")
+MODULES = ("filters", "geometry", "joins", "summaries", "windows", "topology", "reviews", "files", "more", "gates", "manifest", "coverage")
 
 
 def query(*tables: str, sql: str | None = None, name: str | None = None):

@@ -111,7 +111,10 @@ def detected_records(records: DataFrame) -> DataFrame:
 GEOMETRY = "select drawing_id, layer, cast(count(*) as bigint) as n from entities where entity_type <> 'INSERT' group by 1, 2"
 
 
-@query("entities", "layer_config", sql=f"with own as (select distinct l.drawing_id, l.layer from ({GEOMETRY}) l join layer_config c on c.drawing_id = l.drawing_id and upper(c.layer) = upper(l.layer)) select l.drawing_id, l.layer, 'at_risk' as status, 'layer_selection' as category, 0.6 as confidence, l.n as entities from ({GEOMETRY}) l where l.n >= 4 and not regexp_matches(upper(l.layer), 'DIM|TEXT|HATCH|GRID|ANNO|NOTE') and not exists (select 1 from own o where o.drawing_id = l.drawing_id and o.layer = l.layer) and l.drawing_id in (select drawing_id from own) union all select c.drawing_id, string_agg(distinct c.layer, ',' order by c.layer), 'missed', 'layer_selection', 0.95, 0 from layer_config c where c.drawing_id in (select drawing_id from entities) and c.drawing_id not in (select drawing_id from own) group by 1")
+LAYER_MISSES = f"with own as (select distinct l.drawing_id, l.layer from ({GEOMETRY}) l join layer_config c on c.drawing_id = l.drawing_id and upper(c.layer) = upper(l.layer)) select l.drawing_id, l.layer, 'at_risk' as status, 'layer_selection_miss' as category, 0.6 as confidence, l.n as entities from ({GEOMETRY}) l where l.n >= 4 and not regexp_matches(upper(l.layer), 'DIM|TEXT|HATCH|GRID|ANNO|NOTE') and not exists (select 1 from own o where o.drawing_id = l.drawing_id and o.layer = l.layer) and l.drawing_id in (select drawing_id from own) union all select c.drawing_id, string_agg(distinct c.layer, ',' order by c.layer), 'missed', 'layer_selection_miss', 0.95, 0 from layer_config c where c.drawing_id in (select drawing_id from entities) and c.drawing_id not in (select drawing_id from own) group by 1"
+
+
+@query("entities", "layer_config", sql=LAYER_MISSES)
 def layer_miss_records(entities: DataFrame, config: DataFrame) -> DataFrame:
     """Layers with four entities or more that the configured ones leave out, and configurations without any geometry."""
     by = entities.where(F.col("entity_type").isin(*R.SUPPORTED)).groupBy("drawing_id", "layer").agg(F.count("*").alias("n")).withColumn("up", F.upper("layer"))
@@ -119,7 +122,7 @@ def layer_miss_records(entities: DataFrame, config: DataFrame) -> DataFrame:
     own = by.join(named, ["drawing_id", "up"], "left_semi")
     left = by.join(named, ["drawing_id", "up"], "left_anti").join(own.select("drawing_id").distinct(), "drawing_id", "left_semi")
     left = left.where((F.col("n") >= 4) & ~F.col("up").rlike("DIM|TEXT|HATCH|GRID|ANNO|NOTE"))
-    record = lambda df, layer, status, confidence, n: df.select("drawing_id", layer.alias("layer"), F.lit(status).alias("status"), F.lit("layer_selection").alias("category"), F.lit(confidence).alias("confidence"), n.alias("entities"))
+    record = lambda df, layer, status, confidence, n: df.select("drawing_id", layer.alias("layer"), F.lit(status).alias("status"), F.lit("layer_selection_miss").alias("category"), F.lit(confidence).alias("confidence"), n.alias("entities"))
     bare = config.join(entities.select("drawing_id").distinct(), "drawing_id", "left_semi").join(own.select("drawing_id").distinct(), "drawing_id", "left_anti").groupBy("drawing_id").agg(F.array_join(F.array_sort(F.collect_set("layer")), ",").alias("layers"))
     return record(left, F.col("layer"), "at_risk", 0.6, F.col("n")).unionByName(record(bare, F.col("layers"), "missed", 0.95, F.lit(0).cast("bigint")))
 
@@ -128,7 +131,10 @@ OPEN_POINTS = "select distinct drawing_id, x, y from (select drawing_id, ax as x
 NEAR_INSERT = f"select drawing_id, x, y, layer, round(sqrt(d2), 2) as distance from (select g.drawing_id, g.x, g.y, i.layer, power(g.x - i.x, 2) + power(g.y - i.y, 2) as d2, row_number() over (partition by g.drawing_id, g.x, g.y order by power(g.x - i.x, 2) + power(g.y - i.y, 2), i.layer) as r from ({OPEN_POINTS}) g join (select distinct drawing_id, layer, x, y from entities where entity_type = 'INSERT') i on i.drawing_id = g.drawing_id and power(g.x - i.x, 2) + power(g.y - i.y, 2) <= 2250000) n where r = 1"
 
 
-@query("entities", "segments", sql=f"select drawing_id, x, y, layer, 'INSERT' as entity_type, 0.75 as confidence, distance from ({NEAR_INSERT}) n union all select drawing_id, null, null, '*', string_agg(distinct entity_type, ',' order by entity_type), 0.7, null from entities where entity_type not in ('LINE', 'LWPOLYLINE', 'POLYLINE', 'ARC') group by 1")
+ENTITY_MISSES = f"select drawing_id, x, y, layer, 'INSERT' as entity_type, 0.75 as confidence, distance from ({NEAR_INSERT}) n union all select drawing_id, null, null, '*', string_agg(distinct entity_type, ',' order by entity_type), 0.7, null from entities where entity_type not in ('LINE', 'LWPOLYLINE', 'POLYLINE', 'ARC') group by 1"
+
+
+@query("entities", "segments", sql=ENTITY_MISSES)
 def entity_miss_records(entities: DataFrame, segments: DataFrame) -> DataFrame:
     """Open gap points with an insert within 1,500 (the nearest one's layer), and one row by drawing that names its unsupported types."""
     from tesselar.operators.cells import near_points
@@ -144,7 +150,7 @@ def entity_miss_records(entities: DataFrame, segments: DataFrame) -> DataFrame:
     return near.unionByName(none.select("drawing_id", empty.cast("bigint").alias("x"), empty.cast("bigint").alias("y"), F.lit("*").alias("layer"), "entity_type", F.lit(0.7).alias("confidence"), empty.cast("double").alias("distance")))
 
 
-MISSED = "select g.drawing_id, g.ax, g.ay, g.bx, g.by_ as \"by\", case g.status when 'within_threshold_unclosed' then 'missed' else 'at_risk' end as status, case g.status when 'within_threshold_unclosed' then 0.85 when 'orphan_endpoint' then 0.65 else 0.7 end as confidence, coalesce(case f.reason when 'greedy_pairing_conflict' then 'pairing_conflict' when 'bearing_mismatch_suspected' then 'bearing_mismatch' end, 'gap_blocked') as category, trim(g.al || '|' || g.bl, '|') as layer, (g.ax + coalesce(g.bx, g.ax)) / 2.0 as cx, (g.ay + coalesce(g.by_, g.ay)) / 2.0 as cy from gaps g left join gap_failed f on f.drawing_id = g.drawing_id and f.ax = g.ax and f.ay = g.ay"
+MISSED = "select g.drawing_id, g.ax, g.ay, g.bx, g.by_ as \"by\", case g.status when 'within_threshold_unclosed' then 'missed' else 'at_risk' end as status, case g.status when 'within_threshold_unclosed' then 0.85 when 'orphan_endpoint' then 0.65 else 0.7 end as confidence, coalesce(case f.reason when 'greedy_pairing_conflict' then 'pairing_conflict_miss' when 'bearing_mismatch_suspected' then 'bearing_mismatch_miss' end, 'gap_blocked_closure') as category, trim(g.al || '|' || g.bl, '|') as layer, (g.ax + coalesce(g.bx, g.ax)) / 2.0 as cx, (g.ay + coalesce(g.by_, g.ay)) / 2.0 as cy from gaps g left join gap_failed f on f.drawing_id = g.drawing_id and f.ax = g.ax and f.ay = g.ay"
 
 
 @query("segments", sql=MISSED)
@@ -155,13 +161,16 @@ def gap_miss_records(segments: DataFrame) -> DataFrame:
 
     every = with_reasons(P.gaps(segments))
     within, lone = F.col("status") == "within_threshold_unclosed", F.col("status") == "orphan_endpoint"
-    category = F.when(F.col("reason") == P.PAIRING, "pairing_conflict").when(F.col("reason") == P.BEARING, "bearing_mismatch").otherwise("gap_blocked")
+    category = F.when(F.col("reason") == P.PAIRING, "pairing_conflict_miss").when(F.col("reason") == P.BEARING, "bearing_mismatch_miss").otherwise("gap_blocked_closure")
     middle = lambda c: ((F.col(f"a{c}") + F.coalesce(f"b{c}", f"a{c}")) / 2).alias(f"c{c}")
     layer = F.concat_ws("|", F.col("alayer"), F.when(F.col("blayer") != "", F.col("blayer")))
     return every.select("drawing_id", "ax", "ay", "bx", "by", F.when(within, "missed").otherwise("at_risk").alias("status"), F.when(within, 0.85).when(lone, 0.65).otherwise(0.7).alias("confidence"), category.alias("category"), layer.alias("layer"), middle("x"), middle("y"))
 
 
-@query("segments", sql="select p.drawing_id, cast(p.n - coalesce(c.n, 0) as bigint) as open_after, 'at_risk' as status, 0.8 as confidence from (select drawing_id, count(*) as n from free_ends group by 1) p left join (select drawing_id, 2 * count(*) as n from gaps where status = 'within_threshold_unclosed' group by 1) c on c.drawing_id = p.drawing_id where p.n > coalesce(c.n, 0)")
+OPEN_AFTER = "select p.drawing_id, cast(p.n - coalesce(c.n, 0) as bigint) as open_after, 'at_risk' as status, 0.8 as confidence from (select drawing_id, count(*) as n from free_ends group by 1) p left join (select drawing_id, 2 * count(*) as n from gaps where status = 'within_threshold_unclosed' group by 1) c on c.drawing_id = p.drawing_id where p.n > coalesce(c.n, 0)"
+
+
+@query("segments", sql=OPEN_AFTER)
 def topology_records(segments: DataFrame) -> DataFrame:
     """One record by drawing that has free ends left when all gaps within the threshold are taken as closed."""
     from tesselar.operators import gaps as P
@@ -238,19 +247,3 @@ def assign_methods(faces: DataFrame, bays: DataFrame) -> DataFrame:
 
     got = assign_with_nearest(faces, bays, 1_000_000)
     return got.groupBy("drawing_id").agg(F.count_if(F.col("method").endswith("nearest")).alias("by_nearest"), F.count_if(F.col("method") == "max_overlap").alias("by_overlap"))
-
-
-@query("bays", sql="select bay_id, greatest(0, least(x1, 42000) - greatest(x0, 3000)) * greatest(0, least(y1, 42000) - greatest(y0, 3000)) as area, round(greatest(0, least(x1, 42000) - greatest(x0, 3000)) * greatest(0, least(y1, 42000) - greatest(y0, 3000)) / 1000000.0, 2) as coverage_pct from bays")
-def clip_bays(bays: DataFrame) -> DataFrame:
-    """Bays inside a slab from 3 to 42 m."""
-    from tesselar.functions import geom as G
-
-    area = G.clip_rect_area(G.rect_ring(), F.lit(3000), F.lit(3000), F.lit(42000), F.lit(42000))
-    return bays.select("bay_id", F.round(area).cast("bigint").alias("area"), F.round(area / 1e6, 2).alias("coverage_pct"))
-
-
-@query("bays", sql="select bay_id, case when a = 0 then 'empty_clip' when a < 50000000 then 'low_coverage' else '' end as flags from (select bay_id, greatest(0, least(x1, 42000) - greatest(x0, 3000)) * greatest(0, least(y1, 42000) - greatest(y0, 3000)) as a from bays) t")
-def bay_validation(bays: DataFrame) -> DataFrame:
-    area = F.col("area")
-    flags = F.array_compact(F.array(F.when(area == 0, "empty_clip"), F.when((area > 0) & (area < 50_000_000), "low_coverage")))
-    return clip_bays(bays).select("bay_id", F.array_join(flags, ",").alias("flags"))

@@ -12,7 +12,6 @@ from tesselar.operators import endpoints as E
 from tesselar.operators import gaps as P
 from tesselar.operators import zones as Z
 from tesselar.plans.filters import ACTIVE, HINT
-from tesselar.plans.joins import reconciled
 from tesselar.plans.registry import query
 from tesselar.plans.reviews import ISSUES, issues
 from tesselar.plans.windows import RANKED, ranked
@@ -76,15 +75,6 @@ def assign_faces(faces: DataFrame, bays: DataFrame) -> DataFrame:
     return Z.assign_faces(faces, bays)
 
 
-VALID = "select b.bay_id, coalesce(sum(a.area), 0) as area from bays b left join assigned a on a.bay_id = b.bay_id group by b.bay_id"
-
-
-@query("faces", "bays", sql=f"select cast(count(*) as bigint) as bays, cast(sum(case when area = 0 then 1 else 0 end) as bigint) as empty, cast(sum(case when area < 50000000 then 1 else 0 end) as bigint) as low, cast(sum(area) as bigint) as total, round(avg(area / 1000000.0), 2) as mean from ({VALID}) v")
-def bay_validation_summary(faces: DataFrame, bays: DataFrame) -> DataFrame:
-    v = bays.join(Z.assign_faces(faces, bays), "bay_id", "left").groupBy("bay_id").agg(F.coalesce(F.sum("area"), F.lit(0)).alias("area"))
-    return v.agg(F.count("*").alias("bays"), F.count_if(F.col("area") == 0).alias("empty"), F.count_if(F.col("area") < 50_000_000).alias("low"), F.sum("area").alias("total"), F.round(F.avg(F.col("area") / 1e6), 2).alias("mean"))
-
-
 @query("faces", "bays", sql=f"select f.drawing_id, cast(count(*) as bigint) as total, cast(sum(case when {AREA} < 1000000 then 1 else 0 end) as bigint) as slivers, cast(sum(case when {AREA} >= 1000000 and a.face_id is not null then 1 else 0 end) as bigint) as assigned, cast(sum(case when {AREA} >= 1000000 and a.face_id is null then 1 else 0 end) as bigint) as orphans from faces f left join assigned a on a.face_id = f.face_id group by 1")
 def assignment_summary(faces: DataFrame, bays: DataFrame) -> DataFrame:
     got = Z.assign_faces(faces, bays).select("face_id", F.lit(True).alias("got"))
@@ -93,30 +83,6 @@ def assignment_summary(faces: DataFrame, bays: DataFrame) -> DataFrame:
     return both.groupBy("drawing_id").agg(F.count("*").alias("total"), F.count_if(~big).alias("slivers"), F.count_if(big & F.col("got").isNotNull()).alias("assigned"), F.count_if(big & F.col("got").isNull()).alias("orphans"))
 
 
-STATE = f"case when {ACTIVE} and source = 'auto' then 'detected' when status = 'deleted' then 'missed' else 'at_risk' end"
-
-
-def _state():
-    active = R.is_active(F.col("status"), F.col("scope_excluded"))
-    return F.when(active & (F.col("source") == "auto"), "detected").when(F.col("status") == "deleted", "missed").otherwise("at_risk")
-
-
-@query("records", sql=f"select drawing_id, cast(count(*) filter (where {STATE} = 'detected') as bigint) as detected, cast(count(*) filter (where {STATE} = 'missed') as bigint) as missed, cast(count(*) filter (where {STATE} = 'at_risk') as bigint) as at_risk from records group by 1")
-def coverage_counts(records: DataFrame) -> DataFrame:
-    names = ["detected", "missed", "at_risk"]
-    return records.groupBy("drawing_id").pivot("s", names).count().na.fill(0) if "s" in records.columns else records.withColumn("s", _state()).groupBy("drawing_id").pivot("s", names).count().na.fill(0)
-
-
-@query("records", sql=f"select drawing_id, source as category, cast(count(*) as bigint) as n from records where {STATE} <> 'detected' group by rollup (drawing_id, source)")
-def miss_by_category(records: DataFrame) -> DataFrame:
-    return records.where(_state() != "detected").rollup("drawing_id", F.col("source").alias("category")).agg(F.count("*").alias("n"))
-
-
-@query("records", sql=f"select source as category, cast(count(*) as bigint) as n from records where {STATE} <> 'detected' group by 1")
-def miss_global(records: DataFrame) -> DataFrame:
-    return records.where(_state() != "detected").groupBy(F.col("source").alias("category")).agg(F.count("*").alias("n"))
-
-
 @query("entities", sql="select drawing_id, entity_type, cast(count(*) as bigint) as n from entities where entity_type not in ('LINE', 'LWPOLYLINE', 'POLYLINE', 'ARC') group by 1, 2")
 def unsupported_counts(entities: DataFrame) -> DataFrame:
     return entities.where(~F.col("entity_type").isin(*R.SUPPORTED)).groupBy("drawing_id", "entity_type").agg(F.count("*").alias("n"))
@@ -174,13 +140,6 @@ def record_counts(records: DataFrame) -> DataFrame:
     return records.groupBy("drawing_id").agg(of("auto").alias("detected"), of("seed").alias("seed"), of("manual").alias("manual"), F.count_if(F.col("status") == "deleted").alias("deleted"), F.count_if(F.expr("scope_excluded")).alias("excluded"), F.count("*").alias("total"))
 
 
-@query("bays", "manifest_zones", sql="select cast(sum(m.area_native) as bigint) as expected, cast(count(*) as bigint) as zones, cast(count(m.area_native) filter (where m.area_native > 0) as bigint) as with_area, cast(count(*) filter (where b.bay_id is not null and abs(m.area_native - 300000000) * 100 <= 5 * m.area_native) as bigint) as within_tolerance from manifest_zones m left join bays b on m.label = concat('INT-', b.bay_id)")
-def manifest_totals(bays: DataFrame, zones: DataFrame) -> DataFrame:
-    """A zone of area 0 does not count as having one."""
-    r = reconciled(bays, zones).where("state <> 'not in manifest'")
-    return r.agg(F.sum("expected").alias("expected"), F.count("*").alias("zones"), F.count_if(F.expr("expected > 0")).alias("with_area"), F.count_if(F.expr("state = 'within tolerance'")).alias("within_tolerance"))
-
-
 YN = "case when upper(trim({0})) = 'Y' then 1.0 when upper(trim({0})) = 'N' then 0.0 end"
 
 
@@ -283,13 +242,6 @@ def assigned_equals_zones(faces: DataFrame, bays: DataFrame) -> DataFrame:
 # ---- set operations ---------------------------------------------------------------------------
 
 
-@query("records", "entities", sql="select 'detected' as kind, drawing_id, cast(count(*) as bigint) as n from records where source = 'auto' group by 2 union all select 'entity_miss', drawing_id, cast(count(*) as bigint) from entities where entity_type = 'INSERT' group by 2 union all select 'layer_miss', drawing_id, cast(count(*) as bigint) from entities where layer = 'TEXT-NOTES' group by 2")
-def coverage_union(records: DataFrame, entities: DataFrame) -> DataFrame:
-    of = lambda df, kind: df.select(F.lit(kind).alias("kind"), "drawing_id")
-    parts = of(records.where("source = 'auto'"), "detected").unionByName(of(entities.where("entity_type = 'INSERT'"), "entity_miss")).unionByName(of(entities.where("layer = 'TEXT-NOTES'"), "layer_miss"))
-    return parts.groupBy("kind", "drawing_id").agg(F.count("*").alias("n"))
-
-
 @query("segments", "entities", sql="select layer, cast(min(o) as bigint) as place from (select distinct layer, 1 as o from segments union all select distinct layer, 2 from entities) t group by layer")
 def layer_union_ordered(segments: DataFrame, entities: DataFrame) -> DataFrame:
     """Configured layers (of segments) before candidates (of entities); the first place counts."""
