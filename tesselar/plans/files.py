@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselar.functions import geom as G
 from tesselar.functions import review as R
+from tesselar.operators.state import shared
 from tesselar.plans.filters import PARTITION
 from tesselar.plans.registry import query
 from tesselar.sources import documents as D
@@ -14,46 +15,64 @@ from tesselar.sources import sinks as S
 from tesselar.sources import tags as T
 
 
-def drawings(segments: DataFrame) -> DataFrame:
-    """Each drawing's segments as tag text, in blocks of lines that a drawing's segments fill; with its table of layers."""
-    line = lambda *x: F.concat_ws("\n", *(v.cast("string") if not isinstance(v, str) else F.lit(v) for v in x))
-    c = F.col
-    one = line("0", "LINE", "8", c("layer"), "10", c("x1"), "20", c("y1"), "11", c("x2"), "21", c("y2"))
-    layer = lambda x: line("0", "LAYER", "2", x)
-    by = segments.select("drawing_id", "layer", one.alias("e")).groupBy("drawing_id").agg(F.array_sort(F.collect_list("e")).alias("e"), F.array_sort(F.collect_set("layer")).alias("layers"))
-    text = line("0", "SECTION", "2", "TABLES", F.array_join(F.transform("layers", layer), "\n"), "0", "ENDSEC", "0", "SECTION", "2", "ENTITIES", F.array_join("e", "\n"), "0", "ENDSEC", "0", "EOF")
-    return by.select(c("drawing_id").alias("drawing"), text.alias("text"))
+def written(segments: DataFrame) -> str:
+    """Folder of the plan's segments and layers as tag files."""
+    from tesselar.operators.state import Steps
+
+    own = segments.withColumnRenamed("drawing_id", "drawing")
+    path = f"{Steps(segments.sparkSession).path}/drawings"
+    S.write_tag_files(S.line_tags(own), path, own.select("drawing", "layer"))
+    return path
+
+
+def read_back(spark: SparkSession, path: str) -> DataFrame:
+    """Tags of the files below a folder that ``write_tag_files`` has made."""
+    return T.read_tags(spark, path, "*.txt")
+
+
+def number(of: str = "drawing") -> Column:
+    return F.regexp_extract(of, r"drawing=(\d+)", 1).cast("bigint").alias("drawing")
+
+
+def tags_of(segments: DataFrame) -> DataFrame:
+    """The plan written as tag files and read again, once for all queries of a session."""
+    return shared("plan-tags", lambda s: read_back(s.sparkSession, written(s)), segments)
+
+
+def rings_of(faces: DataFrame) -> DataFrame:
+    from tesselar.operators.state import Steps
+
+    path = f"{Steps(faces.sparkSession).path}/rings"
+    S.write_tag_files(S.ring_tags(faces.select(F.col("drawing_id").alias("drawing"), G.rect_ring().alias("ring"))), path)
+    return read_back(faces.sparkSession, path)
 
 
 @query("segments", sql="select drawing_id as drawing, layer, cast(x1 as double) as x1, cast(y1 as double) as y1, cast(x2 as double) as x2, cast(y2 as double) as y2 from segments")
 def dxf_entities(segments: DataFrame) -> DataFrame:
-    e = T.entities(T.tags(drawings(segments)))
-    return T.segments(e).select("drawing", "layer", "x1", "y1", "x2", "y2")
+    return T.segments(T.entities(tags_of(segments))).select(number(), "layer", "x1", "y1", "x2", "y2")
 
 
 @query("segments", sql="select distinct drawing_id as drawing, layer as name from segments")
 def dxf_layers(segments: DataFrame) -> DataFrame:
-    return T.layers(T.tags(drawings(segments)))
+    return T.layers(tags_of(segments)).select(number(), "name").distinct()
 
 
 @query("segments", sql="select drawing_id as drawing, layer, cast(count(*) as bigint) as n from segments group by 1, 2")
 def tagged_segments(segments: DataFrame) -> DataFrame:
-    return T.segments(T.entities(T.tags(drawings(segments)))).groupBy("drawing", "layer").agg(F.count("*").alias("n"))
+    return T.segments(T.entities(tags_of(segments))).groupBy(number(), "layer").agg(F.count("*").alias("n"))
 
 
 @query("faces", sql="select drawing_id as drawing, cast(count(*) * 4 as bigint) as n from faces group by 1")
 def entity_to_segments(faces: DataFrame) -> DataFrame:
     """Closed outlines of four points give four segments each."""
-    text = S.tag_text(faces.select(F.col("drawing_id").alias("drawing"), G.rect_ring().alias("ring")))
-    return T.segments(T.entities(T.tags(text))).groupBy("drawing").agg(F.count("*").alias("n"))
+    return T.segments(T.entities(rings_of(faces))).groupBy(number()).agg(F.count("*").alias("n"))
 
 
 @query("faces", sql="select drawing_id as drawing, cast(count(*) as bigint) as rings, cast(sum((x1 - x0) * (y1 - y0)) as double) as area from faces group by 1")
 def polyline_tag_export(faces: DataFrame) -> DataFrame:
-    """Rings written as tag text and read again."""
-    text = S.tag_text(faces.select(F.col("drawing_id").alias("drawing"), G.rect_ring().alias("ring")))
-    back = T.entities(T.tags(text)).where("closed")
-    return back.groupBy("drawing").agg(F.count("*").alias("rings"), F.sum(G.ring_area(F.col("vertices"))).alias("area"))
+    """Rings written as tag files and read again."""
+    back = T.entities(rings_of(faces)).where("closed")
+    return back.groupBy(number()).agg(F.count("*").alias("rings"), F.sum(G.ring_area(F.col("vertices"))).alias("area"))
 
 
 @query("seeds", sql="select seed_id as insert_id, cast(x + 100 as double) as x, cast(y as double) as y from seeds where seed_id % 2 = 0 union all select seed_id, cast(x as double), cast(y + 200 as double) from seeds where seed_id % 2 = 1")
@@ -174,14 +193,9 @@ def workspace_save(records: DataFrame) -> DataFrame:
 
 @query("segments", sql="select distinct 'plan-' || drawing_id || '.dxf' as name from segments")
 def drawing_catalog(segments: DataFrame) -> DataFrame:
-    """Drawings written as tag files, one folder each, and listed without reading them."""
-    from tesselar.operators.state import Steps
-
-    path = f"{Steps(segments.sparkSession).path}/drawings"
-    texts = drawings(segments).select(F.concat(F.lit("plan-"), F.col("drawing").cast("string"), F.lit(".dxf")).alias("name"), "text")
-    texts.write.partitionBy("name").text(path)
-    found = T.drawing_catalog(segments.sparkSession, path, "*.txt").where("length > 0")
-    return found.select(F.regexp_extract("path", r"name=([^/]+)/", 1).alias("name")).distinct()
+    """Drawings written as tag files and listed without reading them."""
+    found = T.drawing_catalog(segments.sparkSession, written(segments), "*.txt").where("length > 0")
+    return found.select(F.concat(F.lit("plan-"), F.regexp_extract("path", r"drawing=(\d+)/", 1), F.lit(".dxf")).alias("name")).distinct()
 
 
 @query("records", sql="select drawing_id, 'data' as category, count(*) as lines, sha256(string_agg(cast(face_id as varchar) || chr(10), '' order by face_id)) as sha256 from records group by 1")

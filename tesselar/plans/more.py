@@ -175,12 +175,14 @@ def scoped_detection(records: DataFrame) -> DataFrame:
 
 @query("segments", sql="select drawing_id, case when drawing_id % 6 = 5 then 'suffix' else 'ok' end as \"check\" from (select distinct drawing_id from segments) d")
 def drawing_arrivals(segments: DataFrame) -> DataFrame:
-    """Drawings made of the segments, some under a name that is no drawing's, through the checks of arrivals."""
-    from tesselar.plans.files import drawings
+    """Drawings written as tag files, some under a name that is no drawing's, through the checks of arrivals."""
+    from tesselar.plans.files import number, written
+    from tesselar.sources.tags import drawing_catalog
     from tesselar.streaming.reviews import arrivals
 
     suffix = F.when(F.col("drawing") % 6 == 5, ".exe").otherwise(".DXF")
-    files = drawings(segments).select("drawing", F.concat(F.lit("in/"), F.col("drawing").cast("string"), suffix).alias("path"), F.length("text").cast("bigint").alias("length"))
+    found = drawing_catalog(segments.sparkSession, written(segments), "*.txt").groupBy(number("path")).agg(F.sum("length").alias("length"))
+    files = found.select("drawing", F.concat(F.lit("in/"), F.col("drawing").cast("string"), suffix).alias("path"), "length")
     return arrivals(files).select(F.regexp_extract("path", r"/(\d+)", 1).cast("bigint").alias("drawing_id"), "check")
 
 

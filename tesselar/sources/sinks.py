@@ -14,17 +14,39 @@ def write_parquet(rows: DataFrame, path: str, *by: str) -> None:
     rows.write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
-def tag_text(rings: DataFrame, layer: str = "REGIONS") -> DataFrame:
-    """drawing and the tag text of its rings (drawing, ring) as closed polylines on a layer."""
-    line = lambda *x: F.concat_ws("\n", *(v if not isinstance(v, str) else F.lit(v) for v in x))
-    points = F.array_join(F.transform("ring", lambda p: line("10", p["x"].cast("string"), "20", p["y"].cast("string"))), "\n")
-    one = line("0", "LWPOLYLINE", "8", layer, "70", "1", points)
-    body = rings.select("drawing", one.alias("e")).groupBy("drawing").agg(F.array_join(F.array_sort(F.collect_list("e")), "\n").alias("body"))
-    return body.select("drawing", line("0", "SECTION", "2", "ENTITIES", F.col("body"), "0", "ENDSEC", "0", "EOF").alias("text"))
-
-
-def write_tag_text(rings: DataFrame, path: str, layer: str = "REGIONS") -> None:
-    tag_text(rings, layer).select("drawing", "text").write.mode("overwrite").partitionBy("drawing").text(path)
+def _lines(*x):
+    """Lines of text; a plain string stands for itself."""
+    return F.concat_ws("\n", *(v.cast("string") if not isinstance(v, str) else F.lit(v) for v in x))
+
+
+def line_tags(segments: DataFrame) -> DataFrame:
+    """drawing and the tags of each segment (drawing, layer, x1, y1, x2, y2) as a LINE."""
+    c = F.col
+    return segments.select("drawing", _lines("0", "LINE", "8", c("layer"), "10", c("x1"), "20", c("y1"), "11", c("x2"), "21", c("y2")).alias("tags"))
+
+
+def ring_tags(rings: DataFrame, layer: str = "REGIONS") -> DataFrame:
+    """drawing and the tags of each ring (drawing, ring) as a closed polyline on a layer."""
+    points = F.array_join(F.transform("ring", lambda p: _lines("10", p["x"], "20", p["y"])), "\n")
+    return rings.select("drawing", _lines("0", "LWPOLYLINE", "8", layer, "70", "1", points).alias("tags"))
+
+
+def write_tag_files(entities: DataFrame, path: str, layers: DataFrame | None = None, sheet: int = 200_000) -> None:
+    """Tag files of entities (drawing, tags) below ``path/drawing=…/sheet=…``: each is complete by itself, with all layers (drawing, layer) of its drawing
+    and at most about ``sheet`` entities, so that no task and no row holds a whole drawing."""
+    sheets = entities.groupBy("drawing").agg(F.ceil(F.count("*") / sheet).cast("int").alias("sheets"))
+    tables = F.lit("")
+    if layers is not None:
+        listed = layers.select("drawing", "layer").distinct().groupBy("drawing").agg(F.array_sort(F.collect_list("layer")).alias("layers"))  # a drawing has some dozens
+        sheets = sheets.join(listed, "drawing", "left")
+        tables = F.array_join(F.transform(F.coalesce("layers", F.array().cast("array<string>")), lambda x: _lines("0", "LAYER", "2", x, "")), "")
+    head = F.concat(_lines("0", "SECTION", "2", "TABLES", ""), tables, _lines("0", "ENDSEC", "0", "SECTION", "2", "ENTITIES"))
+    ends = sheets.withColumns({"sheet": F.explode(F.sequence(F.lit(0), F.col("sheets") - 1)), "head": head})
+    row = lambda df, place, text: df.select("drawing", "sheet", F.lit(place).alias("place"), text.alias("value"))
+    own = entities.join(sheets.select("drawing", "sheets"), "drawing").withColumn("sheet", F.pmod(F.xxhash64("tags"), F.col("sheets")).cast("int"))
+    rows = row(own, 1, F.col("tags")).unionByName(row(ends, 0, F.col("head"))).unionByName(row(ends, 2, _lines("0", "ENDSEC", "0", "EOF")))
+    order = ["drawing", "sheet"]
+    rows.repartition(*order).sortWithinPartitions(*order, "place").select("value", *order).write.mode("overwrite").partitionBy(*order).text(path)
 
 
 def workspace_save(snapshots: DataFrame, path: str) -> None:

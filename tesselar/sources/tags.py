@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tesselar.operators.state import Steps
+
 
 def drawing_catalog(spark: SparkSession, path: str, pattern: str = "*.dxf") -> DataFrame:
     """Files below a folder: path, length, time. The content is not read."""
@@ -17,8 +22,62 @@ def read_tag_files(spark: SparkSession, path: str, pattern: str = "*.dxf") -> Da
     return spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.input_file_name().alias("drawing"), F.col("value").alias("text"))
 
 
+def read_tags(spark: SparkSession, path: str, pattern: str = "*.dxf") -> DataFrame:
+    """drawing (the file's path), pos, code, value, section and record (the place of the tag that opens it) of all files below a folder.
+
+    Files are read in ranges of bytes, a large one by many tasks. A first pass counts each range's lines, which tells of every line whether it is a code or a
+    value; a pair that two ranges share is put together from its halves. What a range cannot know by itself, the record and the section that are
+    open where it begins, comes from a table with a row for each range. Nothing is grouped by file. The tags are written to the shared folder.
+    """
+    steps = Steps(spark)
+    lines = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(path)
+    lines = lines.select(F.col("_metadata.file_path").alias("drawing"), F.col("_metadata.file_block_start").alias("block"), "value")
+    before = Window.partitionBy("drawing").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # the ranges of a file
+    counts = lines.groupBy("drawing", "block").agg(F.count("*").alias("n"))
+    first = {(r.drawing, r.block): r.first for r in counts.select("drawing", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")).toLocalIterator()}  # a number for each range
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, line, open_, code = None, 0, None, None
+        for batch in batches:
+            names, blocks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            out: list[tuple] = []
+            for name, block, text in zip(names, blocks, batch.column(2).to_pylist(), strict=True):
+                if (name, block) != now:
+                    if now and line % 2:
+                        out.append((*now, line // 2, code, None, open_, True))
+                    now, line, open_, code = (name, block), first[name, block], None, None
+                text = text.strip()
+                if line % 2 == 0:
+                    code = int(text) if text.removeprefix("-").isdigit() and text.isascii() else None
+                    open_ = line // 2 if code == 0 else open_
+                elif line == first[now]:
+                    out.append((*now, line // 2, None, text, None, True))
+                elif code is not None:
+                    out.append((*now, line // 2, code, text, open_, False))
+                line += 1
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=columns)
+        if now and line % 2:
+            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip((*now, line // 2, code, None, open_, True), kinds, strict=True)], names=columns)
+
+    columns = ["drawing", "block", "pos", "code", "value", "record", "half"]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.bool_()]
+    rows = steps.cut(lines.mapInArrow(run, "drawing string, block long, pos long, code int, value string, record long, half boolean"))
+    joined = rows.where("half").groupBy("drawing", "pos").agg(F.min("block").alias("block"), F.max("code").alias("code"), F.max("value").alias("value"), F.max("record").alias("record"))
+    joined = joined.where("code is not null and value is not null")
+    whole = rows.where("not half").select("drawing", "block", "pos", "code", "value", "record").unionByName(joined.select("drawing", "block", "pos", "code", "value", "record"))
+    opened = rows.groupBy("drawing", "block").agg(F.max("record").alias("r")).select("drawing", "block", F.last("r", ignorenulls=True).over(before).alias("carried"))
+    whole = whole.join(opened, ["drawing", "block"], "left").withColumn("record", F.coalesce("record", "carried")).drop("block", "carried")
+    named = whole.where("code = 2").select("drawing", "pos", F.col("value").alias("section"))
+    starts = whole.where("code = 0 and value = 'SECTION'").select("drawing", (F.col("pos") + 1).alias("pos")).join(named, ["drawing", "pos"])
+    until = F.coalesce(F.lead("pos").over(Window.partitionBy("drawing").orderBy("pos")), F.lit(1 << 62))  # a file has some ten sections
+    sections = starts.select(F.col("drawing").alias("of"), "section", F.col("pos").alias("from_pos"), until.alias("to_pos"))
+    at = (F.col("drawing") == F.col("of")) & (F.col("pos") >= F.col("from_pos")) & (F.col("pos") < F.col("to_pos"))
+    return whole.join(sections, at, "left").select("drawing", "pos", "code", "value", "section", "record")
+
+
 def tags(drawings: DataFrame) -> DataFrame:
-    """drawing, pos, code, value, section and record (a number that code 0 moves on)."""
+    """drawing, pos, code, value, section and record (a number that code 0 moves on) of drawings that are one text each: small ones only."""
     lines = F.split(F.regexp_replace("text", "\r", ""), "\n")
     odd = lambda k: F.filter(lines, lambda _, i: i % 2 == k)
     rows = drawings.select("drawing", F.posexplode(F.arrays_zip(odd(0).alias("code"), odd(1).alias("value"))).alias("pos", "t"))

@@ -50,6 +50,44 @@ def test_tag_files_round_trip(spark, tmp_path):
     assert sinks.delivery_manifest(files).first().category == "drawing"
 
 
+def test_tag_files_in_ranges(spark, tmp_path):
+    """Ranges of some hundred bytes begin in records, between a code and its value and at a section's name; the tags are those of the whole texts."""
+    import random
+
+    rng = random.Random(3)
+    for name in ("a", "b", "c"):
+        body = ["  0", "SECTION", "  2", "TABLES", "  0", "LAYER", "  2", "WALL", "0", "ENDSEC", "0", "SECTION", "2", "ENTITIES"]
+        for k in range(rng.randint(0, 120)):
+            body += ["0", rng.choice(["LINE", "TEXT"]), " 8", rng.choice(["WALL", "0", "2"]), "10", str(k), "20", "0", "1", rng.choice(["", "SECTION", " 2 ", "ü" * 9]), "11", "5", "21", "-7.5", "-1", "x"]
+            body += ["0", "ENDSEC", "0", "SECTION", "2", f"S{k}"] if rng.random() < 0.02 else []
+        (tmp_path / f"{name}.dxf").write_text(("\r\n" if name == "b" else "\n").join([*body, "0", "ENDSEC", "0", "EOF"]) + ("\n" if name == "a" else ""))
+    (tmp_path / "empty.dxf").write_text("")
+    whole = tags.tags(tags.read_tag_files(spark, str(tmp_path)))
+    order = lambda df: sorted((r.drawing.rsplit("/", 1)[1], r.pos, r.code, r.value, r.section) for r in df.collect())
+    groups = lambda df: sorted(sorted(x) for x in df.groupBy("drawing", "record").agg({"pos": "collect_list"}).toPandas().iloc[:, 2].map(list))
+    want, want_groups = order(whole), groups(whole)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        for size in ("97b", "300b", "1m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = tags.read_tags(spark, str(tmp_path))
+            assert order(got) == want and groups(got) == want_groups
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_tag_files_in_sheets(spark, tmp_path):
+    rings = spark.range(50).selectExpr("id % 2 as drawing", "array(named_struct('x', id, 'y', 0), named_struct('x', id + 1, 'y', 0), named_struct('x', id, 'y', 3)) as ring")
+    sinks.write_tag_files(sinks.ring_tags(rings), str(tmp_path / "t"), rings.selectExpr("drawing", "'L' as layer"), sheet=9)
+    rows = tags.read_tags(spark, str(tmp_path / "t"), "*.txt").cache()
+    found = tags.entities(rows)
+    assert rows.select("drawing").distinct().count() >= 4
+    assert sorted((r.vertices[0].x, r.vertices[1].x, r.closed) for r in found.collect()) == [(float(k), float(k + 1), True) for k in range(50)]
+    assert {r.name for r in tags.layers(rows).collect()} == {"L"}
+
+
 def test_versions(spark, tmp_path):
     path = str(tmp_path / "v")
     old = spark.createDataFrame([("p", 1, 5)], "project string, version int, polygons long")
