@@ -75,14 +75,39 @@ def polyline_tag_export(faces: DataFrame) -> DataFrame:
     return back.groupBy(number()).agg(F.count("*").alias("rings"), F.sum(G.ring_area(F.col("vertices"))).alias("area"))
 
 
-@query("seeds", sql="select seed_id as insert_id, cast(x + 100 as double) as x, cast(y as double) as y from seeds where seed_id % 2 = 0 union all select seed_id, cast(x as double), cast(y + 200 as double) from seeds where seed_id % 2 = 1")
-def block_expand(seeds: DataFrame) -> DataFrame:
-    """A block of one point at (100, 0): as it is for even inserts, turned by 90 degrees at twice the size for odd ones."""
-    odd = F.col("seed_id") % 2 == 1
-    inserts = seeds.select(F.col("drawing_id").alias("drawing"), F.col("seed_id").alias("insert_id"), F.lit("COL").alias("block"), "x", "y", F.when(odd, 2.0).otherwise(1.0).alias("scale"), F.when(odd, 90.0).otherwise(0.0).alias("angle"))
-    blocks = seeds.sparkSession.range(1).select(F.lit("COL").alias("block"), F.array(G.point(F.lit(100), F.lit(0))).alias("vertices"))
-    p = F.col("vertices")[0]
-    return T.block_expand(inserts, blocks).select("insert_id", F.round(p["x"], 3).alias("x"), F.round(p["y"], 3).alias("y"))
+def block_tables(placed: DataFrame, blocks: DataFrame, nested: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Inserts, entities of blocks and blocks in blocks of the plan: outlines, lines around one, and corners of two lines."""
+    inserts = placed.where("is_column").select("insert_id", "block", "x", "y", "scale", "angle").distinct()
+    w, h, o = F.col("w"), F.col("h"), F.lit(0)
+    line = lambda closed, *p: F.struct(F.lit(closed).alias("closed"), F.array(*(G.point(x, y) for x, y in p)).alias("vertices"))
+    corners = ((o, o), (w, o), (w, h), (o, h))
+    sides = [line(False, corners[k], corners[(k + 1) % 4]) for k in range(4)]
+    shapes = F.when(F.col("kind") == 0, F.array(line(True, *corners))).when(F.col("kind") == 1, F.array(*sides)).when(F.col("kind") == 2, F.array(*sides[:2]))
+    entities = blocks.select("block", F.posexplode(shapes).alias("entity", "e")).select("block", "entity", "e.closed", "e.vertices")
+    return inserts, entities, nested.withColumn("scale", F.lit(1))
+
+
+_POINTS = "select block, unnest(case kind when 0 then [0, 0, 0, 0] when 1 then [0, 0, 1, 1, 2, 2, 3, 3] when 2 then [0, 0, 1, 1] else [] end) as entity, unnest(case kind when 0 then [0, w, w, 0] when 1 then [0, w, w, w, w, 0, 0, 0] when 2 then [0, w, w, w] else [] end) as px, unnest(case kind when 0 then [0, 0, h, h] when 1 then [0, 0, 0, h, h, h, h, 0] when 2 then [0, 0, 0, h] else [] end) as py from blocks"
+
+
+@query("placed", "blocks", "nested", sql=f"select w.insert_id, cast(w.depth as bigint) as depth, w.block, cast(count(*) as bigint) as points, cast(sum(w.a * p.px + w.b * p.py + w.tx) as double) as x, cast(sum(w.c * p.px + w.d * p.py + w.ty) as double) as y from block_ways w join ({_POINTS}) p on p.block = w.block group by 1, 2, 3")
+def block_expand(placed: DataFrame, blocks: DataFrame, nested: DataFrame) -> DataFrame:
+    """What each insert shows of each block that it reaches: how many points, and the sums of their coordinates."""
+    from tesselar.operators.blocks import expand
+
+    points = expand(*block_tables(placed, blocks, nested)).withColumn("p", F.explode("vertices"))
+    return points.groupBy("insert_id", F.col("depth").cast("bigint").alias("depth"), "block").agg(F.count("*").alias("points"), F.sum("p.x").alias("x"), F.sum("p.y").alias("y"))
+
+
+_PRINT = "select insert_id, min(case when kind = 0 then w * h end) as closed, min(case when kind = 1 then w * h end) as traced, min(case when kind = 2 then w * h end) as corner, max(abs(a * d - b * c)) as size from block_ways left join blocks using (block) group by 1"
+
+
+@query("placed", "blocks", "nested", sql=f"select insert_id, case when closed is not null then 'closed' when traced is not null then 'traced' when corner is not null then 'hull' else 'placeholder' end as source, cast(coalesce(closed * size, traced * size, corner * size / 2, 160000) as double) as area from ({_PRINT}) p")
+def column_footprints(placed: DataFrame, blocks: DataFrame, nested: DataFrame) -> DataFrame:
+    """Inserts of the column layer with the footprint that their blocks give, or the placeholder."""
+    from tesselar.operators.blocks import footprints
+
+    return footprints(*block_tables(placed, blocks, nested)).select("insert_id", "source", F.round("area", 1).alias("area"))
 
 
 @query("seeds", sql="select cast(drawing_id as varchar) as drawing, cast(seed_id as varchar) as id, cast(x as double) as x, cast(y as double) as y from seeds")
@@ -148,7 +173,7 @@ SAVED = f"select drawing_id, 1 as version, cast(count(*) filter (where {LIVE}) a
 
 @query("records", sql=SAVED, name="version_save")
 def version_save(records: DataFrame) -> DataFrame:
-    """Two saves by drawing, the second without manual polygons, appended to a table and read back: versions are numbered by what is there."""
+    """Two saves by drawing, the second without manual polygons, and all versions read back."""
     return versions(records).select("drawing_id", "version", "polygons")
 
 
@@ -156,12 +181,12 @@ def versions(records: DataFrame) -> DataFrame:
     from tesselar.operators.state import Steps
 
     spark = records.sparkSession
-    path = f"{Steps(spark).path}/versions"
+    log = S.Log(spark, f"{Steps(spark).path}/versions")
     live = lambda df: df.groupBy(F.col("drawing_id").alias("project")).agg(F.count_if(F.coalesce("status", F.lit("active")) != "deleted").alias("polygons"))
-    S.version_save(live(records), spark.createDataFrame([], "project long, version int"), path)
-    second = records.select("drawing_id", F.when(F.col("source") != "manual", F.coalesce("status", F.lit("active"))).otherwise("deleted").alias("status"))
-    S.version_save(live(second), spark.read.parquet(path), path)
-    return spark.read.parquet(path).select(F.col("project").alias("drawing_id"), "version", "polygons")
+    first = live(records)
+    log.save(first)
+    log.save(live(records.select("drawing_id", F.when(F.col("source") != "manual", F.coalesce("status", F.lit("active"))).otherwise("deleted").alias("status"))))
+    return log.versions(first.schema, "project").withColumnRenamed("project", "drawing_id")
 
 
 @query("records", sql=f"select drawing_id, version, polygons from ({SAVED}) v where version = 2")
@@ -184,11 +209,11 @@ def workspace_save(records: DataFrame) -> DataFrame:
     """Snapshots written by session, then written again (each session replaced as a whole), and read back."""
     from tesselar.operators.state import Steps
 
-    path = f"{Steps(records.sparkSession).path}/workspaces"
+    log = S.Log(records.sparkSession, f"{Steps(records.sparkSession).path}/workspaces")
     rows = records.select(F.col("drawing_id").alias("session_id"), "face_id", "status", "zone")
-    S.workspace_save(rows.withColumn("status", F.lit("stale")), path)
-    S.workspace_save(rows, path)
-    return records.sparkSession.read.schema(rows.schema).parquet(path)
+    log.save(rows.withColumn("status", F.lit("stale")))
+    log.save(rows)
+    return log.latest(rows.schema, "session_id")
 
 
 @query("segments", sql="select distinct 'plan-' || drawing_id || '.dxf' as name from segments")

@@ -83,6 +83,32 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
             "(p_partkey * 104729) % 48000 + 1500 + 100 * (p_partkey % 31) as y3",
         ],
     ),
+    "blocks": (  # kind 0 a closed outline, 1 four lines around it, 2 two lines of a corner, 3 nothing of its own
+        "supplier",
+        ["s_suppkey as block", "100 * (1 + s_suppkey % 7) as w", "100 * (2 + s_suppkey % 5) as h", "s_suppkey % 4 as kind"],
+    ),
+    "nested": (  # blocks in blocks, some of which hold themselves
+        "supplier",
+        [
+            "s_suppkey as block",
+            "case when s_suppkey % 10 = 9 then s_suppkey when s_suppkey % 4 = 3 then s_suppkey - 1 when s_suppkey % 4 = 0 then cast(floor(s_suppkey / 2) as bigint) end as child",
+            "3000 + 7 * s_suppkey as x",
+            "2000 + 1000 * (s_suppkey % 5) as y",
+            "90 * (s_suppkey % 4) as angle",
+        ],
+    ),
+    "placed": (  # inserts of the column layer; block 0 is not defined
+        "lineitem",
+        [
+            "(l_orderkey % 20 * 10000000 + l_partkey * 10) * 10000000 + l_suppkey * 100 as insert_id",
+            "(l_partkey + l_suppkey) % 11 as block",
+            "l_partkey * 10 as x",
+            "l_suppkey * 100 as y",
+            "1 + l_partkey % 2 as scale",
+            "90 * (l_suppkey % 4) as angle",
+            "l_returnflag = 'N' and l_suppkey % 10 = 9 as is_column",
+        ],
+    ),
     "bays": (
         "nation",
         [
@@ -212,6 +238,11 @@ def _pentagons() -> dict[str, str]:
 
 SHARED = {
     **_pentagons(),
+    "block_ways": (  # placements by exact turns: (a, b; c, d) and a shift
+        "select insert_id, block, 0 as depth, scale * ca as a, -scale * sa as b, scale * sa as c, scale * ca as d, x as tx, y as ty, [block] as way from (select distinct insert_id, block, x, y, scale, case angle when 0 then 1 when 180 then -1 else 0 end as ca, case angle when 90 then 1 when 270 then -1 else 0 end as sa from placed where is_column) p "
+        "union all select w.insert_id, n.child, w.depth + 1, w.a * n.ca + w.b * n.sa, -w.a * n.sa + w.b * n.ca, w.c * n.ca + w.d * n.sa, -w.c * n.sa + w.d * n.ca, w.a * n.x + w.b * n.y + w.tx, w.c * n.x + w.d * n.y + w.ty, list_append(w.way, n.child) "
+        "from block_ways w join (select *, case angle when 0 then 1 when 180 then -1 else 0 end as ca, case angle when 90 then 1 when 270 then -1 else 0 end as sa from nested where child is not null) n on n.block = w.block where not list_contains(w.way, n.child)"
+    ),
     "zone_boxes": "select f.drawing_id, a.bay_id, f.face_id, f.x0, f.y0, f.x1, f.y1 from faces f join assigned a on a.face_id = f.face_id where (f.x1 - f.x0) * (f.y1 - f.y0) >= 1000000",
     "zone_touch": "select a.face_id as a, b.face_id as b from zone_boxes a join zone_boxes b on a.drawing_id = b.drawing_id and a.bay_id = b.bay_id and a.face_id <> b.face_id and ((a.x0 < b.x1 and b.x0 < a.x1 and a.y0 <= b.y1 and b.y0 <= a.y1) or (a.x0 <= b.x1 and b.x0 <= a.x1 and a.y0 < b.y1 and b.y0 < a.y1))",
     "zone_reach": "select face_id, face_id as root from zone_boxes union select t.b, r.root from zone_reach r join zone_touch t on t.a = r.face_id",
@@ -287,6 +318,6 @@ def twin(body: str) -> str:
     body = body.strip()
     if not order:
         return body
-    often = lambda n: "materialized " if n.startswith(("gap_", "gaps", "free_ends", "zone")) and n != "zone_reach" else ""
+    often = lambda n: "materialized " if n.startswith(("gap_", "gaps", "free_ends", "zone")) and n not in ("zone_reach", "block_ways") else ""
     views = ", ".join(f"{n} as {often(n)}({t})" for n, t in texts.items())
     return f"with recursive {views}, {body[5:]}" if body.lower().startswith("with ") else f"with recursive {views} {body}"

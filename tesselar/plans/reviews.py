@@ -210,15 +210,6 @@ def classify_obstacles(records: DataFrame, entities: DataFrame) -> DataFrame:
     return rows.unionByName(rest.select("drawing_id", F.col("o").alias("id"), F.lit("obstacle").alias("role"), F.lit("column_insert").alias("source")))
 
 
-@query("entities", sql="select drawing_id, x, y, cast(160000 as double) as area from (select distinct drawing_id, x, y from entities where entity_type = 'INSERT' and layer = 'S-COLS') i")
-def column_footprints(entities: DataFrame) -> DataFrame:
-    """Inserts on column layers, one by point. These have no block geometry, so the placeholder stands for each."""
-    from tesselar.functions import geom as G
-
-    own = entities.where("entity_type = 'INSERT' and layer = 'S-COLS'").select("drawing_id", "x", "y").distinct()
-    return own.withColumn("area", G.ring_area(G.placeholder_footprint(F.col("x"), F.col("y"))))
-
-
 @query("pilot_sessions", sql="select session_id, engineer, minutes from pilot_sessions where session_id is not null")
 def read_pilot_sessions(sessions: DataFrame) -> DataFrame:
     return sessions.where("session_id is not null").select("session_id", "engineer", "minutes")

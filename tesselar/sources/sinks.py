@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import os
+import uuid
+
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
@@ -49,17 +54,82 @@ def write_tag_files(entities: DataFrame, path: str, layers: DataFrame | None = N
     rows.repartition(*order).sortWithinPartitions(*order, "place").select("value", *order).write.mode("overwrite").partitionBy(*order).text(path)
 
 
-def workspace_save(snapshots: DataFrame, path: str) -> None:
-    """One partition by session, replaced as a whole by the commit protocol."""
-    snapshots.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(path)
-
-
-def version_save(versions: DataFrame, old: DataFrame, path: str) -> DataFrame:
-    """Appends version n + 1 by project, n from the versions there are; polygons without deleted ones are counted."""
-    n = old.groupBy("project").agg(F.max("version").alias("n"))
-    new = versions.join(n, "project", "left").select("project", (F.coalesce("n", F.lit(0)) + 1).cast("int").alias("version"), "polygons")
-    new.write.mode("append").parquet(path)
-    return new
+class Log:
+    """A table of saves: data in a folder for each save, and a log with one small file for each save that has come through.
+
+    A save writes its data first and then creates the next number's log file, which succeeds for one writer alone; a writer that finds the number taken tries the next.
+    Readers see what the log lists: a writer that fails leaves a folder that nobody reads, and two writers at once give two saves. Numbers by key are
+    the order in which the log lists the key, so data is never written again when a number was taken.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def save(self, rows: DataFrame) -> int:
+        """The save's number, from 1."""
+        name = uuid.uuid4().hex
+        rows.write.parquet(f"{self.path}/data/{name}")
+        return self._commit(name)
+
+    def _commit(self, name: str) -> int:
+        n = max(self._numbers(), default=0) + 1
+        while not self._create(f"{self.path}/log/{n:010d}", name):
+            n += 1
+        return n
+
+    def _create(self, path: str, text: str) -> bool:
+        """A file with this text, if there is none of that name: a link on one machine, elsewhere a rename that replaces nothing."""
+        jvm = self.spark.sparkContext._jvm
+        target, draft = self._path(path), self._path(f"{self.path}/log/.{uuid.uuid4().hex}")
+        out = self._fs.create(draft, False)
+        out.write(bytearray(text.encode()))
+        out.close()
+        try:
+            if self._fs.getScheme() == "file":
+                os.link(draft.toUri().getPath(), target.toUri().getPath())
+            else:
+                context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+                kinds = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+                context.rename(draft, target, kinds)
+            return True
+        except (FileExistsError, Py4JJavaError) as e:
+            if isinstance(e, Py4JJavaError) and "FileAlreadyExists" not in str(e.java_exception):
+                raise
+            return False
+        finally:
+            self._fs.delete(draft, False)
+
+    def _numbers(self) -> list[int]:
+        folder = self._path(f"{self.path}/log")
+        if not self._fs.exists(folder):
+            self._fs.mkdirs(folder)
+        names = [f.getPath().getName() for f in self._fs.listStatus(folder)]
+        return sorted(int(n) for n in names if n.isdigit())
+
+    def read(self, schema: StructType) -> DataFrame:
+        """All rows of all saves with ``save``, the number of theirs."""
+        if not self._numbers():
+            return self.spark.createDataFrame([], schema).withColumn("save", F.lit(0).cast("long"))
+        listed = self.spark.read.text(f"{self.path}/log").select(F.col("value").alias("name"), F.col("_metadata.file_name").cast("long").alias("save"))
+        names = {r.name: r.save for r in listed.collect()}  # one small row for each save
+        data = self.spark.read.schema(schema).parquet(*(f"{self.path}/data/{n}" for n in names))
+        where = F.regexp_extract(F.col("_metadata.file_path"), r"/data/([0-9a-f]{32})/", 1)
+        return data.select(*[f.name for f in schema], where.alias("name")).join(listed, "name").select(*[f.name for f in schema], "save")
+
+    def versions(self, schema: StructType, *by: str) -> DataFrame:
+        """Rows with ``version``: 1 for the first save that has the key, and so on."""
+        rows = self.read(schema)
+        place = F.dense_rank().over(Window.partitionBy(*by).orderBy("save")).cast("int")
+        saves = rows.select(*by, "save").distinct().withColumn("version", place)  # a key's saves
+        return rows.join(saves, [*by, "save"]).select(*[f.name for f in schema], "version")
+
+    def latest(self, schema: StructType, *by: str) -> DataFrame:
+        """Rows of the last save of each key: a save replaces a key as a whole."""
+        rows = self.read(schema)
+        last = rows.groupBy(*by).agg(F.max("save").alias("save"))
+        return rows.join(last, [*by, "save"], "left_semi").select(*[f.name for f in schema])
 
 
 def delivery_manifest(files: DataFrame) -> DataFrame:

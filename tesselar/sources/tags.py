@@ -119,9 +119,3 @@ def segments(found: DataFrame, arc_segments: int = 64) -> DataFrame:
     sides = F.arrays_zip(F.slice("path", 1, F.size("path") - 1).alias("a"), F.slice("path", 2, F.size("path") - 1).alias("b"))
     return steps.select("drawing", "record", "layer", F.posexplode(sides).alias("part", "s")).select("drawing", "record", "part", "layer", F.col("s.a.x").alias("x1"), F.col("s.a.y").alias("y1"), F.col("s.b.x").alias("x2"), F.col("s.b.y").alias("y2"))
 
-
-def block_expand(inserts: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Block geometry (block, vertices) at each insert (drawing, insert_id, block, x, y, scale, angle): scaled, turned, moved."""
-    c, s = F.cos(F.radians("angle")) * F.col("scale"), F.sin(F.radians("angle")) * F.col("scale")
-    placed = F.transform("vertices", lambda p: F.struct((F.col("x") + p["x"] * c - p["y"] * s).alias("x"), (F.col("y") + p["x"] * s + p["y"] * c).alias("y")))
-    return inserts.join(blocks, "block").select("drawing", "insert_id", "block", placed.alias("vertices"))

@@ -89,10 +89,33 @@ def test_tag_files_in_sheets(spark, tmp_path):
 
 
 def test_versions(spark, tmp_path):
-    path = str(tmp_path / "v")
-    old = spark.createDataFrame([("p", 1, 5)], "project string, version int, polygons long")
-    old.write.parquet(path)
-    sinks.version_save(spark.createDataFrame([("p", 7), ("q", 2)], "project string, polygons long"), spark.read.parquet(path), path)
-    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [("p", 1, 5), ("p", 2, 7), ("q", 1, 2)]
-
-
+    log = sinks.Log(spark, f"file://{tmp_path}/v")
+    schema = "project string, polygons long"
+    save = lambda *rows: log.save(spark.createDataFrame(list(rows), schema))
+    kind = spark.createDataFrame([], schema).schema
+    assert log.read(kind).count() == 0 and log.latest(kind, "project").count() == 0
+    assert [save(("p", 5)), save(("p", 7), ("q", 2)), save(("q", 4), ("q", 6))] == [1, 2, 3]
+    assert sorted(map(tuple, log.versions(kind, "project").collect())) == [("p", 5, 1), ("p", 7, 2), ("q", 2, 1), ("q", 4, 2), ("q", 6, 2)]
+    assert sorted(map(tuple, log.latest(kind, "project").collect())) == [("p", 7), ("q", 4), ("q", 6)]
+
+
+def test_writers_at_once(spark, tmp_path):
+    """Eight writers get eight numbers; one that fails after its data, or before it, leaves nothing to be read."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = f"file://{tmp_path}/v"
+    kind = spark.createDataFrame([], "project string, polygons long").schema
+
+    def write(k):
+        log = sinks.Log(spark, path)
+        if k == 5:
+            log._create = lambda *_: 1 / 0
+        return log.save(spark.createDataFrame([("p", k)], kind))
+
+    with ThreadPoolExecutor(9) as pool:
+        jobs = [pool.submit(write, k) for k in range(9)]
+    numbers = [j.result() for k, j in enumerate(jobs) if k != 5]
+    assert jobs[5].exception() and sorted(numbers) == list(range(1, 9))
+    got = sinks.Log(spark, path).versions(kind, "project").collect()
+    assert sorted((r.version, r.polygons) for r in got) == sorted(zip(numbers, (k for k in range(9) if k != 5), strict=True))
+    assert not [f for f in (tmp_path / "v" / "log").iterdir() if f.name.startswith(".") and not f.name.endswith(".crc")]
