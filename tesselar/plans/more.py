@@ -16,7 +16,7 @@ from tesselar.plans import reviews as V
 from tesselar.plans import summaries as S
 from tesselar.plans.filters import ACTIVE, SLAB
 from tesselar.plans.registry import query
-from tesselar.plans.topology import plan, seed_resolve
+from tesselar.plans.topology import GIVEN, opened, resolved_seeds, seed_resolve, traced_open
 from tesselar.plans.windows import CLUSTER
 
 D, DELTA = "cast(seg_id % 400 as double)", "cast(seg_id % 181 as double)"
@@ -199,33 +199,29 @@ def seed_resolve_all(seeds: DataFrame, faces: DataFrame) -> DataFrame:
     return seed_resolve(seeds, faces).groupBy("status").agg(F.count("*").alias("seeds"))
 
 
-@query("seeds", "faces", name="seed_candidates")
-def seed_candidates(seeds: DataFrame, faces: DataFrame) -> DataFrame:
-    return seed_resolve(seeds, faces).where("status = 'ok'").select("seed_id", "area")
+@query("faces", name="seed_candidates")
+def seed_candidates(faces: DataFrame) -> DataFrame:
+    """Seeds made from the plan's open gaps, beside their middles, that resolve to a region of their own."""
+    from tesselar.operators.seeds import resolve
 
-
-def repaired(seeds: DataFrame, segments: DataFrame, reach: float = 5000.0) -> DataFrame:
-    """Each seed as a drawing of its own: segments near it (its drawing's where none is), gaps closed at a raised threshold, faces traced, the seed's face."""
-    from tesselar.operators.state import Steps
-
-    steps = Steps(seeds.sparkSession)
-    near = J.cropped(seeds, segments.select("drawing_id", "seg_id", "x1", "y1", "x2", "y2", "layer"), reach)
-    own = steps.cut(near.join(segments.drop("drawing_id"), "seg_id").withColumnRenamed("seed_id", "drawing_id"))
-    lines = steps.cut(T.with_bridges(own, T.close_gaps(own, 1000.0)))
-    found, outlines = T.polygonize(T.node_edges(lines))
-    return T.seeds_in_faces(seeds.select(F.col("seed_id").alias("drawing_id"), "seed_id", "x", "y"), found, outlines).select("seed_id", F.round("area", 1).alias("area"))
+    own = opened(faces)
+    middle = {c: (F.col(f"a{c}") + F.coalesce(f"b{c}", f"a{c}")) / 2 for c in "xy"}
+    points = P.gaps(own).select("drawing_id", "ax", "ay", *(v.alias(k) for k, v in middle.items()))
+    moved = moved_inward(points, own, ["drawing_id", "ax", "ay"]).withColumns({c: F.round(c, 1) for c in "xy"})
+    seeds = E.first_by(moved, ["drawing_id", "x", "y"], F.col("ax"), F.col("ay")).withColumn("seed_id", F.xxhash64("drawing_id", "x", "y"))
+    found, outlines = traced_open(faces)
+    got = resolve(seeds, own, found, outlines, found.where(F.col("area") >= GIVEN))
+    return got.where("status = 'ok'").select("drawing_id", "x", "y", "method", F.round("area", 1).alias("area"))
 
 
 @query("seeds", "faces", name="local_repair")
 def local_repair(seeds: DataFrame, faces: DataFrame) -> DataFrame:
-    return repaired(seeds, plan(faces))
+    """Seeds that no face of the plan holds, and what the repair around each has given."""
+    rows = resolved_seeds(seeds, faces).where("status <> 'invalid' and coalesce(method, 'repair') = 'repair'")
+    return rows.select("seed_id", "status", F.round("area", 1).alias("area"))
 
 
 @query("seeds", "faces", name="local_repair_candidates")
 def local_repair_candidates(seeds: DataFrame, faces: DataFrame) -> DataFrame:
-    """Seeds without a face that get one by local repair."""
-    plain = seed_resolve(seeds, faces).where("status = 'no_region'").select("seed_id")
-    lone = seeds.join(plain, "seed_id", "left_semi")
-    return repaired(lone, plan(faces))
-
-
+    """Seeds with a region of their own by local repair."""
+    return resolved_seeds(seeds, faces).where("status = 'ok' and method = 'repair'").select("seed_id", F.round("area", 1).alias("area"))

@@ -215,25 +215,60 @@ def assign_traced(faces: DataFrame, bays: DataFrame) -> DataFrame:
     return rows.select("drawing_id", F.round("cx", 1).alias("x"), F.round("cy", 1).alias("y"), F.round("area", 1).alias("area"), F.col("b").alias("bay_id"), F.round("shared", 1).alias("shared"))
 
 
+def opened(faces: DataFrame) -> DataFrame:
+    """The plan with gaps: every fourth face's lower side ends 700 units before its corner, where it is long enough."""
+    lower = (F.col("seg_id") % 16 == 4) & (F.col("x2") - F.col("x1") > 1400)
+    return plan(faces).withColumn("x2", F.when(lower, F.col("x2") - 700).otherwise(F.col("x2")))
+
+
+def traced_open(faces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    made: list = []
+
+    def both() -> tuple[DataFrame, DataFrame]:
+        if not made:
+            made.append(T.polygonize(T.node_edges(opened(faces))))
+        return made[0]
+
+    return shared("open-faces", lambda _: both()[0], faces), shared("open-outlines", lambda _: both()[1], faces)
+
+
+#: Faces of at least this area (square units) are what detection has given.
+GIVEN = 1_000_000
+
+
+def resolved_seeds(seeds: DataFrame, faces: DataFrame) -> DataFrame:
+    """All seeds on the plan with gaps, once for all queries of a session."""
+    from tesselar.operators.seeds import resolve
+
+    def run(s: DataFrame, f: DataFrame) -> DataFrame:
+        found, outlines = traced_open(f)
+        return resolve(s, opened(f), found, outlines, found.where(F.col("area") >= GIVEN))
+
+    return shared("seeds", run, seeds, faces)
+
+
 @query("seeds", "faces")
 def seed_resolve(seeds: DataFrame, faces: DataFrame) -> DataFrame:
-    """Seeds to the smallest traced face: ok, duplicate (a smaller id has the face), too small, or no face."""
-    from pyspark.sql import Window
-
-    found, outlines = traced(faces)
-    hit = T.seeds_in_faces(seeds, found, outlines)
-    n = F.row_number().over(Window.partitionBy("drawing_id", "face").orderBy("seed_id"))
-    ranked = hit.withColumn("n", n)
-    status = F.when(F.col("face").isNull(), "no_region").when(F.col("area") < 1_000_000, "too_small").when(F.col("n") > 1, "duplicate").otherwise("ok")
-    return seeds.join(ranked, ["drawing_id", "seed_id"], "left").select("seed_id", status.alias("status"), F.round("area", 2).alias("area"))
+    """Every seed's status, and by which way it has its face."""
+    return resolved_seeds(seeds, faces).select("seed_id", "status", "method", F.round("area", 1).alias("area"))
 
 
 @query("seeds", "faces", name="missed_centroids")
 def missed_centroids(seeds: DataFrame, faces: DataFrame) -> DataFrame:
-    """Centres of traced faces that no accepted seed or given face names: candidates for seeds."""
-    found, outlines = traced(faces)
-    hit = T.seeds_in_faces(seeds, found, outlines).select("drawing_id", "face")
-    return found.join(hit, ["drawing_id", "face"], "left_anti").select("drawing_id", F.round("cx", 2).alias("x"), F.round("cy", 2).alias("y"), F.round("area", 2).alias("area"))
+    """Centres of faces that detection has not given and no accepted seed is in, tested by overlap with the automatic regions."""
+    from tesselar.operators import overlay as O
+    from tesselar.operators.seeds import ALIKE
+
+    found, outlines = traced_open(faces)
+    given = found.where(F.col("area") >= GIVEN).select("drawing_id", "face")
+    sides = T.face_edges(outlines)
+    auto = sides.join(given.withColumnRenamed("face", "id"), ["drawing_id", "id"], "left_semi")
+    rest = sides.join(given.withColumnRenamed("face", "id"), ["drawing_id", "id"], "left_anti")
+    known = O.with_iou(O.shared_areas(rest, auto), rest, auto).where(F.col("iou") >= ALIKE).select("drawing_id", F.col("a").alias("face"))
+    ok = resolved_seeds(seeds, faces).where("status = 'ok'").select("drawing_id", "seed_id", "x", "y")
+    taken = T.seeds_in_faces(ok, found, outlines).select("drawing_id", "face")
+    left = found.join(given, ["drawing_id", "face"], "left_anti").join(known, ["drawing_id", "face"], "left_anti").join(taken, ["drawing_id", "face"], "left_anti")
+    return left.select("drawing_id", F.round("cx", 2).alias("x"), F.round("cy", 2).alias("y"), F.round("area", 2).alias("area"))
 
 
 MIDDLE = "select drawing_id, ax, ay, status, reason, priority, (ax + coalesce(bx, ax)) / 2.0 as x, (ay + coalesce(by_, ay)) / 2.0 as y from (" + RANKED + ") g"

@@ -51,8 +51,9 @@ def test_twin(spark, con, name):
 #: Queries that SQL does not express, and the test that holds them against something else.
 ELSEWHERE = {
     "test_overlay": ["assign_traced"],
-    "test_topology": ["polygonize", "detect_from_tagged", "detect_regions", "compute_regions", "seed_resolve", "seed_resolve_all", "seed_candidates", "missed_centroids", "dissolve"],
-    "test_matching": ["match_general", "match_adopt", "close_gaps", "tagged_close", "close_gaps_tier2", "closure_history", "iterative_close", "slab_outline", "auto_boundary", "local_repair", "local_repair_candidates"],
+    "test_topology": ["polygonize", "detect_from_tagged", "detect_regions", "compute_regions", "dissolve"],
+    "test_matching": ["match_general", "match_adopt", "close_gaps", "tagged_close", "close_gaps_tier2", "closure_history", "iterative_close", "slab_outline", "auto_boundary"],
+    "test_seeds": ["seed_resolve", "seed_resolve_all", "seed_candidates", "missed_centroids", "local_repair", "local_repair_candidates"],
     "test_streams": ["undo_redo_fold"],
 }
 

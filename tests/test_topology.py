@@ -55,15 +55,6 @@ def test_seed_in_inner_face_and_dissolve(spark):
     assert len(edges) == 10
 
 
-def test_local_repair_reaches_far_sides(spark):
-    """A face whose sides lie beyond 1,500 of its seed, and one whose sides all lie beyond the radius."""
-    from tesselar.plans.more import repaired
-
-    rows = square(1, 0, 0, 5000) + square(2, 0, 0, 20_000)
-    seeds = spark.createDataFrame([(1, 1, 2500.0, 2500.0), (2, 2, 10_000.0, 10_000.0)], "drawing_id long, seed_id long, x double, y double")
-    assert {r.seed_id: r.area for r in repaired(seeds, table(spark, rows)).collect()} == {1: 2.5e7, 2: 4e8}
-
-
 @pytest.mark.parametrize(
     "segments,tier2,bridges,length",
     [
@@ -172,7 +163,7 @@ def plain_faces(edges):
     return [(net[k], ring) for k, (_, ring) in enumerate(shells)], holds
 
 
-def test_faces_and_seeds_against_plain_walking(spark):
+def test_faces_against_plain_walking(spark):
     from tesselar.plans import registry, topology
     from tesselar.plans.fixtures import load
 
@@ -195,24 +186,5 @@ def test_faces_and_seeds_against_plain_walking(spark):
         counts[r.drawing_id] = max(counts.get(r.drawing_id, 0), r.region)
     assert counts == {d: n for d, n in large.items() if n}
     assert queries["compute_regions"](spark, sf).count() == sum(len(f) for f, _ in want.values())
-    seeds = {r.seed_id: r for r in load(spark, sf, "seeds").collect()}
-    taken, status, hit = set(), {}, set()
-    for k in sorted(seeds):
-        s = seeds[k]
-        faces, holds = want.get(s.drawing_id, ([], None))
-        inside = [(a, n) for n, (a, ring) in enumerate(faces) if holds(ring, s.x, s.y)]
-        if not inside:
-            status[k] = "no_region"
-            continue
-        a, n = min(inside)
-        hit.add((s.drawing_id, n))
-        status[k] = "too_small" if a < 1e6 else "duplicate" if (s.drawing_id, n) in taken else "ok"
-        taken.add((s.drawing_id, n))
-    got = {r.seed_id: r.status for r in queries["seed_resolve"](spark, sf).collect()}
-    assert got == status
-    by = {r.status: r.seeds for r in queries["seed_resolve_all"](spark, sf).collect()}
-    assert by == {s: list(status.values()).count(s) for s in set(status.values())}
-    assert {r.seed_id for r in queries["seed_candidates"](spark, sf).collect()} == {k for k, s in status.items() if s == "ok"}
-    assert queries["missed_centroids"](spark, sf).count() == sum(len(f) for f, _ in want.values()) - len(hit)
     total = {r.drawing_id: r.area for r in queries["dissolve"](spark, sf).collect()}
     assert all(abs(total[d] - sum(a for a, _ in f)) < 1 for d, (f, _) in want.items())
