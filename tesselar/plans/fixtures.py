@@ -238,6 +238,12 @@ def _pentagons() -> dict[str, str]:
 
 SHARED = {
     **_pentagons(),
+    "snap_points": "select drawing_id, x, y, count(*) as n from (select drawing_id, x1 as x, y1 as y from segments union all select drawing_id, x2, y2 from segments) e group by 1, 2, 3",
+    "snap_links": "select a.drawing_id, a.x, a.y, b.x as bx, b.y as by_ from snap_points a join snap_points b on a.drawing_id = b.drawing_id and b.x between a.x - 40 and a.x + 40 and b.y between a.y - 40 and a.y + 40 and (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 1600",
+    "snap_reach": "select drawing_id, x, y, bx as rx, by_ as ry from snap_links union select r.drawing_id, r.x, r.y, l.bx, l.by_ from snap_reach r join snap_links l on l.drawing_id = r.drawing_id and l.x = r.rx and l.y = r.ry",
+    "snap_label": "select drawing_id, x, y, min({'x': rx, 'y': ry}) as l from snap_reach group by 1, 2, 3",
+    "snap_to": "select s.drawing_id, s.l, sum(s.x * p.n) / cast(sum(p.n) as double) as nx, sum(s.y * p.n) / cast(sum(p.n) as double) as ny from snap_label s join snap_points p on p.drawing_id = s.drawing_id and p.x = s.x and p.y = s.y group by 1, 2",
+    "snapped": "select s.drawing_id, s.x, s.y, t.nx, t.ny from snap_label s join snap_to t on t.drawing_id = s.drawing_id and t.l = s.l",
     "block_ways": (  # placements by exact turns: (a, b; c, d) and a shift
         "select insert_id, block, 0 as depth, scale * ca as a, -scale * sa as b, scale * sa as c, scale * ca as d, x as tx, y as ty, [block] as way from (select distinct insert_id, block, x, y, scale, case angle when 0 then 1 when 180 then -1 else 0 end as ca, case angle when 90 then 1 when 270 then -1 else 0 end as sa from placed where is_column) p "
         "union all select w.insert_id, n.child, w.depth + 1, w.a * n.ca + w.b * n.sa, -w.a * n.sa + w.b * n.ca, w.c * n.ca + w.d * n.sa, -w.c * n.sa + w.d * n.ca, w.a * n.x + w.b * n.y + w.tx, w.c * n.x + w.d * n.y + w.ty, list_append(w.way, n.child) "
@@ -318,6 +324,6 @@ def twin(body: str) -> str:
     body = body.strip()
     if not order:
         return body
-    often = lambda n: "materialized " if n.startswith(("gap_", "gaps", "free_ends", "zone")) and n not in ("zone_reach", "block_ways") else ""
+    often = lambda n: "materialized " if n.startswith(("gap_", "gaps", "free_ends", "zone")) and n not in ("zone_reach", "block_ways", "snap_reach") else ""
     views = ", ".join(f"{n} as {often(n)}({t})" for n, t in texts.items())
     return f"with recursive {views}, {body[5:]}" if body.lower().startswith("with ") else f"with recursive {views} {body}"

@@ -132,12 +132,12 @@ def moved_inward(points: DataFrame, segments: DataFrame, ids: list[str], by: flo
 
 @query("faces", sql="select face_id, round((x1 - x0) * (y1 - y0) / 4.0, 1) as area, cast(2 as bigint) as parts from faces", name="normalize_polygon")
 def normalize_polygon(faces: DataFrame) -> DataFrame:
-    """Rings crossed by swapping two corners are noded, each as a drawing of its own, and the largest part is kept."""
-    c = [("x0", "y0"), ("x1", "y1"), ("x1", "y0"), ("x0", "y1")]
-    sides = F.array(*(F.struct(F.col(a[0]).alias("x1"), F.col(a[1]).alias("y1"), F.col(b[0]).alias("x2"), F.col(b[1]).alias("y2")) for a, b in zip(c, c[1:] + c[:1], strict=True)))
-    lines = faces.select(F.col("face_id").alias("drawing_id"), F.posexplode(sides).alias("seg_id", "s")).select("drawing_id", "seg_id", "s.*")
-    found, _ = T.polygonize(T.node_edges(lines, 10_000.0))
-    return found.groupBy(F.col("drawing_id").alias("face_id")).agg(F.round(F.max("area"), 1).alias("area"), F.count("*").alias("parts"))
+    """Rings crossed by swapping two corners, repaired: the largest of their parts."""
+    from tesselar.operators.rings import repaired
+
+    corners = F.array(*(G.point(F.col(x), F.col(y)) for x, y in (("x0", "y0"), ("x1", "y1"), ("x1", "y0"), ("x0", "y1"))))
+    found, _ = repaired(faces.select(F.col("face_id").alias("id"), corners.alias("ring")))
+    return found.select(F.col("id").alias("face_id"), F.round("area", 1).alias("area"), "parts")
 
 
 @query("faces", sql="select drawing_id, drawing_id || ',' || face_id || ',' || ((x1 - x0) * (y1 - y0)) as line from faces union all select drawing_id, drawing_id || ',TOTAL,' || cast(sum((x1 - x0) * (y1 - y0)) as bigint) from faces group by 1")

@@ -188,11 +188,11 @@ def tagged_close(segments: DataFrame) -> DataFrame:
     return T.with_bridges(segments, bridges(segments)).where("layer = 'GAP_BRIDGE'").select("drawing_id", "x1", "y1", "x2", "y2", "layer")
 
 
-@query("segments", sql="select drawing_id, cast(count(*) as bigint) as n, cast(sum(x1 + y1 + x2 + y2) as double) as total from segments group by 1")
+@query("segments", sql="select s.seg_id, round(a.nx, 3) as x1, round(a.ny, 3) as y1, round(b.nx, 3) as x2, round(b.ny, 3) as y2 from segments s join snapped a on a.drawing_id = s.drawing_id and a.x = s.x1 and a.y = s.y1 join snapped b on b.drawing_id = s.drawing_id and b.x = s.x2 and b.y = s.y2 where a.nx <> s.x1 or a.ny <> s.y1 or b.nx <> s.x2 or b.ny <> s.y2")
 def snap_endpoints(segments: DataFrame) -> DataFrame:
-    """The plan's ends lie on whole units, so a tolerance below one moves nothing: sums stay."""
-    s = T.snap_endpoints(segments, 0.5)
-    return s.groupBy("drawing_id").agg(F.count("*").alias("n"), F.sum(F.col("x1") + F.col("y1") + F.col("x2") + F.col("y2")).alias("total"))
+    """Segments that snapping within 40 units moves, with their new ends."""
+    s = T.snap_endpoints(segments, 40.0).join(segments.select("seg_id", *(F.col(c).alias(f"old_{c}") for c in ("x1", "y1", "x2", "y2"))), "seg_id")
+    return s.where("x1 <> old_x1 or y1 <> old_y1 or x2 <> old_x2 or y2 <> old_y2").select("seg_id", *(F.round(c, 3).alias(c) for c in ("x1", "y1", "x2", "y2")))
 
 
 @query("segments")
