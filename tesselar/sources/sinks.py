@@ -73,6 +73,14 @@ class Log:
         rows.write.parquet(f"{self.path}/data/{name}")
         return self._commit(name)
 
+    def save_as(self, n: int, rows: DataFrame) -> bool:
+        """The save of this number, once: false, and nothing is written, if the log has it. For writers that repeat themselves after a failure."""
+        if n in self._numbers():
+            return False
+        name = uuid.uuid4().hex
+        rows.write.parquet(f"{self.path}/data/{name}")
+        return self._create(f"{self.path}/log/{n:010d}", name)
+
     def _commit(self, name: str) -> int:
         n = max(self._numbers(), default=0) + 1
         while not self._create(f"{self.path}/log/{n:010d}", name):

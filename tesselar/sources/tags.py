@@ -22,8 +22,8 @@ def read_tag_files(spark: SparkSession, path: str, pattern: str = "*.dxf") -> Da
     return spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.input_file_name().alias("drawing"), F.col("value").alias("text"))
 
 
-def read_tags(spark: SparkSession, path: str, pattern: str = "*.dxf") -> DataFrame:
-    """drawing (the file's path), pos, code, value, section and record (the place of the tag that opens it) of all files below a folder.
+def read_tags(spark: SparkSession, path: str | list[str], pattern: str = "*.dxf") -> DataFrame:
+    """drawing (the file's path), pos, code, value, section and record (the place of the tag that opens it) of all files below a folder, or of those named.
 
     Files are read in ranges of bytes, a large one by many tasks. A first pass counts each range's lines, which tells of every line whether it is a code or a
     value; a pair that two ranges share is put together from its halves. What a range cannot know by itself, the record and the section that are

@@ -119,3 +119,35 @@ def test_writers_at_once(spark, tmp_path):
     got = sinks.Log(spark, path).versions(kind, "project").collect()
     assert sorted((r.version, r.polygons) for r in got) == sorted(zip(numbers, (k for k in range(9) if k != 5), strict=True))
     assert not [f for f in (tmp_path / "v" / "log").iterdir() if f.name.startswith(".") and not f.name.endswith(".crc")]
+
+
+def test_files_that_arrive(spark, tmp_path):
+    """Two runs from one checkpoint, in batches of two files, keep what a batch read of all files gives; a batch that is run again changes nothing."""
+    from pyspark.sql import types as K
+
+    from tesselar.streaming import arrivals as A
+
+    def drawing(name, n):
+        lines = [x for k in range(n) for x in ("0", "LINE", "8", "W", "10", str(k), "20", "0", "11", str(k + 1), "21", "5")]
+        (tmp_path / "in" / name).write_text("\n".join(["0", "SECTION", "2", "ENTITIES", *lines, "0", "ENDSEC", "0", "EOF"]))
+
+    def run():
+        A.ingest(A.files_stream(spark, f"{tmp_path}/in", 2), f"file://{tmp_path}/out").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+        log = lambda n, s: sorted(tuple(r)[:-1] for r in sinks.Log(spark, f"file://{tmp_path}/out/{n}").read(K._parse_datatype_string(s)).collect())
+        return log("segments", A.SEGMENTS), log("checks", A.CHECKED)
+
+    (tmp_path / "in").mkdir()
+    for name, n in (("a.dxf", 3), ("b.dxf", 1), ("c.exe", 2)):
+        drawing(name, n)
+    first = run()
+    assert len(first[0]) == 4 and len(first[1]) == 3
+    for name, n in (("d.dxf", 5), ("e.dxf", 0)):
+        drawing(name, n)
+    segments, checks = run()
+    assert len(segments) == 9 and len(checks) == 5 and set(first[0]) <= set(segments)
+    want = tags.segments(tags.entities(tags.read_tags(spark, str(tmp_path / "in"))))
+    assert sorted(s[1:] for s in segments) == sorted((r.layer, r.x1, r.y1, r.x2, r.y2) for r in want.collect())
+    assert {p.rsplit("/", 1)[1]: c for p, _, c in checks}["c.exe"] == "suffix" and sum(c == "ok" for _, _, c in checks) >= 3
+    assert run() == (segments, checks)
+    log = sinks.Log(spark, f"file://{tmp_path}/out/checks")
+    assert not log.save_as(1, spark.createDataFrame([], A.CHECKED)) and len(log._numbers()) >= 3
