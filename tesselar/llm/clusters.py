@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselar.llm.common import Scratch, table
+from tesselar.llm.common import Scratch, blocks, table
 
 LARGEST = 1 << 27
 
@@ -82,23 +82,6 @@ def distances(block: np.ndarray, centroids: np.ndarray, width: int) -> np.ndarra
     return out
 
 
-def blocks(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """Batches joined and cut to ``n`` rows, whatever size the session gives them."""
-    held: list[pa.RecordBatch] = []
-    size = 0
-    for batch in batches:
-        held.append(batch)
-        size += batch.num_rows
-        if size >= n:
-            whole = pa.Table.from_batches(held).combine_chunks()
-            full = size - size % n
-            for k in range(0, full, n):
-                yield whole.slice(k, n).to_batches()[0]
-            held, size = whole.slice(full).to_batches(), size - full
-    if size:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
 def sums(vectors: DataFrame, centroids: np.ndarray, cfg: ClusterConfig) -> dict[int, tuple[int, list[int]]]:
     """By cluster its vectors' count and componentwise sums."""
 

@@ -76,6 +76,23 @@ def rows_by_length(lists: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield rows, flat[at[rows][:, None] + np.arange(n)]
 
 
+def blocks(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined and cut to ``n`` rows, whatever size the session gives them."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= n:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            full = size - size % n
+            for k in range(0, full, n):
+                yield whole.slice(k, n).to_batches()[0]
+            held, size = whole.slice(full).to_batches(), size - full
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 # ---- arrays of texts ---------------------------------------------------------------------------
 
 
