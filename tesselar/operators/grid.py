@@ -27,11 +27,14 @@ def axis_select(positions: DataFrame, keys: list[str], cells: int) -> DataFrame:
 
 def axis_target(counts: DataFrame, target: int) -> DataFrame:
     """For (drawing_id, nx, ny) axes: the factor pair of the target that both families can give, by the better smaller share of their axes; the first of
-    equals, in the order of the smaller divisor's pair."""
+    equals, in the order of the smaller divisor's pair. Where no pair fits, all axes are taken, and the mode says so."""
     pairs = counts.select("*", F.explode(factor_pairs(F.lit(target).cast("bigint"))).alias("p")).where("p.a <= nx - 1 and p.b <= ny - 1")
     score = F.least((F.col("p.a") + 1) / F.col("nx"), (F.col("p.b") + 1) / F.col("ny"))
     best = F.max(F.struct(F.round(score, 9).alias("score"), (-F.least("p.a", "p.b")).alias("divisor"), (-F.col("p.a")).alias("first"), F.col("p.a").alias("a"), F.col("p.b").alias("b")))
-    return pairs.groupBy("drawing_id").agg(best.alias("m")).select("drawing_id", F.col("m.a").alias("columns"), F.col("m.b").alias("rows"), "m.score")
+    found = counts.join(pairs.groupBy("drawing_id").agg(best.alias("m")), "drawing_id", "left")
+    cells = lambda m, n: F.coalesce(F.col(f"m.{m}"), F.greatest(F.col(n) - 1, F.lit(0))).cast("bigint")
+    mode = F.when(F.col("m.a").isNull(), "raw_unmatched_target").otherwise(f"target_{target}")
+    return found.select("drawing_id", cells("a", "nx").alias("columns"), cells("b", "ny").alias("rows"), mode.alias("mode"), F.col("m.score").alias("score"))
 
 
 def bay_cells(xs: DataFrame, ys: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from tesselar.plans import summaries as S
 from tesselar.plans.filters import ACTIVE, SLAB
 from tesselar.plans.registry import query
 from tesselar.plans.topology import GIVEN, opened, resolved_seeds, seed_resolve, traced_open
-from tesselar.plans.windows import CLUSTER
+from tesselar.plans.windows import AXES, target_sql
 
 D, DELTA = "cast(seg_id % 400 as double)", "cast(seg_id % 181 as double)"
 PROFILE = f"((abs({D} - 150) <= 5 or abs({D} - 180) <= 5) and {DELTA} >= 135)"
@@ -147,15 +147,20 @@ def regions_csv(faces: DataFrame) -> DataFrame:
     return regions_report(faces).select("drawing_id", F.to_csv(F.struct("drawing_id", "region", "area")).alias("line"))
 
 
-@query("grid_lines", sql=f"select drawing_id, nx, ny, greatest(nx - 1, 0) * greatest(ny - 1, 0) as bays, case when greatest(nx - 1, 0) * greatest(ny - 1, 0) < 4 then 'few bays' else '' end as warning from (select drawing_id, cast(count(*) filter (where angle_deg = 90) as bigint) as nx, cast(count(*) filter (where angle_deg = 0) as bigint) as ny from ({CLUSTER}) c group by 1) n", name="grid_frame")
+#: Bays that the frame aims at: more than some drawings' axes can give.
+FRAME = 60
+
+
+@query("grid_lines", sql=f"select a.drawing_id, nx, ny, columns, rows, mode, columns * rows as bays, case when columns * rows < 4 then 'few bays' else '' end as warning from ({AXES}) a join ({target_sql(FRAME)}) t on t.drawing_id = a.drawing_id", name="grid_frame")
 def grid_frame(lines: DataFrame) -> DataFrame:
-    """By drawing: axes of both families, bays, and a warning when they are too few."""
+    """By drawing: axes of both families, the bays chosen from them for the target, in which mode, and a warning when they are too few."""
     from tesselar.operators import grid
+    from tesselar.plans.windows import axis_counts
 
-    c = grid.axis_clusters(lines)
-    n = c.groupBy("drawing_id").agg(F.count_if(F.col("angle_deg") == 90).alias("nx"), F.count_if(F.col("angle_deg") == 0).alias("ny"))
-    bays = F.greatest(F.col("nx") - 1, F.lit(0)) * F.greatest(F.col("ny") - 1, F.lit(0))
-    return n.select("drawing_id", "nx", "ny", bays.alias("bays"), F.when(bays < 4, "few bays").otherwise("").alias("warning"))
+    n = axis_counts(lines)
+    both = n.join(grid.axis_target(n, FRAME), "drawing_id")
+    bays = F.col("columns") * F.col("rows")
+    return both.select("drawing_id", "nx", "ny", "columns", "rows", "mode", bays.alias("bays"), F.when(bays < 4, "few bays").otherwise("").alias("warning"))
 
 
 @query("segments", name="auto_boundary")

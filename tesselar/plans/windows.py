@@ -57,11 +57,24 @@ def axis_select(lines: DataFrame) -> DataFrame:
     return picked.select("drawing_id", F.col("angle_deg").cast("bigint").alias("angle_deg"), F.round("position", 3).alias("position"))
 
 
-@query("grid_lines", sql=f"select drawing_id, cast(a as bigint) as columns, cast(b as bigint) as rows from (select *, row_number() over (partition by drawing_id order by round(least((a + 1.0) / nx, (b + 1.0) / ny), 9) desc, least(a, b), a) as r from (select drawing_id, cast(count(*) filter (where angle_deg = 90) as bigint) as nx, cast(count(*) filter (where angle_deg = 0) as bigint) as ny from ({CLUSTER}) c group by 1) n, (values (1, 12), (2, 6), (3, 4), (4, 3), (6, 2), (12, 1)) v(a, b) where a <= nx - 1 and b <= ny - 1) t where r = 1")
-def axis_target(lines: DataFrame) -> DataFrame:
+AXES = f"select drawing_id, cast(count(*) filter (where angle_deg = 90) as bigint) as nx, cast(count(*) filter (where angle_deg = 0) as bigint) as ny from ({CLUSTER}) c group by 1"
+
+
+def target_sql(n: int) -> str:
+    """columns, rows and mode of every drawing for n bays."""
+    pairs = ", ".join(f"({a}, {n // a})" for a in range(1, n + 1) if n % a == 0)
+    best = f"select *, row_number() over (partition by drawing_id order by round(least((a + 1.0) / nx, (b + 1.0) / ny), 9) desc, least(a, b), a) as r from ({AXES}) n, (values {pairs}) v(a, b) where a <= nx - 1 and b <= ny - 1"
+    return f"select x.drawing_id, cast(coalesce(t.a, greatest(x.nx - 1, 0)) as bigint) as columns, cast(coalesce(t.b, greatest(x.ny - 1, 0)) as bigint) as rows, case when t.a is null then 'raw_unmatched_target' else 'target_{n}' end as mode from ({AXES}) x left join (select * from ({best}) b where r = 1) t on t.drawing_id = x.drawing_id"
+
+
+def axis_counts(lines: DataFrame) -> DataFrame:
     of = lambda a: F.count_if(F.col("angle_deg") == a)
-    counts = G.axis_clusters(lines).groupBy("drawing_id").agg(of(90).alias("nx"), of(0).alias("ny"))
-    return G.axis_target(counts, 12).select("drawing_id", "columns", "rows")
+    return G.axis_clusters(lines).groupBy("drawing_id").agg(of(90).alias("nx"), of(0).alias("ny"))
+
+
+@query("grid_lines", sql=target_sql(12))
+def axis_target(lines: DataFrame) -> DataFrame:
+    return G.axis_target(axis_counts(lines), 12).select("drawing_id", "columns", "rows", "mode")
 
 
 CELLS = f"select drawing_id, angle_deg, round(position, 3) as lo, round(lead(position) over (partition by drawing_id, angle_deg order by position), 3) as hi, row_number() over (partition by drawing_id, angle_deg order by position) - 1 as k from ({CLUSTER}) c"

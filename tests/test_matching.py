@@ -268,8 +268,8 @@ def test_grid_target_takes_the_first_of_equals(spark):
     from tesselar.operators.grid import axis_target
 
     df = spark.createDataFrame([(1, 7, 5), (2, 13, 13), (3, 2, 2)], "drawing_id long, nx long, ny long")
-    got = {r.drawing_id: (r.columns, r.rows) for r in axis_target(df, 24).collect()}
-    assert got == {1: (6, 4), 2: (4, 6)}
+    got = {r.drawing_id: (r.columns, r.rows, r.mode) for r in axis_target(df, 24).collect()}
+    assert got == {1: (6, 4, "target_24"), 2: (4, 6, "target_24"), 3: (1, 1, "raw_unmatched_target")}
 
 
 def test_zones_count_overlaps_once(spark):
