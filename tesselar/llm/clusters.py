@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselar.llm.common import Scratch, blocks, table
+from tesselar.llm.common import Scratch, even_batches, table
 
 LARGEST = 1 << 27
 
@@ -88,7 +88,7 @@ def sums(vectors: DataFrame, centroids: np.ndarray, cfg: ClusterConfig) -> dict[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(len(centroids), np.int64)
         total = np.zeros((len(centroids), cfg.dims), np.int64)
-        for part in blocks(batches, cfg.block):
+        for part in even_batches(batches, cfg.block):
             block = matrix(part.column(0), cfg.dims)
             near = distances(block, centroids, cfg.width).argmin(axis=1)
             for c in np.unique(near):
@@ -123,7 +123,7 @@ def assigned(vectors: DataFrame, centroids: np.ndarray, cfg: ClusterConfig) -> D
     """vec_id, cluster, distance."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in blocks(batches, cfg.block):
+        for part in even_batches(batches, cfg.block):
             d = distances(matrix(part.column(1), cfg.dims), centroids, cfg.width)
             near = d.argmin(axis=1)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(d)), near])], names=["vec_id", "cluster", "distance"])

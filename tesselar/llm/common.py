@@ -76,7 +76,7 @@ def rows_by_length(lists: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield rows, flat[at[rows][:, None] + np.arange(n)]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+def even_batches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """Batches joined and cut to ``n`` rows, whatever size the session gives them."""
     held: list[pa.RecordBatch] = []
     size = 0

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesselar.llm.common import Scratch, blocks, rows_by_length, table
+from tesselar.llm.common import Scratch, even_batches, rows_by_length, table
 
 
 @dataclass(frozen=True)
@@ -201,7 +201,7 @@ class Steps:
         ordered = placed.repartitionByRange("dim", *cells, "vec_id").sortWithinPartitions("dim", *cells, "vec_id")
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in blocks(batches, most):  # whatever the session's batches are
+            for batch in even_batches(batches, most):  # whatever the session's batches are
                 dim = batch.column(batch.schema.get_field_index("dim")).to_numpy()
                 cut = np.flatnonzero(np.diff(dim)) + 1
                 for s, e in zip([0, *cut], [*cut, len(dim)], strict=True):

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesselar.llm.common import Scratch, blocks, components, rows_by_length, table
+from tesselar.llm.common import Scratch, components, even_batches, rows_by_length, table
 
 
 @dataclass(frozen=True)
@@ -97,7 +97,7 @@ def blocks(points: DataFrame, bases: dict[int, np.ndarray], cfg: VectorConfig, s
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get().partitionId(), 0
-        for batch in blocks(batches, cfg.block):  # whatever the session's batches are
+        for batch in even_batches(batches, cfg.block):  # whatever the session's batches are
             lab, dim = batch.column(0).to_pylist(), batch.column(1).to_numpy()
             cut = [k for k in range(1, len(dim)) if lab[k] != lab[k - 1] or dim[k] != dim[k - 1]]
             for s, e in zip([0, *cut], [*cut, len(dim)], strict=True):

@@ -171,15 +171,15 @@ def test_blocks_do_not_depend_on_batches(spark):
     """Rows are cut alike whatever size their batches have, and so are the vectors of the searches."""
     import pyarrow as pa
 
-    from tesselar.llm.common import blocks
+    from tesselar.llm.common import even_batches
 
     rows = pa.table({"v": [[float(k), 1.0] for k in range(100)], "k": list(range(100))})
     want = [(7 * j, 7) for j in range(14)] + [(98, 2)]
     for size in (1, 3, 7, 50, 100, 1000):
-        got = list(blocks(iter(rows.to_batches(max_chunksize=size)), 7))
+        got = list(even_batches(iter(rows.to_batches(max_chunksize=size)), 7))
         assert [(b.column(1)[0].as_py(), b.num_rows) for b in got] == want
         assert [x for b in got for x in b.column(0).flatten().to_pylist()] == [x for k in range(100) for x in (float(k), 1.0)]
-    assert list(blocks(iter([]), 7)) == []
+    assert list(even_batches(iter([]), 7)) == []
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
     df = spark.createDataFrame([r for r in vectors() if r[1] is not None], "vec_id long, embedding array<float>, label int").repartition(1)
