@@ -32,3 +32,65 @@ def test_rows_dealt_to_cells_are_never_gathered_in_the_driver(spark, tmp_path):
     named = lambda s: C.renamed(box, s, "drawing_id")
     for df in (C.near_points(side("a"), side("b"), 10), C.points_in_boxes(p, box, 10), C.boxes_meet(named("a"), named("b"), 10), C.having_near(p, p, 10)):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def boxes(rng, n, size, side):
+    rows = [(rng.randrange(2), k, rng.randrange(size), rng.randrange(size), rng.randrange(side), rng.randrange(side)) for k in range(n)]
+    return [(d, k, x, y, x + w, y + h) for d, k, x, y, w, h in rows]
+
+
+@pytest.mark.parametrize("percent", [90, 95, 98])
+def test_alike_boxes(spark, percent):
+    rng = random.Random(percent)
+    a = boxes(rng, 150, 400, 300)
+    b = [(d, k, x0 + rng.randrange(-2, 3), y0 + rng.randrange(-2, 3), x1, y1 + rng.randrange(-2, 3)) for d, k, x0, y0, x1, y1 in a]
+    named = lambda rows, s: C.renamed(spark.createDataFrame(rows, BOX), s, "drawing_id")
+
+    def share(p, q):
+        w, h = (min(p[c + 4], q[c + 4]) - max(p[c + 2], q[c + 2]) for c in (0, 1))
+        size = sum((r[4] - r[2]) * (r[5] - r[3]) for r in (p, q))
+        return w > 0 and h > 0 and 100 * w * h >= percent * (size - w * h)
+
+    got = C.alike_boxes(named(a, "a"), named(b, "b"), percent)
+    want = sorted((p[1], q[1]) for p in a for q in b if p[0] == q[0] and share(p, q))
+    assert want and sorted((r.ak, r.bk) for r in got.collect()) == want
+
+
+def test_smallest_box_that_holds_a_point(spark):
+    from tesselar.operators.state import Steps
+
+    rng = random.Random(3)
+    b, p = boxes(rng, 800, 600, 400), [(d, k, x % 900, y % 900) for d, k, x, y in points(rng, 200, 900)]
+    rows = spark.createDataFrame(b, BOX).selectExpr("*", "(x1 - x0) * (y1 - y0) as area")
+    got = {(r.drawing_id, r.x, r.y): (r.b.area, r.b.k) for r in C.smallest_holding(spark.createDataFrame(p, POINT), rows, "k", Steps(spark)).collect()}
+    held = {q: min(((r[4] - r[2]) * (r[5] - r[3]), r[1]) for r in b if r[0] == q[0] and r[2] <= q[1] <= r[4] and r[3] <= q[2] <= r[5]) for q in {(d, x, y) for d, _, x, y in p} if any(r[0] == q[0] and r[2] <= q[1] <= r[4] and r[3] <= q[2] <= r[5] for r in b)}
+    assert got == held
+    assert len(C.by_area(rows, 2, 600.0 * 600)) > 2
+
+
+def test_polygon_overlaps_are_rounded_once(spark):
+    from tesselar.plans.joins import polygon_overlaps
+
+    names = "face_id long, drawing_id long, x0 double, xm double, x1 double, y0 double, y1 double, y2 double, ym double, y3 double"
+    left = 56.7831265  # 4321.68735 in common: above the border at .6873, as thousandths below it
+    rows = [(k, 1, x, x + 50, x + 100, 0.0, 0.0, 100.0, 100.0, 100.0) for k, x in ((1, 0.0), (2, left))]
+    assert [r.shared for r in polygon_overlaps(spark.createDataFrame(rows, names)).collect()] == [4322]
+
+
+def test_zone_pairs_that_few_boxes_do_not_show(spark):
+    from tesselar.plans.joins import zone_pairs
+
+    rng = random.Random(5)
+    rows = [(*r, f"z{r[1] % 7}") for r in boxes(rng, 80, 3000, 900)]
+    got = zone_pairs(spark.createDataFrame(rows, BOX + ", zone string").withColumnRenamed("k", "face_id"), 50_000, first=16)
+    cut = lambda p, q: max(0, min(p[4], q[4]) - max(p[2], q[2])) * max(0, min(p[5], q[5]) - max(p[3], q[3]))
+    want = {(min(p[6], q[6]), max(p[6], q[6])) for p in rows for q in rows if p[0] == q[0] and p[6] != q[6] and cut(p, q) > 50_000}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_a_box_that_only_touches_a_seeds_face_repeats_nothing(spark):
+    from tesselar.plans.joins import auto_duplicates
+
+    face = spark.createDataFrame([(1, 1, 100, 50, 10_000, 7, 0, 0, 100, 100)], "seed_id long, drawing_id long, x long, y long, a long, face_id long, x0 long, y0 long, x1 long, y1 long")
+    auto = spark.createDataFrame([(1, 3, 100, 0, 200, 100), (1, 5, 50, 0, 150, 100)], BOX).withColumnRenamed("k", "face_id")
+    assert [r.face_id for r in auto_duplicates(face, auto).collect()] == [5]
