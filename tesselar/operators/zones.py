@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesselar.operators.cells import boxes_meet, renamed
+from tesselar.operators.cells import renamed
 from tesselar.operators.graph import components
 from tesselar.operators.state import Steps, shared
 
@@ -30,6 +30,15 @@ def assign_with_nearest(faces: DataFrame, bays: DataFrame, sliver: int) -> DataF
     return got.withColumn("method", F.lit("max_overlap")).unionByName(near)
 
 
+def clipped(boxes: DataFrame, width: float) -> DataFrame:
+    """Boxes cut at the borders of square cells (cx, cy)."""
+    cells = lambda a, b: F.sequence(F.floor(F.col(a) / width).cast("bigint"), (F.ceil(F.col(b) / width) - 1).cast("bigint"))
+    out = boxes.withColumn("cx", F.explode(cells("x0", "x1"))).withColumn("cy", F.explode(cells("y0", "y1")))
+    low = {f"{c}0": F.greatest(f"{c}0", F.col(f"c{c}") * F.lit(width)) for c in "xy"}
+    high = {f"{c}1": F.least(f"{c}1", (F.col(f"c{c}") + 1) * F.lit(width)) for c in "xy"}
+    return out.withColumns(low | high)
+
+
 def union_area(boxes: DataFrame, keys: list[str], side: int = 4096, few: int = 32) -> DataFrame:
     """Area of the union of each key's boxes.
 
@@ -41,16 +50,9 @@ def union_area(boxes: DataFrame, keys: list[str], side: int = 4096, few: int = 3
     at = [*keys, "cx", "cy"]
     area = None
 
-    def clipped(rows: DataFrame, width: float) -> DataFrame:
-        cells = lambda a, b: F.sequence(F.floor(F.col(a) / width).cast("bigint"), (F.ceil(F.col(b) / width) - 1).cast("bigint"))
-        out = rows.withColumn("cx", F.explode(cells("x0", "x1"))).withColumn("cy", F.explode(cells("y0", "y1")))
-        low = {f"{c}0": F.greatest(f"{c}0", F.col(f"c{c}") * F.lit(width)) for c in "xy"}
-        high = {f"{c}1": F.least(f"{c}1", (F.col(f"c{c}") + 1) * F.lit(width)) for c in "xy"}
-        return out.withColumns(low | high).distinct()
-
     left, width = boxes.select(*keys, "x0", "y0", "x1", "y1").where("x0 < x1 and y0 < y1"), side
     while True:
-        rows = steps.cut(clipped(left, width))
+        rows = steps.cut(clipped(left, width).distinct())
         full = (F.col("x1") - F.col("x0") == width) & (F.col("y1") - F.col("y0") == width)
         state = rows.groupBy(*at).agg(F.bool_or(full).alias("full"), F.count("*").alias("n"))
         whole = state.where("full").groupBy(*keys).agg((F.count("*") * F.lit(width) * F.lit(width)).alias("area"))
@@ -78,15 +80,42 @@ def _strips(boxes: DataFrame, keys: list[str]) -> DataFrame:
     return inside.select(*keys, ((F.col("xb") - F.col("xa")) * adds).alias("a")).groupBy(*keys).agg(F.sum("a").alias("area"))
 
 
+def linked_boxes(boxes: DataFrame, keys: list[str], steps: Steps, side: int = 8192, few: int = 8) -> DataFrame:
+    """Pairs (a, b) of overlapping boxes (id, whole numbers) of a key that connect all those that overlap, far fewer than all such pairs.
+
+    Boxes are clipped to square cells. In a cell that one box fills, it overlaps every other: these are tied to it alone. A cell with few boxes is compared box by box; any
+    other is split into four. Boxes that look alike in a cell are one from there on.
+    """
+    at = [*keys, "cx", "cy"]
+    box = ["x0", "y0", "x1", "y1"]
+    left, width, out = boxes.select(*keys, "id", *box).where("x0 < x1 and y0 < y1"), side, None
+    while True:
+        rows = steps.cut(clipped(left, width))
+        one = rows.groupBy(*at, *box).agg(F.min("id").alias("one"))
+        ties = rows.join(one, [*at, *box]).where("id <> one").select(F.col("one").alias("a"), F.col("id").alias("b")).distinct()
+        one = steps.cut(one.withColumnRenamed("one", "id"))
+        full = (F.col("x1") - F.col("x0") == width) & (F.col("y1") - F.col("y0") == width)
+        state = one.groupBy(*at).agg(F.min(F.when(full, F.col("id"))).alias("hub"), F.count("*").alias("n"))
+        known = steps.cut(one.join(state, at))
+        hubs = known.where("hub is not null and hub <> id").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+        some = known.where(F.col("hub").isNull() & (F.col("n") <= few)).select(*at, "id", *box)
+        both = renamed(some, "a", *at).join(renamed(some, "b", *at), at).where("aid < bid and ax0 < bx1 and bx0 < ax1 and ay0 < by1 and by0 < ay1")
+        now = steps.cut(ties.unionByName(hubs).unionByName(both.select(F.col("aid").alias("a"), F.col("bid").alias("b"))))
+        out = now if out is None else out.unionByName(now)
+        left, n = steps.cut_and_count(known.where(F.col("hub").isNull() & (F.col("n") > few)).select(*keys, "id", *box), F.lit(True))
+        if not n:
+            return out
+        width //= 2
+
+
 def zone_parts(boxes: DataFrame) -> DataFrame:
     """(drawing_id, bay_id, face_id, box) with part: boxes of a zone that overlap or share some of an edge are one part."""
     steps = Steps(boxes.sparkSession)
     rows = steps.cut(boxes)
-    wide = rows.select("drawing_id", "bay_id", "face_id", *((F.col(c) - 1).alias(c) for c in ("x0", "y0")), *((F.col(c) + 1).alias(c) for c in ("x1", "y1")))
-    near = boxes_meet(renamed(wide, "a", "drawing_id", "bay_id"), renamed(wide, "b", "drawing_id", "bay_id"), 4000, keys=("drawing_id", "bay_id")).where("aface_id < bface_id")
-    over = lambda c: F.least(f"a{c}1", f"b{c}1") - F.greatest(f"a{c}0", f"b{c}0") - 2
-    touch = near.where(((over("x") > 0) & (over("y") >= 0)) | ((over("x") >= 0) & (over("y") > 0)))
-    label = components(rows.select(F.col("face_id").alias("id")), touch.select(F.col("aface_id").alias("a"), F.col("bface_id").alias("b")), steps)
+    # boxes of whole numbers touch along an edge if they overlap when both are half a unit wider, or both half a unit higher
+    grown = lambda c: rows.select("drawing_id", "bay_id", F.col("face_id").alias("id"), *((2 * F.col(f"{k}0") - int(k == c)).alias(f"{k}0") for k in "xy"), *((2 * F.col(f"{k}1") + int(k == c)).alias(f"{k}1") for k in "xy"))
+    links = linked_boxes(grown("x"), ["drawing_id", "bay_id"], steps).unionByName(linked_boxes(grown("y"), ["drawing_id", "bay_id"], steps)).distinct()
+    label = components(rows.select(F.col("face_id").alias("id")), links, steps)
     return rows.join(label.select(F.col("id").alias("face_id"), F.col("label").alias("part")), "face_id")
 
 

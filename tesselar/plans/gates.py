@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesselar.operators import zones as Z
-from tesselar.operators.cells import boxes_meet, renamed
 from tesselar.plans.registry import query
 
 #: Shares in per cent and the number of labels that a detail names.
@@ -116,12 +115,13 @@ MET = "select d.drawing_id, o.orphans = 0 as zero_orphans, not exists (select 1
 def milestone_criteria(faces: DataFrame, bays: DataFrame, manifest: DataFrame) -> DataFrame:
     """Six conditions by drawing, and whether all hold. Zones overlap where the union of two is smaller than their sum."""
     from tesselar.functions.geom import rect_ring, ring_validity
-    from tesselar.plans.joins import bay_overlaps
+    from tesselar.plans.joins import bay_overlaps, zone_pairs
     from tesselar.plans.windows import bay_labels
 
     by, boxes = Z.zones(faces, bays)
     box = boxes.select("drawing_id", "bay_id", "x0", "y0", "x1", "y1")
-    meet = boxes_meet(renamed(box, "a", "drawing_id"), renamed(box, "b", "drawing_id"), 4000).where("abay_id < bbay_id").select("drawing_id", F.col("abay_id").alias("za"), F.col("bbay_id").alias("zb")).distinct()
+    meet = zone_pairs(boxes.select("drawing_id", "face_id", F.struct("drawing_id", "bay_id").alias("zone"), "x0", "y0", "x1", "y1"), 0)
+    meet = meet.select("za.drawing_id", F.col("za.bay_id").alias("za"), F.col("zb.bay_id").alias("zb"))
     both = meet.withColumn("bay_id", F.explode(F.array("za", "zb"))).join(box, ["drawing_id", "bay_id"])
     united = Z.union_area(both.drop("bay_id"), ["drawing_id", "za", "zb"])
     for side in "ab":

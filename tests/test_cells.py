@@ -94,3 +94,33 @@ def test_a_box_that_only_touches_a_seeds_face_repeats_nothing(spark):
     face = spark.createDataFrame([(1, 1, 100, 50, 10_000, 7, 0, 0, 100, 100)], "seed_id long, drawing_id long, x long, y long, a long, face_id long, x0 long, y0 long, x1 long, y1 long")
     auto = spark.createDataFrame([(1, 3, 100, 0, 200, 100), (1, 5, 50, 0, 150, 100)], BOX).withColumnRenamed("k", "face_id")
     assert [r.face_id for r in auto_duplicates(face, auto).collect()] == [5]
+
+
+@pytest.mark.parametrize("side,most", [(60, 200), (400, 500), (3000, 4000)])
+def test_parts_by_far_fewer_links_than_overlaps(spark, side, most):
+    from tesselar.operators.state import Steps
+    from tesselar.operators.zones import linked_boxes, zone_parts
+
+    rng = random.Random(side)
+    rows = [r for r in boxes(rng, 240, most, side) if r[2] < r[4] and r[3] < r[5]]
+    rows += [(d, k + 1000, x1, y0, x1 + 5, y1) for d, k, x0, y0, x1, y1 in rows[:20]]  # along an edge
+    rows += [(d, k + 2000, x1, y1, x1 + 5, y1 + 5) for d, k, x0, y0, x1, y1 in rows[:20]]  # at a corner
+    up = {r[1]: r[1] for r in rows}
+
+    def find(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    pairs = 0
+    for p in rows:
+        for q in rows:
+            w, h = (min(p[c + 4], q[c + 4]) - max(p[c + 2], q[c + 2]) for c in (0, 1))
+            if p[1] < q[1] and p[0] == q[0] and ((w > 0 and h >= 0) or (w >= 0 and h > 0)):
+                pairs += 1
+                a, b = find(p[1]), find(q[1])
+                up[max(a, b)] = min(a, b)
+    table = spark.createDataFrame(rows, BOX).selectExpr("drawing_id", "1L as bay_id", "k as face_id", "x0", "y0", "x1", "y1")
+    assert {r.face_id: r.part for r in zone_parts(table).collect()} == {r[1]: find(r[1]) for r in rows}
+    if side == 3000:
+        assert linked_boxes(table.withColumnRenamed("face_id", "id"), ["drawing_id"], Steps(spark)).distinct().count() < pairs / 3
