@@ -147,6 +147,25 @@ def test_groups_too_large_for_a_task(spark):
     assert M.match_general(df.limit(0)).count() == 0 and M.match_adopt(df.limit(0)).count() == 0
 
 
+def test_tiles_start_from_earlier_pairs(spark, monkeypatch):
+    """Later tiles follow what they have anew: all but the first round start from the pairs chosen before, and ask few ends again."""
+    from tesselar.operators.state import Steps
+
+    points, edges = scattered(6, 900, 9000, 9000)
+    df = as_candidates(spark, points, edges).where("drawing_id = 1").cache()
+    pairs = {(r.ax, r.ay, r.bx, r.by) for r in M.tiled(df.select(*M.COLUMNS), 300, Steps(spark)).collect()}
+    place = {p: k for k, p in enumerate(points)}
+    ends = [place[e] for p in pairs for e in (p[:2], p[2:])]
+    assert len(ends) == len(set(ends)) and len(pairs) >= 0.99 * most_pairs(len(points), edges)
+    # a matching that is as good as exchanges make it is kept, and no end is asked again
+    whole = [edges[k] for k in M.solve_group(edges, len(points))]
+    asked = []
+    exchange = M.Graph._exchange
+    monkeypatch.setattr(M.Graph, "_exchange", lambda self, u, depth: asked.append(u) or exchange(self, u, depth))
+    again = [edges[k] for k in M.solve_group(edges, len(points), start=[e[:2] for e in whole], fresh=[])]
+    assert sorted(again) == sorted(whole) and not asked
+
+
 def test_most_pairs_before_least_cost(spark):
     """A cheap pair in the middle would leave both outer ends alone."""
     rows = [(1, p, 0, q, 0, float(q - p), float(q - p), False) for p, q in ((0, 100), (100, 110), (110, 210))]
