@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,3 +189,40 @@ def test_faces_against_plain_walking(spark):
     assert queries["compute_regions"](spark, sf).count() == sum(len(f) for f, _ in want.values())
     total = {r.drawing_id: r.area for r in queries["dissolve"](spark, sf).collect()}
     assert all(abs(total[d] - sum(a for a, _ in f)) < 1 for d, (f, _) in want.items())
+
+
+def test_rings_close_in_tasks(spark, monkeypatch):
+    """Ways of any deal to tasks: random rings cut into pieces; on a lattice the rounds of joins have rings across tiles only."""
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 50, 3000):
+        h = rng.permutation(10 * n)[:n].astype(np.int64)
+        following = h[rng.permutation(n)]
+        ahead = dict(zip(h.tolist(), following.tolist(), strict=True))
+        own = rng.random(n) < rng.choice([0.5, 0.9, 1.0])
+        mine = set(h[own].tolist())
+        low, end, first = T.followed(h[own], following[own])
+        for k, (a, lo, e, f) in enumerate(zip(h[own].tolist(), low.tolist(), end.tolist(), first.tolist(), strict=True)):
+            way, b = [a], ahead[a]
+            while b in mine and b != a:
+                way.append(b)
+                b = ahead[b]
+            assert lo == min(way)
+            assert (e == -1) if b == a else (h[own][e] == way[-1])
+            assert f == (b != a and a not in {ahead[x] for x in mine})
+    counts = []
+    count = T.Steps.cut_and_count
+
+    def counted(self, df, condition):
+        out, n = count(self, df, condition)
+        counts.append(out.count())
+        return out, n
+
+    monkeypatch.setattr(T.Steps, "cut_and_count", counted)
+    for at_once, tile in ((1_000_000, T.TILE), (64, 700 * T.SCALE)):
+        monkeypatch.setattr(T, "AT_ONCE", at_once)
+        monkeypatch.setattr(T, "TILE", tile)
+        counts.clear()
+        found, _ = faces_of(spark, lattice(1, 30, 30) + square(2, 0, 0, 20_000) + square(2, 5000, 5000, 10_000))
+        assert sorted(round(f.area) for f in found) == [10_000] * 900 + [100_000_000, 300_000_000]
+        if at_once > 64:
+            assert max(counts) < 60  # of 3,736 half-edges
