@@ -166,6 +166,26 @@ def test_tiles_start_from_earlier_pairs(spark, monkeypatch):
     assert sorted(again) == sorted(whole) and not asked
 
 
+def test_dense_groups_are_matched_by_their_cheapest_candidates(spark, monkeypatch):
+    """Some thirty candidates for each end: tiles see few of them, and all of them only around ends that are still free."""
+    points, edges = scattered(6, 900, 3400, 3400)
+    df = as_candidates(spark, points, edges).where("drawing_id = 1").cache()
+    seen = []
+    by_group = M._by_group
+
+    def counted(rows, *a):
+        if "kind" in rows.columns:
+            seen.append(rows.where("kind = 0").count())
+        return by_group(rows, *a)
+
+    monkeypatch.setattr(M, "_by_group", counted)
+    whole, tiles = M.match_general(df).collect(), M.match_general(df, largest=4000).collect()
+    ends = [(x, y) for r in tiles for x, y in ((r.ax, r.ay), (r.bx, r.by))]
+    assert len(ends) == len(set(ends)) and len(tiles) >= 0.99 * len(whole) and len(edges) > 20 * len(points) / 2
+    assert seen and max(seen[:4]) < 0.6 * len(edges)
+    assert sum(r.cost for r in tiles) <= 1.05 * sum(r.cost for r in whole)
+
+
 def test_most_pairs_before_least_cost(spark):
     """A cheap pair in the middle would leave both outer ends alone."""
     rows = [(1, p, 0, q, 0, float(q - p), float(q - p), False) for p, q in ((0, 100), (100, 110), (110, 210))]
